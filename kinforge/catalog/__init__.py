@@ -6,7 +6,7 @@ import importlib
 
 from kinforge.catalog import base
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "tree", "scoring")
 
 
 def _load() -> None:
