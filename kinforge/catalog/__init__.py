@@ -6,7 +6,7 @@ import importlib
 
 from kinforge.catalog import base
 
-MODULES = ("scalars", "tree", "scoring")
+MODULES = ("scalars", "tree", "scoring", "civil")
 
 
 def _load() -> None:

@@ -28,24 +28,18 @@ def _month(s: Column) -> Column:
     return lookup(MONTHS, F.lower(F.regexp_extract(s, TEXT_DATE, 2)))
 
 
-def _numeric_year(s: Column) -> Column:
-    text = F.regexp_extract(s, NUMERIC_DATE, 3)
-    y = _int(text)
-    return (
-        F.when(F.length(text) == 4, y)
-        .when((F.length(text) == 2) & (y > CENTURY_SPLIT), y + 1900)
-        .when(F.length(text) == 2, y + 2000)
-    )
+_PREFIX = r"(?i)^\s*(?:(?:abt|about|circa|c\.?|~)\s*)?"
+_MONTH_WORDS = "|".join(sorted(MONTHS, key=len, reverse=True))
+WHOLE_YEAR = _PREFIX + r"(?:\d{1,2}[./-]\d{1,2}[./-]|(?:\d{1,2}\s+)?(?:" + _MONTH_WORDS + r")\s+)?(\d{4})\s*$"
+SHORT_YEAR = _PREFIX + r"\d{1,2}[./-]\d{1,2}[./-](\d{2})\s*$"
 
 
 def date_year(c: Column) -> Column:
-    """Year of a free-text date, or null when the text is not a date."""
-    s = _stripped(c)
-    return (
-        F.when(s.rlike(r"^\d{4}$"), _int(s))
-        .when(s.rlike(NUMERIC_DATE), _numeric_year(s))
-        .when(_month(s).isNotNull(), _int(F.regexp_extract(s, TEXT_DATE, 3)))
-    )
+    """Year of a free-text date, or null when the text is not a date. One pattern, a second
+    only for two-digit years."""
+    short = _int(F.regexp_extract(c, SHORT_YEAR, 1))
+    century = F.when(short > CENTURY_SPLIT, 1900).otherwise(2000)
+    return F.coalesce(_int(F.regexp_extract(c, WHOLE_YEAR, 1)), short + century)
 
 
 def normalize_date(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Session settings and the two scale guards every plan shares.
 
-* ``checkpointed`` cuts lineage between loop rounds through reliable storage, so a
-  lost executor only costs the running round.
+* ``materialized`` cuts lineage through the shared folder, so a lost executor only
+  costs the running step.
 * ``maybe_broadcast`` adds a broadcast hint only behind a size the optimizer itself
   can vouch for; otherwise the join is left to sort-merge and AQE.
 """
@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +35,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only an unset local run gets its own."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach. Only an unset local run gets one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="kinforge-ckpt-")
-    spark.sparkContext.setCheckpointDir(shared)
+        shared = tempfile.mkdtemp(prefix="kinforge-shared-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialized(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    Cuts lineage, computes the rows once however often they are used, and gives the optimizer
+    true sizes. A lost executor costs nothing already written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def plan_size_bytes(df: DataFrame) -> int:
