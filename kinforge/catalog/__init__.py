@@ -6,7 +6,7 @@ import importlib
 
 from kinforge.catalog import base
 
-MODULES = ("scalars", "tree", "scoring", "civil")
+MODULES = ("scalars", "tree", "scoring", "civil", "sources")
 
 
 def _load() -> None:
