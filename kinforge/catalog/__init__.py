@@ -6,7 +6,7 @@ import importlib
 
 from kinforge.catalog import base
 
-MODULES = ("scalars", "tree", "scoring", "civil", "sources")
+MODULES = ("scalars", "tree", "scoring", "civil", "sources", "review", "linking")
 
 
 def _load() -> None:
