@@ -160,12 +160,13 @@ def marriage_window(anc: DataFrame, civil: DataFrame) -> DataFrame:
     return pair.join(got, ["s", "w", "lo", "hi"]).select(JOB, SLOT, F.col("lo").alias("year_from"), F.col("hi").alias("year_to"), "marriages", "first_entry")
 
 
-def sibling_births(civil: DataFrame, reach: int = 8) -> DataFrame:
+def sibling_births(civil: DataFrame, reach: int = 8, limit: int | None = None) -> DataFrame:
     """For every distinct birth with a mother's name: other births of the same surname, district and
     mother's name within eight years, and the earliest of them in index order.
 
     Per family and year only a count, the first row, and the first row of another given name are kept;
-    that is enough to answer every member exactly without pairing members.
+    that is enough to answer every member exactly without pairing members. With ``limit``, a family whose
+    surname and district have more births in those years than the index displays is not answered.
     """
     fam = ["s", "d", "m"]
     births = civil.where((F.col("entry_type") == "birth") & (F.col("spouse_surname") != "") & (F.col("district") != "")).select(
@@ -180,6 +181,12 @@ def sibling_births(civil: DataFrame, reach: int = 8) -> DataFrame:
     count = F.col("year_n") - F.when(same, F.col("n")).otherwise(0)
     first = F.when(same & (F.col("f1") == F.col("f")), F.col("e2")).otherwise(F.col("e1"))
     out = got.groupBy(*fam, "year", "f").agg(F.sum(count).alias("siblings"), F.min(first).alias("first_sibling"))
+    if limit is not None:
+        every = civil.where("entry_type = 'birth'").select(F.lower("surname").alias("s"), F.lower("district").alias("d"), "year")
+        by_year = every.groupBy("s", "d", F.col("year").alias("oy")).agg(F.count("*").alias("all_n"))
+        window = out.select("s", "d", "year").distinct().withColumn("oy", F.explode(F.sequence(F.col("year") - reach, F.col("year") + reach)))
+        wide = window.join(by_year, ["s", "d", "oy"]).groupBy("s", "d", "year").agg(F.sum("all_n").alias("shown"))
+        out = out.join(wide.where(F.col("shown") <= limit), ["s", "d", "year"])
     return out.where("siblings > 0").select(F.col("s").alias("surname"), F.col("d").alias("district"), F.col("m").alias("maiden"), "year", F.col("f").alias("forenames"), "siblings", "first_sibling")
 
 

@@ -15,6 +15,8 @@ from kinforge.session import materialized
 
 KEY = [JOB, SLOT]
 REGISTRATION = 1837
+# Slots of the widest tree (ten generations): no slot can lose more choices than that.
+MOST_SLOTS = 2047
 # --- fixed values: years a generation is apart, and the gap a parent may have ------------------
 GENERATION_YEARS, YOUNGEST, OLDEST = 28, 12, 55
 
@@ -203,8 +205,7 @@ def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> Dat
         rows = rows.join(used.select(JOB, "person_id").distinct(), [JOB, "person_id"], "left_anti")
     once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").alias("rnk"))
     place = once.select(JOB, SLOT).distinct().withColumn("place", F.row_number().over(Window.partitionBy(JOB).orderBy(SLOT)))
-    most = 2048
-    ranked = top_rows(once, KEY, [F.col("rnk"), F.col("person_id")], most, "nth").join(place, KEY).where(F.col("nth") <= F.col("place"))
+    ranked = top_rows(once, KEY, [F.col("rnk"), F.col("person_id")], MOST_SLOTS, "nth").join(place, KEY).where(F.col("nth") <= F.col("place"))
     return ranked.select(JOB, SLOT, "person_id", "rnk", "nth").groupBy(JOB).applyInPandas(_assign_one_tree, "job_id long, asc_no int, person_id string, rnk int")
 
 
@@ -299,7 +300,7 @@ def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: Da
     least = F.when(F.coalesce(checks["proximity"] == "distant", F.lit(False)), F.greatest(base, F.when(gen >= 4, 2).otherwise(4))).otherwise(base)
     ok = rows.where(checks["valid"] & (F.coalesce("primary_count", F.lit(0)) >= least)).withColumn("rnk", F.lit(1))
     # Recorded order of spouses is the order of their ids.
-    ranked = top_rows(ok.select(*KEY, "person_id"), KEY, [F.col("person_id")], 2048, "rnk")
+    ranked = top_rows(ok.select(*KEY, "person_id"), KEY, [F.col("person_id")], MOST_SLOTS, "rnk")
     return ordered_assignment(ranked, used).select(*KEY, "person_id", F.lit("spouse_triangulation").alias("discovery_method"))
 
 
