@@ -6,7 +6,7 @@ import importlib
 
 from kinforge.catalog import base
 
-MODULES = ("scalars", "tree", "scoring", "civil", "sources", "review", "linking", "evidence_chain")
+MODULES = ("scalars", "tree", "scoring", "civil", "sources", "review", "linking", "evidence_chain", "intake")
 
 
 def _load() -> None:

@@ -153,8 +153,10 @@ SELECT c_custkey AS submission_id,
     '","user_pat_gf_first_name":"Frederick","user_pat_gf_last_name_at_birth":"Hunt","root_dad_first_name":"Brian","root_dad_last_name_at_birth":"Hunt","root_pat_gf_first_name":"Fred","root_pat_gf_last_name_at_birth":"Hunt","root_pat_gf_ggf_first_name":"Walter","root_pat_gf_ggf_birth_year":"1870"}') AS raw_request
 FROM customer"""),
     "fx_notes": (("documents",), """
-SELECT doc_id, concat(text, chr(10), 'Paternal grandfather: Norman Hunt (', CAST(1900 + doc_id % 40 AS STRING), '-', CAST(1970 + doc_id % 30 AS STRING), ')', chr(10),
+SELECT doc_id, concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN concat('Paternal GP: Norman Hunt (', CAST(1900 + doc_id % 40 AS STRING), '-', CAST(1970 + doc_id % 30 AS STRING), ') and Ivy Skinner (1902-1980)')
+    WHEN 1 THEN 'Maternal grandfather: Albert Jackson, Derby' WHEN 2 THEN 'Paternal grandmother was Ethel Skinner (1905-1980), Belper' ELSE 'Mother: Julie Ann Jackson (1942-present)' END, chr(10),
   CASE doc_id % 3 WHEN 0 THEN 'Great-grandfather (paternal paternal): Frederick Hunt, born 1875, died 1950' WHEN 1 THEN 'GGP15: Gertrude May Griffin' ELSE 'Maternal maternal great-grandmother: Jessie Mayne (1880-1959)' END, chr(10),
+  CASE doc_id % 5 WHEN 0 THEN 'Gertrude May Griffin of Belper was born on 3 May 1881' WHEN 1 THEN 'Albert Jackson b. 01.02.1911, Belper, d. 1970' ELSE 'Nothing more is known' END, chr(10),
   'Father: Brian Jackson (', CAST(1930 + doc_id % 20 AS STRING), '-', CASE WHEN doc_id % 2 = 0 THEN 'living' ELSE '2001' END, ')') AS notes
 FROM documents"""),
 }
