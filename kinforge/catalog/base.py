@@ -6,27 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.fixtures import table, with_fixtures
+from kinforge.fixtures import staged, table, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+HEAVY = {"fx_civil", "fx_cand"}
 
 
-def query(name: str, *inputs: str, sql: str | None = None, also: tuple[str, ...] = ()):
+def query(name: str, *inputs: str, sql: str | None = None):
     """Register a function of DataFrames. ``inputs`` name the tables it gets; ``sql`` is its check.
 
-    ``also`` names further tables the check reads but the function does not.
+    The civil index, candidates and slots are read several times by the queries that join them, so
+    for those they are staged.
     """
+    get = staged if HEAVY & set(inputs) and len(inputs) > 1 else table
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*[table(spark, sf_dir, n) for n in inputs])
+            return fn(*[get(spark, sf_dir, n) for n in inputs])
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_fixtures((*inputs, *also), sql)
+            ORACLE[name] = with_fixtures(inputs, sql)
         return fn
 
     return wrap

@@ -190,6 +190,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(FIXTURES[name][1])
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table written once per application and read back, for queries that read it several times.
+
+    A stored table would simply be read; deriving it anew for each use would cost more than the query.
+    """
+    if name not in FIXTURES:
+        return table(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        from kinforge.session import materialized
+
+        for dep in FIXTURES[name][0]:
+            staged(spark, sf_dir, dep).createOrReplaceTempView(dep)
+        _STAGED[key] = materialized(spark.sql(FIXTURES[name][1]))
+    return _STAGED[key]
+
+
 def with_fixtures(names, body: str) -> str:
     """DuckDB text: the fixtures as CTEs in front of a query."""
     ctes = [f"{n} AS ({FIXTURES[n][1].strip()})" for n in closure(names)]

@@ -97,16 +97,18 @@ def household_match(hyps: DataFrame, cand: DataFrame, census: DataFrame) -> Data
     ``cand``: job, slot, rnk, person_id, c_given, c_year, c_place, father_surname, mother_surname, death_year.
     """
     tried = hyps.where(F.col("hyp") <= TRIED)
-    listed = cand.where(F.col("rnk") <= TRIED)
-    rows = tried.join(listed, KEY, "left").join(census, "person_id", "left")
+    # What depends on the candidate alone is worked out before it meets the hypotheses.
+    listed = cand.where(F.col("rnk") <= TRIED).withColumns({
+        "usable": ~places.clearly_foreign(F.col("c_place")) & ~F.coalesce(F.col("rejected"), F.lit(False)), "c_district": places.district_of(F.col("c_place")), "c_first": F.substring_index("c_given", " ", 1)})
+    listed = listed.join(census, "person_id", "left")
+    rows = tried.join(listed, KEY, "left")
     seen = F.col("person_id").isNotNull()
-    foreign = places.clearly_foreign(F.col("c_place"))
-    usable = seen & ~foreign & ~F.coalesce(F.col("rejected"), F.lit(False))
+    usable = F.coalesce("usable", F.lit(False))
     off = F.abs(F.col("c_year") - F.col("h_year"))
     place = F.when((F.col("h_district") != "") & (F.col("c_place") != ""), first_true([
-        (F.lower("c_place").contains(F.lower("h_district")), 15), (places.district_match(F.col("h_district"), places.district_of(F.col("c_place"))), 10)], 0)).otherwise(0)
+        (F.lower("c_place").contains(F.lower("h_district")), 15), (places.district_match(F.col("h_district"), F.col("c_district")), 10)], 0)).otherwise(0)
     child = F.get(F.filter("census", lambda y: (y - F.col("h_year")).between(0, 15)), F.lit(0))
-    score = (F.when(names.names_similar(F.substring_index("c_given", " ", 1), F.col("h_forenames")), 20).otherwise(0) + place
+    score = (F.when(names.names_similar(F.col("c_first"), F.col("h_forenames")), 20).otherwise(0) + place
              + first_true([(off <= 1, 15), (off <= 2, 10), (off <= 3, 5)], 0)
              + F.when((F.col("father_surname") != "") & (F.lower("father_surname") == F.lower("h_surname")), 15).otherwise(0)
              + F.when((F.col("mother_surname") != "") & (F.col("h_maiden") != "") & (F.lower("mother_surname") == F.lower("h_maiden")), 25).otherwise(0)

@@ -19,7 +19,8 @@ def first_row(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     """The whole first row of every key in the given ascending order."""
     keys = _as_cols(keys)
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    by = order[0] if len(order) == 1 else F.struct(*order)
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_row"))
     return picked.select(*keys, "_row.*")
 
 

@@ -10,6 +10,7 @@ from kinforge.functions import values as V
 from kinforge.functions.dates import date_year
 from kinforge.functions.literals import first_true
 from kinforge.operators.ranking import first_row
+from kinforge.session import materialized
 from kinforge.operators.tree import JOB, SLOT, earlier_same_county, with_child
 
 PERSON = "person_id"
@@ -37,16 +38,16 @@ def source_summary(src: DataFrame) -> DataFrame:
     named by the first citation that names one. Three shrinking aggregates, no window."""
     titled = src.withColumn("_title", evidence.normalized_title(F.col("title"))).withColumn(
         "_county", places.cited_county(F.concat_ws(" ", "citation", "title")))
-    cited = F.when(F.col("_county").isNotNull(), F.struct("seq", "_county"))
-    once = titled.groupBy(PERSON, "_title").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min(cited).alias("cited"))
-    keyed = once.select(PERSON, "seq", "cited", evidence.classify_source(F.col("title")).alias("k"))
-    records = keyed.groupBy(PERSON, F.col("k.key").alias("key")).agg(F.min_by("k.category", "seq").alias("category"), F.min("cited").alias("cited"))
+    cited = F.when(F.col("_county").isNotNull(), F.col("seq"))
+    once = titled.groupBy(PERSON, "_title").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min(cited).alias("cited"), F.min_by("_county", cited).alias("_county"))
+    keyed = once.select(PERSON, "seq", "cited", "_county", evidence.classify_source(F.col("title")).alias("k"))
+    records = keyed.groupBy(PERSON, F.col("k.key").alias("key")).agg(F.min_by("k.category", "seq").alias("category"), F.min("cited").alias("cited"), F.min_by("_county", "cited").alias("_county"))
     points, counted = F.lit(0), F.lit(0)
     for name, (pts, cap) in V.CATEGORY_POINTS.items():
         n = F.least(F.count_if(F.col("category") == name), F.lit(cap))
         points, counted = points + n * pts, counted + n
     return records.groupBy(PERSON).agg(points.cast("int").alias("source_points"), counted.cast("int").alias("records"),
-                                       F.min("cited")["_county"].alias("citation_place"))
+                                       F.min_by("_county", "cited").alias("citation_place"))
 
 
 def source_points(src: DataFrame) -> DataFrame:
@@ -74,7 +75,9 @@ def fact_bucket(kind):
 def fact_summary(fact: DataFrame) -> DataFrame:
     """Per person: capped fact points, and the best place on record (birth, baptism, residence,
     burial, census; the first fact of a kind)."""
-    b, has_date, has_place = fact_bucket(F.col("fact_type")), F.trim(F.col("fact_date")) != "", F.trim(F.col("fact_place")) != ""
+    # Named first, so the bucket is worked out once a row and not once an aggregate.
+    fact = fact.select(PERSON, "seq", "fact_place", fact_bucket(F.col("fact_type")).alias("bucket"), (F.trim("fact_date") != "").alias("has_date"), (F.trim("fact_place") != "").alias("has_place"))
+    b, has_date, has_place = F.col("bucket"), F.col("has_date"), F.col("has_place")
     birth = b.isin("birth", "baptism")
 
     def any_of(cond, pts):
@@ -87,8 +90,9 @@ def fact_summary(fact: DataFrame) -> DataFrame:
              + any_of(b == "marriage", 5) + two_of((b == "residence") & has_place) + two_of((b == "census") & (has_date | has_place)))
     order = ("birth", "baptism", "residence", "burial", "census")
     rank = first_true([(b == k, i) for i, k in enumerate(order)])
-    placed = F.when(has_place & rank.isNotNull(), F.struct(rank.alias("rank"), F.col("seq"), F.col("fact_place")))
-    return fact.groupBy(PERSON).agg(F.least(total, F.lit(FACTS_MOST)).cast("int").alias("fact_points"), F.min(placed)["fact_place"].alias("fact_place"))
+    # Kind, then order recorded, as one number: cheaper to compare than a struct.
+    order_no = F.when(has_place, rank.cast("bigint") * (1 << 40) + F.col("seq"))
+    return fact.groupBy(PERSON).agg(F.least(total, F.lit(FACTS_MOST)).cast("int").alias("fact_points"), F.min_by("fact_place", order_no).alias("fact_place"))
 
 
 def fact_points(fact: DataFrame) -> DataFrame:
@@ -172,10 +176,12 @@ def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame) -> DataFrame
     child's score feeding its parents, is a fold over the slots of one tree in slot order
     (each tree at most 2^(g+1) - 1 rows), so the generations cost one shuffle, not one each.
     """
-    flat = place_date_points(with_places(anc, src, fact))
+    placed = with_places(anc, src, fact).select(
+        JOB, SLOT, "gen", PERSON, "name", "surname", "birth_date", "confidence_level", "discovery_method", "source_points", "fact_points", "place", "stated_county", "town", "county")
+    # Both a slot and its child are read from here: written once, the citations and facts are aggregated once.
+    flat = place_date_points(materialized(placed))
     customer, has_child = _is_customer(F.col("confidence_level")), F.col("child_name").isNotNull() & (F.col(SLOT) > 1)
     above = F.col(SLOT) > 1
-    # The literal 0 is coalesced away so that no other column is nullable in the fold.
     item = F.struct(
         F.col(SLOT).alias("slot"),
         customer.alias("customer"),
@@ -196,14 +202,20 @@ def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame) -> DataFrame
     def family(x, child_score):
         return F.when(x["above"], F.least(_child_points(x["child_customer"], child_score) + x["family_fixed"], F.lit(FAMILY_MOST))).otherwise(0)
 
-    def score_of(x, child_score):
-        total = x["source_points"] + x["fact_points"] + x["place_points"] + family(x, child_score)
-        return F.when(x["customer"], 100).otherwise(
-            _gate(evidence.confidence_from_points(total), x["has_surname"], x["has_year"], x["has_place"])).cast("int")
+    def bind(value, use):
+        """Evaluate ``value`` once and use it by name (lambdas share no subexpressions)."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def from_total(x, total):
+        return _gate(evidence.confidence_from_points(total), x["has_surname"], x["has_year"], x["has_place"])
+
+    def score_of(x, scores):
+        flat_points = x["source_points"] + x["fact_points"] + x["place_points"]
+        own = bind(bind(F.try_element_at(scores, slots.child_of(x["slot"])), lambda child: flat_points + family(x, child)), lambda total: from_total(x, total))
+        return F.when(x["customer"], 100).otherwise(own).cast("int")
 
     def step(scores, x):
-        mine = F.map_from_arrays(F.array(x["slot"]), F.array(score_of(x, F.try_element_at(scores, slots.child_of(x["slot"])))))
-        return F.map_concat(scores, mine)
+        return F.map_concat(scores, F.map_from_arrays(F.array(x["slot"]), F.array(score_of(x, scores))))
 
     empty = F.expr("cast(map() as map<int, int>)")
     scored = trees.withColumn("scores", F.aggregate("slots", empty, step))

@@ -3,7 +3,7 @@
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
