@@ -130,7 +130,8 @@ def _notes_sql() -> str:
 @query("notes_anchors", "fx_notes", sql=f"""WITH {_notes_sql()},
 a2 AS (SELECT doc_id, asc_no, trim(regexp_replace(nm, '\\s+', ' ', 'g')) AS nm, b, CASE WHEN lower(d) IN ('present', 'living') THEN '' ELSE d END AS d FROM a1 WHERE n = 1)
 SELECT doc_id, asc_no, CASE WHEN strpos(nm, ' ') > 0 THEN regexp_replace(nm, ' [^ ]+$', '') ELSE nm END AS given, CASE WHEN strpos(nm, ' ') > 0 THEN split_part(nm, ' ', -1) ELSE '' END AS surname,
-  CASE WHEN b <> '' THEN b WHEN nm = 'Frederick Hunt' THEN '1875' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 0 THEN '3 May 1881' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 1 THEN '01.02.1911' WHEN nm = 'Albert Jackson' AND doc_id % 5 = 1 THEN '01.02.1911' ELSE '' END AS birth_date,
+  CASE WHEN b <> '' THEN b WHEN nm = 'Frederick Hunt' THEN '1875' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 0 THEN '3 May 1881' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 1 THEN '01.02.1911' WHEN nm = 'Albert Jackson' AND doc_id % 3 = 0 THEN '1875' WHEN nm = 'Albert Jackson' AND doc_id % 5 = 1 THEN '01.02.1911'
+    WHEN nm = 'Albert Jackson' AND doc_id % 15 = 10 THEN '3 May 1881' ELSE '' END AS birth_date,
   CASE WHEN d <> '' THEN d WHEN nm = 'Frederick Hunt' THEN '1950' ELSE '' END AS death_date, '' AS birth_place FROM a2""")
 def notes_anchors(notes):
     return ops.notes_anchors(notes, "doc_id")

@@ -28,8 +28,7 @@ def distinct_sources(src: DataFrame) -> DataFrame:
     """
     titled = src.withColumn("_title", evidence.normalized_title(F.col("title")))
     once = first_row(titled, [PERSON, "_title"], [F.col("seq")]).drop("_title")
-    keyed = once.withColumn("_k", evidence.classify_source(F.col("title")))
-    keyed = keyed.select("*", F.col("_k.category").alias("category"), F.col("_k.key").alias("key")).drop("_k")
+    keyed = once.select("*", F.inline(F.array(evidence.classify_source(F.col("title"))))).drop("sub_type")
     return first_row(keyed, [PERSON, "key"], [F.col("seq")])
 
 
@@ -40,8 +39,9 @@ def source_summary(src: DataFrame) -> DataFrame:
         "_county", places.cited_county(F.concat_ws(" ", "citation", "title")))
     cited = F.when(F.col("_county").isNotNull(), F.col("seq"))
     once = titled.groupBy(PERSON, "_title").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min(cited).alias("cited"), F.min_by("_county", cited).alias("_county"))
-    keyed = once.select(PERSON, "seq", "cited", "_county", evidence.classify_source(F.col("title")).alias("k"))
-    records = keyed.groupBy(PERSON, F.col("k.key").alias("key")).agg(F.min_by("k.category", "seq").alias("category"), F.min("cited").alias("cited"), F.min_by("_county", "cited").alias("_county"))
+    # inline: the class is worked out once a row, not once for each of its fields.
+    keyed = once.select(PERSON, "seq", "cited", "_county", F.inline(F.array(evidence.classify_source(F.col("title")))))
+    records = keyed.groupBy(PERSON, "key").agg(F.min_by("category", "seq").alias("category"), F.min("cited").alias("cited"), F.min_by("_county", "cited").alias("_county"))
     points, counted = F.lit(0), F.lit(0)
     for name, (pts, cap) in V.CATEGORY_POINTS.items():
         n = F.least(F.count_if(F.col("category") == name), F.lit(cap))
@@ -131,8 +131,8 @@ def _placed(looked_up: DataFrame) -> DataFrame:
     found = F.when(~_is_customer(F.col("confidence_level")), F.coalesce("fact_place", "citation_place"))
     placed = looked_up.withColumn("place", F.coalesce(given, found))
     parts = places.parse_place(F.col("place"))
-    return placed.withColumn("stated_county", parts["county"]).withColumn("town", parts["town"]).withColumn(
-        "county", F.coalesce("stated_county", places.resolve_county(F.col("place"))))
+    read = F.struct(parts["county"].alias("stated_county"), parts["town"].alias("town"), places.resolve_county(F.col("place")).alias("_resolved"))
+    return placed.select("*", F.inline(F.array(read))).withColumn("county", F.coalesce("stated_county", "_resolved")).drop("_resolved")
 
 
 def place_date_points(placed: DataFrame) -> DataFrame:
