@@ -187,7 +187,27 @@ def spouse_triangulation(anc, edge, cand, src):
     return linking.spouse_triangulation(need, men, tree_api.spouses(edge, anc), anc, scoring.source_verify(src), known, linking.rejected_people(cand))
 
 
-@query("mother_from_maiden", "fx_anc", "fx_cand")
+def _walk(ranked: str) -> str:
+    """Slots in order, each its first free person: ``ranked`` has job_id, asc_no, person_id, rnk."""
+    free = "list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1]"
+    return (f"sl AS (SELECT job_id, asc_no, row_number() OVER (PARTITION BY job_id ORDER BY asc_no) AS pos, list(person_id ORDER BY rnk, person_id) AS people FROM {ranked} GROUP BY 1, 2), "
+            "wk AS (SELECT job_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS INT) AS asc_no, CAST(NULL AS VARCHAR) AS person_id, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT job_id FROM sl) j "
+            f"UNION ALL SELECT w.job_id, s.pos, s.asc_no, {free}, list_append(w.used, {free}) FROM wk w JOIN sl s ON s.job_id = w.job_id AND s.pos = w.pos + 1)")
+
+
+_MAIDEN = f"""{_REJ}, {_SIG.split("q AS (")[0].replace("WHERE person_id = '' AND " + D.year('birth_date') + " IS NOT NULL", "WHERE false").rstrip().rstrip(",")},
+nd AS (SELECT m.job_id, m.asc_no, m.surname AS maiden, {D.year('k.birth_date')} - 26 AS y, k.birth_place AS kp, lower({D.district('k.birth_place')}) AS d FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.asc_no % 2 = 1 AND m.asc_no > 1 AND m.person_id = '' AND {D.year('k.birth_date')} IS NOT NULL),
+kk AS (SELECT s, s AS k FROM (SELECT DISTINCT lower(maiden) AS s FROM nd) a UNION SELECT s, unnest(CASE s WHEN 'smith' THEN ['smithe', 'smit', 'smith'] WHEN 'ahlfors' THEN ['ahlforse', 'ahlphors', 'ahlfors'] WHEN 'hunt' THEN ['hunte', 'hunth'] WHEN 'skinner' THEN ['skinnere'] WHEN 'jackson' THEN ['jacksone', 'jacksen'] WHEN 'macdonald' THEN ['mcdonald', 'macdonalde'] ELSE ['jelleye', 'jelly', 'jelleyey'] END) FROM (SELECT DISTINCT lower(maiden) AS s FROM nd) b),
+q AS (SELECT DISTINCT lower(maiden) AS s, y, d FROM nd), mm AS (SELECT DISTINCT q.*, p.person_id, p.d = q.d AND q.d <> '' AS same_place, abs(p.py - q.y) AS off FROM q JOIN kk ON kk.s = q.s JOIN p ON p.k = kk.k AND abs(p.py - q.y) <= 15),
+kn AS (SELECT *, bool_or(same_place) OVER (PARTITION BY s, y, d) AS narrow FROM mm), rr AS (SELECT *, row_number() OVER (PARTITION BY s, y, d ORDER BY off, person_id) AS rnk FROM kn WHERE same_place OR NOT narrow),
+ok AS (SELECT nd.job_id, nd.asc_no, rr.person_id, rr.rnk FROM nd JOIN rr ON rr.s = lower(nd.maiden) AND rr.y = nd.y AND rr.d = nd.d AND rr.rnk <= 10 JOIN fx_anc a ON a.person_id = rr.person_id
+  WHERE a.gender IN ('', 'Female') AND lower(a.surname) = lower(nd.maiden) AND NOT ({D.foreign('a.birth_place')} AND NOT {D.uk('a.birth_place')}) AND coalesce({_prox_sql('a.birth_place', 'nd.kp')}, '') <> 'distant'
+  AND NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = nd.job_id AND rj.person_id = rr.person_id) AND NOT EXISTS (SELECT 1 FROM fx_anc u WHERE u.job_id = nd.job_id AND u.person_id = rr.person_id)),
+{_walk('ok')}, got AS (SELECT wk.job_id, wk.asc_no, wk.person_id, a.name FROM wk JOIN fx_anc a ON a.person_id = wk.person_id AND wk.person_id IS NOT NULL)"""
+
+
+@query("mother_from_maiden", "fx_anc", "fx_cand", sql=f"""WITH RECURSIVE {_MAIDEN}
+SELECT job_id, asc_no, person_id, name, 'maiden_name_search' AS discovery_method FROM got UNION ALL SELECT nd.job_id, nd.asc_no, '', '? ' || nd.maiden, 'maiden_name_only' FROM nd WHERE NOT EXISTS (SELECT 1 FROM got WHERE got.job_id = nd.job_id AND got.asc_no = nd.asc_no)""")
 def mother_from_maiden(anc, cand):
     kid = anc.select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"))
     # Mothers whose surname a birth entry gave, but nobody is linked to the slot yet.
@@ -203,3 +223,20 @@ def other_decade_census(fact, src):
     year = F.regexp_extract("fact_date", r"(\d{4})", 1).try_cast("int")
     have = src.where(c("title").contains("Census")).select("person_id", F.regexp_extract("title", r"(\d{4})", 1).try_cast("int").alias("year"))
     return linking.other_decade_census(fact.where(c("fact_type").contains("Census")).select("person_id", "seq", year.alias("year")), have)
+
+
+@query("gazetteer_lookup", "fx_anc", sql=f"SELECT row_id, birth_place, {D.county('birth_place')} AS county FROM fx_anc")
+def gazetteer_lookup(anc):
+    from kinforge.operators import gazetteer
+
+    return gazetteer.lookup_counties(anc.select("row_id", "birth_place"), "birth_place", gazetteer.default_gazetteer(anc.sparkSession))
+
+
+@query("adjacency_lookup", "fx_pair", sql=f"""
+SELECT job_id, asc_no, rnk, {D.proximity('c1', 'c2')} AS proximity FROM (SELECT job_id, asc_no, rnk, {D.county('cand_place')} AS c1, {D.county('anc_place')} AS c2 FROM fx_pair) s""")
+def adjacency_lookup(pair):
+    from kinforge.operators import gazetteer
+    from kinforge.functions.places import resolve_county
+
+    two = pair.select(*_KEYS, "rnk", resolve_county(c("cand_place")).alias("c1"), resolve_county(c("anc_place")).alias("c2"))
+    return gazetteer.lookup_proximity(two, "c1", "c2", gazetteer.border_table(pair.sparkSession)).select(*_KEYS, "rnk", "proximity")
