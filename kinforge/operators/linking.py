@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,25 +179,12 @@ def once_per_tree(proposed: DataFrame, used: DataFrame) -> DataFrame:
     return first_row(free, [JOB, "person_id"], [F.col(SLOT)])
 
 
-def _assign_one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Slots in order, each takes its best person still free."""
-    taken: set[str] = set()
-    out = []
-    for slot, rows in pdf.sort_values(["asc_no", "nth"]).groupby("asc_no", sort=True):
-        for person, rnk in zip(rows["person_id"], rows["rnk"]):
-            if person not in taken:
-                taken.add(person)
-                out.append((rows["job_id"].iat[0], slot, person, rnk))
-                break
-    return pd.DataFrame(out, columns=["job_id", "asc_no", "person_id", "rnk"])
-
-
 def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """Slots of a tree in order, each given its first passing person not taken by an earlier slot.
 
     A slot can lose at most one choice to each earlier slot, so its first n choices decide, n being its
     place in the order. With that cut a tree is at most S(S+1)/2 rows for S slots however long the lists
-    are, and the result is exact.
+    are, the result is exact, and the walk is a fold over one tree inside the JVM.
     """
     rows = passing.select(JOB, SLOT, "person_id", "rnk")
     if used is not None:
@@ -206,7 +192,20 @@ def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> Dat
     once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").alias("rnk"))
     place = once.select(JOB, SLOT).distinct().withColumn("place", F.row_number().over(Window.partitionBy(JOB).orderBy(SLOT)))
     ranked = top_rows(once, KEY, [F.col("rnk"), F.col("person_id")], MOST_SLOTS, "nth").join(place, KEY).where(F.col("nth") <= F.col("place"))
-    return ranked.select(JOB, SLOT, "person_id", "rnk", "nth").groupBy(JOB).applyInPandas(_assign_one_tree, "job_id long, asc_no int, person_id string, rnk int")
+    lists = ranked.groupBy(JOB, SLOT).agg(F.array_sort(F.collect_list(F.struct("nth", "person_id", "rnk"))).alias("choices"))
+    trees = lists.groupBy(JOB).agg(F.array_sort(F.collect_list(F.struct(F.col(SLOT).alias("slot"), "choices"))).alias("slots"))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr("cast(array() as array<struct<slot: int, person_id: string, rnk: int>>)").alias("picks"))
+
+    def step(acc, x):
+        free = F.get(F.filter(x["choices"], lambda c: ~F.array_contains(acc["used"], c["person_id"])), F.lit(0))
+        # The one choice is bound by a transform over a single-element array, so it is found once.
+        took = F.filter(F.array(free), lambda c: c.isNotNull())
+        return F.struct(
+            F.concat(acc["used"], F.transform(took, lambda c: c["person_id"])).alias("used"),
+            F.concat(acc["picks"], F.transform(took, lambda c: F.struct(x["slot"].alias("slot"), c["person_id"].alias("person_id"), c["rnk"].cast("int").alias("rnk")))).alias("picks"))
+
+    picks = trees.select(JOB, F.explode(F.aggregate("slots", start, step, lambda acc: acc["picks"])).alias("_x"))
+    return picks.select(JOB, F.col("_x.slot").alias(SLOT), F.col("_x.person_id").alias("person_id"), F.col("_x.rnk").alias("rnk"))
 
 
 # Discovery -------------------------------------------------------------------------------------------
