@@ -64,6 +64,16 @@ class ChunkIds(Remembered):
         self.lead, self.library = lead, Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.marks = {m: self.encoded(m) for m in ".,"}
+        self.line_end = self.encoded("\n")
+
+    def apart(self, text: str) -> bytes:
+        """Ids of a text that no space comes before. Line ends between other characters stand alone."""
+        parts = text.split("\n")
+        if len(parts) == 1:
+            return self["\n" + text] if text else b""
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+            return self.encoded(text)
+        return self.line_end.join(self["\n" + p] for p in parts)
 
     def encoded(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -72,6 +82,12 @@ class ChunkIds(Remembered):
         text = chunk.decode() if isinstance(chunk, bytes) else chunk
         if len(text) > 1 and text[-1] in self.marks and unicodedata.normalize("NFC", text[:-1]).lower().isalpha():
             return self[chunk[:-1]] + self.marks[text[-1]]  # letters and a mark are separate runs
+        if self.lead and "\n" in text:
+            if text[0] == "\n":  # what no space comes before is kept under a line end, with which no chunk starts
+                return self.encoded(text[1:])
+            head, _, tail = text.partition("\n")
+            if tail and not (head[-1].isspace() or tail[0].isspace()):
+                return self[head] + self.line_end + self.apart(tail)
         return self.encoded(self.lead + text)
 
 
@@ -95,6 +111,6 @@ def byte_ids(path: str):
 
     def encode(text: str) -> bytes:
         first, *rest = spaced_chunks(text)
-        return (chunks.encoded(first) if first else b"") + b"".join(map(chunks.__getitem__, rest))
+        return chunks.apart(first) + b"".join(map(chunks.__getitem__, rest))
 
     return encode
