@@ -59,7 +59,7 @@ hit AS (SELECT q.*, e.* FROM q JOIN fx_civil e ON e.entry_type = 'birth' AND low
 
 
 @query("civil_search", "fx_anc", "fx_civil", sql=f"""WITH {_SEARCHES}
-SELECT surname_key, given_key, year_from, year_to, entry_id, district, volume, page FROM (SELECT *, count(*) OVER (PARTITION BY surname_key, given_key, year_from, year_to) AS n FROM hit) t WHERE n <= 3000""")
+SELECT surname_key, given_key, year_from, year_to, entry_id, district, volume, page FROM (SELECT *, count(*) OVER (PARTITION BY surname_key, given_key, year_from, year_to) AS n FROM hit) t""")
 def civil_search(anc, civil):
     return src.civil_search(_birth_searches(anc), civil, "birth").select("surname_key", "given_key", "year_from", "year_to", "entry_id", "district", "volume", "page")
 
@@ -74,10 +74,10 @@ _NAMED = f"""p AS (SELECT job_id, asc_no, name, birth_place, split_part(name, '
 
 
 def _best_sql(asked: str, etype: str, score: str, on: str, at: int, extra: str = "") -> str:
-    """Best index entry per row of ``asked``; searches with more than 3000 matches answer nothing."""
+    """Best index entry per row of ``asked``."""
     return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY score DESC, entry_id) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY job_id, asc_no) AS hits FROM ("
             f"SELECT a.*, e.entry_id, e.surname AS e_surname, e.forenames AS e_forenames, e.spouse_surname AS e_spouse, e.year AS e_year, e.district AS e_district, {score} AS score, {extra or 'true'} AS fits FROM {asked} a JOIN fx_civil e ON e.entry_type = '{etype}' AND {on}"
-            f") z) y WHERE hits <= 3000 AND fits AND score >= {at}) x WHERE rn = 1)")
+            f") z) y WHERE fits AND score >= {at}) x WHERE rn = 1)")
 
 
 _ON_NAME = "lower(e.surname) = lower(a.last) AND " + D.first_word("e.forenames") + " = lower(a.first)"

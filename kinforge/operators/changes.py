@@ -20,9 +20,21 @@ REJECTED = "Manually rejected by admin"
 INFO_FIELDS = ("birth_date", "birth_place", "death_date", "death_place")
 
 
+def _one_each(commands: DataFrame, keys: list[str], fields: list[str], order: str | None) -> DataFrame:
+    """One row a key. For each field the last value stated wins, by ``order`` where there is one, else the greatest."""
+    rank = (lambda f: F.struct(order, f)) if order else F.col
+    return commands.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), rank(f))).alias(f) for f in fields])
+
+
 def protected_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or update slots. A customer's row gives way only to another customer's row."""
+    """Insert or update slots. A customer's row gives way only to another customer's row.
+
+    Of several new rows for a slot one counts: a customer's before others, then the greatest.
+    """
     vals = [c for c in old.columns if c not in KEY]
+    stated = [v for v in vals if v in new.columns]
+    best = F.struct(F.coalesce(F.col("confidence_level") == CUSTOMER, F.lit(False)) if "confidence_level" in stated else F.lit(False), *stated)
+    new = new.groupBy(*KEY).agg(F.max(best).alias("_b")).select(*KEY, *[F.col(f"_b.{v}").alias(v) for v in stated])
     o = old.select(*KEY, F.struct(*vals).alias("_o"))
     n = new.select(*KEY, F.struct(*[F.col(v) if v in new.columns else F.lit(None).alias(v) for v in vals]).alias("_n"))
     both = o.join(n, KEY, "full_outer")
@@ -30,10 +42,10 @@ def protected_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*KEY, *[F.when(keep, F.col(f"_o.{v}")).otherwise(F.coalesce(f"_n.{v}", f"_o.{v}")).alias(v) for v in vals])
 
 
-def partial_update(old: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Set the given fields where the update states them; other rows and fields stay."""
-    fields = [c for c in updates.columns if c not in keys]
-    u = updates.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
+def partial_update(old: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Set the given fields where an update states them; other rows and fields stay."""
+    fields = [c for c in updates.columns if c not in keys and c != order]
+    u = _one_each(updates, keys, fields, order).select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = old.join(u, keys, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns])
 
@@ -117,6 +129,7 @@ def edit_info(anc: DataFrame, edits: DataFrame) -> DataFrame:
     ``missing_info`` is a comma-joined list of marks.
     """
     fields = [f for f in INFO_FIELDS if f in anc.columns and f in edits.columns]
+    edits = _one_each(edits, KEY, fields, None)
     j = anc.join(edits.select(*KEY, *[F.col(f).alias(f"_new_{f}") for f in fields]), KEY, "left")
 
     def changed(f):
@@ -137,41 +150,62 @@ def _logged(field: Column, old: Column, new: Column) -> Column:
     return F.struct(kind.alias("kind"), field.alias("field"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value"), F.lit(False).alias("undone"))
 
 
-def _set_fields(j: DataFrame, anc: DataFrame, field: Column, value: Column, does: Column, log: Column) -> DataFrame:
+def _correctable(anc: DataFrame) -> list[str]:
+    return [c for c in anc.columns if c == "confidence_score" or c in INFO_FIELDS]
+
+
+def _folded(j: DataFrame, anc: DataFrame, commands: str, step) -> DataFrame:
+    """Run a slot's commands one after the other over its correctable fields and its log."""
+    fields = _correctable(anc)
+    state = F.struct(*[F.col(f).cast("string").alias(f) for f in fields], F.col("corrections_log").alias("log"))
+    out = j.withColumn("_s", F.aggregate(F.coalesce(commands, F.array().cast(j.schema[commands].dataType)), state, step))
+
     def put(c):
         if c == "corrections_log":
-            return log.alias(c)
-        if c == "confidence_score":
-            return F.when(does & (field == c), value.try_cast("int")).otherwise(F.col(c)).alias(c)
-        if c in INFO_FIELDS:
-            return F.when(does & (field == c), value).otherwise(F.col(c)).alias(c)
-        return F.col(c)
+            return F.col("_s.log").alias(c)
+        return F.col(f"_s.{c}").try_cast(anc.schema[c].dataType).alias(c) if c in fields else F.col(c)
 
-    return j.select(*[put(c) for c in anc.columns])
+    return out.select(*[put(c) for c in anc.columns])
+
+
+def _put(state: Column, fields: list[str], field: Column, value: Column, does: Column, log: Column) -> Column:
+    return F.struct(*[F.when(does & (field == f), value).otherwise(state[f]).alias(f) for f in fields], log.alias("log"))
 
 
 def apply_suggestion(anc: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Applies one suggestion per slot and logs it. A confidence suggestion moves the score by the rounded mean."""
-    j = anc.join(suggestions.select(*KEY, F.col("field").alias("_f"), F.col("value").alias("_v"), "adj_a", "adj_b"), KEY, "left")
-    does = F.col("_f").isNotNull()
-    mean = F.floor((F.coalesce("adj_a", F.lit(0)) + F.coalesce("adj_b", F.lit(0))) / 2.0 + 0.5).cast("int")
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("confidence_score", F.lit(0)) + mean)).cast("string")
-    value = F.when(F.col("_f") == "confidence_score", score).otherwise(F.col("_v"))
-    old = first_true([(F.col("_f") == c, F.col(c).cast("string")) for c in ("confidence_score", *INFO_FIELDS) if c in anc.columns], "")
-    log = F.when(does, F.array_append("corrections_log", _logged(F.col("_f"), old, value))).otherwise(F.col("corrections_log"))
-    return _set_fields(j, anc, F.col("_f"), value, does, log)
+    """Applies the suggestions of a slot in order of field and value, and logs each.
+
+    A confidence suggestion moves the score by the rounded mean.
+    """
+    fields = _correctable(anc)
+    each = F.struct(F.col("field").alias("f"), F.col("value").alias("v"), "adj_a", "adj_b")
+    j = anc.join(suggestions.where(F.col("field").isNotNull()).groupBy(*KEY).agg(F.array_sort(F.collect_list(each)).alias("_c")), KEY, "left")
+
+    def step(s, x):
+        mean = F.floor((F.coalesce(x["adj_a"], F.lit(0)) + F.coalesce(x["adj_b"], F.lit(0))) / 2.0 + 0.5).cast("int")
+        at = F.coalesce(s["confidence_score"].try_cast("int"), F.lit(0)) if "confidence_score" in fields else F.lit(0)
+        value = F.when(x["f"] == "confidence_score", F.greatest(F.lit(0), F.least(F.lit(100), at + mean)).cast("string")).otherwise(x["v"])
+        old = first_true([(x["f"] == f, s[f]) for f in fields], "")
+        return _put(s, fields, x["f"], value, F.lit(True), F.array_append(s["log"], _logged(x["f"], old, value)))
+
+    return _folded(j, anc, "_c", step)
 
 
 def undo_correction(anc: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Puts the old value back and flags the log entry; commands for absent or undone entries are refused.
+    """Puts old values back, the latest log entry first, and flags the entries; commands for absent or
+    undone entries are refused, and repeated ones count once.
 
     Returns the new slots and the feedback of the commands that were carried out.
     """
-    j = anc.join(commands.select(*KEY, F.col("log_index").alias("_i")), KEY, "left")
-    entry = F.get("corrections_log", F.col("_i"))
-    j = j.withColumn("_e", F.when(F.col("_i") >= 0, entry))
-    does = F.coalesce(~F.col("_e.undone"), F.lit(False))
-    log = F.when(does, F.transform("corrections_log", lambda e, i: F.when(i == F.col("_i"), e.withField("undone", F.lit(True))).otherwise(e))).otherwise(F.col("corrections_log"))
-    out = _set_fields(j, anc, F.col("_e.field"), F.col("_e.old_value"), does, log)
-    done = j.where(does).select(*KEY, F.lit("reject").alias("action_type"), F.col("_e.new_value").alias("corrected_to"), F.col("_e.old_value").alias("reverted_to"))
-    return out, done
+    fields = _correctable(anc)
+    j = anc.join(commands.where(F.col("log_index") >= 0).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.col("log_index").cast("int")), asc=False).alias("_c")), KEY, "left")
+
+    def step(s, i):
+        entry = F.get(s["log"], i)
+        does = F.coalesce(~entry["undone"], F.lit(False))
+        log = F.when(does, F.transform(s["log"], lambda e, n: F.when(n == i, e.withField("undone", F.lit(True))).otherwise(e))).otherwise(s["log"])
+        return _put(s, fields, entry["field"], entry["old_value"], does, log)
+
+    carried = j.select(*KEY, F.explode(F.transform("_c", lambda i: F.get("corrections_log", i))).alias("_e")).where(~F.col("_e.undone"))
+    done = carried.select(*KEY, F.lit("reject").alias("action_type"), F.col("_e.new_value").alias("corrected_to"), F.col("_e.old_value").alias("reverted_to"))
+    return _folded(j, anc, "_c", step), done

@@ -14,7 +14,7 @@ from kinforge.operators.civil import confirm_death, sibling_births, with_resolve
 from kinforge.operators.ranking import best_row, first_row, top_rows
 from kinforge.operators.tree import JOB, SLOT, with_parents
 from kinforge.session import materialized
-from kinforge.sources.civil_index import DISPLAY_LIMIT, SEARCH, best_entries, civil_search, searches_of, with_search
+from kinforge.sources.civil_index import SEARCH, best_entries, civil_search, searches_of, with_search
 
 KEY = [JOB, SLOT]
 # --- fixed values: how many are kept, tried and shown; weights; thresholds -------------------------
@@ -168,7 +168,7 @@ def family_crosscheck(hyps: DataFrame, marriage: DataFrame) -> DataFrame:
 
 def reinforcements(matched: DataFrame, civil: DataFrame) -> DataFrame:
     """A sibling's birth (15), the death (10), a census in another decade (10), per hypothesis."""
-    sib = sibling_births(civil, limit=DISPLAY_LIMIT).select(F.col("surname").alias("_s"), F.col("district").alias("_d"), F.col("maiden").alias("_m"), F.col("year").alias("h_year"), F.col("forenames").alias("_f"), "first_sibling")
+    sib = sibling_births(civil).select(F.col("surname").alias("_s"), F.col("district").alias("_d"), F.col("maiden").alias("_m"), F.col("year").alias("h_year"), F.col("forenames").alias("_f"), "first_sibling")
     j = matched.withColumns({"_s": F.lower("h_surname"), "_d": F.lower("h_district"), "_m": F.lower("h_maiden"), "_f": F.lower("h_forenames")})
     j = j.join(sib, ["_s", "_d", "_m", "h_year", "_f"], "left")
     ask = matched.where("person_id is not null and death_year is not null").select(

@@ -50,11 +50,13 @@ def materialized(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back.
 
     Cuts lineage, computes the rows once however often they are used, and gives the optimizer
-    true sizes. A lost executor costs nothing already written.
+    true sizes. A lost executor costs nothing already written. The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

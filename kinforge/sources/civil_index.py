@@ -18,7 +18,7 @@ from kinforge.functions.names import first_word
 from kinforge.operators.ranking import carry_forward, first_row
 
 # --- fixed values -------------------------------------------------------------------------
-DISPLAY_LIMIT = 3000
+OVERFLOW_AT = 3000
 ROW_PATTERN = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL_PATTERN = r"(?is)<td[^>]*>(.*?)</td>"
 
@@ -146,28 +146,33 @@ def match_counts(searches: DataFrame, civil: DataFrame, entry_type: str, given:
     return _match(searches, sign, given).groupBy(*SEARCH).agg(F.sum("rows").alias("matches"))
 
 
-def civil_search(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int = DISPLAY_LIMIT, given: str = "always") -> DataFrame:
-    """Index rows of every search that stays within the display limit. Output is at most ``limit`` rows a search."""
-    shown = match_counts(searches, civil, entry_type, given).where(F.col("matches") <= limit).drop("matches")
-    return _match(shown, _signed(civil, entry_type), given)
+def _shown(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int | None, given: str) -> DataFrame:
+    if limit is None:
+        return searches.select(*SEARCH).distinct()
+    return match_counts(searches, civil, entry_type, given).where(F.col("matches") <= limit).drop("matches")
 
 
-def search_overflow(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int = DISPLAY_LIMIT) -> DataFrame:
-    """Every search with its match count and whether it was too wide to be shown."""
+def civil_search(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int | None = None, given: str = "always") -> DataFrame:
+    """Index rows of every search. With a ``limit``, searches that have more matches answer nothing."""
+    return _match(_shown(searches, civil, entry_type, limit, given), _signed(civil, entry_type), given)
+
+
+def search_overflow(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int = OVERFLOW_AT) -> DataFrame:
+    """Every search with its match count and whether it has more than ``limit`` (a report; no search is cut by it)."""
     counted = searches.join(match_counts(searches, civil, entry_type), list(SEARCH), "left")
     n = F.coalesce("matches", F.lit(0))
     return counted.select(*SEARCH, n.alias("matches"), (n > limit).alias("overflow"))
 
 
 def best_entries(asked: DataFrame, civil: DataFrame, entry_type: str, ask_by: list[str], score: Column, at_least: int,
-                 limit: int = DISPLAY_LIMIT, keep: Column | None = None, given: str = "always") -> DataFrame:
+                 limit: int | None = None, keep: Column | None = None, given: str = "always") -> DataFrame:
     """For every distinct question the best index entry, first in index order on a tie.
 
     ``ask_by`` names the question's own columns used by ``score`` beside the search columns.
     Index rows alike in every field a score may read are one candidate, the earliest of them.
     """
     questions = asked.select(*SEARCH, *ask_by).distinct()
-    shown = match_counts(searches_of(questions), civil, entry_type, given).where(F.col("matches") <= limit).drop("matches")
+    shown = _shown(searches_of(questions), civil, entry_type, limit, given)
     alike = ["surname", "forenames", "spouse_surname", "year", "district"]
     index = _signed(civil, entry_type).groupBy(*alike, "s_surname", "s_given", "s_district").agg(F.min_by(F.struct("entry_id", "quarter", "volume", "page"), "entry_id").alias("e"))
     found = _match(shown, index, given)

@@ -160,3 +160,32 @@ def test_slot_held_twice_is_refused(spark):
     twice = spark.createDataFrame([(1, 2), (1, 2)], "job_id long, asc_no int")
     with pytest.raises(Exception, match="slot held twice"):
         tree.assert_unique_slots(twice).collect()
+
+
+def test_repeated_commands_keep_one_row_a_slot(spark):
+    from kinforge.operators import changes
+
+    log = f"cast(array() as {changes.LOG_TYPE}) as corrections_log"
+    anc = spark.sql(f"SELECT 1 AS job_id, 4 AS asc_no, '1900' AS birth_date, 'Derby' AS birth_place, 50 AS confidence_score, 'Customer Data' AS confidence_level, 'location,date' AS missing_info, {log}")
+    two = spark.createDataFrame([(1, 4, "birth_place", "Belper", None, None), (1, 4, "confidence_score", None, -8, 2)], "job_id int, asc_no int, field string, value string, adj_a int, adj_b int")
+    out = changes.apply_suggestion(anc, two).collect()
+    assert [(r.birth_place, r.confidence_score, len(r.corrections_log)) for r in out] == [("Belper", 47, 2)]
+    undo = spark.createDataFrame([(1, 4, 0), (1, 4, 1), (1, 4, 1), (1, 4, 7)], "job_id int, asc_no int, log_index int")
+    back, done = changes.undo_correction(changes.apply_suggestion(anc, two), undo)
+    assert [(r.birth_place, r.confidence_score, [e.undone for e in r.corrections_log]) for r in back.collect()] == [("Derby", 50, [True, True])]
+    assert done.count() == 2
+    edits = spark.createDataFrame([(1, 4, "1901", None), (1, 4, None, "Ilkeston")], "job_id int, asc_no int, birth_date string, birth_place string")
+    assert [(r.birth_date, r.birth_place) for r in changes.edit_info(anc, edits).collect()] == [("1901", "Ilkeston")]
+    assert [(r.birth_date, r.birth_place) for r in changes.partial_update(anc, edits, changes.KEY).collect()] == [("1901", "Ilkeston")]
+    new = spark.createDataFrame([(1, 4, "a"), (1, 4, "b"), (1, 5, "c"), (1, 5, "d")], "job_id int, asc_no int, confidence_level string")
+    rows = changes.protected_upsert(anc.select("job_id", "asc_no", "confidence_level"), new).collect()
+    assert sorted((r.asc_no, r.confidence_level) for r in rows) == [(4, "Customer Data"), (5, "d")]
+
+
+def test_wide_searches_are_answered(spark):
+    from kinforge.sources.civil_index import civil_search
+
+    civil = spark.range(10_000).selectExpr("id AS entry_id", "'birth' AS entry_type", "'Smith' AS surname", "'John' AS forenames", "'' AS spouse_surname", "cast(1880 as int) AS year", "'Mar' AS quarter", "'Derby' AS district", "'7b' AS volume", "'1' AS page")
+    asked = spark.createDataFrame([("smith", "john", 1878, 1882, "")], "surname_key string, given_key string, year_from int, year_to int, district_key string")
+    assert civil_search(asked, civil, "birth").count() == 10_000
+    assert civil_search(asked, civil, "birth", limit=3000).count() == 0
