@@ -89,7 +89,7 @@ FROM split s LEFT JOIN longs USING (doc_id) LEFT JOIN per_doc USING (doc_id)
 _OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
 l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-full_lines AS (SELECT *, regexp_extract_all(translate(line, '{UPPER}123456789', '{LOWER}000000000'), '{WORD}') AS w FROM l WHERE regexp_matches(line, '{WORD}')),
+full_lines AS (SELECT *, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM l WHERE regexp_matches(line, '{WORD}')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY doc_id),
 windows AS (SELECT doc_id, i, words[i + 1:i + 3] AS w FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 2, 0))) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),

@@ -1,6 +1,6 @@
 """Quality rules: per-document word rules, and cross-document line frequency within a host.
 
-Lines are normalised (ASCII lower case, digits to 0, white space collapsed) and hashed. A line is
+Lines are normalised (ASCII lower case, white space collapsed) and hashed. A line is
 boilerplate on a host when it stands in at least ``min_docs`` distinct documents and in at least
 ``min_share`` of the host's documents. Such lines are removed from every document but the first that
 has them, so no text leaves the corpus altogether; a document that loses more than ``max_removed`` of
@@ -26,7 +26,7 @@ MAX_REMOVED = 0.5
 SALTS = 16
 SPACES = " \t\n\r\v\f"
 SYMBOLS = "#*$%&|<>"
-NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _LINE = pa.struct([("h", pa.int64()), ("words", pa.int64())])
 _MARKED = pa.schema(
