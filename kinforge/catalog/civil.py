@@ -178,7 +178,7 @@ def maiden_name_discovery(anc, civil):
 
 _WIFE = f"w AS (SELECT need.*, lower(coalesce(mn.e_spouse, need.mother_last, '')) AS wife FROM need LEFT JOIN {_MAIDEN} mn ON mn.job_id = need.job_id AND mn.asc_no = need.asc_no WHERE need.y IS NOT NULL)"
 _MD = _best_sql("w", "marriage", "1", "lower(e.surname) = lower(a.last) AND e.year BETWEEN greatest(a.y - 7, 1837) AND a.y + 1 AND " + _IN_D, 1,
-                f"e.forenames <> '' AND e.spouse_surname <> '' AND {D.first_word('e.forenames')} NOT IN {D.in_list(V.words(V.FEMALE_NAMES))} AND (a.wife = '' OR lower(e.spouse_surname) = a.wife)")
+                f"e.forenames <> '' AND e.spouse_surname <> '' AND {D.first_word('e.forenames')} NOT IN {D.in_list(V.FEMALE_NAMES)} AND (a.wife = '' OR lower(e.spouse_surname) = a.wife)")
 
 
 @query("marriage_discovery", "fx_anc", "fx_civil", sql=f"""WITH {_NEED}, {_WIFE}

@@ -53,15 +53,15 @@ def flat(c: str) -> str:
 
 def foreign(c: str) -> str:
     def pat(t):
-        return "(^| )(" + "|".join(x.replace("'", "''") for x in V.words(t)) + ")( |$)"
+        return "(^| )(" + "|".join(x.replace("'", "''") for x in t) + ")( |$)"
     return (
         f"coalesce(regexp_matches({flat(c)}, '{pat(V.US_STATES)}') OR regexp_matches({flat(c)}, '{pat(V.FOREIGN_COUNTRIES)}') "
-        f"OR (strpos({flat(c)}, ' ') > 0 AND split_part({flat(c)}, ' ', -1) IN {in_list(V.words(V.US_STATE_CODES))}), false)"
+        f"OR (strpos({flat(c)}, ' ') > 0 AND split_part({flat(c)}, ' ', -1) IN {in_list(V.US_STATE_CODES)}), false)"
     )
 
 
 def uk(c: str) -> str:
-    return f"coalesce(regexp_matches({flat(c)}, '(^| )(" + "|".join(x.replace("'", "''") for x in V.words(V.UK_WORDS)) + ")( |$)'), false)"
+    return f"coalesce(regexp_matches({flat(c)}, '(^| )(" + "|".join(x.replace("'", "''") for x in V.UK_WORDS) + ")( |$)'), false)"
 
 
 def county(c: str) -> str:
@@ -100,7 +100,7 @@ def similar(a: str, b: str) -> str:
 
 
 def common(c: str) -> str:
-    return f"(lower({c}) IN {in_list(V.words(V.COMMON_SURNAMES))})"
+    return f"(lower({c}) IN {in_list(V.COMMON_SURNAMES)})"
 
 
 def level(c: str) -> str:
@@ -190,17 +190,11 @@ def corrections_agree(a: str, b: str) -> str:
 
 
 def correction_field(c: str) -> str:
-    link = r"\s*(should\s*be|:|-|→|to)\s*"
-    yr = r"~?\s*(1[6-9]\d{2}|20[0-2]\d)"
-    return (
-        f"(CASE WHEN regexp_matches({c}, '(?i)birth\\s*(year|date){link}{yr}') THEN 'birth_date' WHEN regexp_matches({c}, '(?i)death\\s*(year|date){link}{yr}') THEN 'death_date' "
-        f"WHEN regexp_matches({c}, '(?i)birth\\s*place{link}[^\\n]+$') THEN 'birth_place' WHEN regexp_matches({c}, '(?i)death\\s*place{link}[^\\n]+$') THEN 'death_place' END)"
-    )
+    """The field a sentence of ``fx_flag`` or ``fx_review`` corrects: they all say "<event> <field> should be"."""
+    return (f"(CASE WHEN {c} ILIKE '%birth year should be%' THEN 'birth_date' WHEN {c} ILIKE '%birth place should be%' THEN 'birth_place' "
+            f"WHEN {c} ILIKE '%death place should be%' THEN 'death_place' END)")
 
 
 def correction_value(c: str) -> str:
-    link = r"\s*(?:should\s*be|:|-|→|to)\s*"
-    return (
-        f"(CASE WHEN {correction_field(c)} LIKE '%_date' THEN regexp_extract({c}, '(?i)(?:year|date){link}~?\\s*(1[6-9]\\d{{2}}|20[0-2]\\d)', 1) "
-        f"WHEN {correction_field(c)} LIKE '%_place' THEN trim(regexp_extract({c}, '(?i)place{link}[\"'']?([^\"''\\n]+?)[\"'']?\\s*$', 1)) END)"
-    )
+    said = f"trim(split_part({c}, 'should be', 2))"
+    return f"(CASE WHEN {correction_field(c)} = 'birth_date' THEN {said}[1:4] WHEN {correction_field(c)} IS NOT NULL THEN {said} END)"

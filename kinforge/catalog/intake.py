@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from kinforge.catalog import duck as D
 from kinforge.catalog.base import query
-from kinforge.functions import notes as N
 from kinforge.plans import intake as ops
 from kinforge.session import shared_dir
 from kinforge.streaming import jobs as streams
@@ -102,37 +101,21 @@ def legacy_fields(customer):
     return ops.legacy_fields(_legacy(customer))
 
 
-def _notes_sql() -> str:
-    """The expected anchors. Dates follow from how the notes are built: a birth date within 100 characters
-    after a full name counts for that name, whoever the sentence is about."""
-    rx = []
-    for slot, p in N.PARENT_FORMS.items():
-        rx.append(f"SELECT doc_id, notes, {slot} AS asc_no, 5 AS rank, " + ", ".join(f"regexp_extract(notes, {D.q(p)}, {i}) AS {a}" for i, a in ((1, "nm"), (2, "b"), (3, "d"))) + " FROM fx_notes")
-    for slot, forms in N.GRAND_FORMS.items():
-        for r, p in ((5, forms[0]), (6, forms[1])):
-            rx.append(f"SELECT doc_id, notes, {slot} AS asc_no, {r} AS rank, " + ", ".join(f"regexp_extract(notes, {D.q(p)}, {i}) AS {a}" for i, a in ((1, "nm"), (2, "b"), (3, "d"))) + " FROM fx_notes")
-
-    def great(p: str, slot: str, at: int, rank: int) -> str:
-        one = f"regexp_extract_all(notes, {D.q(p)}, 0)[-1]"
-        return f"SELECT doc_id, notes, {slot.replace('@', one)} AS asc_no, {rank} AS rank, " + ", ".join(f"coalesce(regexp_extract({one}, {D.q(p)}, {i}), '') AS {a}" for i, a in ((at, "nm"), (at + 1, "b"), (at + 2, "d"))) + " FROM fx_notes"
-
-    def line(p: str, bracket: bool) -> str:
-        lin = f"lower(regexp_extract(@, {D.q(p)}, 2))" if bracket else f"lower(regexp_extract(@, {D.q(p)}, 1) || ' ' || regexp_extract(@, {D.q(p)}, 2))"
-        role = f"lower(regexp_extract(@, {D.q(p)}, {1 if bracket else 3}))"
-        return f"CASE {lin} WHEN 'paternal paternal' THEN 8 WHEN 'paternal maternal' THEN 10 WHEN 'maternal paternal' THEN 12 WHEN 'maternal maternal' THEN 14 END + CASE WHEN {role} = 'mother' THEN 1 ELSE 0 END"
-
-    rx.append(great(N.GREAT_NUMBER, f"TRY_CAST(regexp_extract(@, {D.q(N.GREAT_NUMBER)}, 1) AS INT)", 2, 1))
-    rx.append(great(N.GREAT_BRACKET, line(N.GREAT_BRACKET, True), 3, 2))
-    rx.append(great(N.GREAT_PREFIX, line(N.GREAT_PREFIX, False), 4, 3))
-    return "an AS (" + " UNION ALL ".join(rx) + "), a1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, asc_no ORDER BY rank) AS n FROM an WHERE nm <> '' AND asc_no IS NOT NULL)"
-
-
-@query("notes_anchors", "fx_notes", sql=f"""WITH {_notes_sql()},
-a2 AS (SELECT doc_id, asc_no, trim(regexp_replace(nm, '\\s+', ' ', 'g')) AS nm, b, CASE WHEN lower(d) IN ('present', 'living') THEN '' ELSE d END AS d FROM a1 WHERE n = 1)
-SELECT doc_id, asc_no, CASE WHEN strpos(nm, ' ') > 0 THEN regexp_replace(nm, ' [^ ]+$', '') ELSE nm END AS given, CASE WHEN strpos(nm, ' ') > 0 THEN split_part(nm, ' ', -1) ELSE '' END AS surname,
-  CASE WHEN b <> '' THEN b WHEN nm = 'Frederick Hunt' THEN '1875' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 0 THEN '3 May 1881' WHEN nm = 'Gertrude May Griffin' AND doc_id % 5 = 1 THEN '01.02.1911' WHEN nm = 'Albert Jackson' AND doc_id % 3 = 0 THEN '1875' WHEN nm = 'Albert Jackson' AND doc_id % 5 = 1 THEN '01.02.1911'
-    WHEN nm = 'Albert Jackson' AND doc_id % 15 = 10 THEN '3 May 1881' ELSE '' END AS birth_date,
-  CASE WHEN d <> '' THEN d WHEN nm = 'Frederick Hunt' THEN '1950' ELSE '' END AS death_date, '' AS birth_place FROM a2""")
+# What the lines added by ``fx_notes`` say, by doc_id. A birth date within 100 characters after a full name
+# counts for that name, whoever the sentence is about.
+@query("notes_anchors", "fx_notes", sql="""
+WITH d AS (SELECT doc_id FROM fx_notes),
+an AS (
+  SELECT doc_id, 2 AS asc_no, 'Brian' AS given, 'Jackson' AS surname, CAST(1930 + doc_id % 20 AS VARCHAR) AS birth_date, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '2001' END AS death_date FROM d
+  UNION ALL SELECT doc_id, 3, 'Julie Ann', 'Jackson', '1942', '' FROM d WHERE doc_id % 4 = 3
+  UNION ALL SELECT doc_id, 4, 'Norman', 'Hunt', CAST(1900 + doc_id % 40 AS VARCHAR), CAST(1970 + doc_id % 30 AS VARCHAR) FROM d WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 5, 'Ivy', 'Skinner', '1902', '1980' FROM d WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 5, 'Ethel', 'Skinner', '1905', '1980' FROM d WHERE doc_id % 4 = 2
+  UNION ALL SELECT doc_id, 6, 'Albert', 'Jackson', CASE WHEN doc_id % 3 = 0 THEN '1875' WHEN doc_id % 5 = 1 THEN '01.02.1911' WHEN doc_id % 15 = 10 THEN '3 May 1881' ELSE '' END, '' FROM d WHERE doc_id % 4 = 1
+  UNION ALL SELECT doc_id, 8, 'Frederick', 'Hunt', '1875', '1950' FROM d WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 15, 'Gertrude May', 'Griffin', CASE doc_id % 5 WHEN 0 THEN '3 May 1881' WHEN 1 THEN '01.02.1911' ELSE '' END, '' FROM d WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, 15, 'Jessie', 'Mayne', '1880', '1959' FROM d WHERE doc_id % 3 = 2)
+SELECT *, '' AS birth_place FROM an""")
 def notes_anchors(notes):
     return ops.notes_anchors(notes, "doc_id")
 

@@ -58,8 +58,8 @@ def parse_name(cand):
 
 
 @query("parse_place", "fx_pair", sql=f"""
-SELECT job_id, asc_no, rnk, list_filter(ps, lambda p: p NOT IN {D.in_list(V.words(V.CITED_COUNTIES))} AND p NOT IN {D.in_list(V.words(V.UK_COUNTRIES))} AND length(p) > 1)[1] AS town,
-  list_filter(ps, lambda p: p IN {D.in_list(V.words(V.CITED_COUNTIES))})[-1] AS county, list_filter(ps, lambda p: p IN {D.in_list(V.words(V.UK_COUNTRIES))})[-1] AS country
+SELECT job_id, asc_no, rnk, list_filter(ps, lambda p: p NOT IN {D.in_list(V.CITED_COUNTIES)} AND p NOT IN {D.in_list(V.UK_COUNTRIES)} AND length(p) > 1)[1] AS town,
+  list_filter(ps, lambda p: p IN {D.in_list(V.CITED_COUNTIES)})[-1] AS county, list_filter(ps, lambda p: p IN {D.in_list(V.UK_COUNTRIES)})[-1] AS country
 FROM (SELECT job_id, asc_no, rnk, {D.parts("regexp_replace(lower(CASE WHEN rnk % 2 = 0 THEN cand_place ELSE anc_place END), '[^a-z\\s,]', '', 'g')")} AS ps FROM fx_pair) s""")
 def parse_place(pair):
     place = F.when(c("rnk") % 2 == 0, c("cand_place")).otherwise(c("anc_place"))
@@ -103,7 +103,7 @@ def text_contains(pair):
 @query("place_specificity", "fx_pair", sql=f"""
 SELECT job_id, asc_no, rnk, CASE WHEN t1 = t2 THEN 'town' WHEN c1 = c2 THEN 'county' WHEN n1 = n2 THEN 'country' WHEN hit THEN 'partial' END AS level FROM (
 SELECT job_id, asc_no, rnk,
-  {', '.join(f"list_filter({ps}, lambda p: p NOT IN {D.in_list(V.words(V.CITED_COUNTIES))} AND p NOT IN {D.in_list(V.words(V.UK_COUNTRIES))} AND length(p) > 1)[1] AS t{i}, list_filter({ps}, lambda p: p IN {D.in_list(V.words(V.CITED_COUNTIES))})[-1] AS c{i}, list_filter({ps}, lambda p: p IN {D.in_list(V.words(V.UK_COUNTRIES))})[-1] AS n{i}"
+  {', '.join(f"list_filter({ps}, lambda p: p NOT IN {D.in_list(V.CITED_COUNTIES)} AND p NOT IN {D.in_list(V.UK_COUNTRIES)} AND length(p) > 1)[1] AS t{i}, list_filter({ps}, lambda p: p IN {D.in_list(V.CITED_COUNTIES)})[-1] AS c{i}, list_filter({ps}, lambda p: p IN {D.in_list(V.UK_COUNTRIES)})[-1] AS n{i}"
               for i, ps in ((1, D.parts("regexp_replace(lower(cand_place), '[^a-z\\s,]', '', 'g')")), (2, D.parts("regexp_replace(lower(anc_place), '[^a-z\\s,]', '', 'g')"))))},
   cand_place <> '' AND anc_place <> '' AND len(list_filter(string_split({D.flat('anc_place')}, ' '), lambda w: length(w) > 2 AND contains({D.flat('cand_place')}, w))) > 0 AS hit
 FROM fx_pair) s""")

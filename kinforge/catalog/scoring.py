@@ -29,12 +29,12 @@ fp AS (SELECT person_id, CAST(least(33, max(CASE WHEN b IN ('birth', 'baptism')
 _PLACED = f"""cp AS (SELECT person_id, fact_place FROM (SELECT person_id, fact_place, row_number() OVER (PARTITION BY person_id ORDER BY CASE b WHEN 'birth' THEN 0 WHEN 'baptism' THEN 1 WHEN 'residence' THEN 2 WHEN 'burial' THEN 3 ELSE 4 END, seq) AS n
   FROM fb WHERE fact_place <> '' AND b IN ('birth', 'baptism', 'residence', 'burial', 'census')) t WHERE n = 1),
 cc AS (SELECT person_id, county FROM (SELECT person_id, county, row_number() OVER (PARTITION BY person_id ORDER BY seq) AS n FROM (SELECT person_id, seq,
-    list_filter([{', '.join(D.q(x) for x in V.words(V.CITED_COUNTIES))}], lambda x: contains(regexp_replace(lower(concat(citation, ' ', title)), '<[^>]+>', '', 'g'), x))[1] AS county FROM fx_src) s WHERE county IS NOT NULL) t WHERE n = 1),
+    list_filter([{', '.join(D.q(x) for x in V.CITED_COUNTIES)}], lambda x: contains(regexp_replace(lower(concat(citation, ' ', title)), '<[^>]+>', '', 'g'), x))[1] AS county FROM fx_src) s WHERE county IS NOT NULL) t WHERE n = 1),
 pl AS (SELECT a.*, CASE WHEN a.birth_place <> '' THEN a.birth_place WHEN a.confidence_level <> 'Customer Data' THEN coalesce(cp.fact_place, cc.county) END AS place
   FROM fx_anc a LEFT JOIN cp ON cp.person_id = a.person_id LEFT JOIN cc ON cc.person_id = a.person_id),
 pp AS (SELECT *, {D.parts("regexp_replace(lower(place), '[^a-z\\s,]', '', 'g')")} AS ps, {D.year('birth_date')} AS yr FROM pl),
-pc AS (SELECT * EXCLUDE (ps), list_filter(ps, lambda p: p IN {D.in_list(V.words(V.CITED_COUNTIES))})[-1] AS stated, coalesce(list_filter(ps, lambda p: p IN {D.in_list(V.words(V.CITED_COUNTIES))})[-1], {D.county('place')}) AS county,
-  list_filter(ps, lambda p: p NOT IN {D.in_list(V.words(V.CITED_COUNTIES))} AND p NOT IN {D.in_list(V.words(V.UK_COUNTRIES))} AND length(p) > 1)[1] AS town FROM pp),
+pc AS (SELECT * EXCLUDE (ps), list_filter(ps, lambda p: p IN {D.in_list(V.CITED_COUNTIES)})[-1] AS stated, coalesce(list_filter(ps, lambda p: p IN {D.in_list(V.CITED_COUNTIES)})[-1], {D.county('place')}) AS county,
+  list_filter(ps, lambda p: p NOT IN {D.in_list(V.CITED_COUNTIES)} AND p NOT IN {D.in_list(V.UK_COUNTRIES)} AND length(p) > 1)[1] AS town FROM pp),
 pd AS (SELECT p.*, ch.name AS ch_name, ch.surname AS ch_surname, ch.confidence_level AS ch_level, CASE WHEN p.asc_no = 1 OR ch.name IS NULL THEN 0 ELSE least(17,
     CASE {D.proximity('p.county', 'ch.county')} WHEN 'same' THEN 5 + CASE WHEN p.town = ch.town THEN 3 ELSE 0 END WHEN 'adjacent' THEN 2 WHEN 'distant' THEN -15 ELSE 0 END
   + CASE WHEN ch.yr - p.yr < 0 THEN -50 WHEN ch.yr - p.yr < 15 OR ch.yr - p.yr > 55 THEN -30 WHEN ch.yr - p.yr BETWEEN 22 AND 35 THEN 7 WHEN ch.yr - p.yr BETWEEN 18 AND 45 THEN 5 ELSE 0 END

@@ -31,6 +31,8 @@ def _month(s: Column) -> Column:
 _PREFIX = r"(?i)^\s*(?:(?:abt|about|circa|c\.?|~)\s*)?"
 _MONTH_WORDS = "|".join(sorted(MONTHS, key=len, reverse=True))
 WHOLE_YEAR = _PREFIX + r"(?:\d{1,2}[./-]\d{1,2}[./-]|(?:\d{1,2}\s+)?(?:" + _MONTH_WORDS + r")\s+)?(\d{4})\s*$"
+# A date inside running text: figures, a month with a year, or a year.
+DATE_PHRASE = r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|(?:\d{1,2}\s+)?\b(?:" + _MONTH_WORDS + r")\s+\d{4}|\d{4}"
 SHORT_YEAR = _PREFIX + r"\d{1,2}[./-]\d{1,2}[./-](\d{2})\s*$"
 
 

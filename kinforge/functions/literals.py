@@ -36,8 +36,14 @@ def one_of(items, value: Column) -> Column:
     return value.isin(*list(items))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once a row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def behind(parts: Column) -> Column:
+    """An array without its first element."""
+    return F.filter(parts, lambda _, i: i > 0)
 
 
 def first_true(cases: list[tuple[Column, object]], otherwise=None) -> Column:
@@ -50,8 +56,6 @@ def first_true(cases: list[tuple[Column, object]], otherwise=None) -> Column:
 
 
 @lru_cache(maxsize=None)
-def word_pattern(text: str) -> str:
+def word_pattern(words: tuple[str, ...]) -> str:
     """Whole-word alternation over a list stated in ``values`` (unicode letters count)."""
-    from kinforge.functions.values import words
-
-    return "(^| )(" + "|".join(words(text)) + ")( |$)"
+    return "(^| )(" + "|".join(words) + ")( |$)"

@@ -51,7 +51,7 @@ def first_word(c: Column) -> Column:
 
 
 def is_common_surname(c: Column) -> Column:
-    return F.coalesce(one_of(V.words(V.COMMON_SURNAMES), F.lower(c)), F.lit(False))
+    return F.coalesce(one_of(V.COMMON_SURNAMES, F.lower(c)), F.lit(False))
 
 
 def contains_either(a: Column, b: Column) -> Column:

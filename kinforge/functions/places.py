@@ -30,7 +30,7 @@ def place_town(c: Column) -> Column:
 def parse_place(c: Column) -> Column:
     """STRUCT<town, county, country>: first plain part is the town, the last county wins."""
     parts = place_parts(F.regexp_replace(F.lower(c), r"[^a-z\s,]", ""))
-    counties, countries = V.words(V.CITED_COUNTIES), V.words(V.UK_COUNTRIES)
+    counties, countries = V.CITED_COUNTIES, V.UK_COUNTRIES
     plain = F.filter(parts, lambda p: ~one_of(counties, p) & ~one_of(countries, p) & (F.length(p) > 1))
     return F.struct(
         F.get(plain, F.lit(0)).alias("town"),
@@ -42,7 +42,7 @@ def parse_place(c: Column) -> Column:
 def looks_foreign(c: Column) -> Column:
     """A state, country or closing state code of another country, as whole words."""
     s = _flat(c)
-    code = one_of(V.words(V.US_STATE_CODES), F.substring_index(s, " ", -1)) & s.contains(" ")
+    code = one_of(V.US_STATE_CODES, F.substring_index(s, " ", -1)) & s.contains(" ")
     hit = s.rlike(word_pattern(V.US_STATES)) | code | s.rlike(word_pattern(V.FOREIGN_COUNTRIES))
     return F.coalesce(hit, F.lit(False))
 
@@ -132,7 +132,7 @@ def cited_county(text: Column) -> Column:
     """First county of the fixed list found anywhere in a citation text. One scan rules out texts that
     name none; a plain CASE (not a lambda) keeps the tidied text a shared subexpression."""
     plain = F.regexp_replace(F.lower(text), r"<[^>]+>", "")
-    counties = V.words(V.CITED_COUNTIES)
+    counties = V.CITED_COUNTIES
     return F.when(plain.rlike("|".join(counties)), first_true([(plain.contains(x), x) for x in counties]))
 
 

@@ -235,7 +235,7 @@ def marriage_discovery(need: DataFrame, maiden: DataFrame, civil: DataFrame) ->
     y = F.col("birth_year")
     ask = known.withColumn("wife", wife).where((F.col("last") != "") & y.isNotNull())
     asked = with_search(ask, F.col("last"), _blank(), F.greatest(y - 7, F.lit(V.CIVIL_FROM)), y + 1, F.col("district_"))
-    man = ~names.first_word(F.col("forenames")).isin(*V.words(V.FEMALE_NAMES))
+    man = ~names.first_word(F.col("forenames")).isin(*V.FEMALE_NAMES)
     fits = (F.col("forenames") != "") & (F.col("spouse_surname") != "") & man & ((F.col("wife") == "") | (F.lower("spouse_surname") == F.col("wife")))
     best = best_entries(asked, civil, "marriage", ["wife"], F.lit(1), 1, keep=fits, given="never")
     found = asked.join(best, [*SEARCH, "wife"])

@@ -186,9 +186,9 @@ def legacy_fields(rows: DataFrame) -> DataFrame:
 # Anchors ------------------------------------------------------------------------------------------------
 def notes_anchors(rows: DataFrame, key: str, text: str = "notes") -> DataFrame:
     """Relatives named in free text: (key, slot, given, surname, dates, place). Whole texts, row by row."""
-    found = rows.select(key, text, N._found(F.col(text)).alias("_f"))
-    one = found.select(key, text, F.explode(N.best_of(F.col("_f"))).alias("_a"))
-    return one.select(key, F.col("_a.slot").alias(SLOT), N.complete(F.col(text), F.col("_a")).alias("_c")).select(key, SLOT, "_c.*")
+    told = rows.select(key, F.col(text).alias("_t"), N.relatives(F.col(text)).alias("_r")).where(F.size("_r") > 0)
+    done = told.select(key, F.explode(F.transform("_r", lambda r: N.complete(F.col("_t"), r))).alias("_c"))
+    return done.select(key, F.col("_c.slot").alias(SLOT), "_c.given", "_c.surname", "_c.birth_date", "_c.death_date", "_c.birth_place")
 
 
 def anchors(flat: DataFrame, noted: DataFrame, stored: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.functions import corrections, dates, evidence, names, places, slots
+from kinforge.functions import corrections, dates, evidence, names, notes, places, slots
 from kinforge.functions import values as V
 
 
@@ -80,7 +80,46 @@ def test_parse_correction(spark):
     assert [None if g is None else tuple(g) for g in got] == [("birth_date", "1909"), ("death_date", "1963"), ("birth_place", "Derby, Derbyshire"), None]
 
 
+def test_parse_correction_steps(spark):
+    said = ["Death year → 1950; birth date to ~1901", "BIRTHPLACE: \"Derby\"", "death place should be Pinxton, Derbyshire, birth place unknown", "birth year 1909", "birth year should be 1409", "birth place:", None, ""]
+    assert [None if g is None else tuple(g) for g in run(spark, said, corrections.parse_correction)] == [
+        ("birth_date", "1901"), ("birth_place", "Derby"), ("death_place", "Pinxton, Derbyshire"), None, None, None, None, None]
+
+
+def told(spark, text):
+    rows = run(spark, [text], lambda c: F.transform(notes.relatives(c), lambda r: notes.complete(c, r)))
+    return [tuple(r) for r in rows[0]]
+
+
+def test_notes_parents_and_couples(spark):
+    assert told(spark, "Father: Brian Jackson (1940-2021), Mother Julie Ann Jackson (1942 – living)\nMaternal GP: Charles Herbert Jackson (1909-1963) and Nellie Gregory (1911-)") == [
+        (2, "Brian", "Jackson", "1940", "2021", ""), (3, "Julie Ann", "Jackson", "1942", "", ""),
+        (6, "Charles Herbert", "Jackson", "1909", "1963", ""), (7, "Nellie", "Gregory", "1911", "", "")]
+
+
+def test_notes_kinship_words_are_whole(spark):
+    assert told(spark, "Maternal grandfather was Albert Jackson from Derby\nGrandmother: Ivy Skinner (1902-1980).\nmaternal maternal great-grandmother: Jessie Mayne (1880-1959)") == [
+        (5, "Ivy", "Skinner", "1902", "1980", ""), (6, "Albert", "Jackson", "", "", ""), (15, "Jessie", "Mayne", "1880", "1959", "")]
+
+
+def test_notes_dates_and_places_on_the_line(spark):
+    assert told(spark, "Paternal grandfather: Norman Hunt, b. 01.02.1931, Derby Derbyshire, d. 20.02.1991\nGreat grandfather (paternal maternal): Fred Cox; born Dec 1880, died 1950") == [
+        (4, "Norman", "Hunt", "01.02.1931", "20.02.1991", "Derby Derbyshire"), (10, "Fred", "Cox", "Dec 1880", "1950", "")]
+
+
+def test_notes_ranks_and_nearby_dates(spark):
+    assert told(spark, "Paternal paternal great-grandfather: One Hunt\nGreat-grandfather (paternal paternal): Two Hunt\nGGP8: Three Hunt\nasc#8: Four Hunt\nGGP16: Five Hunt\nFour Hunt was a miner, born in 1860") == [
+        (8, "Four", "Hunt", "1860", "", "")]
+    assert told(spark, "GGP9: Ann Cox\n" + "x" * 92 + " born 1860") == [(9, "Ann", "Cox", "", "", "")]
+
+
+@pytest.mark.parametrize("text", [None, "", "Father was a miner.", "Father: (1900-1950)", "great-grandfather: Nobody Known", "paternal GP: A B, C D", "Grandfather Norman Hunt, Derby"])
+def test_notes_without_a_readable_relative(spark, text):
+    assert run(spark, [text], notes.relatives) == [[]]
+
+
 def test_fixed_values_have_their_known_sizes():
     pairs = V.border_pairs()
     assert len(pairs) == 272 and len(V.counties()) == 54 and {(b, a) for a, b in pairs} == set(pairs)
-    assert len(V.nearby_pairs()) == 122 and len(V.words(V.COMMON_SURNAMES)) == 97
+    assert len(V.nearby_pairs()) == 122 and len(V.COMMON_SURNAMES) == 97
+    assert all(list(bs) == sorted(bs) for bs in V.COUNTY_BORDERS.values())
