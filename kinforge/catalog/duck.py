@@ -141,9 +141,9 @@ def source_key(c: str) -> str:
         f"WHEN {_civil(c)} AND strpos({t}, 'death') > 0 THEN 'civil_death' "
         f"WHEN {category(c)} = 'Census' THEN 'census_' || CASE WHEN {yr} = '' THEN 'unknown' ELSE {yr} END "
         f"WHEN {category(c)} = '1939 Register' THEN '1939_register' "
-        f"WHEN {category(c)} = 'Parish Register' THEN 'parish_' || {yr} || '_' || left({t}, 40) "
-        f"WHEN {category(c)} = 'Military' THEN 'military_' || left({t}, 40) WHEN {category(c)} = 'Probate' THEN 'probate' "
-        f"ELSE 'other_' || left({t}, 40) END)"
+        f"WHEN {category(c)} = 'Parish Register' THEN 'parish_' || {yr} || '_' || {t} "
+        f"WHEN {category(c)} = 'Military' THEN 'military_' || {t} WHEN {category(c)} = 'Probate' THEN 'probate' "
+        f"ELSE 'other_' || {t} END)"
     )
 
 

@@ -197,12 +197,12 @@ def _walk(ranked: str) -> str:
 
 _MAIDEN = f"""{_REJ}, {_SIG.split("q AS (")[0].replace("WHERE person_id = '' AND " + D.year('birth_date') + " IS NOT NULL", "WHERE false").rstrip().rstrip(",")},
 nd AS (SELECT m.job_id, m.asc_no, m.surname AS maiden, {D.year('k.birth_date')} - 26 AS y, k.birth_place AS kp, lower({D.district('k.birth_place')}) AS d FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.asc_no % 2 = 1 AND m.asc_no > 1 AND m.person_id = '' AND {D.year('k.birth_date')} IS NOT NULL),
-kk AS (SELECT s, s AS k FROM (SELECT DISTINCT lower(maiden) AS s FROM nd) a UNION SELECT s, unnest(CASE s WHEN 'smith' THEN ['smithe', 'smit', 'smith'] WHEN 'ahlfors' THEN ['ahlforse', 'ahlphors', 'ahlfors'] WHEN 'hunt' THEN ['hunte', 'hunth'] WHEN 'skinner' THEN ['skinnere'] WHEN 'jackson' THEN ['jacksone', 'jacksen'] WHEN 'macdonald' THEN ['mcdonald', 'macdonalde'] ELSE ['jelleye', 'jelly', 'jelleyey'] END) FROM (SELECT DISTINCT lower(maiden) AS s FROM nd) b),
-q AS (SELECT DISTINCT lower(maiden) AS s, y, d FROM nd), mm AS (SELECT DISTINCT q.*, p.person_id, p.d = q.d AND q.d <> '' AS same_place, abs(p.py - q.y) AS off FROM q JOIN kk ON kk.s = q.s JOIN p ON p.k = kk.k AND abs(p.py - q.y) <= 15),
-kn AS (SELECT *, bool_or(same_place) OVER (PARTITION BY s, y, d) AS narrow FROM mm), rr AS (SELECT *, row_number() OVER (PARTITION BY s, y, d ORDER BY off, person_id) AS rnk FROM kn WHERE same_place OR NOT narrow),
-ok AS (SELECT nd.job_id, nd.asc_no, rr.person_id, rr.rnk FROM nd JOIN rr ON rr.s = lower(nd.maiden) AND rr.y = nd.y AND rr.d = nd.d AND rr.rnk <= 10 JOIN fx_anc a ON a.person_id = rr.person_id
-  WHERE a.gender IN ('', 'Female') AND lower(a.surname) = lower(nd.maiden) AND NOT ({D.foreign('a.birth_place')} AND NOT {D.uk('a.birth_place')}) AND coalesce({_prox_sql('a.birth_place', 'nd.kp')}, '') <> 'distant'
-  AND NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = nd.job_id AND rj.person_id = rr.person_id) AND NOT EXISTS (SELECT 1 FROM fx_anc u WHERE u.job_id = nd.job_id AND u.person_id = rr.person_id)),
+q AS (SELECT DISTINCT lower(maiden) AS s, y, d, kp FROM nd),
+mm AS (SELECT q.*, p.person_id, p.d = q.d AND q.d <> '' AS same_place, abs(p.py - q.y) AS off FROM q JOIN p ON p.k = q.s AND abs(p.py - q.y) <= 15 JOIN fx_anc a ON a.person_id = p.person_id
+  WHERE a.gender IN ('', 'Female') AND NOT ({D.foreign('a.birth_place')} AND NOT {D.uk('a.birth_place')}) AND coalesce({_prox_sql('a.birth_place', 'q.kp')}, '') <> 'distant'),
+kn AS (SELECT *, bool_or(same_place) OVER (PARTITION BY s, y, d, kp) AS narrow FROM mm), rr AS (SELECT *, row_number() OVER (PARTITION BY s, y, d, kp ORDER BY off, person_id) AS rnk FROM kn WHERE same_place OR NOT narrow),
+ok AS (SELECT nd.job_id, nd.asc_no, rr.person_id, rr.rnk FROM nd JOIN rr ON rr.s = lower(nd.maiden) AND rr.y = nd.y AND rr.d = nd.d AND rr.kp = nd.kp
+  WHERE NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = nd.job_id AND rj.person_id = rr.person_id) AND NOT EXISTS (SELECT 1 FROM fx_anc u WHERE u.job_id = nd.job_id AND u.person_id = rr.person_id)),
 {_walk('ok')}, got AS (SELECT wk.job_id, wk.asc_no, wk.person_id, a.name FROM wk JOIN fx_anc a ON a.person_id = wk.person_id AND wk.person_id IS NOT NULL)"""
 
 

@@ -19,10 +19,13 @@ def normalized_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
 
 
-def classify_source(title: Column) -> Column:
-    """STRUCT<category, sub_type, key>; the first rule that fits wins."""
+def classify_source(title: Column, key_length: int | None = None) -> Column:
+    """STRUCT<category, sub_type, key>; the first rule that fits wins.
+
+    Titles without a kind of their own are told apart by the whole title, or by its first ``key_length`` characters.
+    """
     t = F.lower(F.coalesce(title, F.lit("")))
-    head = F.substring(t, 1, 40)
+    head = t if key_length is None else F.substring(t, 1, key_length)
     year = F.regexp_extract(t, r"(\d{4})", 1)
     civil = ~t.contains("parish") & t.rlike(CIVIL_INDEX_WORDS)
     census_year = F.when(year == "", UNKNOWN_YEAR).otherwise(year)

@@ -14,8 +14,8 @@ from kinforge.session import materialized
 
 KEY = [JOB, SLOT]
 REGISTRATION = 1837
-# Slots of the widest tree (ten generations): no slot can lose more choices than that.
-MOST_SLOTS = 2047
+# Shares in which the choices of one slot are cut before they meet.
+SHARES = 32
 # --- fixed values: years a generation is apart, and the gap a parent may have ------------------
 GENERATION_YEARS, YOUNGEST, OLDEST = 28, 12, 55
 
@@ -184,14 +184,18 @@ def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> Dat
 
     A slot can lose at most one choice to each earlier slot, so its first n choices decide, n being its
     place in the order. With that cut a tree is at most S(S+1)/2 rows for S slots however long the lists
-    are, the result is exact, and the walk is a fold over one tree inside the JVM.
+    are, the result is exact, and the walk is a fold over one tree inside the JVM. The cut is made in shares
+    of a slot's choices first, so that a slot with very many of them is spread over tasks.
     """
     rows = passing.select(JOB, SLOT, "person_id", "rnk")
     if used is not None:
         rows = rows.join(used.select(JOB, "person_id").distinct(), [JOB, "person_id"], "left_anti")
     once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").alias("rnk"))
     place = once.select(JOB, SLOT).distinct().withColumn("place", F.row_number().over(Window.partitionBy(JOB).orderBy(SLOT)))
-    ranked = top_rows(once, KEY, [F.col("rnk"), F.col("person_id")], MOST_SLOTS, "nth").join(place, KEY).where(F.col("nth") <= F.col("place"))
+    order = [F.col("rnk"), F.col("person_id")]
+    shared = once.join(place, KEY).withColumn("share", F.pmod(F.xxhash64("person_id"), F.lit(SHARES)))
+    kept = shared.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY, "share").orderBy(*order))).where("nth <= place")
+    ranked = kept.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).where("nth <= place")
     lists = ranked.groupBy(JOB, SLOT).agg(F.array_sort(F.collect_list(F.struct("nth", "person_id", "rnk"))).alias("choices"))
     trees = lists.groupBy(JOB).agg(F.array_sort(F.collect_list(F.struct(F.col(SLOT).alias("slot"), "choices"))).alias("slots"))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr("cast(array() as array<struct<slot: int, person_id: string, rnk: int>>)").alias("picks"))
@@ -297,23 +301,50 @@ def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: Da
     checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_place"), F.col("child_year"), F.col("child_place"), F.lit("Female"))
     base = first_true([(F.col("p_year") < REGISTRATION, 0), (gen >= 4, 1)], 2)
     least = F.when(F.coalesce(checks["proximity"] == "distant", F.lit(False)), F.greatest(base, F.when(gen >= 4, 2).otherwise(4))).otherwise(base)
-    ok = rows.where(checks["valid"] & (F.coalesce("primary_count", F.lit(0)) >= least)).withColumn("rnk", F.lit(1))
-    # Recorded order of spouses is the order of their ids.
-    ranked = top_rows(ok.select(*KEY, "person_id"), KEY, [F.col("person_id")], MOST_SLOTS, "rnk")
-    return ordered_assignment(ranked, used).select(*KEY, "person_id", F.lit("spouse_triangulation").alias("discovery_method"))
+    # Recorded order of spouses is the order of their ids, by which the assignment breaks ties.
+    ok = rows.where(checks["valid"] & (F.coalesce("primary_count", F.lit(0)) >= least)).select(*KEY, "person_id", F.lit(1).alias("rnk"))
+    return ordered_assignment(ok, used).select(*KEY, "person_id", F.lit("spouse_triangulation").alias("discovery_method"))
+
+
+def most_lost(need: DataFrame, *lost: DataFrame) -> int:
+    """How many people a slot of any one tree can lose to the tree's other rows: one number for the driver."""
+    rows = [d.select(JOB) for d in (need, *lost)]
+    every = rows[0]
+    for d in rows[1:]:
+        every = every.unionAll(d)
+    return every.groupBy(JOB).count().agg(F.max("count")).first()[0] or 0
 
 
 def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, used: DataFrame) -> DataFrame:
     """Mother by a discovered surname: the first fitting person within fifteen years, else a placeholder.
 
-    ``need``: job, slot (the mother's), maiden_name, child_year, child_place.
+    ``need``: job, slot (the mother's), maiden_name, child_year, child_place. People fit by surname, gender and
+    place before any are left out; the child's district is asked first and dropped if nobody fits there. Both
+    sides meet as signatures that carry as many people as a tree can lose to its rejected, used and other
+    slots, and one more, so the first free one is always among them.
     """
-    asked = need.select(*KEY, F.col("maiden_name").alias("surname"), F.lit("").alias("given"), (F.col("child_year") - 26).alias("year"), F.col("child_place").alias("place"))
-    shown = block_candidates(asked, pool, keep=10, reach=15, by_given=False)
-    who = pool.select("person_id", "name", F.col("gender").alias("p_gender"), places.sanitize_place(F.col("place")).alias("p_place"), F.lower("surname").alias("p_surname"))
-    rows = shown.join(who, "person_id").join(need.select(*KEY, "maiden_name", "child_place"), KEY)
-    far = F.coalesce(places.place_proximity(F.col("p_place"), F.col("child_place")) == "distant", F.lit(False)) & (F.col("p_place") != "") & (F.col("child_place") != "")
-    ok = exclude_rejected(rows.where(~places.clearly_foreign(F.col("p_place")) & ~far & ((F.col("p_gender") == "") | (F.col("p_gender") == "Female")) & (F.col("p_surname") == F.lower("maiden_name"))), rejected)
+    reach, keep = 15, most_lost(need, rejected, used) + 1
+    sign = ["s", "y", "d", "cc"]
+
+    def county(place: Column) -> Column:
+        return F.coalesce(places.resolve_county(place), F.lit(""))
+
+    asked = need.select(*KEY, F.lower("maiden_name").alias("s"), (F.col("child_year") - 26).alias("y"), F.lower(places.district_of(F.col("child_place"))).alias("d"), county(F.col("child_place")).alias("cc")).where("s <> '' and y is not null")
+    p_place = places.sanitize_place(F.col("place"))
+    fit = pool.where(F.coalesce("gender", F.lit("")).isin("", "Female") & ~places.clearly_foreign(p_place) & F.col("year").isNotNull())
+    fit = fit.select("person_id", F.lower("surname").alias("s"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d"), county(p_place).alias("pc"))
+    opened = asked.select(*sign).distinct().withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
+
+    def met(asking: DataFrame, by: list[str]) -> DataFrame:
+        people = top_rows(fit, [*by, "pc"], [F.col("person_id")], keep, "nth").groupBy(*by, "pc").agg(F.collect_list("person_id").alias("people"))
+        apart = places.county_proximity(F.col("cc"), F.col("pc")) == "distant"
+        return asking.join(people, by).where(~F.coalesce(apart, F.lit(False))).select(*sign, "py", "people")
+
+    near = met(opened.where("d <> ''"), ["s", "py", "d"])
+    wide = met(opened.join(near.select(*sign).distinct(), sign, "left_anti"), ["s", "py"])
+    people = near.unionByName(wide).select(*sign, F.abs(F.col("py") - F.col("y")).alias("off"), F.explode("people").alias("person_id"))
+    shown = top_rows(people, sign, [F.col("off"), F.col("person_id")], keep, "rnk")
+    ok = exclude_rejected(asked.join(shown, sign), rejected)
     got = ordered_assignment(ok.select(*KEY, "person_id", "rnk"), used).join(pool.select("person_id", "name"), "person_id").select(*KEY, "person_id", "name", F.lit("maiden_name_search").alias("discovery_method"))
     got = materialized(got)
     left = need.join(got.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("").alias("person_id"), F.concat(F.lit("? "), "maiden_name").alias("name"), F.lit("maiden_name_only").alias("discovery_method"))

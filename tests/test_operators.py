@@ -189,3 +189,27 @@ def test_wide_searches_are_answered(spark):
     asked = spark.createDataFrame([("smith", "john", 1878, 1882, "")], "surname_key string, given_key string, year_from int, year_to int, district_key string")
     assert civil_search(asked, civil, "birth").count() == 10_000
     assert civil_search(asked, civil, "birth", limit=3000).count() == 0
+
+
+def test_mother_from_maiden_looks_behind_ten_nearer_men(spark):
+    need = spark.createDataFrame([(1, 3, "Cox", 1900, "Derby")], "job_id long, asc_no int, maiden_name string, child_year int, child_place string")
+    men = [(f"m{i:02d}", "A Cox", "Male", "Cox", "A", 1874, "Derby") for i in range(40)]
+    women = [("w1", "Ida Cox", "Female", "Cox", "Ida", 1880, "Derby"), ("w0", "Ivy Coxe", "Female", "Coxe", "Ivy", 1874, "Derby"), ("w2", "Una Cox", "Female", "Cox", "Una", 1879, "Truro")]
+    pool = spark.createDataFrame(men + women, "person_id string, name string, gender string, surname string, given string, year int, place string")
+    none = spark.createDataFrame([], "job_id long, person_id string")
+
+    def found(rejected, used):
+        return [(r.person_id, r.discovery_method) for r in linking.mother_from_maiden(need, pool, rejected, used).collect()]
+
+    one = spark.createDataFrame([(1, "w1")], "job_id long, person_id string")
+    assert found(none, none) == [("w1", "maiden_name_search")]
+    assert found(one, none) == found(none, one) == [("", "maiden_name_only")]
+
+
+def test_long_trees_lose_no_choice(spark):
+    """2,500 slots that all want the same people in the same order: the n-th gets the n-th."""
+    n = 2500
+    rows = spark.range(n).selectExpr("1L AS job_id", "cast(id + 1 AS int) AS asc_no").crossJoin(spark.range(n - 10, n).selectExpr("cast(id AS int) + 1 AS rnk", "format_string('p%05d', id) AS person_id"))
+    first = spark.range(n).selectExpr("1L AS job_id", "cast(id + 1 AS int) AS asc_no", "1 AS rnk", "format_string('p%05d', id) AS person_id")
+    got = linking.ordered_assignment(rows.unionByName(first)).collect()
+    assert len(got) == n and {r.person_id for r in got} == {f"p{i:05d}" for i in range(n)}
