@@ -10,6 +10,11 @@ tile at a time and streams the others past it.
 Equal fingerprints are one node, so copies are never paired. Inside a block only one link from each
 fingerprint to the smallest one it hangs together with is emitted, which keeps components whole and the
 links linear in the fingerprints. ``components`` joins the links.
+
+Texts that share four fifths of their five-word shingles lie about ten bits apart, where all tiles meet all
+others. ``keep_representatives`` therefore adds links by ``similar_links``: texts that agree in a band of least
+shingle hashes are compared by exclusive-or with two members of the band, and those not too far apart by
+their shingles themselves.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +36,54 @@ QUARTERS = 4
 TILE_ROWS = 16_384
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Bands of least hashes: texts alike by 0.8 share one of 16 bands of 5 in 998 of 1000 cases.
+BANDS, BAND_ROWS = 16, 5
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits that texts alike by 0.8 stay within (mean 10, deviation 3).
+REACH = 22
+
 #: BITS[v, j] is bit j of byte v.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """SimHash of a text's word shingles (repeats count). No words: 0. Fewer than ``width``: one shingle."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included. Fewer words than ``width``: one shingle; none: empty."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.array([], "<u8")
     digest = xxhash.xxh64_intdigest
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8").view(np.uint8).reshape(-1, 8)
+    return np.array([digest(s, SEED) for s in shingles], "<u8")
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
+    if not len(hashes):
+        return 0
+    octets = hashes.view(np.uint8).reshape(-1, 8)
     out = 0
     for place in range(8):
-        ones = np.bincount(hashes[:, place], minlength=256) @ BITS
-        out |= int(np.packbits(ones * 2 > len(hashes), bitorder="little")[0]) << (8 * place)
+        ones = np.bincount(octets[:, place], minlength=256) @ BITS
+        out |= int(np.packbits(ones * 2 > len(octets), bitorder="little")[0]) << (8 * place)
     return out
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    """SimHash of a text's word shingles (repeats count). No words: 0. Fewer than ``width``: one shingle."""
+    return majority_bits(shingle_hashes(text, width))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: a hash of the least values of its shingle orders. No shingles: no keys."""
+    if not len(hashes):
+        return np.array([], np.int64)
+    least = np.full(len(MULTIPLIERS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * MULTIPLIERS).min(0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, *keep: str) -> DataFrame:
     """The rows of ``docs`` (doc_id and the columns to ``keep``) with ``fp``, the fingerprint as a signed long."""
     source = texts(docs, *keep)
@@ -160,18 +195,75 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+def _marked(docs: DataFrame, row: str, width: int) -> DataFrame:
+    """row, doc_id, n (length), fp and bands of every document; ``row`` numbers the rows of ``docs``."""
+    source = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            found = [shingle_hashes(t, width) for t in b.column("text").to_pylist()]
+            fps = np.array([majority_bits(h) for h in found], np.uint64).view(np.int64)
+            bands = pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))
+            size = pa.compute.utf8_length(b.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), size, pa.array(fps), bands], names=["row", "doc_id", "n", "fp", "bands"])
+
+    return mapped(source, run, "row long, doc_id long, n long, fp long, bands array<long>")
+
+
+def _alike(width: int, similarity: float):
+    """Pairs (u, v) of texts whose shingle sets are alike by ``similarity`` at least."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Batches) -> Batches:
+        at, left = None, None
+        for b in batches:
+            u, v, a, t = (b.column(n) for n in ("u", "v", "u_text", "v_text"))
+            keep = []
+            for i in range(b.num_rows):
+                # A member met by many comes in successive rows: its shingles are worked out once.
+                if u[i].as_py() != at:
+                    at, left = u[i].as_py(), np.unique(shingle_hashes(a[i].as_py(), width))
+                right = np.unique(shingle_hashes(t[i].as_py(), width))
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(shared >= similarity * (len(left) + len(right) - shared))
+            yield batch(out, u.filter(pa.array(keep)), v.filter(pa.array(keep)))
+
+    return run
+
+
+def similar_links(marked: DataFrame, texts_of: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between fingerprints of texts alike by ``similarity`` at least.
+
+    ``marked(row, fp, bands)``; ``texts_of(row, text)``. Every text of a band is held against two of the band's
+    members, which differ from band to band, so links stay linear in the texts however large a group of copies is.
+    """
+    members = marked.select("fp", F.explode("bands").alias("band")).distinct()
+    order = F.xxhash64("fp", "band")
+    hubs = members.groupBy("band").agg(F.min_by("fp", order).alias("one"), F.max_by("fp", order).alias("two")).where("one <> two")
+    met = members.join(hubs, "band").select("fp", F.explode(F.array("one", "two")).alias("hub")).where("fp <> hub")
+    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= REACH).select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v")).distinct()
+    near = stored(near, "simhash-near")
+    asked = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    rows = marked.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row"))
+    shown = stored(texts_of.join(rows, "row").select("fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "simhash-texts")
+    pairs = near.join(shown.select(F.col("fp").alias("v"), F.col("text").alias("v_text")), "v").join(shown.select(F.col("fp").alias("u"), F.col("text").alias("u_text")), "u")
+    return mapped(pairs.select("u", "v", "u_text", "v_text"), _alike(width, similarity), "u long, v long")
+
+
+def keep_representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest id (then longest text).
 
-    Five-word shingles, as for any filtering of near duplicates. A row of equal id and text twice
-    leaves one of the two. All columns are kept as they are. Rows are numbered by their place in the
-    input, so ``docs`` must be a table read from files (or otherwise come in the same order each time).
+    Texts link within ``radius`` bits, or when four fifths of their five-word shingles agree (``similarity``).
+    A row of equal id and text twice leaves one of the two. All columns are kept as they are. Rows are
+    numbered by their place in the input, so ``docs`` must be a table read from files (or otherwise come in
+    the same order each time). Texts without words count as copies of one another.
     """
     (key,) = fresh(docs, "_row")
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    marked = stored(fingerprints(numbered, width, F.col(key), F.length("text").alias("n")).withColumnRenamed(key, "row"), "simhash")
+    marked = stored(_marked(numbered, key, width), "simhash")
     nodes = stored(marked.select("fp").distinct(), "simhash-nodes")
-    roots = components(links(nodes, radius))
+    alike = similar_links(marked, numbered.select(F.col(key).alias("row"), "text"), width, similarity)
+    roots = components(stored(links(nodes, radius).union(alike), "simhash-links"))
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), -F.col("n"), F.col("row")))
     by_fp = marked.groupBy("fp").agg(best.alias("best"))
     root_of = by_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))

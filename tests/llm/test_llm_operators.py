@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -310,3 +311,35 @@ def test_pipeline(spark, edge_docs):
             assert out.columns == edge_docs.columns
             docs = corpus_pipeline.stored(out, name)
     assert sum(r.n_tokens for r in out.collect()) > 0
+
+
+def test_keep_representatives_finds_edited_copies(spark, tmp_path):
+    """Copies alike by 0.8 or more of five-word shingles go, texts alike by less stay."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 100_000, n)]
+    rows, n = [], 0
+    for g in range(60):
+        base = word(300)
+        rows.append((n, " ".join(base)))
+        for edits in (1, 3, 5, 60):
+            near = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                near[at] = f"new{rng.integers(0, 10**9)}"
+            n += 1
+            rows.append((n, " ".join(near)))
+        n += 1
+    rows += [(None, None), (10**6, ""), (10**6 + 1, " \n")]
+
+    def alike(a, b):
+        x, y = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+        return len(x & y) >= 0.8 * len(x | y)
+
+    want, kept = set(), []
+    for d, t in rows[:-3]:
+        if not any(alike(t, k) for k in kept[-8:]):
+            kept.append(t)
+            want.add(d)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("mine")).write.parquet(path)
+    got = {r.doc_id for r in simhash.keep_representatives(spark.read.parquet(path)).collect()}
+    assert got == want | {10**6}
