@@ -12,9 +12,10 @@ fingerprint to the smallest one it hangs together with is emitted, which keeps c
 links linear in the fingerprints. ``components`` joins the links.
 
 Texts that share four fifths of their five-word shingles lie about ten bits apart, where all tiles meet all
-others. ``keep_representatives`` therefore adds links by ``similar_links``: texts that agree in a band of least
-shingle hashes are compared by exclusive-or with two members of the band, and those not too far apart by
-their shingles themselves.
+others. ``keep_representatives`` therefore takes texts that agree in a band of least shingle hashes.
+``similar_links`` holds each against two members of the band, which settles groups of copies at linear cost.
+Bands that still hold several components go on to ``open_links``, which counts the shingles that texts of
+different components share, all of them, tile by tile.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Bands of least hashes: texts alike by 0.8 share one of 16 bands of 5 in 998 of 1000 cases.
 BANDS, BAND_ROWS = 16, 5
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits that texts alike by 0.8 stay within (mean 10, deviation 3).
+#: Bits that texts alike by 0.8 stay within (mean 10, deviation 3); what lies beyond is left to ``open_links``.
 REACH = 22
+#: Shingles that a tile of ``open_links`` holds on average.
+TILE_SHINGLES = 1 << 19
 
 #: BITS[v, j] is bit j of byte v.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 
 def _marked(docs: DataFrame, row: str, width: int) -> DataFrame:
-    """row, doc_id, n (length), fp and bands of every document; ``row`` numbers the rows of ``docs``."""
+    """row, doc_id, n (length), fp, shape (hash of the shingle set) and bands of every document; ``row`` numbers the rows of ``docs``."""
     source = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Batches) -> Batches:
@@ -204,10 +207,12 @@ def _marked(docs: DataFrame, row: str, width: int) -> DataFrame:
             found = [shingle_hashes(t, width) for t in b.column("text").to_pylist()]
             fps = np.array([majority_bits(h) for h in found], np.uint64).view(np.int64)
             bands = pa.array([band_keys(h) for h in found], pa.list_(pa.int64()))
+            shapes = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in found], np.uint64).view(np.int64)
             size = pa.compute.utf8_length(b.column("text")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), size, pa.array(fps), bands], names=["row", "doc_id", "n", "fp", "bands"])
+            columns = [b.column("row"), b.column("doc_id"), size, pa.array(fps), pa.array(shapes), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "fp", "shape", "bands"])
 
-    return mapped(source, run, "row long, doc_id long, n long, fp long, bands array<long>")
+    return mapped(source, run, "row long, doc_id long, n long, fp long, shape long, bands array<long>")
 
 
 def _alike(width: int, similarity: float):
@@ -250,10 +255,136 @@ def similar_links(marked: DataFrame, texts_of: DataFrame, width: int, similarity
     return mapped(pairs.select("u", "v", "u_text", "v_text"), _alike(width, similarity), "u long, v long")
 
 
+def _shingled(width: int, rows: int = 256):
+    """Replaces the text of each row by its distinct shingle hashes."""
+
+    def run(batches: Batches) -> Batches:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column("text").to_pylist()]
+                columns = [b.column(n) for n in ("grp", "root", "fp")] + [pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["grp", "root", "fp", "shingles"])
+
+    return run
+
+
+def _shared_counts(keys: np.ndarray, owner: np.ndarray, n: int, shingles: np.ndarray) -> np.ndarray:
+    """How many of ``shingles`` (distinct) each of ``n`` texts has; ``keys`` are all their shingles in order."""
+    lo = np.searchsorted(keys, shingles, "left")
+    many = np.searchsorted(keys, shingles, "right") - lo
+    starts = np.cumsum(many) - many
+    at = np.repeat(lo - starts, many) + np.arange(many.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
+class _Tile:
+    """The texts at home in one tile, an index of their shingles, and which roots hang together so far."""
+
+    def __init__(self):
+        self.roots, self.texts, self.keys, self.above = [], [], None, {}
+
+    def add(self, root: int, shingles: np.ndarray) -> None:
+        self.roots.append(root)
+        self.texts.append(shingles)
+
+    def index(self) -> None:
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        keys, owner = np.concatenate(self.texts), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.sizes = keys[order], owner[order], sizes
+        self.names = np.array(self.roots, np.int64)
+
+    def top(self, root: int) -> int:
+        while (up := self.above.get(root, root)) != root:
+            self.above[root] = root = self.above.get(up, up)
+        return root
+
+    def links(self, root: int, shingles: np.ndarray, similarity: float):
+        """New links between ``root`` and the roots of alike texts: those not joined within the tile yet."""
+        shared = _shared_counts(self.keys, self.owner, len(self.sizes), shingles)
+        alike = shared >= similarity * (self.sizes + len(shingles) - shared)
+        for other in np.unique(self.names[alike]).tolist():
+            a, b = self.top(root), self.top(other)
+            if a != b:
+                self.above[max(a, b)] = min(a, b)
+                yield max(a, b), min(a, b)
+
+
+def _count_tiles(similarity: float):
+    """Rows come sorted by (grp, cut, salt, role): the texts at home in a tile, then those that visit it."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def settle(tile: _Tile, salt: int):
+        tile.index()
+        # Every salt has the tile at home; one of them holds its texts against one another.
+        if salt == 0:
+            for root, shingles in zip(tile.roots, tile.texts, strict=True):
+                yield from tile.links(root, shingles, similarity)
+
+    def run(batches: Batches) -> Batches:
+        place, tile = None, _Tile()
+        for b in batches:
+            found = []
+            roles, roots = b.column("role").to_pylist(), b.column("root").to_pylist()
+            places = list(zip(*(b.column(n).to_pylist() for n in ("grp", "cut", "salt")), strict=True))
+            for i, here in enumerate(places):
+                if here != place:
+                    if tile.texts and tile.keys is None:
+                        found += settle(tile, place[2])
+                    place, tile = here, _Tile()
+                shingles = b.column("shingles")[i].values.to_numpy()
+                if roles[i] == 0:
+                    tile.add(roots[i], shingles)
+                elif tile.texts:
+                    if tile.keys is None:
+                        found += settle(tile, here[2])
+                    found += tile.links(roots[i], shingles, similarity)
+            yield batch(out, [u for u, _ in found], [v for _, v in found])
+        if tile.texts and tile.keys is None:
+            found = list(settle(tile, place[2]))
+            yield batch(out, [u for u, _ in found], [v for _, v in found])
+
+    return run
+
+
+def open_links(marked: DataFrame, rooted: DataFrame, texts_of: DataFrame, width: int, similarity: float, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Links (u, v) between components whose texts share a band and are alike by ``similarity`` at least.
+
+    ``rooted(fp, root)`` has the components so far. Components that meet in a band form a group, of which every
+    two texts of different components are compared: none is skipped, whatever the size of the group. The texts of
+    its largest component only visit, so a large group of copies with a few that hang apart costs its size times
+    those few. Tiles are cut by shingles and visitors dealt over salts, so a task holds a bounded part of a group;
+    a tile gives at most one link a root.
+    """
+    members = marked.select("fp", F.explode("bands").alias("band")).distinct().join(rooted, "fp").select("band", "root").distinct()
+    open_bands = members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "least")
+    groups = components(members.join(open_bands, "band").select(F.col("root").alias("u"), F.col("least").alias("v")))
+    asked = rooted.join(groups.select(F.col("node").alias("root"), F.col("root").alias("grp")), "root")
+    # One row for each distinct set of shingles: texts of one fingerprint may differ.
+    rows = marked.join(asked, "fp").groupBy("grp", "root", "fp", "shape").agg(F.min("row").alias("row"))
+    source = texts_of.join(rows, "row").select("grp", "root", "fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shown = stored(mapped(source, _shingled(width), "grp long, root long, fp long, shingles array<long>"), "simhash-open")
+
+    by_root = shown.groupBy("grp", "root").agg(F.sum(F.size("shingles")).alias("w"))
+    sizes = by_root.groupBy("grp").agg(F.max_by("root", F.struct("w", "root")).alias("core"), F.max("w").alias("core_w"), F.sum("w").alias("w"))
+    tiles = lambda amount, each: F.greatest(F.lit(1), F.ceil(amount / F.lit(each))).cast("int")
+    cuts = sizes.select("grp", "core", tiles(F.col("w") - F.col("core_w"), tile_shingles).alias("cuts"), tiles(F.col("w"), 4 * tile_shingles).alias("salts"))
+    pick = lambda seed, count: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(count)).cast("int")
+    placed = shown.join(cuts, "grp").withColumn("cut", F.when(F.col("root") == F.col("core"), -1).otherwise(pick(1, "cuts"))).withColumn("salt", pick(2, "salts"))
+    homes = placed.where("cut >= 0").select("grp", "cut", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "root", "shingles")
+    later = F.explode(F.sequence(F.col("cut") + 1, F.col("cuts") - 1)).alias("cut")
+    visits = placed.where("cut < cuts - 1").select("grp", later, "salt", F.lit(1).alias("role"), "root", "shingles")
+    place = ["grp", "cut", "salt"]
+    dealt = homes.union(visits).repartition(shuffle_partitions(marked.sparkSession), *place).sortWithinPartitions(*place, "role")
+    return mapped(dealt, _count_tiles(similarity), "u long, v long")
+
+
 def keep_representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest id (then longest text).
 
-    Texts link within ``radius`` bits, or when four fifths of their five-word shingles agree (``similarity``).
+    Texts link within ``radius`` bits, or when four fifths of their five-word shingles agree (``similarity``) and
+    they share one of the bands, as 998 of 1000 pairs at 0.8 and nearly all above do.
     A row of equal id and text twice leaves one of the two. All columns are kept as they are. Rows are
     numbered by their place in the input, so ``docs`` must be a table read from files (or otherwise come in
     the same order each time). Texts without words count as copies of one another.
@@ -262,10 +393,15 @@ def keep_representatives(docs: DataFrame, width: int = 5, radius: int = 3, simil
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
     marked = stored(_marked(numbered, key, width), "simhash")
     nodes = stored(marked.select("fp").distinct(), "simhash-nodes")
-    alike = similar_links(marked, numbered.select(F.col(key).alias("row"), "text"), width, similarity)
-    roots = components(stored(links(nodes, radius).union(alike), "simhash-links"))
+    texts_of = numbered.select(F.col(key).alias("row"), "text")
+    alike = similar_links(marked, texts_of, width, similarity)
+    near = components(stored(links(nodes, radius).union(alike), "simhash-links"))
+    rooted = nodes.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "simhash-roots")
+    more = components(open_links(marked, rooted, texts_of, width, similarity))
+    ends = rooted.join(more.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("fp", F.coalesce("end", "root").alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), -F.col("n"), F.col("row")))
     by_fp = marked.groupBy("fp").agg(best.alias("best"))
-    root_of = by_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    root_of = by_fp.join(ends, "fp").groupBy("root").agg(F.min("best").alias("best"))
     chosen = root_of.select(F.col("best.row").alias(key))
     return numbered.join(chosen, key, "left_semi").select(*docs.columns)

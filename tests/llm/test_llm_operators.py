@@ -343,3 +343,47 @@ def test_keep_representatives_finds_edited_copies(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("mine")).write.parquet(path)
     got = {r.doc_id for r in simhash.keep_representatives(spark.read.parquet(path)).collect()}
     assert got == want | {10**6}
+
+
+@pytest.mark.parametrize("tile", [600, 1 << 19])
+def test_open_links_leave_no_pair_out(spark, tmp_path, tile):
+    """Groups in which many texts lie just below or above the similarity: components as by brute force."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(60):
+            near = list(base)
+            for at in rng.choice(200, rng.integers(1, 9), replace=False):
+                near[at] = f"new{k}x{rng.integers(0, 10**9)}"
+            texts.append(" ".join(near))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "row long, text string").write.parquet(path)
+    rows = spark.read.parquet(path)
+    marked = simhash._marked(rows.withColumn("doc_id", F.col("row")), "row", 5)
+    alone = marked.select("fp", F.col("fp").alias("root")).distinct()
+    links = simhash.open_links(marked, alone, rows, 5, 0.8, tile).collect()
+
+    parts = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    signed = lambda f: f - 2**64 if f >> 63 else f
+    fps = [signed(simhash.fingerprint(t, 5)) for t in texts]
+    alike = {(fps[i], fps[j]) for i in range(len(texts)) for j in range(i) if len(parts[i] & parts[j]) >= 0.8 * len(parts[i] | parts[j])}
+
+    def classes(pairs):
+        top = {f: f for f in fps}
+
+        def find(f):
+            while top[f] != f:
+                f = top[f]
+            return f
+
+        for u, v in pairs:
+            top[find(u)] = find(v)
+        groups = {}
+        for f in set(fps):
+            groups.setdefault(find(f), set()).add(f)
+        return set(map(frozenset, groups.values()))
+
+    want = classes(alike)
+    assert len(want) > 4 and max(map(len, want)) > 10
+    assert classes((r.u, r.v) for r in links) == want
