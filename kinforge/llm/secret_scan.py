@@ -25,9 +25,18 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 
 #: Further candidates: a token of 20 or more letters and digits that has both cases and a digit; the
-#: head line of a private key with its body; tokens that carry their issuer's prefix.
+#: head line of a private key with all up to its END line; tokens that carry their issuer's prefix.
 MIXED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9a-z_-]*[A-Z])(?=[0-9A-Z_-]*[a-z])[A-Za-z0-9_-]{20,}"
-PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*"
+#: Any characters up to the END line, but for another BEGIN or END line. A key without its END line reaches
+#: to the end of what looks like one: header lines, base64 text, and long or padded base64 lines behind line
+#: ends (escaped ones too), quotes and indents. Possessive, so that long texts need no stack.
+_HEADER = r"[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*:\x20[^\r\n\\]*+"
+_KEY_LINE = r"(?:[A-Za-z0-9+/=]{20,}+|[A-Za-z0-9+/]{2,19}={1,2}(?![A-Za-z0-9+/=]))"
+_CLOSED = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_UNCLOSED = rf"(?:(?:\\+[nrt]|[\s\"'])*+(?:{_HEADER}|{_KEY_LINE})|[A-Za-z0-9+/=]++|[\r\n]++)*+"
+PRIVATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_CLOSED}|{_UNCLOSED})"
+#: What is no part of a key's value: head and END line, escapes, white space, quotes.
+NOT_KEY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\+[nrt]|[\s\"'\\]"
 PREFIXED = r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}"
 
 KINDS = ("assign", "access", "hex", "mixed", "private", "prefixed")
@@ -38,8 +47,10 @@ MAX_REPOSITORIES = 3
 _NONE = "CAST(array() AS array<struct<kind:int,start:long,end:long,value:long>>)"
 
 
-def _matches(text: str, kind: int, pattern: str, value_group: int = 0, least: int = 0) -> Column:
-    """array<struct<kind, start, end, value>> of the pattern's matches; texts without one skip the work."""
+def _matches(text: str, kind: int, pattern: str, value_group: int = 0, least: int = 0, beside: str | None = None) -> Column:
+    """array<struct<kind, start, end, value>> of the pattern's matches; texts without one skip the work.
+
+    What matches ``beside`` is no part of a value."""
     p, t = F.lit(pattern), F.col(text)
     found = F.regexp_extract_all(t, p, F.lit(0))
     values = F.regexp_extract_all(t, p, F.lit(value_group)) if value_group else found
@@ -50,7 +61,8 @@ def _matches(text: str, kind: int, pattern: str, value_group: int = 0, least: in
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + x["size"]).alias("end"), F.xxhash64(x["value"]).alias("value"))
+        value = x["value"] if beside is None else F.regexp_replace(x["value"], beside, "")
+        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + x["size"]).alias("end"), F.xxhash64(value).alias("value"))
         spans = F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct((begin + x["size"]).alias("at"), spans.alias("spans"))
 
@@ -72,7 +84,7 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
     """doc_id, text_hash, owner, base and more: the spans of the base kinds and the further candidates."""
     source = texts(docs, F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")).alias("owner"))
     base = F.concat(_matches("text", 0, ASSIGN, 2, ASSIGN_LEAST), _matches("text", 1, ACCESS), _matches("text", 2, HEX))
-    more = F.concat(_matches("text", 3, MIXED), _matches("text", 4, PRIVATE), _matches("text", 5, PREFIXED))
+    more = F.concat(_matches("text", 3, MIXED), _matches("text", 4, PRIVATE, beside=NOT_KEY), _matches("text", 5, PREFIXED))
     return source.select("doc_id", F.xxhash64("text").alias("text_hash"), "owner", base.alias("base"), more.alias("more"))
 
 

@@ -111,6 +111,36 @@ def test_secret_ownership(spark):
     assert masked.text == "key [secret] here"
 
 
+def test_private_keys_of_every_form(spark):
+    """Escaped, encrypted, indented and unclosed keys: each has its own value, and none stays in the text."""
+    rng, rows = random.Random(3), []
+    forms = {
+        "plain": ("", "\n", "PRIVATE KEY"), "escaped": ("", "\\n", "PRIVATE KEY"), "twice": ("", "\\\\n", "EC PRIVATE KEY"), "indented": ("", "\r\n\t  ", "PRIVATE KEY"),
+        "encrypted": ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,%s\n\n", "\n", "RSA PRIVATE KEY"),
+    }
+    for i in range(8):
+        for name, (head, end, kind) in forms.items():
+            lines = ["".join(rng.choices("ABCDEFGHabcdefgh01234567+/", k=64)) for _ in range(3)] + ["abc" + "".join(rng.choices("abcdefgh", k=6)) + "="]
+            body = end + (head % f"{i:032X}" if head else "") + end.join(lines)
+            for closed in (True, False):
+                tail = f"{end}-----END {kind}-----" if closed else ""
+                rows.append((len(rows), f"a - b -----BEGIN {kind}-----{body}{tail}", f"\n({name}) and - prose", f"s{i % 4}"))
+    docs = spark.createDataFrame([(i, t + after, s) for i, t, after, s in rows], "doc_id long, text string, source string")
+    spans = {r.doc_id: r.spans.split(",") for r in secret_scan.report(docs, max_owners=2).collect()}
+    assert [i for i, t, _, _ in rows if f"private:6:{len(t)}" not in spans[i] and f"private:6:{len(t) + 1}" not in spans[i]] == []
+    masked = {r.doc_id: r.text for r in secret_scan.masked(docs, max_owners=2).collect()}
+    assert all(re.fullmatch(r"a - b \[secret\]\n?\(\w+\) and - prose", t) for t in masked.values())
+
+
+def test_private_key_heads(spark):
+    """A head line that is only spoken of takes no prose along, a second key is a span of its own, long texts end."""
+    head, tail = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    texts = [f"{head} is the head of a key", f"{head}\nAAAA\n{head}\nBBBB\n{tail} end", head + "-a b" * 100_000, head + "- " * 100_000 + tail]
+    found = secret_scan.report(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("private")] for r in found}
+    assert got == {0: ["private:0:27"], 1: ["private:0:33", "private:33:91"], 2: ["private:0:27"], 3: [f"private:0:{len(texts[3])}"]}
+
+
 def test_bpe(given):
     encoder = bpe.loaded(catalog.BYTE_RANKS, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={})
