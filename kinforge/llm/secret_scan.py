@@ -2,10 +2,11 @@
 
 Every text is searched for assigned values, access keys and long hexadecimal runs (the base kinds) and
 for further candidates: long mixed tokens, private key blocks, tokens with a known prefix. A candidate's
-value is hashed and counted over the corpus by distinct repositories (documents) and distinct owners
-(sources). A value that many owners or many repositories show is a widely copied example; one that
-stays with few is taken for live. Candidates that are live are added to a text's spans; base spans stay
-in any case, and are marked.
+value is hashed and counted over the corpus by distinct repositories (texts, copies once), by the owners
+(sources) those texts come from, and by all owners that show it. A value in texts of several owners is a
+widely copied example, and so is one whose texts come from one owner but were copied under several more.
+One that stays with its owner is taken for live, in however many of that owner's documents it stands.
+Candidates that are live are added to a text's spans; base spans stay in any case, and are marked.
 
 Positions: Spark's ``split`` gives what stands between the matches and ``regexp_extract_all`` the
 matches, so the running length of both in turn is each match's place in code points.
@@ -40,9 +41,10 @@ NOT_KEY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\+[nrt]|[\s\"'\\]"
 PREFIXED = r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}"
 
 KINDS = ("assign", "access", "hex", "mixed", "private", "prefixed")
-#: A value is live while no more owners and repositories than these show it.
+#: A value is live while its distinct texts come from no more owners than the first, and with their exact
+#: copies stand under no more than the second.
 MAX_OWNERS = 1
-MAX_REPOSITORIES = 3
+MAX_COPIED_OWNERS = 2
 
 _NONE = "CAST(array() AS array<struct<kind:int,start:long,end:long,value:long>>)"
 
@@ -89,21 +91,23 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, repositories, owners: in how many distinct documents and sources each value stands."""
+    """value, repositories, origins, owners: in how many distinct texts each value stands, from how many
+    owners these come (a text comes from the owner of its least document), and how many owners show it."""
     seen = found.select("doc_id", "text_hash", "owner", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["value"]), F.transform("more", lambda s: s["value"])))).alias("value"))
-    # First one row a (value, owner, document), map-side first, then counts; nothing is gathered.
-    each = seen.groupBy("value", "owner", "doc_id", "text_hash").agg(F.lit(1))
-    return each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    # First one row a (value, text) and a (value, owner), map-side first, then counts; nothing is gathered.
+    origin = seen.groupBy("value", "text_hash").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "owner")).alias("least")).select("value", F.col("least.owner").alias("owner"), F.lit(1).alias("texts"))
+    each = origin.unionByName(seen.select("value", "owner", F.lit(0).alias("texts"))).groupBy("value", "owner").agg(F.sum("texts").alias("texts"))
+    return each.groupBy("value").agg(F.sum("texts").alias("repositories"), F.count_if(F.col("texts") > 0).alias("origins"), F.count(F.lit(1)).alias("owners"))
 
 
-def scanned(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scanned(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_copied_owners: int = MAX_COPIED_OWNERS) -> DataFrame:
     """doc_id, text_hash, base, added (sorted spans), n_live, n_examples (base spans by their value's ownership).
 
-    Null or empty text: no spans. A null owner is an owner of its own. Rows that repeat are one
+    Null or empty text: no spans. A null owner is an owner of its own. Rows of equal text are one
     repository and each get their row. An empty table gives an empty result.
     """
     found = stored(candidates(docs, owner), "candidates")
-    live = F.expr(f"owners <= {int(max_owners)} AND repositories <= {int(max_repositories)}")
+    live = F.expr(f"origins <= {int(max_owners)} AND owners <= {max(int(max_owners), int(max_copied_owners))}")
     values = ownership(found).select("value", live.alias("live"))
     spread = found.where("size(base) + size(more) > 0").select("doc_id", "text_hash", F.explode(F.concat("base", "more")).alias("span")).withColumn("value", F.col("span.value"))
     judged = spread.join(values, "value").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text_hash").agg(

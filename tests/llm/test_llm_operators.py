@@ -141,6 +141,15 @@ def test_private_key_heads(spark):
     assert got == {0: ["private:0:27"], 1: ["private:0:33", "private:33:91"], 2: ["private:0:27"], 3: [f"private:0:{len(texts[3])}"]}
 
 
+def test_copies_do_not_make_an_example(spark):
+    """Live: copies of one text, a document copied under one more source, many texts of one owner. Example: texts of two owners."""
+    value = lambda i: f"Ab{i}" + "dEf4" * 6
+    rows = [(i, f"copy {value(1)} here", "a") for i in range(6)] + [(10, f"moved {value(2)} here", "a"), (11, f"moved {value(2)} here", "b")]
+    rows += [(20 + i, f"text {i} {value(3)} here", "a") for i in range(9)] + [(30 + i, f"text {i} {value(4)} here", f"s{i}") for i in range(2)]
+    found = secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.n_added for r in found} == {i: int(i < 30) for i, _, _ in rows}
+
+
 def test_bpe(given):
     encoder = bpe.loaded(catalog.BYTE_RANKS, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={})
