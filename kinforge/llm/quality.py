@@ -1,8 +1,8 @@
 """Quality rules: per-document word rules, and cross-document line frequency within a host.
 
 Lines are normalised (ASCII lower case, white space collapsed) and hashed. A line is
-boilerplate on a host when it stands in at least ``min_docs`` distinct documents and in at least
-``min_share`` of the host's documents. Such lines are removed from every document but the first that
+boilerplate on a host when it stands in at least ``min_docs`` distinct documents, however many the host
+has; a least share of the host's documents can be asked for besides (``min_share``). Such lines are removed from every document but the first that
 has them, so no text leaves the corpus altogether; a document that loses more than ``max_removed`` of
 its words that way is depleted and rejected. Documents of equal text on a host count as one, so copies
 do not make their own lines frequent.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kinforge.llm.common import Batches, batch, fresh, mapped, stored, texts
 
 MIN_DOCS = 10
+#: The share that the DuckDB text of op7 asks for besides; the operator asks for none by default.
 MIN_SHARE = 0.1
 MAX_REMOVED = 0.5
 SALTS = 16
@@ -88,7 +89,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return mapped(with_host(docs, host), _measured, _MARKED_DDL)
 
 
-def frequent_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(host, text_hash, h, words) of every distinct document's lines, and (host, h, holder) of the
     frequent ones, where holder is the document that keeps the line."""
     each = marked.select("doc_id", "host", "text_hash", F.explode("lines").alias("line")).groupBy("host", F.col("line.h").alias("h"), "text_hash").agg(
@@ -100,7 +101,7 @@ def frequent_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     return each.select("host", "text_hash", "h", "words"), frequent
 
 
-def removed_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def removed_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float = 0.0) -> DataFrame:
     """host, text_hash, removed_words, removed (line hashes) of every distinct document that loses lines."""
     each, frequent = frequent_lines(marked, min_docs, min_share)
     salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -108,7 +109,7 @@ def removed_lines(marked: DataFrame, min_docs: int = MIN_DOCS, min_share: float
     return lost.groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("h").alias("removed"))
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = 0.0, max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row a document: host, text_hash, the counts of ``measure``, removed_words, removed, base_failed, kept.
 
     Words are runs of anything but ASCII white space. base_failed: under 50 words, or over half of the

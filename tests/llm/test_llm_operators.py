@@ -270,6 +270,18 @@ def test_quality_frequent_lines(spark):
     assert notice in texts[0] and all(notice not in t for i, t in texts.items() if i)
 
 
+def test_quality_lines_of_a_large_host(spark):
+    """Ten documents make a line boilerplate on a host of thousands; nine do not."""
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    ten, nine = (" ".join(f"{name}{j}" for j in range(80)) for name in ("notice", "banner"))
+    rows = [(i, own(i, 60) + (f"\n{ten}" if i < 10 else f"\n{nine}" if i < 19 else ""), "host") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.judged(docs)
+    assert {r.doc_id: r.removed_words for r in found.where("removed_words > 0").collect()} == dict.fromkeys(range(1, 10), 80)
+    assert {r.doc_id for r in found.where("not kept").collect()} == set(range(1, 10))
+    assert quality.judged(docs, min_share=quality.MIN_SHARE).where("removed_words > 0").count() == 0
+
+
 def test_simhash(given):
     rows = simhash.near_duplicates(given).collect()
     assert Counter((r.doc_id, r.fp % 2**64) for r in rows) == Counter((d, simhash.fingerprint(t)) for d, t in texts_of(given))
