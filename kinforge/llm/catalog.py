@@ -40,7 +40,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = line_dedup.line_verdicts(read_documents(spark, sf_dir))
+    verdicts = line_dedup.line_verdicts(read_documents(spark, sf_dir), line_dedup.EVERY_LINE, line_dedup.NEAR_WORDS)
     return verdicts.select("doc_id", "n_lines", "n_long", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 

@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from kinforge.llm.common import Batches, batch, fresh, mapped, stored, texts
 from kinforge.llm.quality import recount
 
+#: The least words of a judged line by default of ``line_verdicts``, as in the DuckDB text.
 MIN_WORDS = 8
+#: op6 and the pipeline judge every line with a word; one edit counts from this many words on, as in
+#: shorter lines one word is too large a part.
+EVERY_LINE = 1
+NEAR_WORDS = 5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: An odd multiplier and its inverse modulo 2 ** 64, for hashes of word sequences.
 BASE = 0x9E3779B97F4A7C15
@@ -56,14 +61,14 @@ def _line_words(line: bytes) -> list[bytes]:
     return line.translate(LOWER).split()
 
 
-def _lines_of(min_words: int):
+def _lines_of(min_words: int, near_words: int):
     def run(batches: Batches) -> Batches:
         for b in batches:
             counts, lines = [], []
             for text in b.column("text").to_pylist():
                 raw = text.encode().split(b"\n")
                 counts.append(len(raw))
-                lines.append([{"no": i, "h": _digest(w), "halves": halves(w)} for i, x in enumerate(raw) if len(w := _line_words(x)) >= min_words])
+                lines.append([{"no": i, "h": _digest(w), "halves": halves(w) if len(w) >= near_words else []} for i, x in enumerate(raw) if len(w := _line_words(x)) >= min_words])
             yield batch(_LINES, b.column("doc_id"), b.column("text_hash"), counts, lines)
 
     return run
@@ -98,10 +103,10 @@ def _order(doc="doc", text_hash="text_hash", no="no"):
     return F.struct(F.col(doc).alias("doc"), F.col(text_hash).alias("text_hash"), F.col(no).alias("no"))
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One stored row a document with its lines of at least ``min_words`` words."""
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = MIN_WORDS) -> DataFrame:
+    """One stored row a document with its lines of at least ``min_words`` words; those under ``near_words`` have no halves."""
     source = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return stored(mapped(source, _lines_of(min_words), _LINES_DDL), "lines")
+    return stored(mapped(source, _lines_of(min_words, near_words), _LINES_DDL), "lines")
 
 
 def _flat(table: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def _flat(table: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc, text_hash, nos: for each document the numbers of its long lines that stay."""
+    """doc, text_hash, nos: for each document the numbers of its judged lines that stay."""
     flat = _flat(table)
     firsts = stored(flat.groupBy("h").agg(F.min(_order()).alias("first"), F.first("halves").alias("halves")), "first-lines")
     by_half = firsts.select("h", F.explode("halves").alias("half"))
@@ -131,15 +136,16 @@ def kept_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     return stay.groupBy(F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list("first.no").alias("nos"))
 
 
-def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int | None = None) -> DataFrame:
     """doc_id, text_hash, n_lines, n_long (lines that were judged), removed (sorted line numbers from 0).
 
     A line of at least ``min_words`` words is removed when an earlier line of the table, in order of
     (doc_id, text hash, line number), is equal to it or one word away; case (ASCII) and white space do
-    not count. Shorter lines stay. Null ids come first; null or empty text is one short line. Rows of
+    not count. Two lines are met for one word only if both have ``near_words`` (without it: ``min_words``)
+    or more. Lines under ``min_words`` stay. Null ids come first; null or empty text is one short line. Rows of
     equal id and text count as one document and get equal verdicts. Empty table: empty result.
     """
-    table = line_table(docs, min_words)
+    table = line_table(docs, min_words, min_words if near_words is None else near_words)
     stay = kept_lines(docs, table)
     keyed = table.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(stay, ["doc", "text_hash"], "left")
     nos = F.coalesce("nos", F.array().cast("array<int>"))
@@ -162,14 +168,14 @@ def _cut(names: list[str], text_at: int, gone_in: str):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = EVERY_LINE, near_words: int = NEAR_WORDS) -> DataFrame:
     """The documents without their removed lines; all columns of ``docs``.
 
     A document that is left without a word by this goes; one that had no words before stays.
     ``n_chars``, where there is one, is counted anew.
     """
     at_doc, at_hash, gone = fresh(docs, "_doc", "_hash", "_removed")
-    verdict = line_verdicts(docs, min_words).where(F.size("removed") > 0)
+    verdict = line_verdicts(docs, min_words, near_words).where(F.size("removed") > 0)
     verdict = verdict.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(at_doc), F.col("text_hash").alias(at_hash)).agg(F.first("removed").alias(gone))
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce("text", F.lit(""))
     joined = docs.select("*", doc.alias(at_doc), F.xxhash64(text).alias(at_hash)).join(verdict, [at_doc, at_hash], "left").select(*docs.columns, gone)

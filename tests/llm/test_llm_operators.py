@@ -247,6 +247,15 @@ def test_line_dedup(spark, given):
     assert all(r.n_chars == len(r.text) for r in kept.where("text is not null").collect())
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Equal lines of any length go but for the first; one edit counts from five words on."""
+    docs = [(0, "Home\nsign in now\na b c d e\na b c d e f g\n\nown"), (1, "home\nsign  in now\nsign in here\na b x d e\na b c d e f g h\n\nHome"), (2, "own\nsign in now")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = line_dedup.line_verdicts(frame, line_dedup.EVERY_LINE, line_dedup.NEAR_WORDS).collect()
+    assert {r.doc_id: (r.n_long, r.removed) for r in found} == {0: (5, []), 1: (6, [0, 1, 3, 4, 6]), 2: (2, [0, 1])}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame).collect()} == {0: docs[0][1], 1: "sign in here\n"}
+
+
 def test_quality_base_rules(given):
     rows = quality.judged(given).collect()
     want = Counter()
