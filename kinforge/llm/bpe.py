@@ -10,14 +10,18 @@ token, and encodes again from an edit on only.
 from __future__ import annotations
 
 import base64
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinforge.llm.chunks import binary, bytes_of, gathered, slices
 from kinforge.llm.common import Batches, batch, mapped, texts
-from kinforge.llm.tokens import Remembered, packed, spaced_chunks
+from kinforge.llm.tokens import Remembered, column_ids, packed
 
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
@@ -138,23 +142,30 @@ class _Pieces(Remembered):
 
 
 class Encoder(Remembered):
-    """chunk (with the space before it left out) -> ids as bytes."""
+    """chunk -> ids as bytes."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
         self.vocabulary, self.pattern, self.pieces = vocabulary, regex.compile(pattern), _Pieces(vocabulary)
 
-    def run(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+    def make(self, chunk: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.decode())))
 
-    def make(self, chunk: str) -> bytes:
-        return self.run(" " + chunk)
+    def trim(self) -> None:
+        super().trim()
+        self.pieces.trim()
+        self.vocabulary.trim()
 
     def encode(self, text: str) -> bytes:
-        for memory in (self, self.pieces, self.vocabulary):
-            memory.trim()
-        first, *rest = spaced_chunks(text)
-        return self.run(first) + b"".join(map(self.__getitem__, rest))
+        self.trim()
+        return column_ids(pa.array([text]), self)[0].tobytes()
+
+    @cached_property
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in a row, and by id where they start and how many they are."""
+        tokens = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens, default=-1) + 1)]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 class EditableText:
@@ -207,12 +218,6 @@ def loaded(path: str, pattern: str) -> Encoder:
     return _LOADED[key]
 
 
-def _sliced(batches: Batches, rows: int = 512) -> Batches:
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, ids: the ids of every whole text as little-endian unsigned 32-bit integers.
 
@@ -224,23 +229,23 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         encoder = loaded(ranks, pattern)
-        for b in _sliced(batches):
-            yield batch(out, b.column("doc_id"), list(map(encoder.encode, b.column("text").to_pylist())))
+        for part in (p for b in batches for p in slices(b)):
+            encoder.trim()
+            yield batch(out, part.column("doc_id"), binary(*column_ids(part.column("text"), encoder)))
 
     return mapped(texts(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, ids, data: the bytes that the ids stand for. Null ids count as none."""
-    import numpy as np
-
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Batches) -> Batches:
-        token = loaded(ranks, pattern).vocabulary.tokens.__getitem__
-        for b in _sliced(batches):
-            data = [b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist())) for ids in b.column("ids").to_pylist()]
-            yield batch(out, b.column("doc_id"), b.column("ids"), data)
+        flat, starts, sizes = loaded(ranks, pattern).token_bytes
+        for part in (p for b in batches for p in slices(b, "ids")):
+            raw, borders = bytes_of(pa.compute.fill_null(part.column("ids"), b""))
+            data, ends = gathered(flat, starts, sizes, raw.view("<u4"))
+            yield batch(out, part.column("doc_id"), part.column("ids"), binary(data, np.r_[0, ends][borders // 4]))
 
     return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, data binary")
 

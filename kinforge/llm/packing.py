@@ -16,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinforge.llm.chunks import binary, closed, slices
 from kinforge.llm.common import Batches, batch, mapped, ship_package, texts
-from kinforge.llm.tokens import word_ids
+from kinforge.llm.tokens import chunk_ids, column_ids
 
 LENGTH = 2048
 END_ID = 1
@@ -62,21 +63,20 @@ def _pieces(path: str, length: int, groups: int, id_type: str | None):
     schema = pa.schema([*_PIECE, ("pack_group", pa.int32()), *([("ids", pa.binary())] if id_type else [])])
 
     def run(batches: Batches) -> Batches:
-        end, seen = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 40
-        for b in batches:
-            encode = word_ids(path)
-            for lo in range(0, b.num_rows, 512):
-                part, rows = b.slice(lo, 512), []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encode(text) + end
-                    total = len(ids) // 4
-                    for at in range(0, total, length):
-                        own = ids[4 * at : 4 * (at + length)]
-                        rows.append((doc, at, len(own) // 4, zlib.crc32(own), total, np.frombuffer(own, "<u4").astype(id_type).tobytes() if id_type else None))
-                doc, at, n, crc, total, own = zip(*rows, strict=True)
-                group = (_mixed(seen, len(rows)) % np.uint64(groups)).astype(np.int32)
-                seen += len(rows)
-                yield batch(schema, doc, at, n, crc, total, group, *([own] if id_type else []))
+        seen = TaskContext.get().partitionId() << 40
+        for part in (p for b in batches for p in slices(b)):
+            ids, bounds = closed(*column_ids(part.column("text"), chunk_ids(path)), END_ID)
+            sizes = np.diff(bounds)
+            pieces = -(-sizes // length)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+            size = np.minimum(sizes[row] - start, length)
+            cut = np.r_[bounds[:-1][row] + start, len(ids)]
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            group = (_mixed(seen, len(row)) % np.uint64(groups)).astype(np.int32)
+            seen += len(row)
+            yield batch(schema, part.column("doc_id").take(pa.array(row)), start, size, crc, sizes[row], group, *([binary(ids.astype(id_type), cut)] if id_type else []))
 
     return run
 

@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinforge.llm.chunks import closed, slices
 from kinforge.llm.common import Batches, batch, forget_at_exit, mapped, ship_package, shuffle_partitions, stored, texts
-from kinforge.llm.tokens import byte_ids
+from kinforge.llm.tokens import chunk_ids, column_ids
 from kinforge.session import shared_dir
 
 END_ID = 0
@@ -135,22 +136,20 @@ def _payload(uri: str, tokenizer: str, narrow: bool):
     out = pa.schema([("key", pa.int64()), ("number", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Batches) -> Batches:
-        shard, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
+        shard = TaskContext.get().partitionId()
         fs, root = _opened(uri)
         draft, offset, last, number = f"{root}/shard-{shard}.{uuid.uuid4().hex}", 0, None, 0
         with fs.open_output_stream(draft) as f:
-            for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    part, encode = b.slice(lo, 512), byte_ids(tokenizer)
-                    keys, rows = part.column("key").to_pylist(), []
-                    for key, text in zip(keys, part.column("text").to_pylist(), strict=True):
-                        ids = np.frombuffer(encode(text) + end, "<u4")
-                        f.write(ids.astype("<u2").tobytes() if narrow else ids.tobytes())
-                        number = number + 1 if key == last else 0
-                        rows.append((number, offset, len(ids)))
-                        offset, last = offset + len(ids), key
-                    numbers, offsets, lengths = zip(*rows, strict=True)
-                    yield batch(out, keys, numbers, np.full(len(keys), shard, np.int32), offsets, lengths)
+            for part in (p for b in batches for p in slices(b)):
+                ids, bounds = closed(*column_ids(part.column("text"), chunk_ids(tokenizer)), END_ID)
+                f.write((ids.astype("<u2") if narrow else ids).tobytes())
+                keys, numbers = part.column("key").to_pylist(), []
+                for key in keys:
+                    number = number + 1 if key == last else 0
+                    numbers.append(number)
+                    last = key
+                yield batch(out, keys, numbers, np.full(len(keys), shard, np.int32), offset + bounds[:-1], np.diff(bounds))
+                offset += len(ids)
         fs.move(draft, f"{root}/shard-{shard}")
 
     return run

@@ -1,36 +1,29 @@
 """Token ids of whole texts by a public tokenizer file, with the ids of frequent chunks remembered.
 
-Both tokenizers decide ids from runs that never cross certain spaces, so a text is cut there and the
-ids of each chunk, once given by the library, are kept for the worker's life. Ids are little-endian
-unsigned 32-bit integers throughout.
+Texts are cut into chunks that the tokenizers never join (``chunks``). The ids of each distinct chunk, once
+given by the library, are kept for the worker's life. Ids are little-endian unsigned 32-bit integers
+throughout.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 
 import numpy as np
+import pyarrow as pa
+
+from kinforge.llm.chunks import bytes_of, encoded
 
 #: Entries of each of a memory's two generations; what is forgotten is worked out again.
-REMEMBERED = 300_000
-#: A space that starts a chunk is followed by something else than white space.
-STARTS = re.compile(r" (?=\S)")
-ODD_SPACE = re.compile(r" (?!\S)")
+REMEMBERED = 400_000
 
-_LOADED: dict[tuple, ChunkIds] = {}
+_LOADED: dict[str, ChunkIds] = {}
 
 
 def packed(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def spaced_chunks(text: str) -> list[str]:
-    """The text cut at each space before something else than white space; the spaces are left out."""
-    return STARTS.split(text) if ODD_SPACE.search(text) else text.split(" ")
-
-
 class Remembered(dict):
     """Values by key, worked out by ``make`` when missing. When it is full the older half goes; what is
     asked for again moves to the newer."""
@@ -54,63 +47,32 @@ class Remembered(dict):
 
 
 class ChunkIds(Remembered):
-    """chunk -> ids. ``lead`` goes before each chunk when the library encodes it."""
+    """chunk -> ids, by the library."""
 
-    def __init__(self, path: str, lead: str):
+    def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lead, self.library = lead, Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text
-        self.marks = {m: self.encoded(m) for m in ".,"}
-        self.line_end = self.encoded("\n")
-
-    def apart(self, text: str) -> bytes:
-        """Ids of a text that no space comes before. Line ends between other characters stand alone."""
-        parts = text.split("\n")
-        if len(parts) == 1:
-            return self["\n" + text] if text else b""
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return self.encoded(text)
-        return self.line_end.join(self["\n" + p] for p in parts)
-
-    def encoded(self, text: str) -> bytes:
-        return packed(self.library.encode(text, add_special_tokens=False).ids)
-
-    def make(self, chunk):
-        text = chunk.decode() if isinstance(chunk, bytes) else chunk
-        if len(text) > 1 and text[-1] in self.marks and unicodedata.normalize("NFC", text[:-1]).lower().isalpha():
-            return self[chunk[:-1]] + self.marks[text[-1]]  # letters and a mark are separate runs
-        if self.lead and "\n" in text:
-            if text[0] == "\n":  # what no space comes before is kept under a line end, with which no chunk starts
-                return self.encoded(text[1:])
-            head, _, tail = text.partition("\n")
-            if tail and not (head[-1].isspace() or tail[0].isspace()):
-                return self[head] + self.line_end + self.apart(tail)
-        return self.encoded(self.lead + text)
-
-
-def _loaded(path: str, lead: str) -> ChunkIds:
-    key = (path, lead)
-    if key not in _LOADED:
-        _LOADED[key] = ChunkIds(path, lead)
-    _LOADED[key].trim()
-    return _LOADED[key]
-
-
-def word_ids(path: str):
-    """Encoder for a tokenizer that drops white space: chunks are what stands between ASCII white space."""
-    chunks = _loaded(path, "")
-    return lambda text: b"".join(map(chunks.__getitem__, text.encode().split()))
-
-
-def byte_ids(path: str):
-    """Encoder for a byte-level tokenizer whose runs start with the space before them."""
-    chunks = _loaded(path, " ")
-
-    def encode(text: str) -> bytes:
-        first, *rest = spaced_chunks(text)
-        return chunks.apart(first) + b"".join(map(chunks.__getitem__, rest))
-
-    return encode
+
+    def make(self, key: bytes) -> bytes:
+        return packed(self.library.encode(key.decode(), add_special_tokens=False).ids)
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    if path not in _LOADED:
+        _LOADED[path] = ChunkIds(path)
+    _LOADED[path].trim()
+    return _LOADED[path]
+
+
+def column_ids(column: pa.Array, memory: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of a column in a row, bounds of each text's ids)."""
+    return encoded(*bytes_of(column), memory)
+
+
+def text_ids(path: str):
+    """Encoder of one text."""
+    return lambda text: column_ids(pa.array([text]), chunk_ids(path))[0].tobytes()

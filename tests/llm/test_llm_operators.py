@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -169,10 +170,13 @@ def test_chunked_ids_are_the_libraries():
     encoder = bpe.loaded(catalog.BYTE_RANKS, public_tokenizers.PATTERN)
     ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={})
     assert all(encoder.encode(t) == tokens.packed(ranked.encode_ordinary(t)) for t in odd)
-    for path, make in ((catalog.WORD_TOKENIZER, tokens.word_ids), (catalog.BYTE_TOKENIZER, tokens.byte_ids)):
-        library, own = Tokenizer.from_file(path), make(path)
+    for path in (catalog.WORD_TOKENIZER, catalog.BYTE_TOKENIZER):
+        library, own = Tokenizer.from_file(path), tokens.text_ids(path)
         library.encode_special_tokens = True
-        assert [own(t) for t in odd] == [tokens.packed(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+        want = [tokens.packed(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+        assert [own(t) for t in odd] == want
+        ids, bounds = tokens.column_ids(pa.array(odd).slice(3), tokens.chunk_ids(path))
+        assert [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])] == want[3:]
 
 
 def test_edits_keep_the_encoding():
