@@ -128,32 +128,23 @@ class PrefixTable:
         return out[::-1]
 
 
-class _Pieces(Remembered):
-    """piece -> ids as bytes."""
+class Encoder(Remembered):
+    """chunk -> ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
 
-    def make(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
         return packed(PrefixTable(self.vocabulary, data).ids() if whole is None else [whole])
 
-
-class Encoder(Remembered):
-    """chunk -> ids as bytes."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        super().__init__()
-        self.vocabulary, self.pattern, self.pieces = vocabulary, regex.compile(pattern), _Pieces(vocabulary)
-
     def make(self, chunk: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.decode())))
+        return b"".join(map(self.piece, self.pattern.findall(chunk.decode())))
 
     def trim(self) -> None:
         super().trim()
-        self.pieces.trim()
         self.vocabulary.trim()
 
     def encode(self, text: str) -> bytes:
@@ -179,7 +170,7 @@ class EditableText:
         return "".join(self.pieces)
 
     def ids(self) -> bytes:
-        return b"".join(map(self.encoder.pieces.__getitem__, self.pieces))
+        return b"".join(map(self.encoder.piece, self.pieces))
 
     def append(self, more: str) -> None:
         self.replace(None, None, more)

@@ -114,7 +114,7 @@ class Codec(Remembered):
             file = json.load(f)
         vocabulary = file["model"]["vocab"]
         self.merges = Merges(vocabulary, [tuple(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"]])
-        self.pattern, self.pieces = regex.compile(pattern), _Pieces(self.merges)
+        self.pattern = regex.compile(pattern)
         self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
         tokens = {i: t for t, i in vocabulary.items()} | {i: t.decode() for t, i in self.special.items()}
         letters = {c: b for b, c in enumerate(byte_letters())}
@@ -123,14 +123,10 @@ class Codec(Remembered):
         self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    def trim(self) -> None:
-        super().trim()
-        self.pieces.trim()
-
     def make(self, chunk: bytes) -> bytes:
         if chunk in self.special:
             return packed([self.special[chunk]])
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.decode())))
+        return b"".join(packed(self.merges.encode(piece.encode())) for piece in self.pattern.findall(chunk.decode()))
 
     def encode(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, bounds of each text's ids); a text is cut at special tokens first."""
@@ -154,17 +150,6 @@ class Codec(Remembered):
         return data, np.r_[0, ends][bounds]
 
 
-class _Pieces(Remembered):
-    """piece -> ids as bytes."""
-
-    def __init__(self, merges: Merges):
-        super().__init__()
-        self.merges = merges
-
-    def make(self, piece: str) -> bytes:
-        return packed(self.merges.encode(piece.encode()))
-
-
 def loaded(path: str, pattern: str) -> Codec:
     key = (path, pattern)
     if key not in _LOADED:
