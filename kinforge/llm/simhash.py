@@ -385,12 +385,12 @@ def keep_representatives(docs: DataFrame, width: int = 5, radius: int = 3, simil
 
     Texts link within ``radius`` bits, or when four fifths of their five-word shingles agree (``similarity``) and
     they share one of the bands, as 998 of 1000 pairs at 0.8 and nearly all above do.
-    A row of equal id and text twice leaves one of the two. All columns are kept as they are. Rows are
-    numbered by their place in the input, so ``docs`` must be a table read from files (or otherwise come in
-    the same order each time). Texts without words count as copies of one another.
+    A row of equal id and text twice leaves one of the two. All columns are kept as they are. Texts without
+    words count as copies of one another. Rows get numbers that are written once with them and read from there
+    ever after: a number worked out anew could be another one after a lost executor, or with other cores.
     """
     (key,) = fresh(docs, "_row")
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
     marked = stored(_marked(numbered, key, width), "simhash")
     nodes = stored(marked.select("fp").distinct(), "simhash-nodes")
     texts_of = numbered.select(F.col(key).alias("row"), "text")

@@ -409,6 +409,23 @@ def test_keep_representatives_finds_edited_copies(spark, tmp_path):
     assert got == want | {10**6}
 
 
+def test_keep_representatives_under_two_parallelisms(spark, docs, tmp_path):
+    """The same rows stay however the input is packed into partitions while it is read."""
+    path, kept = str(tmp_path / "docs"), []
+    near = docs.select(F.col("doc_id") + 10**6, F.concat("text", F.lit(" and one word more"))).toDF("doc_id", "text")
+    docs.select("doc_id", "text").union(near).repartition(7, "doc_id").write.parquet(path)
+    for size in ("64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            result = simhash.keep_representatives(spark.read.parquet(path))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        kept.append(sorted(r.doc_id for r in result.collect()))
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert kept[0] == kept[1] and len(kept[0]) <= docs.count() + 40
+
+
 @pytest.mark.parametrize("tile", [600, 1 << 19])
 def test_open_links_leave_no_pair_out(spark, tmp_path, tile):
     """Groups in which many texts lie just below or above the similarity: components as by brute force."""
