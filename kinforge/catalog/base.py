@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.fixtures import staged, table, with_fixtures
+from kinforge.catalog import duck
+from kinforge.fixtures import closure, staged, table, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(name: str, *inputs: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_fixtures(inputs, sql)
+            ORACLE[name] = with_fixtures(inputs, sql, *([duck.seats(closure(inputs))] if "fx_seat" in sql else []))
         return fn
 
     return wrap

@@ -64,12 +64,25 @@ def uk(c: str) -> str:
     return f"coalesce(regexp_matches({flat(c)}, '(^| )(" + "|".join(x.replace("'", "''") for x in V.UK_WORDS) + ")( |$)'), false)"
 
 
+#: Names that the towns of fx_town win over.
+_SHIPPED = {**V.HISTORIC_COUNTIES, **V.COUNTY_ALIASES, **V.TOWNS}
+
+
+#: Where the place texts of a query's tables stand.
+_PLACE_TEXTS = {"fx_anc": "SELECT birth_place AS p FROM fx_anc", "fx_cand": "SELECT birth_place AS p FROM fx_cand", "fx_fact": "SELECT fact_place AS p FROM fx_fact", "fx_src": f"SELECT unnest([{', '.join(q(x) for x in V.CITED_COUNTIES)}]) AS p"}
+
+
+def seats(tables) -> str:
+    """CTE fx_seat(p, y): the county of every place text of some tables, by fx_town and the shipped names. Places have four parts at most."""
+    names = f"SELECT lower(town) AS n, min(county) AS y FROM fx_town GROUP BY 1 UNION ALL SELECT n, y FROM (SELECT unnest(map_keys({dict_map(_SHIPPED)})) AS n, unnest(map_values({dict_map(_SHIPPED)})) AS y) k WHERE n NOT IN (SELECT lower(town) FROM fx_town)"
+    texts = " UNION ".join(_PLACE_TEXTS[t] for t in tables if t in _PLACE_TEXTS)
+    tried = "unnest([lower(trim(p))] || list_transform(string_split_regex(lower(p), '[,;]+'), lambda x: trim(x))) AS n, unnest(range(len(string_split_regex(lower(p), '[,;]+')) + 1)) AS i"
+    return (f"fx_seat AS MATERIALIZED (WITH names AS ({names}), known AS (SELECT n, y FROM names WHERE n NOT IN {in_list(V.counties())} UNION ALL SELECT unnest([{', '.join(q(x) for x in V.counties())}]) AS n, n AS y) "
+            f"SELECT p, arg_min(y, i) AS y FROM (SELECT p, {tried} FROM ({texts}) t WHERE p <> '') u JOIN known USING (n) GROUP BY p)")
+
+
 def county(c: str) -> str:
-    m = dict_map(V.gazetteer())
-    return (
-        f"coalesce({m}[trim(lower({c}))], list_filter(list_transform(string_split_regex(lower({c}), '[,;]+'), "
-        f"lambda p: {m}[trim(p)]), lambda p: p IS NOT NULL)[1])"
-    )
+    return f"(SELECT fx_seat.y FROM fx_seat WHERE fx_seat.p = {c})"
 
 
 def proximity(a: str, b: str) -> str:

@@ -8,7 +8,7 @@ from kinforge.catalog import duck as D
 from kinforge.catalog.base import query
 from kinforge.functions import names
 from kinforge.functions.dates import date_year
-from kinforge.operators import linking, scoring
+from kinforge.operators import gazetteer, linking, scoring
 from kinforge.sources import tree_api
 
 c = F.col
@@ -24,6 +24,10 @@ def _verify(src, prefix="C"):
     return v.withColumn("person_id", F.concat(F.lit(prefix), F.substring("person_id", 2, 30)))
 
 
+def _gazetteer(town):
+    return gazetteer.gazetteer_table(town.sparkSession, town)
+
+
 def _num(col="person_id"):
     return F.substring(col, 2, 30).cast("bigint")
 
@@ -59,7 +63,7 @@ cd AS (SELECT c.job_id, c.asc_no, c.rnk, c.person_id, c.given_name AS cg, c.surn
 _COMPAT = "(contains(lower(cs), lower(surname)) OR contains(lower(surname), lower(cs)))"
 
 
-@query("link_known_people", "fx_anc", "fx_cand", "fx_src", sql=f"""WITH {_REJ}, {_VER}, {_FAM},
+@query("link_known_people", "fx_anc", "fx_cand", "fx_src", "fx_town", sql=f"""WITH {_REJ}, {_VER}, {_FAM},
 r AS (SELECT cd.*, b.gen, b.given, b.surname, b.birth_place, b.y, CASE WHEN b.y IS NULL AND b.asc_no > 1 THEN b.cy - 28 END AS est, coalesce(b.y, CASE WHEN b.asc_no > 1 THEN b.cy - 28 END, CASE WHEN b.gen >= 1 THEN b.sy - 28 * b.gen END) AS ex,
   CASE WHEN b.birth_place <> '' THEN b.birth_place ELSE coalesce(b.cp, '') END AS ref, {D.common('b.surname')} AS com, coalesce(vf.pc, 0) AS pc, CAST(substr(cd.person_id, 2) AS BIGINT) % 2 = 0 AS hp
   FROM cd JOIN b ON b.job_id = cd.job_id AND b.asc_no = cd.asc_no AND b.asc_no <= 15 AND b.person_id = '' LEFT JOIN vf ON vf.person_id = 'P' || substr(cd.person_id, 2)),
@@ -68,17 +72,17 @@ ok AS (SELECT *, 50 + coalesce(greatest(0, 30 - 3 * abs(c_y - ex)), 0) + CASE WH
  WHERE NOT ({D.foreign('c_p')} AND NOT {D.uk('c_p')}) AND {D.similar("split_part(cg, ' ', 1)", 'given')} AND {_COMPAT} AND NOT coalesce(abs(y - c_y) > CASE WHEN gen >= 3 THEN 8 ELSE 5 END, false) AND NOT coalesce(y >= 1837 AND c_y IS NULL AND (com OR c_p = '' OR ref = ''), false)
  AND NOT coalesce(y IS NULL AND abs(c_y - ex) > 35, false) AND NOT (y IS NULL AND c_y IS NULL AND est IS NOT NULL AND (com OR c_p = '')) AND coalesce(px, '') <> 'distant' AND NOT (c_p <> '' AND ref <> '' AND k1 IS NULL AND k2 IS NOT NULL) AND NOT (com AND pc < 2))
 SELECT job_id, asc_no, person_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY score DESC, rnk) AS n FROM ok) t WHERE n = 1""")
-def link_known_people(anc, cand, src):
-    return linking.link_known_people(anc, cand.withColumn("has_parents", _num() % 2 == 0), _verify(src))
+def link_known_people(anc, cand, src, town):
+    return linking.link_known_people(anc, cand.withColumn("has_parents", _num() % 2 == 0), _verify(src), gazetteer=_gazetteer(town))
 
 
-@query("find_child_person", "fx_anc", "fx_cand", sql=f"""WITH {_REJ}, {_FAM},
+@query("find_child_person", "fx_anc", "fx_cand", "fx_town", sql=f"""WITH {_REJ}, {_FAM},
 r AS (SELECT cd.*, b.given, b.surname, b.birth_place, coalesce(b.y, b.cy - 28) AS y FROM cd JOIN b ON b.job_id = cd.job_id AND b.asc_no = cd.asc_no AND b.person_id = ''),
 r2 AS (SELECT *, {D.county('c_p')} AS k1, {D.county('birth_place')} AS k2 FROM r),
 ok AS (SELECT * FROM r2 WHERE NOT ({D.foreign('c_p')} AND NOT {D.uk('c_p')}) AND {D.similar('given', 'cg')} AND {_COMPAT} AND NOT coalesce(abs(y - c_y) > 5, false) AND NOT coalesce(y >= 1837 AND c_y IS NULL, false) AND NOT coalesce(c_p <> '' AND birth_place <> '' AND {D.proximity('k1', 'k2')} = 'distant', false))
 SELECT job_id, asc_no, person_id, 'linked' AS how FROM fx_anc WHERE person_id <> '' UNION ALL SELECT job_id, asc_no, person_id, 'searched' FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY rnk) AS n FROM ok) t WHERE n = 1""")
-def find_child_person(anc, cand):
-    return linking.find_person(anc, cand)
+def find_child_person(anc, cand, town):
+    return linking.find_person(anc, cand, _gazetteer(town))
 
 
 def _valid_sql(sex: str, py: str, pd: str, pp: str, ky: str, kp: str, want: str) -> str:
@@ -90,12 +94,12 @@ def _prox_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} <> '' AND {b} <> '' THEN {D.proximity(D.county(a), D.county(b))} END"
 
 
-@query("validate_parent", "fx_anc", sql=f"""
+@query("validate_parent", "fx_anc", "fx_town", sql=f"""
 WITH y AS (SELECT *, {D.year('birth_date')} AS yr, {D.year('death_date')} AS dy FROM fx_anc), v AS (SELECT p.job_id, p.asc_no, {_valid_sql('p.gender', 'p.yr', 'p.dy', 'p.birth_place', 'k.yr', 'k.birth_place', "CASE WHEN p.asc_no % 2 = 0 THEN 'Male' ELSE 'Female' END")} AS reasons,
   {_prox_sql('p.birth_place', 'k.birth_place')} AS proximity FROM y p JOIN y k ON k.job_id = p.job_id AND p.asc_no > 1 AND k.asc_no = p.asc_no // 2)
 SELECT *, reasons = '' AS valid FROM v""")
-def validate_parent(anc):
-    return linking.validate_parents(anc)
+def validate_parent(anc, town):
+    return linking.validate_parents(anc, _gazetteer(town))
 
 
 @query("exclude_used", "fx_cand", "fx_anc", sql=f"""WITH RECURSIVE {_REJ},
@@ -125,25 +129,24 @@ def _discover_sql(start: str, rounds: int, top: int) -> str:
     return f"WITH {_VER}, {_PEOPLE}, st AS ({start}), {', '.join(steps)} SELECT job_id, asc_no, person_id, pc AS primary_count, CASE WHEN pc > 0 THEN 'tree_parents_verified' ELSE 'tree_parents_unverified' END AS discovery_method FROM ({union}) u"
 
 
-def _start(anc):
-    from kinforge.functions.places import sanitize_place
-
-    return anc.select(*_KEYS, "person_id", date_year(c("birth_date")).alias("year"), sanitize_place(c("birth_place")).alias("place"))
+def _start(anc, town):
+    placed = gazetteer.with_place(anc, linking.known_places(anc, gazetteer=_gazetteer(town)), "birth_place", seat="clean_seat")
+    return placed.select(*_KEYS, "person_id", date_year(c("birth_date")).alias("year"), "seat")
 
 
-@query("tree_parent_discovery", "fx_anc", "fx_edge", "fx_src", sql=_discover_sql(f"SELECT job_id, asc_no, person_id, {D.year('birth_date')} AS year, birth_place AS place FROM fx_anc WHERE asc_no IN (2, 3) AND person_id <> ''", 6, 128))
-def tree_parent_discovery(anc, edge, src):
+@query("tree_parent_discovery", "fx_anc", "fx_edge", "fx_src", "fx_town", sql=_discover_sql(f"SELECT job_id, asc_no, person_id, {D.year('birth_date')} AS year, birth_place AS place FROM fx_anc WHERE asc_no IN (2, 3) AND person_id <> ''", 6, 128))
+def tree_parent_discovery(anc, edge, src, town):
     given = anc.where("asc_no <= 3")
-    facts = linking.parent_facts(anc, tree_api.parents(edge), scoring.source_verify(src))
-    start = _start(given.where("asc_no > 1 and person_id <> ''"))
+    facts = linking.parent_facts(anc, tree_api.parents(edge), scoring.source_verify(src), _gazetteer(town))
+    start = _start(given.where("asc_no > 1 and person_id <> ''"), town)
     return linking.discover_parents(start, facts, given.where("person_id <> ''"), given, 6).select(*_KEYS, "person_id", "primary_count", "discovery_method")
 
 
-@query("second_pass", "fx_anc", "fx_edge", "fx_src", sql=_discover_sql(f"SELECT job_id, asc_no, person_id, {D.year('birth_date')} AS year, birth_place AS place FROM fx_anc WHERE gen = 4 AND person_id <> ''", 2, 128))
-def second_pass(anc, edge, src):
+@query("second_pass", "fx_anc", "fx_edge", "fx_src", "fx_town", sql=_discover_sql(f"SELECT job_id, asc_no, person_id, {D.year('birth_date')} AS year, birth_place AS place FROM fx_anc WHERE gen = 4 AND person_id <> ''", 2, 128))
+def second_pass(anc, edge, src, town):
     before, after = anc.where("gen <= 3"), anc.where("gen <= 4")
-    facts = linking.parent_facts(anc, tree_api.parents(edge), scoring.source_verify(src))
-    start = _start(linking.newly_found(after, before))
+    facts = linking.parent_facts(anc, tree_api.parents(edge), scoring.source_verify(src), _gazetteer(town))
+    start = _start(linking.newly_found(after, before), town)
     found = linking.discover_parents(start, facts, after.where("person_id <> ''"), after, 6)
     return found.select(*_KEYS, "person_id", "primary_count", "discovery_method")
 
@@ -151,7 +154,7 @@ def second_pass(anc, edge, src):
 _EMPTY = f"""em AS (SELECT t.job_id, t.asc_no, {D.year('k.birth_date')} AS ky, k.birth_place AS kp, CASE WHEN t.asc_no % 2 = 0 THEN k.surname ELSE t.surname END AS ss, CASE WHEN t.asc_no % 3 = 0 THEN t.given_name ELSE '' END AS kg FROM fx_anc t JOIN fx_anc k ON k.job_id = t.job_id AND k.asc_no = t.asc_no // 2 WHERE t.gen = 5)"""
 
 
-@query("direct_parent_search", "fx_anc", "fx_cand", "fx_src", sql=f"""WITH RECURSIVE {_REJ}, {_VER}, {_EMPTY},
+@query("direct_parent_search", "fx_anc", "fx_cand", "fx_src", "fx_town", sql=f"""WITH RECURSIVE {_REJ}, {_VER}, {_EMPTY},
 r AS (SELECT c.job_id, c.asc_no, c.rnk, c.person_id, c.given_name AS cg, c.surname AS cs, c.gender, {D.year('c.birth_date')} AS c_y, c.birth_place AS c_p, em.ky, em.kp, em.ss, em.kg, coalesce(vf.pc, 0) AS pc, CAST(substr(c.person_id, 2) AS BIGINT) % 5 = 0 AS hid, CAST(substr(c.person_id, 2) AS BIGINT) % 3 = 0 AS conf, {D.common('em.ss')} AS com
   FROM fx_cand c JOIN em ON em.job_id = c.job_id AND em.asc_no = c.asc_no LEFT JOIN vf ON vf.person_id = 'P' || substr(c.person_id, 2) WHERE NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = c.job_id AND rj.person_id = c.person_id)),
 r2 AS (SELECT *, coalesce({_prox_sql('c_p', 'kp')} = 'distant', false) AS far, {_valid_sql('gender', 'c_y', 'CAST(NULL AS INT)', 'c_p', 'ky', 'kp', "CASE WHEN asc_no % 2 = 0 THEN 'Male' ELSE 'Female' END")} AS bad FROM r),
@@ -163,28 +166,28 @@ sl AS (SELECT job_id, asc_no, row_number() OVER (PARTITION BY job_id ORDER BY as
 wk AS (SELECT job_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS INT) AS asc_no, CAST(NULL AS VARCHAR) AS person_id, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT job_id FROM sl) j
  UNION ALL SELECT w.job_id, s.pos, s.asc_no, list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1], list_append(w.used, list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1]) FROM wk w JOIN sl s ON s.job_id = w.job_id AND s.pos = w.pos + 1)
 SELECT wk.job_id, wk.asc_no, wk.person_id, ps.meth AS discovery_method FROM wk JOIN ps ON ps.job_id = wk.job_id AND ps.asc_no = wk.asc_no AND ps.person_id = wk.person_id""")
-def direct_parent_search(anc, cand, src):
+def direct_parent_search(anc, cand, src, town):
     kid = anc.where("gen = 4").select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"), c("surname").alias("_ks"))
     hole = anc.where("gen = 5").withColumn("_c", F.shiftright("asc_no", 1)).join(kid, ["job_id", "_c"])
     empty = hole.select(*_KEYS, "child_year", "child_place", F.when(c("asc_no") % 2 == 0, c("_ks")).otherwise(c("surname")).alias("search_surname"), F.when(c("asc_no") % 3 == 0, c("given_name")).otherwise("").alias("known_given"))
     rows = cand.withColumn("sources_hidden", _num() % 5 == 0).withColumn("civil_confirmed", _num() % 3 == 0)
     used = anc.where("gen <= 4 and person_id <> ''")
-    return linking.direct_parent_search(empty, rows, _verify(src), used).select(*_KEYS, "person_id", "discovery_method")
+    return linking.direct_parent_search(empty, rows, _verify(src), used, _gazetteer(town)).select(*_KEYS, "person_id", "discovery_method")
 
 
-@query("spouse_triangulation", "fx_anc", "fx_edge", "fx_cand", "fx_src", sql=f"""WITH {_REJ}, {_VER}, {_PEOPLE},
+@query("spouse_triangulation", "fx_anc", "fx_edge", "fx_cand", "fx_src", "fx_town", sql=f"""WITH {_REJ}, {_VER}, {_PEOPLE},
 nd AS (SELECT m.job_id, m.asc_no, {D.year('k.birth_date')} AS ky, k.birth_place AS kp FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.gen IN (3, 4) AND m.asc_no % 2 = 1),
 cp AS (SELECT job_id, src AS man_id, dst AS person_id FROM fx_edge WHERE rel = 'Couple'),
 rw AS (SELECT nd.job_id, nd.asc_no, cp.person_id, coalesce(vf.pc, 0) AS pc, pp.yr, nd.ky, {_valid_sql('pp.gender', 'pp.yr', 'pp.dy', 'pp.birth_place', 'nd.ky', 'nd.kp', D.q('Female'))} AS bad, coalesce({_prox_sql('pp.birth_place', 'nd.kp')} = 'distant', false) AS far
   FROM nd JOIN fx_anc f ON f.job_id = nd.job_id AND f.asc_no = nd.asc_no - 1 AND f.person_id <> '' JOIN cp ON cp.job_id = nd.job_id AND cp.man_id = f.person_id JOIN pp ON pp.job_id = nd.job_id AND pp.person_id = cp.person_id LEFT JOIN vf ON vf.person_id = cp.person_id)
 SELECT job_id, asc_no, person_id, 'spouse_triangulation' AS discovery_method FROM rw WHERE bad = '' AND pc >= greatest(CASE WHEN yr < 1837 THEN 0 WHEN asc_no >= 16 THEN 1 ELSE 2 END, CASE WHEN far THEN CASE WHEN asc_no >= 16 THEN 2 ELSE 4 END ELSE 0 END)
   AND NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = rw.job_id AND rj.person_id = rw.person_id)""")
-def spouse_triangulation(anc, edge, cand, src):
+def spouse_triangulation(anc, edge, cand, src, town):
     kid = anc.select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"))
     need = anc.where("gen in (3, 4) and asc_no % 2 = 1").select(*_KEYS, F.shiftright("asc_no", 1).alias("_c")).join(kid, ["job_id", "_c"]).drop("_c")
     men = anc.where("asc_no % 2 = 0 and person_id <> ''").select(*_KEYS, "person_id")
     known = anc.join(need.select(*_KEYS), _KEYS, "left_anti").where("person_id <> ''")
-    return linking.spouse_triangulation(need, men, tree_api.spouses(edge, anc), anc, scoring.source_verify(src), known, linking.rejected_people(cand))
+    return linking.spouse_triangulation(need, men, tree_api.spouses(edge, anc), anc, scoring.source_verify(src), known, linking.rejected_people(cand), _gazetteer(town))
 
 
 def _walk(ranked: str) -> str:
@@ -206,14 +209,14 @@ ok AS (SELECT nd.job_id, nd.asc_no, rr.person_id, rr.rnk FROM nd JOIN rr ON rr.s
 {_walk('ok')}, got AS (SELECT wk.job_id, wk.asc_no, wk.person_id, a.name FROM wk JOIN fx_anc a ON a.person_id = wk.person_id AND wk.person_id IS NOT NULL)"""
 
 
-@query("mother_from_maiden", "fx_anc", "fx_cand", sql=f"""WITH RECURSIVE {_MAIDEN}
+@query("mother_from_maiden", "fx_anc", "fx_cand", "fx_town", sql=f"""WITH RECURSIVE {_MAIDEN}
 SELECT job_id, asc_no, person_id, name, 'maiden_name_search' AS discovery_method FROM got UNION ALL SELECT nd.job_id, nd.asc_no, '', '? ' || nd.maiden, 'maiden_name_only' FROM nd WHERE NOT EXISTS (SELECT 1 FROM got WHERE got.job_id = nd.job_id AND got.asc_no = nd.asc_no)""")
-def mother_from_maiden(anc, cand):
+def mother_from_maiden(anc, cand, town):
     kid = anc.select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"))
     # Mothers whose surname a birth entry gave, but nobody is linked to the slot yet.
     need = anc.where("asc_no % 2 = 1 and asc_no > 1 and person_id = ''").select(*_KEYS, c("surname").alias("maiden_name"), F.shiftright("asc_no", 1).alias("_c")).join(kid, ["job_id", "_c"]).drop("_c").where("child_year is not null")
     pool = anc.where("person_id <> ''").select("person_id", "name", "gender", "surname", c("given_name").alias("given"), date_year(c("birth_date")).alias("year"), c("birth_place").alias("place"))
-    return linking.mother_from_maiden(need, pool, linking.rejected_people(cand), anc.where("person_id <> ''"))
+    return linking.mother_from_maiden(need, pool, linking.rejected_people(cand), anc.where("person_id <> ''"), _gazetteer(town))
 
 
 @query("other_decade_census", "fx_fact", "fx_src", sql="""
@@ -225,18 +228,13 @@ def other_decade_census(fact, src):
     return linking.other_decade_census(fact.where(c("fact_type").contains("Census")).select("person_id", "seq", year.alias("year")), have)
 
 
-@query("gazetteer_lookup", "fx_anc", sql=f"SELECT row_id, birth_place, {D.county('birth_place')} AS county FROM fx_anc")
-def gazetteer_lookup(anc):
-    from kinforge.operators import gazetteer
+@query("gazetteer_lookup", "fx_anc", "fx_town", sql=f"SELECT row_id, birth_place, {D.county('birth_place')} AS county FROM fx_anc")
+def gazetteer_lookup(anc, town):
+    return gazetteer.lookup_counties(anc.select("row_id", "birth_place"), "birth_place", _gazetteer(town))
 
-    return gazetteer.lookup_counties(anc.select("row_id", "birth_place"), "birth_place", gazetteer.default_gazetteer(anc.sparkSession))
 
-
-@query("adjacency_lookup", "fx_pair", sql=f"""
+@query("adjacency_lookup", "fx_pair", "fx_town", sql=f"""
 SELECT job_id, asc_no, rnk, {D.proximity('c1', 'c2')} AS proximity FROM (SELECT job_id, asc_no, rnk, {D.county('cand_place')} AS c1, {D.county('anc_place')} AS c2 FROM fx_pair) s""")
-def adjacency_lookup(pair):
-    from kinforge.operators import gazetteer
-    from kinforge.functions.places import resolve_county
-
-    two = pair.select(*_KEYS, "rnk", resolve_county(c("cand_place")).alias("c1"), resolve_county(c("anc_place")).alias("c2"))
+def adjacency_lookup(pair, town):
+    two = gazetteer.lookup_counties(gazetteer.lookup_counties(pair, "cand_place", _gazetteer(town), "c1"), "anc_place", _gazetteer(town), "c2")
     return gazetteer.lookup_proximity(two, "c1", "c2", gazetteer.border_table(pair.sparkSession)).select(*_KEYS, "rnk", "proximity")

@@ -9,6 +9,7 @@ from kinforge.catalog.base import query
 from kinforge.functions import corrections as C
 from kinforge.functions import dates, evidence, names, places, slots
 from kinforge.functions import values as V
+from kinforge.operators import gazetteer
 
 c = F.col
 
@@ -164,17 +165,20 @@ def district_of(anc):
     return anc.select("row_id", places.district_of(c("birth_place")).alias("district"))
 
 
-@query("resolve_county", "fx_pair", sql=f"SELECT job_id, asc_no, rnk, {D.county('anc_place')} AS anc_county, {D.county('cand_place')} AS cand_county FROM fx_pair")
-def resolve_county(pair):
-    return pair.select("job_id", "asc_no", "rnk", places.resolve_county(c("anc_place")).alias("anc_county"),
-                       places.resolve_county(c("cand_place")).alias("cand_county"))
+@query("resolve_county", "fx_pair", "fx_town", sql=f"SELECT job_id, asc_no, rnk, {D.county('anc_place')} AS anc_county, {D.county('cand_place')} AS cand_county FROM fx_pair")
+def resolve_county(pair, town):
+    names = gazetteer.gazetteer_table(town.sparkSession, town)
+    both = gazetteer.lookup_counties(gazetteer.lookup_counties(pair, "anc_place", names, "anc_county"), "cand_place", names, "cand_county")
+    return both.select("job_id", "asc_no", "rnk", "anc_county", "cand_county")
 
 
-@query("county_proximity", "fx_pair", sql=f"""
+@query("county_proximity", "fx_pair", "fx_town", sql=f"""
 SELECT job_id, asc_no, rnk, {D.proximity('c1', 'c2')} AS proximity FROM (
   SELECT job_id, asc_no, rnk, {D.county('cand_place')} AS c1, {D.county('anc_place')} AS c2 FROM fx_pair) s""")
-def county_proximity(pair):
-    return pair.select("job_id", "asc_no", "rnk", places.place_proximity(c("cand_place"), c("anc_place")).alias("proximity"))
+def county_proximity(pair, town):
+    dimension = gazetteer.place_dimension(gazetteer.all_places((pair, "anc_place"), (pair, "cand_place")), gazetteer.gazetteer_table(town.sparkSession, town))
+    both = gazetteer.with_place(gazetteer.with_place(pair, dimension, "anc_place", a="seat"), dimension, "cand_place", b="seat")
+    return both.select("job_id", "asc_no", "rnk", gazetteer.proximity(c("b"), c("a")).alias("proximity"))
 
 
 @query("district_match", "fx_civil", sql=f"""

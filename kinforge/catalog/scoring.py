@@ -8,6 +8,7 @@ from kinforge.catalog import duck as D
 from kinforge.catalog.base import query
 from kinforge.functions import values as V
 from kinforge.operators import scoring
+from kinforge.operators.gazetteer import gazetteer_table
 
 c = F.col
 
@@ -70,17 +71,17 @@ def source_verify(src):
     return scoring.source_verify(src)
 
 
-@query("earlier_same_county", "fx_anc", "fx_src", "fx_fact", sql=f"""WITH {_FACTS}, {_PLACED}
+@query("earlier_same_county", "fx_anc", "fx_src", "fx_fact", "fx_town", sql=f"""WITH {_FACTS}, {_PLACED}
 SELECT job_id, asc_no, county, EXISTS (SELECT 1 FROM pc o WHERE o.job_id = p.job_id AND o.gen = p.gen AND o.asc_no < p.asc_no AND o.stated = p.county) AS earlier_same_county FROM pc p""")
-def earlier_same_county(anc, src, fact):
+def earlier_same_county(anc, src, fact, town):
     from kinforge.operators.tree import earlier_same_county as op
 
-    return op(scoring.with_places(anc, src, fact)).select("job_id", "asc_no", "county", "earlier_same_county")
+    return op(scoring.with_places(anc, src, fact, gazetteer_table(town.sparkSession, town))).select("job_id", "asc_no", "county", "earlier_same_county")
 
 
-@query("place_date_points", "fx_anc", "fx_src", "fx_fact", sql=f"WITH {_FACTS}, {_PLACED} SELECT job_id, asc_no, CAST(place_points AS INT) AS place_points FROM pd")
-def place_date_points(anc, src, fact):
-    return scoring.place_date_points(scoring.with_places(anc, src, fact)).select("job_id", "asc_no", "place_points")
+@query("place_date_points", "fx_anc", "fx_src", "fx_fact", "fx_town", sql=f"WITH {_FACTS}, {_PLACED} SELECT job_id, asc_no, CAST(place_points AS INT) AS place_points FROM pd")
+def place_date_points(anc, src, fact, town):
+    return scoring.place_date_points(scoring.with_places(anc, src, fact, gazetteer_table(town.sparkSession, town))).select("job_id", "asc_no", "place_points")
 
 
 _FIXED = """CASE WHEN ch_name IS NULL OR asc_no = 1 OR coalesce(surname, '') = '' THEN 0 WHEN asc_no % 2 = 1 THEN 3 WHEN coalesce(ch_surname, '') = '' THEN 0 WHEN lower(surname) = lower(ch_surname) THEN 5 ELSE -15 END
@@ -101,20 +102,20 @@ _SCORED = f"{_KEPT}, {_FACTS}, {_PLACED}, {_BASE}, " + ", ".join(_generation_sql
 _LEVEL = f"CASE WHEN confidence_level = 'Customer Data' THEN 'Customer Data' ELSE {D.level('score')} END"
 
 
-@query("record_scoring", "fx_anc", "fx_src", "fx_fact", sql=f"""WITH {_SCORED}
+@query("record_scoring", "fx_anc", "fx_src", "fx_fact", "fx_town", sql=f"""WITH {_SCORED}
 SELECT job_id, asc_no, CASE WHEN cust THEN NULL ELSE src_pts END AS source_points, CASE WHEN cust THEN NULL ELSE fact_pts END AS fact_points, CASE WHEN cust THEN NULL ELSE CAST(fam AS INT) END AS family_points,
   CASE WHEN cust THEN NULL ELSE CAST(place_points AS INT) END AS place_points, CASE WHEN cust THEN NULL ELSE CAST(total AS INT) END AS total_points, CAST(score AS INT) AS score, level, CASE WHEN score >= 75 THEN 1 ELSE 0 END AS accepted,
   CASE WHEN cust THEN '' ELSE array_to_string(list_filter([CASE WHEN place IS NULL AND score < 75 THEN 'location' END, CASE WHEN birth_date = '' AND score < 75 THEN 'date' END, CASE WHEN src_pts = 0 AND person_id <> '' THEN 'records' END, CASE WHEN score < 50 THEN 'confidence' END], lambda x: x IS NOT NULL), ', ') END AS missing
 FROM (SELECT *, confidence_level = 'Customer Data' AS cust, {_LEVEL} AS level FROM sc) f""")
-def record_scoring(anc, src, fact):
-    return scoring.record_scoring(anc, src, fact)
+def record_scoring(anc, src, fact, town):
+    return scoring.record_scoring(anc, src, fact, gazetteer_table(town.sparkSession, town))
 
 
-@query("level_counts", "fx_anc", "fx_src", "fx_fact", sql=f"""WITH {_SCORED}, lv AS (SELECT job_id, {_LEVEL} AS level FROM sc)
+@query("level_counts", "fx_anc", "fx_src", "fx_fact", "fx_town", sql=f"""WITH {_SCORED}, lv AS (SELECT job_id, {_LEVEL} AS level FROM sc)
 SELECT job_id, count(*) AS total, count(*) FILTER (WHERE level IN ('Verified', 'Customer Data')) AS verified, count(*) FILTER (WHERE level = 'Probable') AS probable,
   count(*) FILTER (WHERE level = 'Possible') AS possible, count(*) FILTER (WHERE level = 'Suggested') AS suggested FROM lv GROUP BY 1""")
-def level_counts(anc, src, fact):
-    return scoring.level_counts(scoring.record_scoring(anc, src, fact))
+def level_counts(anc, src, fact, town):
+    return scoring.level_counts(scoring.record_scoring(anc, src, fact, gazetteer_table(town.sparkSession, town)))
 
 
 @query("family_points", "fx_anc", sql="""

@@ -18,9 +18,26 @@ _LINES = (
     " l_shipdate, l_extendedprice) AS INT) AS seq FROM lineitem)"
 )
 
+# A town's name by number: the table of towns and the places that cite them follow the same rule.
+_FIRST = "Ash|Bar|Cal|Den|Elm|Far|Gal|Hol|Ing|Kel|Lan|Mar|Nor|Oak|Pen|Rad|Sel|Tid|Ull|Wal|Yar|Thor|Brad|Stan|Whit|Mil|Lang|Hart|Wood|Black"
+_LAST = "ton|ham|by|ford|wick|well|stead|bury|field|ley|thorpe|mouth"
+_BESIDE = " Magna| Parva| St Mary| on the Hill| by the Sea"
+_SHIRES = "derbyshire|nottinghamshire|leicestershire|yorkshire|kent|cornwall|devon|norfolk|durham|lancashire|staffordshire|cheshire|surrey|essex|rutland|anglesey|wales|middlesex"
+
+
+def town_name(number: str) -> str:
+    """SQL text: the name of a town for a number from 0 on; every 360th one has another ending."""
+    part = lambda words, n: f"split_part('{words}', '|', CAST({n} AS INT) + 1)"
+    return (f"concat({part(_FIRST, f'({number}) % 30')}, {part(_LAST, f'floor(({number}) / 30) % 12')}, "
+            f"CASE WHEN ({number}) < 360 THEN '' ELSE {part(_BESIDE, f'floor(({number}) / 360) % 5')} END)")
+
+
 # name: (tables it reads, SQL)
 FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
-    "fx_anc": (("orders",), """
+    # The towns of a gazetteer, one a supplier.
+    "fx_town": (("supplier",), f"""
+SELECT town, county FROM (SELECT {town_name('s_suppkey')} AS town, split_part('{_SHIRES}', '|', CAST((s_suppkey * 7) % 18 + 1 AS INT)) AS county FROM supplier) t"""),
+    "fx_anc": (("orders",), f"""
 SELECT job_id, asc_no, CAST(length(bin(asc_no)) - 1 AS INT) AS gen, k AS row_id,
   CASE WHEN k % 7 = 6 THEN '' ELSE concat('P', CAST(k AS STRING)) END AS person_id,
   given_name, surname, concat(given_name, ' ', surname) AS name, gender, birth_date, birth_place,
@@ -38,7 +55,7 @@ SELECT job_id, asc_no, k,
     WHEN 1 THEN concat('07/03/', CAST(1980 - 28 * (length(bin(asc_no)) - 1) + k % 9 - 4 AS STRING))
     WHEN 2 THEN concat('abt ', CAST(1980 - 28 * (length(bin(asc_no)) - 1) + k % 9 - 4 AS STRING))
     ELSE concat('Sep ', CAST(1980 - 28 * (length(bin(asc_no)) - 1) + k % 9 - 4 AS STRING)) END END AS birth_date,
-  CASE k % 6 WHEN 0 THEN 'Derby, Derbyshire, England' WHEN 1 THEN 'Shardlow, Derbyshire' WHEN 2 THEN 'Nottingham' WHEN 3 THEN 'Kensington, Middlesex, England' WHEN 4 THEN 'Springfield, IL' ELSE '' END AS birth_place,
+  CASE k % 6 WHEN 0 THEN 'Derby, Derbyshire, England' WHEN 1 THEN 'Shardlow, Derbyshire' WHEN 2 THEN CASE k % 12 WHEN 2 THEN 'Nottingham' ELSE concat({town_name('floor(k / 12) % 1000')}, ', England') END WHEN 3 THEN 'Kensington, Middlesex, England' WHEN 4 THEN 'Springfield, IL' ELSE '' END AS birth_place,
   CASE WHEN asc_no <= 3 THEN 'Customer Data' ELSE 'Pending' END AS confidence_level,
   CASE k % 4 WHEN 0 THEN 'tree_parents_verified' WHEN 1 THEN 'direct_search_verified' WHEN 2 THEN 'tree_parents_unverified' ELSE '' END AS discovery_method
 FROM (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 127.0) AS BIGINT) AS job_id, CAST(o_orderkey % 127 + 1 AS INT) AS asc_no
@@ -78,7 +95,7 @@ SELECT a.job_id, a.asc_no, seq AS rnk, concat('C', CAST(l_partkey AS STRING)) AS
   CASE l_suppkey % 4 WHEN 0 THEN a.given_name WHEN 1 THEN concat(a.given_name, ' Herbert') WHEN 2 THEN 'Walter' ELSE 'Bill' END AS given_name,
   CASE WHEN l_suppkey % 9 = 0 THEN 'Taylor' ELSE a.surname END AS surname, a.gender,
   CASE WHEN l_partkey % 7 = 0 THEN '' ELSE CAST(1980 - 28 * a.gen + l_partkey % 21 - 10 AS STRING) END AS birth_date,
-  CASE l_partkey % 5 WHEN 0 THEN 'Derby, Derbyshire, England' WHEN 1 THEN 'Leicester, Leicestershire' WHEN 2 THEN 'Truro, Cornwall' WHEN 3 THEN 'Ohio, United States' ELSE '' END AS birth_place,
+  CASE l_partkey % 5 WHEN 0 THEN 'Derby, Derbyshire, England' WHEN 1 THEN 'Leicester, Leicestershire' WHEN 2 THEN 'Truro, Cornwall' WHEN 3 THEN 'Ohio, United States' ELSE CASE WHEN l_partkey % 2 = 0 THEN {town_name('floor(l_partkey / 10) % 1000')} ELSE '' END END AS birth_place,
   CASE WHEN l_suppkey % 11 = 0 THEN 'Manually rejected by admin' ELSE '' END AS rejection_reason
 FROM {_LINES} l JOIN fx_anc a ON a.row_id = l_orderkey"""),
     # The same candidates beside the slot they were found for.
@@ -210,9 +227,9 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _STAGED[key]
 
 
-def with_fixtures(names, body: str) -> str:
-    """DuckDB text: the fixtures as CTEs in front of a query."""
-    ctes = [f"{n} AS ({FIXTURES[n][1].strip()})" for n in closure(names)]
+def with_fixtures(names, body: str, *more: str) -> str:
+    """DuckDB text: the fixtures, and more CTEs on them, in front of a query."""
+    ctes = [f"{n} AS ({FIXTURES[n][1].strip()})" for n in closure(names)] + list(more)
     body = body.strip()
     recursive = ""
     for head in ("WITH RECURSIVE ", "WITH "):

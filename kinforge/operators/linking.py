@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import names, places, slots
 from kinforge.functions.dates import date_year
 from kinforge.functions.literals import first_true
+from kinforge.operators.gazetteer import all_places, place_dimension, proximity, with_place
 from kinforge.operators.ranking import best_row, first_row, top_rows
 from kinforge.operators.tree import JOB, SLOT
 from kinforge.session import materialized
@@ -72,6 +73,11 @@ def block_candidates(targets: DataFrame, pool: DataFrame, keep: int = 10, reach:
 
 
 # Checks on a candidate ----------------------------------------------------------------------------
+def known_places(*tables: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """The dimension of all birth places of some tables."""
+    return place_dimension(all_places(*((t, "birth_place") for t in tables)), gazetteer)
+
+
 def with_family_years(anc: DataFrame) -> DataFrame:
     """Each slot with its own year and place, its child's, and the subject's year of its tree."""
     base = anc.select(*KEY, "gen", "person_id", "name", "birth_place", date_year(F.col("birth_date")).alias("year"),
@@ -81,41 +87,42 @@ def with_family_years(anc: DataFrame) -> DataFrame:
     return base.withColumn("_c", slots.child_of(F.col(SLOT))).join(kid, [JOB, "_c"], "left").drop("_c").join(root, JOB, "left")
 
 
-def candidate_rows(cand: DataFrame, verify: DataFrame | None = None) -> DataFrame:
+def candidate_rows(cand: DataFrame, dimension: DataFrame, verify: DataFrame | None = None) -> DataFrame:
     """Candidates with the fields the checks read, and primary sources if given."""
-    c = cand.select(*KEY, "rnk", "person_id", F.col("given_name").alias("c_given"), F.col("surname").alias("c_surname"), F.col("gender").alias("c_gender"), F.col("birth_date").alias("c_birth"),
-                    date_year(F.col("birth_date")).alias("c_year"), places.sanitize_place(F.col("birth_place")).alias("c_place"),
-                    *[x for x in ("has_parents", "sources_hidden", "civil_confirmed") if x in cand.columns])
+    placed = with_place(cand, dimension, "birth_place", c_place="clean", c_seat="clean_seat", c_foreign="foreign", c_home="home")
+    c = placed.select(*KEY, "rnk", "person_id", F.col("given_name").alias("c_given"), F.col("surname").alias("c_surname"), F.col("gender").alias("c_gender"), F.col("birth_date").alias("c_birth"),
+                    date_year(F.col("birth_date")).alias("c_year"),
+                    F.coalesce("c_place", F.lit("")).alias("c_place"), "c_seat", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("c_foreign", "c_home")], *[x for x in ("has_parents", "sources_hidden", "civil_confirmed") if x in cand.columns])
     if verify is None:
         return c.withColumn("primary_count", F.lit(0))
     v = verify.select("person_id", "primary_count")
     return c.join(v, "person_id", "left").withColumn("primary_count", F.coalesce("primary_count", F.lit(0)))
 
 
-def link_known_people(anc: DataFrame, cand: DataFrame, verify: DataFrame, top_slot: int = 15) -> DataFrame:
+def link_known_people(anc: DataFrame, cand: DataFrame, verify: DataFrame, top_slot: int = 15, gazetteer: DataFrame | None = None) -> DataFrame:
     """Best search result for every slot the customer gave that is not linked yet.
 
     All filters are columns over one join of candidates to their slot; the winner is an aggregate.
     The slot's own year counts first, then the year estimated from its child, then from the subject.
     """
     want = with_family_years(anc).where((F.col(SLOT) <= top_slot) & (F.coalesce("person_id", F.lit("")) == "")).drop("person_id")
-    rows = exclude_rejected(candidate_rows(cand, verify), rejected_people(cand)).join(want, KEY)
+    dimension = known_places(anc, cand, gazetteer=gazetteer)
+    rows = exclude_rejected(candidate_rows(cand, dimension, verify), rejected_people(cand)).join(want, KEY)
     own, cy, est = F.col("year"), F.col("c_year"), F.col("child_year") - GENERATION_YEARS
     est = F.when(own.isNull() & (F.col(SLOT) > 1), est)
     expected = F.coalesce(own, est, F.when(F.col("gen") >= 1, F.col("subject_year") - F.col("gen") * GENERATION_YEARS))
     ref = F.when(F.col("birth_place") != "", F.col("birth_place")).otherwise(F.coalesce("child_place", F.lit("")))
     placed, common = F.col("c_place") != "", names.is_common_surname(F.col("surname"))
-    county, ref_county = places.resolve_county(F.col("c_place")), places.resolve_county(ref)
-    rows = rows.withColumns({"_county": county, "_ref": ref_county, "_common": common, "_expected": expected})
-    common, prox = F.col("_common"), places.county_proximity(F.col("_county"), F.col("_ref"))
-    expected, both_placed = F.col("_expected"), placed & (ref != "")
+    rows = with_place(rows.withColumns({"_ref": ref, "_common": common, "_expected": expected}), dimension, "_ref", _ref_seat="seat")
+    common, prox = F.col("_common"), proximity(F.col("c_seat"), F.col("_ref_seat"))
+    expected, both_placed = F.col("_expected"), placed & (F.col("_ref") != "")
     tolerance = F.when(F.col("gen") >= 3, 8).otherwise(5)
 
     def unless(bad: Column) -> Column:
         return ~F.coalesce(bad, F.lit(False))
 
     passes = (
-        unless(places.clearly_foreign(F.col("c_place")))
+        unless(F.col("c_foreign"))
         & names.names_similar(F.substring_index("c_given", " ", 1), F.col("given"))
         & names.surnames_compatible(F.col("c_surname"), F.col("surname"))
         & unless(F.abs(own - cy) > tolerance)
@@ -123,7 +130,7 @@ def link_known_people(anc: DataFrame, cand: DataFrame, verify: DataFrame, top_sl
         & unless(own.isNull() & (F.abs(cy - expected) > 35))
         & unless(own.isNull() & cy.isNull() & est.isNotNull() & (common | ~placed))
         & unless(both_placed & (prox == "distant"))
-        & unless(both_placed & F.col("_county").isNull() & F.col("_ref").isNotNull())
+        & unless(both_placed & F.col("c_seat").isNull() & F.col("_ref_seat").isNotNull())
         & unless(common & (F.col("primary_count") < 2)))
     score = (
         F.lit(50) + F.coalesce(F.greatest(F.lit(0), 30 - F.abs(cy - expected) * 3), F.lit(0)) + F.when(cy.isNotNull(), 15).otherwise(0) + F.when(placed, 10).otherwise(0)
@@ -132,43 +139,44 @@ def link_known_people(anc: DataFrame, cand: DataFrame, verify: DataFrame, top_sl
     return best_row(rows.where(passes).withColumn("score", score).select(*KEY, "person_id", "score", "rnk"), KEY, "score", [F.col("rnk")])
 
 
-def find_person(anc: DataFrame, cand: DataFrame) -> DataFrame:
+def find_person(anc: DataFrame, cand: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Person of every slot: its own link, else the first search result that passes.
     A blank birth year is estimated from the child."""
     base = with_family_years(anc)
     linked = base.where(F.coalesce("person_id", F.lit("")) != "").select(*KEY, "person_id", F.lit("linked").alias("how"))
     want = base.where((F.coalesce("person_id", F.lit("")) == "") & (F.col("given") != "") & (F.col("surname") != "")).drop("person_id")
-    rows = exclude_rejected(candidate_rows(cand), rejected_people(cand)).join(want, KEY)
+    dimension = known_places(anc, cand, gazetteer=gazetteer)
+    rows = with_place(exclude_rejected(candidate_rows(cand, dimension), rejected_people(cand)).join(want, KEY), dimension, "birth_place", own_seat="seat")
     year = F.coalesce("year", F.col("child_year") - GENERATION_YEARS)
     cy, placed = F.col("c_year"), F.col("c_place") != ""
-    distant = placed & (F.col("birth_place") != "") & F.coalesce(places.place_proximity(F.col("c_place"), F.col("birth_place")) == "distant", F.lit(False))
-    ok = (~places.clearly_foreign(F.col("c_place")) & names.names_similar(F.col("given"), F.col("c_given")) & names.surnames_compatible(F.col("c_surname"), F.col("surname"))
+    distant = placed & (F.col("birth_place") != "") & F.coalesce(proximity(F.col("c_seat"), F.col("own_seat")) == "distant", F.lit(False))
+    ok = (~F.col("c_foreign") & names.names_similar(F.col("given"), F.col("c_given")) & names.surnames_compatible(F.col("c_surname"), F.col("surname"))
           & ~F.coalesce(F.abs(year - cy) > 5, F.lit(False)) & ~F.coalesce((year >= REGISTRATION) & cy.isNull(), F.lit(False)) & ~distant)
     found = first_row(rows.where(ok).select(*KEY, "person_id", "rnk"), KEY, [F.col("rnk")]).select(*KEY, "person_id", F.lit("searched").alias("how"))
     return linked.unionByName(found)
 
 
-def parent_checks(p_gender: Column, p_year: Column, p_death: Column, p_place: Column, c_year: Column, c_place: Column, expected: Column) -> dict[str, Column]:
-    """Columns of the parent check: what is wrong, and how near the counties lie."""
+def parent_checks(p_gender: Column, p_year: Column, p_death: Column, p_foreign: Column, p_seat: Column, c_year: Column, c_seat: Column, expected: Column) -> dict[str, Column]:
+    """Columns of the parent check: what is wrong, and how near the counties lie. Blank places have no seat."""
     gap = c_year - p_year
     sex = F.lower(p_gender)
     bad_sex = (sex != "") & (sex != F.lower(expected))
     bad_gap = (gap < YOUNGEST) | (gap > OLDEST)
     dead = p_death < c_year - 1
     wrong = {
-        "gender": bad_sex, "birth gap": bad_gap, "died before birth": dead, "foreign": (p_place != "") & places.clearly_foreign(p_place),
+        "gender": bad_sex, "birth gap": bad_gap, "died before birth": dead, "foreign": p_foreign,
     }
     reasons = F.concat_ws(", ", *[F.when(F.coalesce(b, F.lit(False)), F.lit(k)) for k, b in wrong.items()])
-    near = F.when((p_place != "") & (c_place != ""), places.place_proximity(p_place, c_place))
-    return {"reasons": reasons, "valid": reasons == "", "proximity": near}
+    return {"reasons": reasons, "valid": reasons == "", "proximity": proximity(p_seat, c_seat)}
 
 
-def validate_parents(anc: DataFrame) -> DataFrame:
+def validate_parents(anc: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Every filled parent slot checked against its child."""
-    base = anc.select(*KEY, "gender", date_year(F.col("birth_date")).alias("year"), date_year(F.col("death_date")).alias("death"), places.sanitize_place(F.col("birth_place")).alias("place"))
-    kid = base.select(JOB, F.col(SLOT).alias("_c"), F.col("year").alias("child_year"), F.col("place").alias("child_place"))
+    placed = with_place(anc, known_places(anc, gazetteer=gazetteer), "birth_place", seat="clean_seat", foreign="foreign")
+    base = placed.select(*KEY, "gender", date_year(F.col("birth_date")).alias("year"), date_year(F.col("death_date")).alias("death"), "seat", "foreign")
+    kid = base.select(JOB, F.col(SLOT).alias("_c"), F.col("year").alias("child_year"), F.col("seat").alias("child_seat"))
     both = base.where(F.col(SLOT) > 1).withColumn("_c", slots.child_of(F.col(SLOT))).join(kid, [JOB, "_c"])
-    checks = parent_checks(F.col("gender"), F.col("year"), F.col("death"), F.col("place"), F.col("child_year"), F.col("child_place"), slots.expected_gender(F.col(SLOT)))
+    checks = parent_checks(F.col("gender"), F.col("year"), F.col("death"), F.col("foreign"), F.col("seat"), F.col("child_year"), F.col("child_seat"), slots.expected_gender(F.col(SLOT)))
     return both.select(*KEY, *[v.alias(k) for k, v in checks.items()])
 
 
@@ -212,34 +220,41 @@ def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> Dat
     return picks.select(JOB, F.col("_x.slot").alias(SLOT), F.col("_x.person_id").alias("person_id"), F.col("_x.rnk").alias("rnk"))
 
 
+def people_facts(people: DataFrame, dimension: DataFrame) -> DataFrame:
+    """job, person and what the parent check reads of it."""
+    placed = with_place(people.where("person_id <> ''"), dimension, "birth_place", p_place="clean", p_seat="clean_seat", p_foreign="foreign")
+    return placed.select(JOB, "person_id", "name", F.col("gender").alias("p_gender"), date_year(F.col("birth_date")).alias("p_year"), date_year(F.col("death_date")).alias("p_death"),
+                         F.coalesce("p_place", F.lit("")).alias("p_place"), "p_seat", "p_foreign")
+
+
 # Discovery -------------------------------------------------------------------------------------------
-def parent_facts(anc_people: DataFrame, parents: DataFrame, verify: DataFrame) -> DataFrame:
+def parent_facts(anc_people: DataFrame, parents: DataFrame, verify: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Recorded parents with the fields their check reads: (job, child_id, is_father, person...)."""
     long = parents.select(JOB, "child_id", F.explode(F.array(F.struct(F.lit(True).alias("is_father"), F.col("father_id").alias("person_id")), F.struct(F.lit(False).alias("is_father"), F.col("mother_id").alias("person_id")))).alias("_p")).select(JOB, "child_id", "_p.*").where("person_id is not null")
-    who = anc_people.where("person_id <> ''").select(JOB, "person_id", "name", F.col("gender").alias("p_gender"), "birth_date", date_year(F.col("birth_date")).alias("p_year"), date_year(F.col("death_date")).alias("p_death"), places.sanitize_place(F.col("birth_place")).alias("p_place"))
+    who = people_facts(anc_people, known_places(anc_people, gazetteer=gazetteer))
     return long.join(who, [JOB, "person_id"]).join(verify.select("person_id", "primary_count"), "person_id", "left").withColumn("primary_count", F.coalesce("primary_count", F.lit(0)))
 
 
 def discover_parents(start: DataFrame, facts: DataFrame, used: DataFrame, filled: DataFrame, generations: int) -> DataFrame:
     """Recorded parents of the starting slots, then of those found, one generation a round.
 
-    ``start``: job, slot, person_id, year, place of the slots whose parents are wanted. ``filled``: slots
+    ``start``: job, slot, person_id, year, seat of the slots whose parents are wanted. ``filled``: slots
     that must not be overwritten. Each round is one join to the parent facts, written out before the next.
     Distant parents need four primary sources.
     """
     facts = materialized(facts)
     taken = materialized(used.select(JOB, "person_id").distinct())
     held = filled.select(*KEY)
-    frontier, found = start.select(*KEY, "person_id", "year", "place"), None
+    frontier, found = start.select(*KEY, "person_id", "year", "seat"), None
     for _ in range(generations):
-        kids = frontier.select(JOB, F.col(SLOT).alias("_kid"), F.col("person_id").alias("child_id"), F.col("year").alias("_y"), F.col("place").alias("_pl"))
+        kids = frontier.select(JOB, F.col(SLOT).alias("_kid"), F.col("person_id").alias("child_id"), F.col("year").alias("_y"), F.col("seat").alias("_seat"))
         got = kids.join(facts, [JOB, "child_id"]).withColumn(SLOT, F.when(F.col("is_father"), F.col("_kid") * 2).otherwise(F.col("_kid") * 2 + 1))
         expected = F.when(F.col("is_father"), "Male").otherwise("Female")
-        checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_place"), F.col("_y"), F.col("_pl"), expected)
+        checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_foreign"), F.col("p_seat"), F.col("_y"), F.col("_seat"), expected)
         far = F.coalesce(checks["proximity"] == "distant", F.lit(False)) & (F.col("primary_count") < 4)
         ok = got.where(checks["valid"] & ~far & (F.col(SLOT) < 2 ** (generations + 1))).join(held, KEY, "left_anti")
         method = F.when(F.col("primary_count") > 0, "tree_parents_verified").otherwise("tree_parents_unverified")
-        new = once_per_tree(ok.select(*KEY, "person_id", "name", F.col("p_year").alias("year"), F.col("p_place").alias("place"), "primary_count", method.alias("discovery_method")), taken)
+        new = once_per_tree(ok.select(*KEY, "person_id", "name", F.col("p_year").alias("year"), F.col("p_place").alias("place"), F.col("p_seat").alias("seat"), "primary_count", method.alias("discovery_method")), taken)
         new = materialized(new)
         found = new if found is None else found.unionByName(new)
         taken = taken.unionByName(new.select(JOB, "person_id"))
@@ -254,19 +269,20 @@ def min_primary_sources(gen: Column, cand_year: Column, common: Column, known_gi
     return F.when(distant, F.greatest(base, floor)).otherwise(base)
 
 
-def passing_parents(empty: DataFrame, cand: DataFrame, verify: DataFrame) -> DataFrame:
+def passing_parents(empty: DataFrame, cand: DataFrame, verify: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Search results that may fill an empty slot.
 
     ``empty``: job, slot, child_year, child_place, search_surname, known_given. Where a candidate's sources
     cannot be seen (``sources_hidden``) a known given name, a civil confirmation or a rare surname of an
     early generation stands in for them.
     """
-    rows = exclude_rejected(candidate_rows(cand, verify), rejected_people(cand)).join(empty, KEY)
+    dimension = place_dimension(all_places((cand, "birth_place"), (empty, "child_place")), gazetteer)
+    rows = with_place(exclude_rejected(candidate_rows(cand, dimension, verify), rejected_people(cand)).join(empty, KEY), dimension, "child_place", child_seat="seat")
     slot, gen = F.col(SLOT), slots.generation(F.col(SLOT))
     cy, ky, place = F.col("c_year"), F.col("child_year"), F.col("c_place")
     mother = ~slots.is_father(slot)
     expected = slots.expected_gender(slot)
-    checks = parent_checks(F.col("c_gender"), cy, F.lit(None).cast("int"), place, ky, F.col("child_place"), expected)
+    checks = parent_checks(F.col("c_gender"), cy, F.lit(None).cast("int"), F.col("c_foreign"), F.col("c_seat"), ky, F.col("child_seat"), expected)
     known = F.col("known_given") != ""
     common = names.is_common_surname(F.col("search_surname"))
     distant = F.coalesce(checks["proximity"] == "distant", F.lit(False))
@@ -274,31 +290,33 @@ def passing_parents(empty: DataFrame, cand: DataFrame, verify: DataFrame) -> Dat
     confirmed = F.coalesce("civil_confirmed", F.lit(False)) if "civil_confirmed" in cand.columns else F.lit(False)
     unseen = ~distant & F.when(known, names.names_similar(F.col("c_given"), F.col("known_given"))).otherwise(confirmed | (~common & (gen >= 4)))
     seen = F.col("primary_count") >= min_primary_sources(gen, cy, common, known, distant, mother)
-    ok = (((place == "") | (~places.looks_foreign(place) & places.looks_uk(place))) & checks["valid"]
+    ok = (((place == "") | F.col("c_home")) & checks["valid"]
           & (mother | names.surnames_compatible(F.col("c_surname"), F.col("search_surname"))) & ~F.coalesce((ky >= REGISTRATION) & cy.isNull(), F.lit(False)) & F.when(hidden, unseen).otherwise(seen))
     method = F.when(hidden, "direct_search_unverified").otherwise("direct_search_verified")
     return rows.where(ok).select(*KEY, "person_id", "rnk", method.alias("discovery_method"))
 
 
-def direct_parent_search(empty: DataFrame, cand: DataFrame, verify: DataFrame, used: DataFrame) -> DataFrame:
+def direct_parent_search(empty: DataFrame, cand: DataFrame, verify: DataFrame, used: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Empty slots filled by search, in slot order, nobody twice in a tree."""
-    passing = materialized(passing_parents(empty, cand, verify))
+    passing = materialized(passing_parents(empty, cand, verify, gazetteer))
     got = ordered_assignment(passing, used)
     return got.join(passing.groupBy(*KEY, "person_id").agg(F.min_by("discovery_method", "rnk").alias("discovery_method")), [*KEY, "person_id"])
 
 
-def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: DataFrame, people: DataFrame, verify: DataFrame, used: DataFrame, rejected: DataFrame) -> DataFrame:
+def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: DataFrame, people: DataFrame, verify: DataFrame, used: DataFrame, rejected: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Empty mother slots filled from the father's recorded female spouses.
 
     ``need``: job, slot (the mother's), child_year, child_place. ``father_ids``: job, slot (the father's), person_id.
     """
     men = father_ids.select(JOB, (F.col(SLOT) + 1).alias(SLOT), F.col("person_id").alias("man_id"))
     wives = spouse_rows.select(JOB, F.col("person_id").alias("man_id"), F.col("spouse_id").alias("person_id"))
-    who = people.where("person_id <> ''").select(JOB, "person_id", "name", F.col("gender").alias("p_gender"), date_year(F.col("birth_date")).alias("p_year"), date_year(F.col("death_date")).alias("p_death"), places.sanitize_place(F.col("birth_place")).alias("p_place"))
+    dimension = place_dimension(all_places((people, "birth_place"), (need, "child_place")), gazetteer)
+    who = people_facts(people, dimension)
+    need = with_place(need, dimension, "child_place", child_seat="seat")
     rows = need.join(men, KEY).join(wives, [JOB, "man_id"]).join(who, [JOB, "person_id"])
     rows = exclude_rejected(rows, rejected).join(verify.select("person_id", "primary_count"), "person_id", "left")
     gen = slots.generation(F.col(SLOT))
-    checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_place"), F.col("child_year"), F.col("child_place"), F.lit("Female"))
+    checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_foreign"), F.col("p_seat"), F.col("child_year"), F.col("child_seat"), F.lit("Female"))
     base = first_true([(F.col("p_year") < REGISTRATION, 0), (gen >= 4, 1)], 2)
     least = F.when(F.coalesce(checks["proximity"] == "distant", F.lit(False)), F.greatest(base, F.when(gen >= 4, 2).otherwise(4))).otherwise(base)
     # Recorded order of spouses is the order of their ids, by which the assignment breaks ties.
@@ -315,7 +333,7 @@ def most_lost(need: DataFrame, *lost: DataFrame) -> int:
     return every.groupBy(JOB).count().agg(F.max("count")).first()[0] or 0
 
 
-def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, used: DataFrame) -> DataFrame:
+def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, used: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Mother by a discovered surname: the first fitting person within fifteen years, else a placeholder.
 
     ``need``: job, slot (the mother's), maiden_name, child_year, child_place. People fit by surname, gender and
@@ -326,13 +344,12 @@ def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, us
     reach, keep = 15, most_lost(need, rejected, used) + 1
     sign = ["s", "y", "d", "cc"]
 
-    def county(place: Column) -> Column:
-        return F.coalesce(places.resolve_county(place), F.lit(""))
-
-    asked = need.select(*KEY, F.lower("maiden_name").alias("s"), (F.col("child_year") - 26).alias("y"), F.lower(places.district_of(F.col("child_place"))).alias("d"), county(F.col("child_place")).alias("cc")).where("s <> '' and y is not null")
-    p_place = places.sanitize_place(F.col("place"))
-    fit = pool.where(F.coalesce("gender", F.lit("")).isin("", "Female") & ~places.clearly_foreign(p_place) & F.col("year").isNotNull())
-    fit = fit.select("person_id", F.lower("surname").alias("s"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d"), county(p_place).alias("pc"))
+    dimension = place_dimension(all_places((need, "child_place"), (pool, "place")), gazetteer)
+    need_at, pool_at = with_place(need, dimension, "child_place", _seat="seat"), with_place(pool, dimension, "place", _seat="clean_seat", _foreign="foreign")
+    county = F.coalesce("_seat.county", F.lit(""))
+    asked = need_at.select(*KEY, F.lower("maiden_name").alias("s"), (F.col("child_year") - 26).alias("y"), F.lower(places.district_of(F.col("child_place"))).alias("d"), county.alias("cc")).where("s <> '' and y is not null")
+    fit = pool_at.where(F.coalesce("gender", F.lit("")).isin("", "Female") & ~F.coalesce("_foreign", F.lit(False)) & F.col("year").isNotNull())
+    fit = fit.select("person_id", F.lower("surname").alias("s"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d"), county.alias("pc"))
     opened = asked.select(*sign).distinct().withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
 
     def met(asking: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from kinforge.functions import evidence, names, places, slots
 from kinforge.functions import values as V
 from kinforge.functions.dates import date_year
 from kinforge.functions.literals import first_true
+from kinforge.operators.gazetteer import place_dimension, proximity, with_place
 from kinforge.operators.ranking import first_row
 from kinforge.session import materialized
 from kinforge.operators.tree import JOB, SLOT, earlier_same_county, with_child
@@ -121,26 +122,26 @@ def _is_customer(level):
     return level == "Customer Data"
 
 
-def with_places(anc: DataFrame, src: DataFrame, fact: DataFrame) -> DataFrame:
-    """Adds the best known place, its county and town. Customer rows keep the place they gave."""
-    return _placed(attach_person(anc, source_summary(src), fact_summary(fact)))
+def with_places(anc: DataFrame, src: DataFrame, fact: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Adds the best known place, its county, seat and town. Customer rows keep the place they gave."""
+    return _placed(attach_person(anc, source_summary(src), fact_summary(fact)), gazetteer)
 
 
-def _placed(looked_up: DataFrame) -> DataFrame:
+def _placed(looked_up: DataFrame, gazetteer: DataFrame | None) -> DataFrame:
     given = F.when(F.col("birth_place") != "", F.col("birth_place"))
     found = F.when(~_is_customer(F.col("confidence_level")), F.coalesce("fact_place", "citation_place"))
-    placed = looked_up.withColumn("place", F.coalesce(given, found))
-    parts = places.parse_place(F.col("place"))
-    read = F.struct(parts["county"].alias("stated_county"), parts["town"].alias("town"), places.resolve_county(F.col("place")).alias("_resolved"))
-    return placed.select("*", F.inline(F.array(read))).withColumn("county", F.coalesce("stated_county", "_resolved")).drop("_resolved")
+    # Written once: the dimension and the rows it is joined to both read it.
+    placed = materialized(looked_up.withColumn("place", F.coalesce(given, found)))
+    dimension = place_dimension(placed.select("place"), gazetteer)
+    return with_place(placed, dimension, "place", stated_county="stated_county", town="town", seat="stated_seat").withColumn("county", F.col("seat.county"))
 
 
 def place_date_points(placed: DataFrame) -> DataFrame:
     """Place and date agreement with the child: county, town, age gap, county seen earlier in the generation."""
     dated = placed.withColumn("year", date_year(F.col("birth_date")))
     seen = earlier_same_county(dated)
-    both = with_child(seen, ["county", "town", "year", "surname", "confidence_level", "name"])
-    prox = places.county_proximity(F.col("county"), F.col("child_county"))
+    both = with_child(seen, ["seat", "town", "year", "surname", "confidence_level", "name"])
+    prox = proximity(F.col("seat"), F.col("child_seat"))
     town = F.when(F.col("town") == F.col("child_town"), 3).otherwise(0)
     where = first_true([(prox == "same", F.lit(5) + town), (prox == "adjacent", 2), (prox == "distant", -15)], 0)
     gap = F.col("child_year") - F.col("year")
@@ -169,15 +170,15 @@ def _gate(score, has_surname, has_year, has_place):
     return F.when(~has_surname & ~has_year & ~has_place, F.least(capped, F.lit(35))).otherwise(capped)
 
 
-def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame) -> DataFrame:
+def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Confidence of every slot from sources, facts, family and place.
 
     Everything but the child's own score is computed flat. The one sequential dependence, the
     child's score feeding its parents, is a fold over the slots of one tree in slot order
     (each tree at most 2^(g+1) - 1 rows), so the generations cost one shuffle, not one each.
     """
-    placed = with_places(anc, src, fact).select(
-        JOB, SLOT, "gen", PERSON, "name", "surname", "birth_date", "confidence_level", "discovery_method", "source_points", "fact_points", "place", "stated_county", "town", "county")
+    placed = with_places(anc, src, fact, gazetteer).select(
+        JOB, SLOT, "gen", PERSON, "name", "surname", "birth_date", "confidence_level", "discovery_method", "source_points", "fact_points", "place", "stated_county", "town", "seat", "county")
     # Both a slot and its child are read from here: written once, the citations and facts are aggregated once.
     flat = place_date_points(materialized(placed))
     customer, has_child = _is_customer(F.col("confidence_level")), F.col("child_name").isNotNull() & (F.col(SLOT) > 1)
