@@ -55,7 +55,7 @@ def _birth_searches(anc):
 
 
 _SEARCHES = f"""q AS (SELECT DISTINCT lower(surname) AS surname_key, lower(given_name) AS given_key, {D.year('birth_date')} - 1 AS year_from, {D.year('birth_date')} + 1 AS year_to, '' AS district_key FROM fx_anc WHERE {D.year('birth_date')} IS NOT NULL),
-hit AS (SELECT q.*, e.* FROM q JOIN fx_civil e ON e.entry_type = 'birth' AND lower(e.surname) = q.surname_key AND {D.first_word('e.forenames')} = q.given_key AND e.year BETWEEN q.year_from AND q.year_to)"""
+hit AS (SELECT q.*, e.* FROM q JOIN fx_civil e ON e.entry_type = 'birth' AND lower(e.surname) = q.surname_key AND {D.has_name('e.forenames', 'q.given_key')} AND e.year BETWEEN q.year_from AND q.year_to)"""
 
 
 @query("civil_search", "fx_anc", "fx_civil", sql=f"""WITH {_SEARCHES}
@@ -80,15 +80,15 @@ def _best_sql(asked: str, etype: str, score: str, on: str, at: int, extra: str =
             f") z) y WHERE fits AND score >= {at}) x WHERE rn = 1)")
 
 
-_ON_NAME = "lower(e.surname) = lower(a.last) AND " + D.first_word("e.forenames") + " = lower(a.first)"
+_ON_NAME = "lower(e.surname) = lower(a.last) AND " + D.has_name("e.forenames", "a.first")
 _BIRTH = _best_sql("(SELECT * FROM p WHERE by_ BETWEEN 1837 AND 1983)", "birth",
-                   "40 + CASE WHEN starts_with(lower(e.forenames), lower(a.first)) THEN 30 ELSE 0 END + CASE WHEN e.year = a.by_ THEN 20 ELSE 10 END + CASE WHEN a.birth_place <> '' AND (contains(lower(a.birth_place), lower(e.district)) OR contains(lower(e.district), lower(a.birth_place))) THEN 10 ELSE 0 END",
+                   "40 + CASE WHEN starts_with(lower(e.forenames), lower(a.first)) THEN 30 WHEN contains(lower(a.first), lower(e.forenames)) OR contains(lower(e.forenames), lower(a.first)) THEN 20 ELSE 0 END + CASE WHEN e.year = a.by_ THEN 20 ELSE 10 END + CASE WHEN a.birth_place <> '' AND (contains(lower(a.birth_place), lower(e.district)) OR contains(lower(e.district), lower(a.birth_place))) THEN 10 ELSE 0 END",
                    _ON_NAME + " AND e.year BETWEEN a.by_ - 1 AND a.by_ + 1", 50)
 _DEATH = _best_sql("(SELECT * FROM p WHERE dy BETWEEN 1837 AND 1983)", "death",
                    "40 + CASE WHEN starts_with(lower(e.forenames), lower(a.first)) THEN 30 ELSE 0 END + CASE WHEN e.year = a.dy THEN 20 ELSE 0 END",
                    _ON_NAME + " AND e.year BETWEEN a.dy - 1 AND a.dy + 1", 50)
 _COUPLES = "cp AS (SELECT a.*, s.last AS spouse_last, greatest(a.by_ + 16, coalesce(s.by_, a.by_) + 16) AS yf, least(a.by_ + 45, coalesce(a.dy, a.by_ + 45)) AS yt FROM p a JOIN p s ON s.job_id = a.job_id AND a.asc_no > 1 AND s.asc_no = xor(a.asc_no, 1) WHERE a.by_ IS NOT NULL)"
-_WED = _best_sql("cp", "marriage", "30 + CASE WHEN starts_with(lower(e.forenames), lower(a.first)) THEN 25 ELSE 0 END + CASE WHEN e.spouse_surname <> '' AND lower(e.spouse_surname) = lower(a.spouse_last) THEN 50 WHEN e.spouse_surname <> '' AND contains(lower(a.spouse_last), lower(e.spouse_surname)) THEN 25 ELSE 0 END",
+_WED = _best_sql("cp", "marriage", "30 + CASE WHEN starts_with(lower(e.forenames), lower(a.first)) THEN 25 WHEN contains(lower(a.first), lower(e.forenames)) THEN 15 ELSE 0 END + CASE WHEN e.spouse_surname <> '' AND lower(e.spouse_surname) = lower(a.spouse_last) THEN 50 WHEN e.spouse_surname <> '' AND contains(lower(a.spouse_last), lower(e.spouse_surname)) THEN 25 ELSE 0 END",
                  _ON_NAME + " AND e.year BETWEEN a.yf AND a.yt", 45)
 
 
@@ -168,7 +168,8 @@ _NEED = f"""n0 AS (SELECT a.job_id, a.asc_no, a.given_name AS given, a.surname A
   FROM fx_anc a LEFT JOIN fx_anc f ON f.job_id = a.job_id AND f.asc_no = 2 * a.asc_no LEFT JOIN fx_anc m ON m.job_id = a.job_id AND m.asc_no = 2 * a.asc_no + 1 WHERE a.gen < 6 AND (f.name IS NULL OR m.name IS NULL)),
 dm AS (SELECT dt, {_resolved('dt')} AS dk FROM (SELECT DISTINCT dt FROM n0) u), need AS (SELECT n0.*, dm.dk FROM n0 JOIN dm ON dm.dt = n0.dt)"""
 _IN_D = "(a.dk = '' OR a.dk = e.district)"
-_MAIDEN = _best_sql("(SELECT * FROM need WHERE mother_name IS NULL AND y BETWEEN 1911 AND 1983)", "birth", "1", _ON_NAME + " AND e.year BETWEEN a.y - 1 AND a.y + 1 AND " + _IN_D, 1, "e.spouse_surname <> ''")
+_MAIDEN = _best_sql("(SELECT * FROM need WHERE mother_name IS NULL AND y BETWEEN 1911 AND 1983)", "birth", "1", _ON_NAME + " AND e.year BETWEEN a.y - 1 AND a.y + 1 AND " + _IN_D, 1,
+                    f"e.spouse_surname <> '' AND (starts_with(lower(e.forenames), lower(a.given)) OR {D.similar(D.first_word('e.forenames'), 'a.given')})")
 
 
 @query("maiden_name_discovery", "fx_anc", "fx_civil", sql=f"WITH {_NEED} SELECT job_id, asc_no, e_spouse AS maiden_name, e_year AS entry_year, entry_id FROM {_MAIDEN} b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinforge.functions import values as V
+from kinforge.functions.names import SPELLING_RULES
 
 
 def q(text: str) -> str:
@@ -104,6 +105,23 @@ def first_word(c: str) -> str:
     return f"split_part(lower(trim({c})), ' ', 1)"
 
 
+def has_name(forenames: str, name: str) -> str:
+    """Whether a name is one of the forenames."""
+    return f"list_contains(string_split(lower(trim({forenames})), ' '), lower({name}))"
+
+
+def spelt(s: str) -> str:
+    """The spelling variants of a lower-case surname, in order."""
+    made = []
+    for rule, to in SPELLING_RULES:
+        if rule == "(?<!t)t(?!h)":
+            made.append(f"regexp_replace({s}, '^(|.*?[^t])t([^h]|$)', '\\1th\\2')")
+        else:
+            made.append(f"regexp_replace({s}, '{rule}', '{to}')")
+    every = "[" + ", ".join(made) + "]"
+    return f"list_filter({every}, lambda v, i: v <> {s} AND length(v) > 2 AND list_position({every}, v) = i)"
+
+
 def similar(a: str, b: str) -> str:
     pairs = ["|".join(p) for p in V.diminutive_pairs()]
     return (

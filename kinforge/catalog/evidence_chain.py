@@ -42,16 +42,16 @@ _PPL = f"""p0 AS (SELECT a.job_id, a.asc_no, a.gen, a.confidence_level, a.given_
  FROM fx_anc a LEFT JOIN fx_anc f ON f.job_id = a.job_id AND f.asc_no = 2 * a.asc_no LEFT JOIN fx_anc m ON m.job_id = a.job_id AND m.asc_no = 2 * a.asc_no + 1),
 dm AS (SELECT dt, {_resolved('dt')} AS dk FROM (SELECT DISTINCT dt FROM p0) u), pl AS (SELECT p0.*, dm.dk FROM p0 JOIN dm ON dm.dt = p0.dt)"""
 
-_VARS = "CASE s WHEN 'smith' THEN ['smithe', 'smit'] WHEN 'ahlfors' THEN ['ahlforse', 'ahlphors'] WHEN 'hunt' THEN ['hunte', 'hunth'] WHEN 'skinner' THEN ['skinnere'] WHEN 'jackson' THEN ['jacksone', 'jacksen'] WHEN 'macdonald' THEN ['mcdonald', 'macdonalde'] ELSE ['jelleye', 'jelleyey'] END"
+_VARS = D.spelt('s')
 _PASSES = f"""q AS (SELECT DISTINCT lower(surname) AS s, lower(given) AS g, y - 5 AS y0, y + 5 AS y1, lower(dk) AS d FROM pl WHERE y IS NOT NULL),
-bi AS (SELECT *, lower(surname) AS ls, {D.first_word('forenames')} AS lg, lower(district) AS ld FROM fx_civil WHERE entry_type = 'birth'),
-n1 AS (SELECT q.*, 1 AS pass_no, 0 AS nth, bi.* FROM q JOIN bi ON bi.ls = q.s AND bi.lg = q.g AND bi.year BETWEEN q.y0 AND q.y1 AND (q.d = '' OR q.d = bi.ld)),
+bi AS (SELECT *, lower(surname) AS ls, string_split(lower(trim(forenames)), ' ') AS lt, lower(district) AS ld FROM fx_civil WHERE entry_type = 'birth'),
+n1 AS (SELECT q.*, 1 AS pass_no, 0 AS nth, bi.* FROM q JOIN bi ON bi.ls = q.s AND list_contains(bi.lt, q.g) AND bi.year BETWEEN q.y0 AND q.y1 AND (q.d = '' OR q.d = bi.ld)),
 nw AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY s, g, y0, d) AS hits FROM n1) t),
 fq AS (SELECT q.* FROM q LEFT JOIN (SELECT s, g, y0, d, count(*) AS n FROM nw GROUP BY 1, 2, 3, 4) k ON k.s = q.s AND k.g = q.g AND k.y0 = q.y0 AND k.d = q.d WHERE coalesce(n, 0) < 3 AND q.d <> ''),
-br AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY s, g, y0, d) AS hits FROM (SELECT fq.*, 2 AS pass_no, 0 AS nth, bi.* FROM fq JOIN bi ON bi.ls = fq.s AND bi.lg = fq.g AND bi.year BETWEEN fq.y0 AND fq.y1) z) t),
+br AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY s, g, y0, d) AS hits FROM (SELECT fq.*, 2 AS pass_no, 0 AS nth, bi.* FROM fq JOIN bi ON bi.ls = fq.s AND list_contains(bi.lt, fq.g) AND bi.year BETWEEN fq.y0 AND fq.y1) z) t),
 nq AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.s = q.s AND nw.g = q.g AND nw.y0 = q.y0 AND nw.d = q.d) AND NOT EXISTS (SELECT 1 FROM br WHERE br.s = q.s AND br.g = q.g AND br.y0 = q.y0 AND br.d = q.d)),
 vq AS (SELECT *, unnest({_VARS}) AS v, generate_subscripts({_VARS}, 1) - 1 AS vn FROM nq),
-vr AS (SELECT vq.s, vq.g, vq.y0, vq.y1, vq.d, 3 AS pass_no, vq.vn AS nth, bi.*, 0 AS hits FROM vq JOIN bi ON bi.ls = vq.v AND bi.lg = vq.g AND bi.year BETWEEN vq.y0 AND vq.y1),
+vr AS (SELECT vq.s, vq.g, vq.y0, vq.y1, vq.d, 3 AS pass_no, vq.vn AS nth, bi.*, 0 AS hits FROM vq JOIN bi ON bi.ls = vq.v AND list_contains(bi.lt, vq.g) AND bi.year BETWEEN vq.y0 AND vq.y1),
 al AS (SELECT *, row_number() OVER (PARTITION BY s, g, y0, d, volume, page ORDER BY pass_no, nth, entry_id) AS again FROM (SELECT * FROM nw UNION ALL SELECT * FROM br UNION ALL SELECT * FROM vr) u),
 pu AS (SELECT * FROM al WHERE pass_no = 1 OR volume = '' OR again = 1)"""
 
@@ -101,7 +101,7 @@ def _gap_sql(y: str, e: str) -> str:
 def _couple_side(rows: str, who: str, given: str, spouse: str, side: int) -> str:
     return (f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY job_id, asc_no, hyp) AS hits, row_number() OVER (PARTITION BY job_id, asc_no, hyp ORDER BY score DESC, entry_id) AS rn FROM (SELECT a.job_id, a.asc_no, a.hyp, {side} AS side, e.entry_id, e.surname AS e_s, e.spouse_surname AS e_sp, e.year AS e_y, e.district AS e_d, "
             f"25 + CASE WHEN lower(e.spouse_surname) = lower({spouse}) THEN 30 ELSE 0 END + CASE WHEN {given} <> '' AND {D.similar('e.forenames', given)} THEN 15 ELSE 0 END + {_gap_sql('a.h_year', 'e.year')} + CASE WHEN lower(e.district) = lower(a.h_district) THEN 10 WHEN {D.district_match('lower(a.h_district)', 'e.district')} THEN 5 ELSE 0 END AS score "
-            f"FROM {rows} a JOIN fx_civil e ON e.entry_type = 'marriage' AND lower(e.surname) = lower({who}) AND ({given} = '' OR {D.first_word('e.forenames')} = {D.first_word(given)}) AND e.year BETWEEN a.h_year - 15 AND a.h_year AND lower(e.district) = lower(a.h_district)) z) t WHERE rn = 1")
+            f"FROM {rows} a JOIN fx_civil e ON e.entry_type = 'marriage' AND lower(e.surname) = lower({who}) AND ({given} = '' OR {D.has_name('e.forenames', D.first_word(given))}) AND e.year BETWEEN a.h_year - 15 AND a.h_year AND lower(e.district) = lower(a.h_district)) z) t WHERE rn = 1")
 
 
 _WED = f"""lv AS (SELECT mt.*, pl.fg, pl.mg, CASE WHEN mt.h_maiden <> '' THEN mt.h_maiden ELSE pl.ms END AS wife FROM mt JOIN pl ON pl.job_id = mt.job_id AND pl.asc_no = mt.asc_no WHERE status <> 'discarded'),
@@ -121,7 +121,7 @@ _CROSS = f"""cr AS (SELECT lv.job_id, lv.asc_no, lv.hyp, CASE WHEN lower(lv.h_su
   + CASE WHEN lv.h_year - wd.e_y BETWEEN 0 AND 15 THEN 10 ELSE 0 END AS crosscheck FROM lv JOIN wd ON wd.job_id = lv.job_id AND wd.asc_no = lv.asc_no AND wd.hyp = lv.hyp)"""
 
 _REINF = f"""dq AS (SELECT DISTINCT split_part(c_name, ' ', 1) AS f, split_part(c_name, ' ', -1) AS l, death_year AS dy FROM lv WHERE person_id IS NOT NULL AND death_year BETWEEN 1837 AND 1983),
-dc AS (SELECT f, l, dy, count(*) AS n, max(40 + CASE WHEN starts_with(lower(e.forenames), lower(f)) THEN 30 ELSE 0 END + CASE WHEN e.year = dy THEN 20 ELSE 0 END) AS best FROM dq JOIN fx_civil e ON e.entry_type = 'death' AND lower(e.surname) = lower(l) AND {D.first_word('e.forenames')} = lower(f) AND e.year BETWEEN dy - 1 AND dy + 1 GROUP BY 1, 2, 3),
+dc AS (SELECT f, l, dy, count(*) AS n, max(40 + CASE WHEN starts_with(lower(e.forenames), lower(f)) THEN 30 ELSE 0 END + CASE WHEN e.year = dy THEN 20 ELSE 0 END) AS best FROM dq JOIN fx_civil e ON e.entry_type = 'death' AND lower(e.surname) = lower(l) AND {D.has_name('e.forenames', 'f')} AND e.year BETWEEN dy - 1 AND dy + 1 GROUP BY 1, 2, 3),
 sw AS (SELECT DISTINCT lower(h_surname) AS s, lower(h_district) AS d, h_year AS y FROM lv), sc AS (SELECT sw.s, sw.d, sw.y, count(*) AS n FROM sw JOIN fx_civil e ON e.entry_type = 'birth' AND lower(e.surname) = sw.s AND lower(e.district) = sw.d AND abs(e.year - sw.y) <= 8 GROUP BY 1, 2, 3),
 re AS (SELECT lv.*, coalesce(lv.h_maiden <> '' AND EXISTS (SELECT 1 FROM fx_civil e WHERE e.entry_type = 'birth' AND lower(e.surname) = lower(lv.h_surname) AND lower(e.district) = lower(lv.h_district) AND lower(e.spouse_surname) = lower(lv.h_maiden) AND abs(e.year - lv.h_year) <= 8 AND (e.year <> lv.h_year OR lower(e.forenames) <> lower(lv.h_forenames))), false) AS sibling,
   coalesce(dc.best >= 50, false) AS death, lv.person_id IS NOT NULL AND len(list_filter(coalesce(lv.census, CAST([] AS INT[])), lambda v: len(list_filter(lv.census_seen, lambda e: abs(e - v) < 8)) = 0)) > 0 AS later_census
@@ -187,7 +187,7 @@ def lead_only(anc, civil, cand, fact):
 
 @query("enrich_known", *_CHAIN_IN, sql=f"""WITH {_PPL}, {_PASSES}, {_HYP}, {_HH},
 ku AS (SELECT * FROM pl WHERE confidence_level = 'Customer Data'),
-be AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, bi.entry_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY bi.entry_id) AS n FROM ku JOIN bi ON bi.ls = lower(ku.surname) AND bi.lg = {D.first_word('ku.given')} AND bi.year BETWEEN ku.y - 2 AND ku.y + 2 AND (ku.dk = '' OR bi.district = ku.dk) AND {D.similar('bi.forenames', 'ku.given')}) t WHERE n = 1),
+be AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, bi.entry_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY bi.entry_id) AS n FROM ku JOIN bi ON bi.ls = lower(ku.surname) AND list_contains(bi.lt, {D.first_word('ku.given')}) AND bi.year BETWEEN ku.y - 2 AND ku.y + 2 AND (ku.dk = '' OR bi.district = ku.dk) AND {D.similar('bi.forenames', 'ku.given')}) t WHERE n = 1),
 le AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, cd.person_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY cd.rnk) AS n FROM ku JOIN cd ON cd.job_id = ku.job_id AND cd.asc_no = ku.asc_no AND cd.rnk <= 3 AND NOT cd.rejected AND NOT ({D.foreign('cd.cpl')} AND NOT {D.uk('cd.cpl')}) AND {D.similar("split_part(cd.cg, ' ', 1)", 'ku.given')} AND NOT coalesce(abs(cd.cy - ku.y) > 5, false)) t WHERE n = 1)
 SELECT ku.job_id, ku.asc_no, 100 AS confidence, be.entry_id AS birth_entry, le.person_id AS lead_id FROM ku LEFT JOIN be ON be.job_id = ku.job_id AND be.asc_no = ku.asc_no LEFT JOIN le ON le.job_id = ku.job_id AND le.asc_no = ku.asc_no WHERE be.entry_id IS NOT NULL OR le.person_id IS NOT NULL""")
 def enrich_known(anc, civil, cand, fact):
@@ -206,7 +206,7 @@ def parent_profile(anc, civil):
 def _cm_side(rows: str, who: str, given: str, spouse: str, side: int, gap: str) -> str:
     return (f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY job_id, asc_no) AS hits, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY score DESC, entry_id) AS rn FROM (SELECT a.job_id, a.asc_no, {side} AS side, e.entry_id, e.year AS e_y, e.district AS e_d, "
             f"20 + CASE WHEN {given} <> '' AND {D.similar('e.forenames', given)} THEN 20 ELSE 0 END + CASE WHEN lower(e.spouse_surname) = lower({spouse}) THEN 30 ELSE 0 END + {gap} + CASE WHEN a.dt2 <> '' AND lower(e.district) = lower(a.dt2) THEN 10 WHEN {D.district_match('a.dt2', 'e.district')} THEN 5 ELSE 0 END AS score "
-            f"FROM {rows} a JOIN fx_civil e ON e.entry_type = 'marriage' AND lower(e.surname) = lower({who}) AND ({given} = '' OR {D.first_word('e.forenames')} = {D.first_word(given)}) AND e.year BETWEEN a.lo AND a.hi AND (a.dk2 = '' OR e.district = a.dk2)) z) t WHERE rn = 1")
+            f"FROM {rows} a JOIN fx_civil e ON e.entry_type = 'marriage' AND lower(e.surname) = lower({who}) AND ({given} = '' OR {D.has_name('e.forenames', D.first_word(given))}) AND e.year BETWEEN a.lo AND a.hi AND (a.dk2 = '' OR e.district = a.dk2)) z) t WHERE rn = 1")
 
 
 _G1 = "CASE WHEN a.ky IS NOT NULL THEN CASE WHEN a.ky - e.year BETWEEN 0 AND 5 THEN 15 WHEN a.ky - e.year BETWEEN 0 AND 10 THEN 10 WHEN a.ky - e.year BETWEEN 0 AND 15 THEN 5 ELSE 0 END WHEN e.year - a.y BETWEEN 20 AND 35 THEN 10 ELSE 0 END"

@@ -33,7 +33,7 @@ def _num(col="person_id"):
 
 
 @query("name_parts_explode", "fx_anc", sql="""
-SELECT row_id, unnest(CASE WHEN row_id % 3 = 0 THEN [surname, 'Griffin'] ELSE [surname] END) AS part FROM fx_anc""")
+SELECT row_id, unnest(string_split(surname, '-') || CASE WHEN row_id % 3 = 0 THEN ['Griffin'] ELSE [] END) AS part FROM fx_anc""")
 def name_parts_explode(anc):
     double = F.when(c("row_id") % 3 == 0, F.concat("surname", F.lit("-Griffin"))).otherwise(c("surname"))
     return anc.select("row_id", F.explode(names.surname_halves(double)).alias("part"))
@@ -46,9 +46,10 @@ def newly_found(anc):
 
 _SIG = f"""t AS (SELECT job_id, asc_no, lower(surname) AS s, lower(given_name) AS g, {D.year('birth_date')} AS y, lower({D.district('birth_place')}) AS d FROM fx_anc WHERE person_id = '' AND {D.year('birth_date')} IS NOT NULL),
 p AS (SELECT person_id, lower(surname) AS k, lower(given_name) AS g, {D.year('birth_date')} AS py, lower({D.district('birth_place')}) AS d FROM fx_anc WHERE person_id <> '' AND {D.year('birth_date')} IS NOT NULL),
-ks AS (SELECT s, s AS k FROM (SELECT DISTINCT s FROM t) a UNION SELECT s, unnest(CASE s WHEN 'smith' THEN ['smithe', 'smit', 'smith'] WHEN 'ahlfors' THEN ['ahlforse', 'ahlphors', 'ahlfors'] WHEN 'hunt' THEN ['hunte', 'hunth'] WHEN 'skinner' THEN ['skinnere'] WHEN 'jackson' THEN ['jacksone', 'jacksen'] WHEN 'macdonald' THEN ['mcdonald', 'macdonalde'] ELSE ['jelley', 'jelleye', 'jelly', 'jelleyey'] END) FROM (SELECT DISTINCT s FROM t) b),
-q AS (SELECT DISTINCT s, g, y, d FROM t), m AS (SELECT q.*, p.person_id, p.d = q.d AND q.d <> '' AS same_place, abs(p.py - q.y) AS off FROM q JOIN ks ON ks.s = q.s JOIN p ON p.k = ks.k AND p.g = q.g AND abs(p.py - q.y) <= 5),
-k AS (SELECT *, bool_or(same_place) OVER (PARTITION BY s, g, y, d) AS narrow FROM (SELECT DISTINCT * FROM m) z), r AS (SELECT *, row_number() OVER (PARTITION BY s, g, y, d ORDER BY off, person_id) AS rnk FROM k WHERE same_place = narrow OR NOT narrow)"""
+wn AS (SELECT DISTINCT s FROM t), hn AS (SELECT DISTINCT k FROM p), hv AS (SELECT s, unnest(list_distinct([s] || string_split(s, '-') || {D.spelt('s')})) AS key FROM wn), hk AS (SELECT k, unnest(list_distinct([k] || string_split(k, '-'))) AS key FROM hn),
+ks AS (SELECT s, k, min(far) AS far FROM (SELECT s, k, 0 AS far FROM hv JOIN hk USING (key) UNION ALL SELECT s, k, 1 FROM wn JOIN hn ON s <> k AND least(length(s), length(k)) >= 3 AND (contains(s, k) OR contains(k, s))) u GROUP BY 1, 2),
+q AS (SELECT DISTINCT s, g, y, d FROM t), m AS (SELECT q.*, p.person_id, ks.far, p.d = q.d AND q.d <> '' AS same_place, abs(p.py - q.y) AS off FROM q JOIN ks ON ks.s = q.s JOIN p ON p.k = ks.k AND p.g = q.g AND abs(p.py - q.y) <= 5),
+k AS (SELECT *, bool_or(same_place) OVER (PARTITION BY s, g, y, d) AS narrow FROM (SELECT DISTINCT * FROM m) z), r AS (SELECT *, row_number() OVER (PARTITION BY s, g, y, d ORDER BY far, off, person_id) AS rnk FROM k WHERE same_place = narrow OR NOT narrow)"""
 
 
 @query("block_candidates", "fx_anc", sql=f"WITH {_SIG} SELECT t.job_id, t.asc_no, r.rnk, r.person_id, r.narrow AS same_place, r.off AS years_off FROM t JOIN r ON r.s = t.s AND r.g = t.g AND r.y = t.y AND r.d = t.d AND r.rnk <= 10")

@@ -48,7 +48,7 @@ FROM (
 SELECT job_id, asc_no, k,
   CASE WHEN asc_no % 2 = 0 THEN CASE k % 8 WHEN 0 THEN 'William' WHEN 1 THEN 'Bill' WHEN 2 THEN 'Thomas' WHEN 3 THEN 'Thos' WHEN 4 THEN 'Henry' WHEN 5 THEN 'Harry' WHEN 6 THEN 'John' ELSE 'Jack' END
        ELSE CASE k % 8 WHEN 0 THEN 'Elizabeth' WHEN 1 THEN 'Betty' WHEN 2 THEN 'Sarah' WHEN 3 THEN 'Sally' WHEN 4 THEN 'Mary' WHEN 5 THEN 'Polly' WHEN 6 THEN 'Ann' ELSE 'Annie' END END AS given_name,
-  CASE WHEN k % 17 = 0 THEN 'Jelley' ELSE CASE (length(regexp_replace(bin(asc_no), '0+$', '')) * 5 + job_id) % 6 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Ahlfors' WHEN 2 THEN 'Hunt' WHEN 3 THEN 'Skinner' WHEN 4 THEN 'Jackson' ELSE 'MacDonald' END END AS surname,
+  CASE WHEN k % 17 = 0 THEN 'Jelley' WHEN k % 19 = 4 THEN 'Hunt-Smith' WHEN k % 23 = 7 THEN 'Whitehunt' ELSE CASE (length(regexp_replace(bin(asc_no), '0+$', '')) * 5 + job_id) % 6 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Ahlfors' WHEN 2 THEN 'Hunt' WHEN 3 THEN 'Skinner' WHEN 4 THEN 'Jackson' ELSE 'MacDonald' END END AS surname,
   CASE WHEN asc_no = 1 THEN 'Unknown' WHEN asc_no % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
   CASE WHEN k % 13 = 5 THEN '' ELSE CASE k % 4
     WHEN 0 THEN concat('1 September ', CAST(1980 - 28 * (length(bin(asc_no)) - 1) + k % 9 - 4 AS STRING))
@@ -83,7 +83,7 @@ SELECT concat('P', CAST(l_orderkey AS STRING)) AS person_id, seq,
 FROM {_LINES} l"""),
     "fx_civil": (("lineitem", "fx_anc"), f"""
 SELECT CASE l_linenumber % 3 WHEN 0 THEN 'death' WHEN 1 THEN 'birth' ELSE 'marriage' END AS entry_type,
-  a.surname, a.given_name AS forenames,
+  a.surname, CASE l_suppkey % 7 WHEN 1 THEN concat('Herbert ', a.given_name) WHEN 2 THEN concat(a.given_name, ' May') ELSE a.given_name END AS forenames,
   CASE (l_suppkey + a.job_id) % 6 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Ahlfors' WHEN 2 THEN 'Hunt' WHEN 3 THEN 'Skinner' WHEN 4 THEN 'Jackson' ELSE '' END AS spouse_surname,
   CAST(1980 - 28 * a.gen + CASE l_linenumber % 3 WHEN 0 THEN 60 WHEN 1 THEN 0 ELSE 24 END + l_partkey % 9 - 4 AS INT) AS year,
   CASE l_partkey % 4 WHEN 0 THEN 'Mar' WHEN 1 THEN 'Jun' WHEN 2 THEN 'Sep' ELSE 'Dec' END AS quarter,

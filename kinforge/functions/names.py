@@ -118,6 +118,20 @@ def surname_halves(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "-"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def forename_tokens(c: Column) -> Column:
+    """The distinct forenames, lower case; one blank where there is none."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != ""))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
+
+
+def parts_inside(c: Column, least: int = 3) -> Column:
+    """Every run of ``least`` characters or more inside a text, itself left out: each start of each suffix."""
+    n = F.length(c)
+    starts = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(c, i, k))))
+    return F.filter(F.array_distinct(runs), lambda r: r != c)
+
+
 # Display forms ---------------------------------------------------------------------------
 def slashed_name(c: Column) -> Column:
     s = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\(not found\)\s*$", ""))

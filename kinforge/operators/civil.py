@@ -27,8 +27,11 @@ def _in_civil_era(year: Column) -> Column:
     return year.between(V.CIVIL_FROM, V.CIVIL_TO)
 
 
-def _prefix_points(entry: Column, first: Column, pts: int) -> Column:
-    return F.when((first != "") & F.lower(entry).startswith(F.lower(first)), pts).otherwise(0)
+def _prefix_points(entry: Column, first: Column, pts: int, inside: int = 0, either_way: bool = False) -> Column:
+    """``pts`` where the entry's forenames begin with the name; ``inside`` where the name holds them, or (either way) they hold it."""
+    e, f = F.lower(entry), F.lower(first)
+    held = f.contains(e) | e.contains(f) if either_way else f.contains(e)
+    return F.when((first != "") & (entry != ""), F.when(e.startswith(f), pts).when(held, inside).otherwise(0)).otherwise(0)
 
 
 def with_resolved_district(df: DataFrame, civil: DataFrame, name: str, out: str) -> DataFrame:
@@ -45,14 +48,15 @@ def named(anc: DataFrame) -> DataFrame:
 
 
 def confirm_birth(people: DataFrame, civil: DataFrame) -> DataFrame:
-    """Best birth entry within a year: given name 30, year 20 or 10, place 10 on top of surname 40; kept at 50.
+    """Best birth entry within a year: given name 30 (20 where it stands behind another one, or is part of it),
+    year 20 or 10, place 10 on top of surname 40; kept at 50.
 
     ``people`` has first, last, birth_year, birth_place. One row per person that asks and is answered.
     """
     y = F.col("birth_year")
     asked = with_search(people.where(_in_civil_era(y)), F.col("last"), F.col("first"), y - 1, y + 1, _blank())
     near = places.places_overlap(F.col("birth_place"), F.col("district"))
-    score = (F.lit(40) + _prefix_points(F.col("forenames"), F.col("first"), 30) + first_true([(F.col("year") == y, 20)], 10) + F.when(near, 10).otherwise(0))
+    score = (F.lit(40) + _prefix_points(F.col("forenames"), F.col("first"), 30, 20, either_way=True) + first_true([(F.col("year") == y, 20)], 10) + F.when(near, 10).otherwise(0))
     ask = ["first", "birth_year", "birth_place"]
     best = best_entries(asked, civil, "birth", ask, score, CONFIRM_AT)
     return asked.join(best, [*SEARCH, *ask]).drop(*SEARCH)
@@ -70,7 +74,7 @@ def _marriage_score(spouse: Column, first: Column, district: Column) -> Column:
     entry_spouse = F.lower("spouse_surname")
     s = F.lower(spouse)
     has = (spouse != "") & (entry_spouse != "")
-    return (F.lit(30) + _prefix_points(F.col("forenames"), first, 25) + first_true([(has & (entry_spouse == s), 50), (has & s.contains(entry_spouse), 25)], 0)
+    return (F.lit(30) + _prefix_points(F.col("forenames"), first, 25, 15) + first_true([(has & (entry_spouse == s), 50), (has & s.contains(entry_spouse), 25)], 0)
             + F.when(places.district_match(district, F.col("district")), 20).otherwise(0))
 
 

@@ -18,7 +18,7 @@ from kinforge.sources.civil_index import SEARCH, best_entries, civil_search, sea
 
 KEY = [JOB, SLOT]
 # --- fixed values: how many are kept, tried and shown; weights; thresholds -------------------------
-KEPT, TRIED, FEW, VARIANTS_TRIED, YEARS = 15, 5, 3, 2, 5
+KEPT, TRIED, FEW, YEARS = 15, 5, 3, 5
 BIRTH_WEIGHT, VARIANT_WEIGHT, CENSUS_WEIGHT, MARRIAGE_WEIGHT = 25, 20, 15, 30
 SIBLING_WEIGHT, DEATH_WEIGHT, LATER_CENSUS_WEIGHT = 15, 10, 10
 PRIMARY_AT, ALTERNATE_AT, COUPLE_AT, VERIFIED_AT, ENOUGH, LEAD_AT = 60, 30, 40, 25, 50, 25
@@ -35,7 +35,7 @@ def people_of(anc: DataFrame, civil: DataFrame) -> DataFrame:
 
 
 def pass_union(people: DataFrame, civil: DataFrame) -> DataFrame:
-    """Birth entries for every distinct question: within the district; anywhere if fewer than three; under two
+    """Birth entries for every distinct question: within the district; anywhere if fewer than three; under all
     spelling variants if none. An entry with a volume and page already listed is not listed again by a later pass."""
     y = F.col("year")
     q = with_search(people.where("surname <> '' and year is not null"), F.col("surname"), F.col("given"), y - YEARS, y + YEARS, F.col("district_"))
@@ -48,7 +48,7 @@ def pass_union(people: DataFrame, civil: DataFrame) -> DataFrame:
     anywhere = civil_search(open_q, civil, "birth", given="maybe").select("surname_key", "given_key", "year_from", "year_to", *entry)
     broad = materialized(few.select(*SEARCH).join(anywhere, ["surname_key", "given_key", "year_from", "year_to"]).select(*SEARCH, *entry))
     none = q.join(narrow.select(*SEARCH).unionByName(broad.select(*SEARCH)).distinct(), list(SEARCH), "left_anti")
-    spelt = none.select(*SEARCH, F.posexplode(F.slice(names.surname_variants(F.col("surname_key")), 1, VARIANTS_TRIED)).alias("nth", "variant")).withColumn("variant", F.lower("variant"))
+    spelt = none.select(*SEARCH, F.posexplode(names.surname_variants(F.col("surname_key"))).alias("nth", "variant")).withColumn("variant", F.lower("variant"))
     asked = spelt.select(F.col("variant").alias("surname_key"), "given_key", "year_from", "year_to", F.lit("").alias("district_key")).distinct()
     found = civil_search(asked, civil, "birth", given="maybe").select(F.col("surname_key").alias("variant"), "given_key", "year_from", "year_to", *entry)
     third = spelt.join(found, ["variant", "given_key", "year_from", "year_to"]).select(*SEARCH, "nth", *entry)

@@ -41,13 +41,24 @@ def surname_keys(surname: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lower(surname)), halves, F.transform(names.surname_variants(surname), lambda v: F.lower(v))))
 
 
+def contained_surnames(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """s, k: distinct surnames of which one stands inside the other, from three letters on.
+
+    ``asked(s)`` and ``pool(k)`` are distinct surnames. Each is opened into the starts of its suffixes, and the
+    other side's whole names meet those by equality; no two names are compared, and rows never come in.
+    """
+    names_in = asked.select("s", F.explode(names.parts_inside(F.col("s"))).alias("k")).join(pool, "k").select("s", "k")
+    held_by = pool.select("k", F.explode(names.parts_inside(F.col("k"))).alias("s")).join(asked, "s").select("s", "k")
+    return names_in.unionByName(held_by).distinct()
+
+
 def block_candidates(targets: DataFrame, pool: DataFrame, keep: int = 10, reach: int = 5, by_given: bool = True) -> DataFrame:
     """The ``keep`` nearest people of the pool for every target, in rank order.
 
     ``targets``: job, slot, surname, given, year, place. ``pool``: person_id, surname, given, year, place.
     People block on a surname key (and first given name) and lie within ``reach`` years; the same
-    district is asked first and dropped if nobody is there. Surnames that only contain one another,
-    outside these keys, are not found.
+    district is asked first and dropped if nobody is there. Surnames meet whole, by their halves on both
+    sides and by spelling variants; those that only stand inside one another come behind all these.
 
     Both sides meet as signatures. A pool signature carries its first ``keep`` people, which is all that
     can be shown of it, so a name shared by a third of the pool is one row, not a quadratic join.
@@ -55,20 +66,27 @@ def block_candidates(targets: DataFrame, pool: DataFrame, keep: int = 10, reach:
     g = ["g"] if by_given else []
     given = names.first_word(F.col("given"))
     t = targets.select(*KEY, F.lower("surname").alias("s"), given.alias("g"), F.col("year").alias("y"), F.lower(places.district_of(F.col("place"))).alias("d")).where("s <> '' and y is not null")
-    p = pool.select("person_id", F.lower("surname").alias("k"), given.alias("g"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d")).where("py is not null")
+    p = pool.select("person_id", F.lower("surname").alias("k"), given.alias("g"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d")).where("py is not null and k <> ''")
 
     def signatures(by: list[str]) -> DataFrame:
         return top_rows(p, by, [F.col("person_id")], keep, "nth").groupBy(*by).agg(F.array_sort(F.collect_list("person_id")).alias("people"))
 
     asked = t.select("s", "g", "y", "d").distinct()
-    opened = asked.withColumn("k", F.explode(surname_keys(F.col("s")))).withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
+    wanted, held = materialized(asked.select("s").distinct()), materialized(p.select("k").distinct())
+    # What a surname is asked by meets what a held one is known by; both are lists of distinct surnames.
+    known = held.select("k", F.explode(F.array_distinct(F.concat(F.array("k"), names.surname_halves(F.col("k"))))).alias("key"))
+    close = wanted.select("s", F.explode(surname_keys(F.col("s"))).alias("key")).join(known, "key").select("s", "k", F.lit(0).alias("far"))
+    inside = contained_surnames(wanted, held).withColumn("far", F.lit(1))
+    meets = materialized(close.unionByName(inside).groupBy("s", "k").agg(F.min("far").alias("far")))
+
+    opened = asked.join(meets, "s").withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
     near = opened.where("d <> ''").join(signatures(["k", *g, "py", "d"]), ["k", *g, "py", "d"])
-    near = near.select("s", "g", "y", "d", "py", "people") if by_given else near.select("s", near["g"], "y", "d", "py", "people")
+    near = near.select("s", "g" if by_given else opened["g"], "y", "d", "far", "py", "people")
     answered = near.select("s", "g", "y", "d").distinct()
-    wide = opened.join(answered, ["s", "g", "y", "d"], "left_anti").join(signatures(["k", *g, "py"]), ["k", *g, "py"]).select("s", "g", "y", "d", "py", "people")
+    wide = opened.join(answered, ["s", "g", "y", "d"], "left_anti").join(signatures(["k", *g, "py"]), ["k", *g, "py"]).select("s", "g", "y", "d", "far", "py", "people")
     people = near.withColumn("same_place", F.lit(True)).unionByName(wide.withColumn("same_place", F.lit(False)))
-    people = people.select("s", "g", "y", "d", "same_place", F.abs(F.col("py") - F.col("y")).alias("off"), F.explode("people").alias("person_id")).distinct()
-    shown = top_rows(people, ["s", "g", "y", "d"], [F.col("off"), F.col("person_id")], keep, "rnk")
+    people = people.select("s", "g", "y", "d", "same_place", "far", F.abs(F.col("py") - F.col("y")).alias("off"), F.explode("people").alias("person_id"))
+    shown = top_rows(people, ["s", "g", "y", "d"], [F.col("far"), F.col("off"), F.col("person_id")], keep, "rnk")
     return t.join(shown, ["s", "g", "y", "d"]).select(*KEY, "rnk", "person_id", "same_place", F.col("off").alias("years_off"))
 
 

@@ -1,6 +1,6 @@
 """Civil birth, marriage and death index: reading raw result pages and searching the index.
 
-A search is (record type, surname, first given name if known, years, district if known). Many
+A search is (record type, surname, a given name if known, years, district if known). Many
 tree positions ask the same question, and many index rows share the searched fields, so both
 sides are reduced to distinct searches and distinct signatures before they meet. A search with
 more matches than the index displays returns no rows; that is counted on signatures, before any
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import values as V
 from kinforge.functions.literals import lookup
-from kinforge.functions.names import first_word
+from kinforge.functions.names import first_word, forename_tokens
 from kinforge.operators.ranking import carry_forward, first_row
 
 # --- fixed values -------------------------------------------------------------------------
@@ -116,7 +116,8 @@ def searches_of(df: DataFrame) -> DataFrame:
 
 
 def _signed(civil: DataFrame, entry_type: str) -> DataFrame:
-    return (civil.where(F.col("entry_type") == entry_type).withColumn("s_surname", F.lower("surname")).withColumn("s_given", first_word(F.col("forenames")))
+    """The entries of a type with what searches meet them by; ``s_givens`` are all their forenames."""
+    return (civil.where(F.col("entry_type") == entry_type).withColumn("s_surname", F.lower("surname")).withColumn("s_givens", forename_tokens(F.col("forenames")))
             .withColumn("s_district", F.lower("district")))
 
 
@@ -124,24 +125,26 @@ def _match(searches: DataFrame, index: DataFrame, given: str) -> DataFrame:
     """Meet on surname, year, given name and district in one equality join.
 
     A field a search leaves open is blank. So the index offers each row twice, under its district
-    and under a blank one, and a search meets exactly one of the two. ``given`` says whether the
-    searches state a given name: ``always``, ``never``, or ``maybe`` (offered both ways too).
+    and under a blank one, and a search meets exactly one of the two. A given name meets any forename of an
+    entry, as each row is offered under every one of them; how well it fits is for the scores, which see where
+    it stands. ``given`` says whether the searches state a given name: ``always``, ``never``, or ``maybe``
+    (offered under a blank one too).
     """
     opened = searches.withColumn("_year", F.explode(F.sequence("year_from", "year_to")))
     offered = index.withColumn("_district", F.explode(F.array_distinct(F.array("s_district", F.lit("")))))
     on = [F.col("surname_key") == F.col("s_surname"), F.col("_year") == offered["year"], F.col("district_key") == F.col("_district")]
     if given == "maybe":
-        offered = offered.withColumn("_given", F.explode(F.array_distinct(F.array("s_given", F.lit("")))))
+        offered = offered.withColumn("_given", F.explode(F.array_union("s_givens", F.array(F.lit("")))))
         on.append(F.col("given_key") == F.col("_given"))
     elif given == "always":
-        offered = offered.withColumn("_given", F.col("s_given"))
+        offered = offered.withColumn("_given", F.explode("s_givens"))
         on.append(F.col("given_key") == F.col("_given"))
-    return opened.join(offered, on).drop("_year", "_district", "_given", "s_surname", "s_given", "s_district")
+    return opened.join(offered, on).drop("_year", "_district", "_given", "s_surname", "s_givens", "s_district")
 
 
 def match_counts(searches: DataFrame, civil: DataFrame, entry_type: str, given: str = "always") -> DataFrame:
     """Matches of every search, counted on index signatures."""
-    by = ["s_surname", "s_district", "year"] + ([] if given == "never" else ["s_given"])
+    by = ["s_surname", "s_district", "year"] + ([] if given == "never" else ["s_givens"])
     sign = _signed(civil, entry_type).groupBy(*by).agg(F.count("*").alias("rows"))
     return _match(searches, sign, given).groupBy(*SEARCH).agg(F.sum("rows").alias("matches"))
 
@@ -174,7 +177,7 @@ def best_entries(asked: DataFrame, civil: DataFrame, entry_type: str, ask_by: li
     questions = asked.select(*SEARCH, *ask_by).distinct()
     shown = _shown(searches_of(questions), civil, entry_type, limit, given)
     alike = ["surname", "forenames", "spouse_surname", "year", "district"]
-    index = _signed(civil, entry_type).groupBy(*alike, "s_surname", "s_given", "s_district").agg(F.min_by(F.struct("entry_id", "quarter", "volume", "page"), "entry_id").alias("e"))
+    index = _signed(civil, entry_type).groupBy(*alike, "s_surname", "s_givens", "s_district").agg(F.min_by(F.struct("entry_id", "quarter", "volume", "page"), "entry_id").alias("e"))
     found = _match(shown, index, given)
     scored = questions.join(found, list(SEARCH)).withColumn("score", score)
     if keep is not None:

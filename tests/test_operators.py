@@ -116,6 +116,51 @@ def test_block_candidates_keeps_one_heavy_name_small(spark):
     assert [r.person_id for r in out.where("job_id = 7").orderBy("rnk").collect()] == ["P000000", "P000001", "P000002"]
 
 
+def _pool(spark, names):
+    rows = [(f"P{i:03d}", n, "John", 1900, "") for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "person_id string, surname string, given string, year int, place string")
+
+
+def test_contained_surnames_are_all_found_and_come_last(spark):
+    """By brute force over many names; short ones stand inside nothing."""
+    rng = random.Random(5)
+    pool = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(400)} | {"hunt-smith", "whitehunt", "hunt", "hunter"})
+    asked = pool[::3] + ["hunt", "smith", "zzz"]
+    frames = spark.createDataFrame([(x,) for x in set(asked)], "s string"), spark.createDataFrame([(x,) for x in pool], "k string")
+    got = {(r.s, r.k) for r in linking.contained_surnames(*frames).collect()}
+    assert got == {(s, k) for s in asked for k in pool if s != k and min(len(s), len(k)) >= 3 and (s in k or k in s)}
+
+
+def test_block_candidates_by_halves_and_inside(spark):
+    pool = _pool(spark, ["Whitehunt", "Hunt-Smith", "Hunte", "Smith", "Jones-Hunt", "Hun", "Hu", "Brown", None, ""])
+    def found(surname):
+        one = spark.createDataFrame([(1, 2, surname, "John", 1901, "")], "job_id long, asc_no int, surname string, given string, year int, place string")
+        return [r.person_id for r in linking.block_candidates(one, pool).orderBy("rnk").collect()]
+    assert found("Hunt") == ["P001", "P002", "P004", "P000", "P005"]  # halves and spelling first, then what only contains
+    assert found("Smith-Hunt") == ["P001", "P003", "P004", "P005"]
+    assert found("Hu") == ["P006"] and found("Green") == [] and found("") == []
+
+
+def test_contained_surnames_with_one_part_in_all(spark):
+    """A part that most surnames share makes rows by distinct surname only, with no pair of people."""
+    pool = spark.range(30_000).select(F.concat(F.lit("P"), "id").alias("person_id"), F.concat(F.lit("x"), F.col("id") % 500, F.lit("hunt")).alias("surname"), F.lit("John").alias("given"), F.lit(1900).alias("year"), F.lit("").alias("place"))
+    targets = spark.range(5000).select(F.col("id").alias("job_id"), F.lit(2).alias("asc_no"), F.lit("Hunt").alias("surname"), F.lit("John").alias("given"), F.lit(1900).alias("year"), F.lit("").alias("place"))
+    assert linking.block_candidates(targets, pool, keep=2).count() == 10_000
+
+
+def test_a_middle_name_meets_and_counts_less(spark):
+    rows = [("birth", "Hunt", "Herbert William", "", 1900, "Mar", "Derby", "7b", "1", 1), ("birth", "Hunt", "Williamson", "", 1900, "Mar", "Derby", "7b", "1", 2), ("birth", "Hunt", "William Herbert", "", 1901, "Mar", "Derby", "7b", "1", 3),
+            ("birth", "Hunt", "", "", 1900, "Mar", "Derby", "7b", "1", 4), ("marriage", "Hunt", "Ann", "Cox", 1920, "Mar", "", "7b", "1", 5), ("marriage", "Hunt", "Mary Ann", "Fox", 1920, "Mar", "", "7b", "1", 6)]
+    idx = _civil(spark, rows)
+    asked = spark.createDataFrame([(1, 2, "William", "Hunt", 1900, ""), (1, 3, "Herbert", "Hunt", 1900, ""), (1, 4, "Will", "Hunt", 1900, "")], "job_id long, asc_no int, first string, last string, birth_year int, birth_place string")
+    assert {(r.asc_no, r.entry_id, r.score) for r in civil.confirm_birth(asked, idx).collect()} == {(2, 1, 80), (3, 1, 80)}
+    third = idx.where("entry_id = 3")
+    assert {(r.asc_no, r.entry_id, r.score) for r in civil.confirm_birth(asked, third).collect()} == {(2, 3, 80), (3, 3, 70)}
+    pairs = spark.createDataFrame([(1, 2, "Ann Mary", "Hunt", "Cox"), (1, 4, "Ann", "Hunt", "Fox")], "job_id long, asc_no int, first string, last string, spouse_last string")
+    pairs = pairs.selectExpr("*", "1915 AS year_from_", "1925 AS year_to_", "'' AS district_")
+    assert {(r.asc_no, r.entry_id, r.score) for r in civil.find_marriage(pairs, idx).collect()} == {(2, 5, 95), (4, 6, 80)}
+
+
 def test_range_joins_build_no_pairs(spark, sf_dir):
     anc, idx = table(spark, sf_dir, "fx_anc"), table(spark, sf_dir, "fx_civil")
     for df in (civil.birth_range(anc, idx), civil.marriage_window(anc, idx), civil.sibling_births(idx), civil.confirm_birth(civil.named(anc), idx)):
