@@ -81,7 +81,7 @@ hr AS (SELECT hy.*, cd.rnk, cd.person_id, cd.c_name, cd.death_year, cn.census, c
   CASE WHEN {D.similar("split_part(cd.cg, ' ', 1)", 'hy.h_forenames')} THEN 20 ELSE 0 END + CASE WHEN cd.cpl = '' OR cd.cpl IS NULL THEN 0 WHEN contains(lower(cd.cpl), lower(hy.h_district)) THEN 15 WHEN {D.district_match('hy.h_district', D.district('cd.cpl'))} THEN 10 ELSE 0 END
   + CASE WHEN abs(cd.cy - hy.h_year) <= 1 THEN 15 WHEN abs(cd.cy - hy.h_year) <= 2 THEN 10 WHEN abs(cd.cy - hy.h_year) <= 3 THEN 5 ELSE 0 END + CASE WHEN cd.cfs <> '' AND lower(cd.cfs) = lower(hy.h_surname) THEN 15 ELSE 0 END
   + CASE WHEN cd.cms <> '' AND hy.h_maiden <> '' AND lower(cd.cms) = lower(hy.h_maiden) THEN 25 ELSE 0 END + CASE WHEN list_filter(cn.census, lambda v: v - hy.h_year BETWEEN 0 AND 15)[1] IS NOT NULL THEN 10 ELSE 0 END AS hs
-  FROM hy LEFT JOIN cd ON cd.job_id = hy.job_id AND cd.asc_no = hy.asc_no AND cd.rnk <= 5 LEFT JOIN cn ON cn.person_id = cd.person_id WHERE hy.hyp <= 5),
+  FROM hy LEFT JOIN cd ON cd.job_id = hy.job_id AND cd.asc_no = hy.asc_no LEFT JOIN cn ON cn.person_id = cd.person_id),
 hg AS (SELECT job_id, asc_no, hyp, count(person_id) AS results, count(CASE WHEN usable THEN child END) AS census_hits, coalesce(list(CASE WHEN usable THEN child END) FILTER (WHERE usable AND child IS NOT NULL), CAST([] AS INT[])) AS census_seen FROM hr GROUP BY 1, 2, 3),
 hb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no, hyp ORDER BY hs DESC, rnk) AS n FROM hr WHERE usable AND hs > 0) t WHERE n = 1),
 mt AS (SELECT hy.*, hg.census_hits, hg.census_seen, coalesce(hb.hs, 0) AS household_score, hb.person_id, hb.c_name, hb.death_year, hb.census, CASE WHEN hg.results = 0 THEN 'hypothesis' WHEN coalesce(hb.hs, 0) >= 60 THEN 'primary' WHEN coalesce(hb.hs, 0) >= 30 THEN 'alternate' ELSE 'discarded' END AS status
@@ -176,7 +176,7 @@ _LEFT = "lf AS (SELECT pl.* FROM pl WHERE NOT EXISTS (SELECT 1 FROM hy WHERE hy.
 
 @query("lead_only", *_CHAIN_IN, sql=f"""WITH {_PPL}, {_PASSES}, {_HYP}, {_HH}, {_LEFT},
 lr AS (SELECT lf.job_id, lf.asc_no, cd.person_id, cd.c_name, cd.rnk, CASE WHEN {D.similar("split_part(cd.cg, ' ', 1)", 'lf.given')} THEN 20 ELSE 0 END + CASE WHEN abs(cd.cy - lf.y) <= 3 THEN 15 ELSE 0 END + CASE WHEN cd.cpl <> '' AND lf.birth_place <> '' AND contains(lower(cd.cpl), lower(lf.dt)) THEN 10 ELSE 0 END
-  + CASE WHEN lf.fs <> '' AND lower(cd.cfs) = lower(lf.fs) THEN 15 ELSE 0 END + CASE WHEN lf.ms <> '' AND lower(cd.cms) = lower(lf.ms) THEN 20 ELSE 0 END AS sc FROM lf JOIN cd ON cd.job_id = lf.job_id AND cd.asc_no = lf.asc_no AND cd.rnk <= 5 AND NOT cd.rejected AND NOT ({D.foreign('cd.cpl')} AND NOT {D.uk('cd.cpl')})),
+  + CASE WHEN lf.fs <> '' AND lower(cd.cfs) = lower(lf.fs) THEN 15 ELSE 0 END + CASE WHEN lf.ms <> '' AND lower(cd.cms) = lower(lf.ms) THEN 20 ELSE 0 END AS sc FROM lf JOIN cd ON cd.job_id = lf.job_id AND cd.asc_no = lf.asc_no AND NOT cd.rejected AND NOT ({D.foreign('cd.cpl')} AND NOT {D.uk('cd.cpl')})),
 lb2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY sc DESC, rnk) AS n FROM lr WHERE sc >= 25) t WHERE n = 1),
 o AS (SELECT lf.job_id, lf.asc_no, coalesce(lb2.person_id, '') AS person_id, coalesce(lb2.c_name, lf.given || ' ' || lf.surname || ' (not found)') AS name, CASE WHEN lb2.sc IS NULL THEN 0 ELSE least(49, 25 + lb2.sc) END AS confidence FROM lf LEFT JOIN lb2 ON lb2.job_id = lf.job_id AND lb2.asc_no = lf.asc_no)
 SELECT *, {D.level('confidence')} AS level FROM o""")
@@ -188,7 +188,7 @@ def lead_only(anc, civil, cand, fact):
 @query("enrich_known", *_CHAIN_IN, sql=f"""WITH {_PPL}, {_PASSES}, {_HYP}, {_HH},
 ku AS (SELECT * FROM pl WHERE confidence_level = 'Customer Data'),
 be AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, bi.entry_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY bi.entry_id) AS n FROM ku JOIN bi ON bi.ls = lower(ku.surname) AND list_contains(bi.lt, {D.first_word('ku.given')}) AND bi.year BETWEEN ku.y - 2 AND ku.y + 2 AND (ku.dk = '' OR bi.district = ku.dk) AND {D.similar('bi.forenames', 'ku.given')}) t WHERE n = 1),
-le AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, cd.person_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY cd.rnk) AS n FROM ku JOIN cd ON cd.job_id = ku.job_id AND cd.asc_no = ku.asc_no AND cd.rnk <= 3 AND NOT cd.rejected AND NOT ({D.foreign('cd.cpl')} AND NOT {D.uk('cd.cpl')}) AND {D.similar("split_part(cd.cg, ' ', 1)", 'ku.given')} AND NOT coalesce(abs(cd.cy - ku.y) > 5, false)) t WHERE n = 1)
+le AS (SELECT * FROM (SELECT ku.job_id, ku.asc_no, cd.person_id, row_number() OVER (PARTITION BY ku.job_id, ku.asc_no ORDER BY cd.rnk) AS n FROM ku JOIN cd ON cd.job_id = ku.job_id AND cd.asc_no = ku.asc_no AND NOT cd.rejected AND NOT ({D.foreign('cd.cpl')} AND NOT {D.uk('cd.cpl')}) AND {D.similar("split_part(cd.cg, ' ', 1)", 'ku.given')} AND NOT coalesce(abs(cd.cy - ku.y) > 5, false)) t WHERE n = 1)
 SELECT ku.job_id, ku.asc_no, 100 AS confidence, be.entry_id AS birth_entry, le.person_id AS lead_id FROM ku LEFT JOIN be ON be.job_id = ku.job_id AND be.asc_no = ku.asc_no LEFT JOIN le ON le.job_id = ku.job_id AND le.asc_no = ku.asc_no WHERE be.entry_id IS NOT NULL OR le.person_id IS NOT NULL""")
 def enrich_known(anc, civil, cand, fact):
     return ops.enrich_known(ops.people_of(anc, civil), _cand(cand), civil)

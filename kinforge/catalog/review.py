@@ -84,7 +84,7 @@ def unique_lookups(flag):
     return review.unique_lookups(flag)
 
 
-_REL = f"""rc AS (SELECT *, lower(surname) AS ls, lower(location) AS ll FROM fx_feedback ORDER BY created_at DESC, id DESC LIMIT 500), mx AS (SELECT max(created_at) AS now_ FROM rc),
+_REL = f"""rc AS (SELECT *, lower(surname) AS ls, lower(location) AS ll FROM fx_feedback), mx AS (SELECT max(created_at) AS now_ FROM rc),
 cx AS (SELECT job_id, list_distinct(list(lower(surname))) AS sn, list_distinct(list(lower(birth_place)) FILTER (WHERE birth_place <> '')) AS pl, min({D.bounded_year('birth_date')}) AS y0, max({D.bounded_year('birth_date')}) AS y1 FROM fx_anc GROUP BY 1),
 rl AS (SELECT cx.job_id, rc.id, rc.action_type, rc.created_at, CASE WHEN ls <> '' AND list_contains(sn, ls) THEN 30 WHEN ls <> '' AND len(list_filter(sn, lambda v: contains(v, ls) OR contains(ls, v))) > 0 THEN 15 ELSE 0 END
   + CASE WHEN ll <> '' AND len(list_filter(pl, lambda v: contains(v, ll) OR contains(ll, v))) > 0 THEN 20 ELSE 0 END + CASE WHEN birth_year BETWEEN y0 - 50 AND y1 + 50 THEN 10 ELSE 0 END + CASE WHEN created_at > now_ - INTERVAL 30 DAY THEN 5 ELSE 0 END AS relevance FROM cx CROSS JOIN rc CROSS JOIN mx),

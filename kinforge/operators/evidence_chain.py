@@ -1,5 +1,6 @@
 """The evidence loop: a birth entry, the person it fits, the parents' marriage, cross-checks and the
-confidence they add up to. Every step keeps a fixed number of rows per slot (15 hypotheses, 5 tried).
+confidence they add up to. How many hypotheses of a slot are kept, how many are tried and how many of its
+search results are looked at are arguments; without them all are, after those that cannot fit have gone.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from kinforge.session import materialized
 from kinforge.sources.civil_index import SEARCH, best_entries, civil_search, searches_of, with_search
 
 KEY = [JOB, SLOT]
-# --- fixed values: how many are kept, tried and shown; weights; thresholds -------------------------
-KEPT, TRIED, FEW, YEARS = 15, 5, 3, 5
+# --- fixed values: hypotheses kept unless asked otherwise, fewest entries of a district, years; weights; thresholds ---
+KEPT, FEW, YEARS = 15, 3, 5
 BIRTH_WEIGHT, VARIANT_WEIGHT, CENSUS_WEIGHT, MARRIAGE_WEIGHT = 25, 20, 15, 30
 SIBLING_WEIGHT, DEATH_WEIGHT, LATER_CENSUS_WEIGHT = 15, 10, 10
 PRIMARY_AT, ALTERNATE_AT, COUPLE_AT, VERIFIED_AT, ENOUGH, LEAD_AT = 60, 30, 40, 25, 50, 25
@@ -65,8 +66,8 @@ def _ends(a: Column, b: Column, equal: int, inside: int, near: int) -> Column:
     return F.when((a != "") & (b != ""), first_true([(la == lb, equal), (la.contains(lb) | lb.contains(la), inside), (places.district_match(a, b), near)], 0)).otherwise(0)
 
 
-def birth_hypotheses(people: DataFrame, civil: DataFrame) -> DataFrame:
-    """The fifteen best birth entries for every slot, best first; earlier in the search on a tie."""
+def birth_hypotheses(people: DataFrame, civil: DataFrame, keep: int = KEPT) -> DataFrame:
+    """The ``keep`` best birth entries for every slot, best first; earlier in the search on a tie."""
     y = F.col("year")
     asked = with_search(people.where("surname <> '' and year is not null"), F.col("surname"), F.col("given"), y - YEARS, y + YEARS, F.col("district_"))
     ask = ["given", "district_text", "mother_surname"]
@@ -78,7 +79,7 @@ def birth_hypotheses(people: DataFrame, civil: DataFrame) -> DataFrame:
     m, hm = F.lower("mother_surname"), F.lower("spouse_surname")
     maiden = F.when((m != "") & (hm != ""), first_true([(m == hm, 30), (m.contains(hm) | hm.contains(m), 15)], 0)).otherwise(0)
     score = name + first_true([(off == 0, 20), (off == 1, 15), (off <= 3, 10), (off <= 5, 5)], 0) + _ends(F.col("district_text"), F.col("district"), 15, 10, 8) + maiden
-    best = top_rows(rows.withColumn("score", score), [*SEARCH, *ask], [F.desc("score"), F.col("pass_no"), F.col("nth"), F.col("entry_id")], KEPT, "hyp")
+    best = top_rows(rows.withColumn("score", score), [*SEARCH, *ask], [F.desc("score"), F.col("pass_no"), F.col("nth"), F.col("entry_id")], keep, "hyp")
     hyp = {"surname": "h_surname", "forenames": "h_forenames", "year": "h_year", "district": "h_district", "spouse_surname": "h_maiden"}
     best = best.select(*SEARCH, *ask, "hyp", "score", "pass_no", "entry_id", *[F.col(k).alias(v) for k, v in hyp.items()])
     return asked.select(*KEY, *SEARCH, *ask).join(best, [*SEARCH, *ask]).select(*KEY, "hyp", "score", "pass_no", "entry_id", *hyp.values())
@@ -91,15 +92,28 @@ def census_years(fact: DataFrame) -> DataFrame:
     return once.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "year"))), lambda x: x["year"]).alias("census"))
 
 
-def household_match(hyps: DataFrame, cand: DataFrame, census: DataFrame) -> DataFrame:
+def _usable() -> Column:
+    return ~places.clearly_foreign(F.col("c_place")) & ~F.coalesce(F.col("rejected"), F.lit(False))
+
+
+def usable_results(cand: DataFrame, shown: int | None = None) -> DataFrame:
+    """Search results that are neither rejected nor clearly abroad; then, if asked, the first ``shown`` of a slot."""
+    left = cand.where(_usable())
+    return left if shown is None else top_rows(left, KEY, [F.col("rnk")], shown, "_shown").drop("_shown")
+
+
+def household_match(hyps: DataFrame, cand: DataFrame, census: DataFrame, tried: int | None = None, shown: int | None = None) -> DataFrame:
     """The search result that fits each tried hypothesis best, and how well: primary at 60, alternate at 30.
 
     ``cand``: job, slot, rnk, person_id, c_given, c_year, c_place, father_surname, mother_surname, death_year.
+    All hypotheses and all usable results unless ``tried`` or ``shown`` says how many of each. A slot with
+    no result at all, usable or not, leaves its hypotheses as they are.
     """
-    tried = hyps.where(F.col("hyp") <= TRIED)
+    tried = hyps if tried is None else hyps.where(F.col("hyp") <= tried)
     # What depends on the candidate alone is worked out before it meets the hypotheses.
-    listed = cand.where(F.col("rnk") <= TRIED).withColumns({
-        "usable": ~places.clearly_foreign(F.col("c_place")) & ~F.coalesce(F.col("rejected"), F.lit(False)), "c_district": places.district_of(F.col("c_place")), "c_first": F.substring_index("c_given", " ", 1)})
+    listed = cand.withColumns({"usable": _usable(), "c_district": places.district_of(F.col("c_place")), "c_first": F.substring_index("c_given", " ", 1)})
+    if shown is not None:
+        listed = top_rows(listed, [*KEY, "usable"], [F.col("rnk")], shown, "_shown").drop("_shown")
     listed = listed.join(census, "person_id", "left")
     rows = tried.join(listed, KEY, "left")
     seen = F.col("person_id").isNotNull()
@@ -224,16 +238,15 @@ def chain(people: DataFrame, cand: DataFrame, census: DataFrame, civil: DataFram
     return scored, good.unionByName(alone).withColumn("level", evidence.confidence_level(f("confidence")))
 
 
-def lead_only(people: DataFrame, hyps: DataFrame, cand: DataFrame) -> DataFrame:
+def lead_only(people: DataFrame, hyps: DataFrame, cand: DataFrame, shown: int | None = None) -> DataFrame:
     """Slots without any birth entry: the best search result from 25 points, at most 49; else a not-found row."""
     left = people.join(hyps.select(*KEY).distinct(), KEY, "left_anti").drop("person_id")
-    rows = left.join(cand.where(F.col("rnk") <= TRIED), KEY)
-    usable = ~places.clearly_foreign(F.col("c_place")) & ~F.col("rejected")
+    rows = left.join(usable_results(cand, shown), KEY)
     inside = (F.col("c_place") != "") & (F.col("birth_place") != "") & F.lower("c_place").contains(F.lower("district_text"))
     score = (F.when(names.names_similar(F.substring_index("c_given", " ", 1), F.col("given")), 20).otherwise(0) + F.when(F.abs(F.col("c_year") - F.col("year")) <= 3, 15).otherwise(0)
              + F.when(inside, 10).otherwise(0) + F.when((rows["father_surname"] != "") & (F.lower(rows["c_father_surname"]) == F.lower(rows["father_surname"])), 15).otherwise(0)
              + F.when((rows["mother_surname"] != "") & (F.lower(rows["c_mother_surname"]) == F.lower(rows["mother_surname"])), 20).otherwise(0))
-    best = best_row(rows.where(usable).withColumn("score", score).select(*KEY, "person_id", F.col("c_name").alias("name"), "score", "rnk"), KEY, "score", [F.col("rnk")], LEAD_AT)
+    best = best_row(rows.withColumn("score", score).select(*KEY, "person_id", F.col("c_name").alias("name"), "score", "rnk"), KEY, "score", [F.col("rnk")], LEAD_AT)
     found = best.select(*KEY, "person_id", "name", F.least(F.lit(49), F.col("score") + 25).alias("confidence"))
     missing = left.join(found.select(*KEY), KEY, "left_anti")
     who = F.when((F.col("given") != "") & (F.col("surname") != ""), F.concat_ws(" ", "given", "surname")).otherwise("Unknown")
@@ -241,15 +254,15 @@ def lead_only(people: DataFrame, hyps: DataFrame, cand: DataFrame) -> DataFrame:
     return found.unionByName(none).withColumn("level", evidence.confidence_level(F.col("confidence")))
 
 
-def enrich_known(people: DataFrame, cand: DataFrame, civil: DataFrame) -> DataFrame:
+def enrich_known(people: DataFrame, cand: DataFrame, civil: DataFrame, shown: int | None = None) -> DataFrame:
     """Customer rows with a birth entry within two years and a lead; their confidence stays."""
     mine = people.where("confidence_level = 'Customer Data'").drop("person_id")
     y = F.col("year")
     asked = with_search(mine.where("year is not null"), F.col("surname"), F.col("given"), y - 2, y + 2, F.col("district_"))
     best = best_entries(asked, civil, "birth", ["given"], F.lit(1), 1, keep=names.names_similar(F.col("forenames"), F.col("given")), given="maybe")
     births = asked.join(best, [*SEARCH, "given"]).select(*KEY, F.col("entry_id").alias("birth_entry"))
-    rows = mine.join(cand.where(F.col("rnk") <= 3), KEY)
-    ok = (~places.clearly_foreign(F.col("c_place")) & ~F.col("rejected") & names.names_similar(F.substring_index("c_given", " ", 1), F.col("given")) & ~F.coalesce(F.abs(F.col("c_year") - y) > 5, F.lit(False)))
+    rows = mine.join(usable_results(cand, shown), KEY)
+    ok = (names.names_similar(F.substring_index("c_given", " ", 1), F.col("given")) & ~F.coalesce(F.abs(F.col("c_year") - y) > 5, F.lit(False)))
     leads = first_row(rows.where(ok).select(*KEY, "person_id", "rnk"), KEY, [F.col("rnk")]).select(*KEY, F.col("person_id").alias("lead_id"))
     return mine.select(*KEY, F.lit(100).alias("confidence")).join(births, KEY, "left").join(leads, KEY, "left").where("birth_entry is not null or lead_id is not null")
 

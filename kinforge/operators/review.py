@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.functions import corrections as C
-from kinforge.functions import slots
+from kinforge.functions import names, slots
 from kinforge.functions.literals import first_true
+from kinforge.operators.ranking import top_rows
 from kinforge.operators.tree import JOB, SLOT, empty_slots, tree_context
+from kinforge.session import materialized
 
 # --- fixed values ---------------------------------------------------------------------------
-GAPS_SHOWN, EVIDENCE_SHOWN, FEEDBACK_SHOWN = 30, 3, 20
-RECENT_ROWS, RELEVANT_ROWS, RECENT_DAYS, ERA_MARGIN = 500, 50, 30, 50
+# Rows shown unless asked otherwise.
+GAPS_SHOWN, EVIDENCE_SHOWN, FEEDBACK_SHOWN, RELEVANT_ROWS = 30, 3, 20, 50
+RECENT_DAYS, ERA_MARGIN = 30, 50
+SAME_NAME, LIKE_NAME, LIKE_PLACE, SAME_ERA, FRESH = 30, 15, 20, 10, 5
+# Years fall into spans of 1, 2, 4 ... years; a tree's era is a few whole spans. Longer than any era.
+SPANS = 12
 
 
 def pack_flags(flag: DataFrame) -> DataFrame:
@@ -119,52 +125,99 @@ def unique_lookups(flag: DataFrame) -> DataFrame:
     return once.groupBy(JOB, SLOT).agg(F.array_join(F.transform(listed, lambda x: x["suggestion"]), " | ").alias("lookups"))
 
 
-def feedback_relevance(feedback: DataFrame, anc: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """For every tree the most relevant of the latest 500 decisions, at most 50.
+def _spans_of(year: Column) -> Column:
+    """The span of every length that a year lies in."""
+    return F.array(*(F.concat_ws(":", F.lit(j), F.floor(year / (1 << j))) for j in range(SPANS)))
 
-    The 500 rows are a fixed bound and ride along as one array (a scalar subquery), so trees are
-    scored where they lie, without a join.
+
+def _spans_within(lo: Column, hi: Column) -> Column:
+    """The fewest spans that make up the years ``lo`` to ``hi``: those inside whose own double is not."""
+    found = []
+    for j in range(SPANS):
+        size = 1 << j
+        first, last = F.ceil(lo / size), F.floor((hi + 1) / size) - 1
+
+        def whole(n: Column, size: int = size) -> Column:
+            up = F.floor(n / 2)
+            return F.when((first <= last) & ((up * 2 * size < lo) | ((up + 1) * 2 * size - 1 > hi)), F.concat_ws(":", F.lit(j), n))  # noqa: B023
+
+        found += [whole(first), whole(last)]
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def _texts_alike(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """t, k: distinct texts of which one holds the other, themselves included, by the starts of their suffixes."""
+    inner = lambda name: F.explode(names.parts_inside(F.col(name), 1))
+    same = asked.join(known, F.col("t") == F.col("k")).select("t", "k")
+    return same.unionByName(asked.select("t", inner("t").alias("k")).join(known, "k").select("t", "k")).unionByName(known.select("k", inner("k").alias("t")).join(asked, "t").select("t", "k")).distinct()
+
+
+def feedback_index(feedback: DataFrame, keep: int) -> DataFrame:
+    """surname, location, span, id, action_type, created_at: the ``keep`` newest decisions of every key.
+
+    A key is a surname or none, a location or none, and a span of birth years or none; blank stands for
+    none. More than ``keep`` decisions of one key can never be shown to a tree, so a key however frequent
+    holds that many, and each task sends no more of it.
     """
-    recent = feedback.orderBy(F.desc("created_at"), F.desc("id")).limit(RECENT_ROWS)
-    row = F.struct("id", "created_at", "action_type", F.lower("surname").alias("surname"), F.lower("location").alias("location"), "birth_year")
-    listed = recent.agg(F.collect_list(row).alias("rows"), F.max("created_at").alias("newest"))
-    ctx = anc.groupBy(JOB).agg(
-        F.collect_set(F.lower("surname")).alias("surnames"), F.collect_set(F.when(F.col("birth_place") != "", F.lower("birth_place"))).alias("places"),
-    ).join(tree_context(anc).select(JOB, "year_from", "year_to"), JOB)
-    now = as_of if as_of is not None else listed.select("newest").scalar()
-    ctx = ctx.withColumn("rows", listed.select("rows").scalar()).withColumn("now", now)
-
-    def near(values, x):
-        return (x != "") & F.exists(values, lambda v: (v != "") & (x.contains(v) | v.contains(x)))
-
-    def relevance(r):
-        name = first_true([((r["surname"] != "") & F.array_contains("surnames", r["surname"]), 30), (near(F.col("surnames"), r["surname"]), 15)], 0)
-        place = F.when(near(F.col("places"), r["location"]), 20).otherwise(0)
-        era = F.when(r["birth_year"].between(F.col("year_from") - ERA_MARGIN, F.col("year_to") + ERA_MARGIN), 10).otherwise(0)
-        fresh = F.when(r["created_at"] > F.col("now") - F.expr(f"interval {RECENT_DAYS} days"), 5).otherwise(0)
-        return name + place + era + fresh
-
-    scored = F.transform("rows", lambda r: F.struct((-relevance(r)).alias("neg"), F.negative(F.unix_micros(r["created_at"].cast("timestamp"))).alias("age"), (-r["id"]).alias("nid"), r["action_type"].alias("action_type")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["neg"] < 0)), 1, RELEVANT_ROWS)
-    return ctx.select(JOB, F.explode(best).alias("f")).select(JOB, (-F.col("f.nid")).alias("id"), F.col("f.action_type"), (-F.col("f.neg")).alias("relevance"))
-
-
-def review_payload(anc: DataFrame, jobs: DataFrame, evidence_rows: DataFrame, feedback: DataFrame) -> DataFrame:
+    row = feedback.select("id", "created_at", "action_type", F.lower(F.coalesce("surname", F.lit(""))).alias("s"), F.lower(F.coalesce("location", F.lit(""))).alias("l"), F.col("birth_year").alias("y"))
+    either = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit(""))))
+    spans = F.array_union(F.array(F.lit("")), F.coalesce(F.when(F.col("y").isNotNull(), _spans_of(F.col("y"))), F.expr("cast(array() as array<string>)")))
+    keyed = row.withColumn("surname", either("s")).withColumn("location", either("l")).withColumn("span", F.explode(spans))
+    newest = top_rows(keyed, ["surname", "location", "span"], [F.desc("created_at"), F.desc("id")], keep, "nth")
+    return newest.select("surname", "location", "span", "id", "action_type", "created_at")
+
+
+def feedback_relevance(feedback: DataFrame, anc: DataFrame, as_of: Column | None = None, keep: int = RELEVANT_ROWS, latest: int | None = None) -> DataFrame:
+    """For every tree the ``keep`` most relevant of all decisions (or of the ``latest``), newest first on a tie.
+
+    A decision counts 30 for a surname of the tree (15 where one holds the other), 20 for a place of the tree
+    (one holds the other), 10 for a birth year within fifty of the tree's, 5 for the last thirty days.
+
+    Decisions stand in an index by what can count (``feedback_index``). A tree asks by its surnames and places, or
+    by none, and by the spans of its era, or by none. What a key is short of is points alone, so the best of
+    a tree are among the newest of its keys, and the most that a decision scores by any key is its score.
+    """
+    if latest is not None:
+        feedback = feedback.orderBy(F.desc("created_at"), F.desc("id")).limit(latest)
+    index = materialized(feedback_index(feedback, keep))
+    own = anc.select(JOB, F.lower("surname").alias("surname"), F.lower("birth_place").alias("place"))
+
+    def matches(column: str, key: str) -> DataFrame:
+        mine = own.select(JOB, F.col(column).alias("t")).where("t <> ''").distinct()
+        met = _texts_alike(mine.select("t").distinct(), index.select(F.col(key).alias("k")).where("k <> ''").distinct())
+        return mine.join(met, "t").select(JOB, "t", F.col("k").alias(key))
+
+    by_name = matches("surname", "surname").groupBy(JOB, "surname").agg(F.max(F.when(F.col("t") == F.col("surname"), SAME_NAME).otherwise(LIKE_NAME)).alias("name_points"))
+    by_place = matches("place", "location").groupBy(JOB, "location").agg(F.lit(LIKE_PLACE).alias("place_points"))
+    trees = tree_context(anc).select(JOB, "year_from", "year_to")
+    none = lambda name, points: trees.select(JOB, F.lit("").alias(name), F.lit(0).alias(points))
+    spans = F.coalesce(F.when(F.col("year_from").isNotNull(), _spans_within(F.col("year_from") - ERA_MARGIN, F.col("year_to") + ERA_MARGIN)), F.expr("cast(array() as array<string>)"))
+    era = trees.select(JOB, F.explode(F.array_union(F.array(F.lit("")), spans)).alias("span")).withColumn("era_points", F.when(F.col("span") != "", SAME_ERA).otherwise(0))
+    asked = by_name.unionByName(none("surname", "name_points")).join(by_place.unionByName(none("location", "place_points")), JOB).join(era, JOB)
+    now = as_of if as_of is not None else feedback.agg(F.max("created_at").alias("now")).scalar()
+    fresh = F.when(F.col("created_at") > now - F.expr(f"interval {RECENT_DAYS} days"), FRESH).otherwise(0)
+
+    key = ["surname", "location", "span"]
+    points = F.col("name_points") + F.col("place_points") + F.col("era_points") + fresh
+    found = asked.join(index, key).select(JOB, "id", "action_type", "created_at", points.alias("points"))
+    scored = found.groupBy(JOB, "id", "action_type", "created_at").agg(F.max("points").alias("relevance")).where("relevance > 0")
+    return top_rows(scored, JOB, [F.desc("relevance"), F.desc("created_at"), F.desc("id")], keep, "nth").select(JOB, "id", "action_type", "relevance")
+
+
+def review_payload(anc: DataFrame, jobs: DataFrame, evidence_rows: DataFrame, feedback: DataFrame, gaps_shown: int = GAPS_SHOWN, evidence_shown: int = EVIDENCE_SHOWN, feedback_shown: int = FEEDBACK_SHOWN) -> DataFrame:
     """One JSON document per tree: slots with role and first evidence, gaps, level counts, feedback.
 
     Everything gathered per tree is bounded: slots by the tree, evidence, gaps and feedback by what is shown.
     """
-    from kinforge.operators.ranking import top_rows
-
-    shown = top_rows(evidence_rows, "person_id", [F.col("seq")], EVIDENCE_SHOWN).groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("evidence"))
+    shown = top_rows(evidence_rows, "person_id", [F.col("seq")], evidence_shown).groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("evidence"))
     from kinforge.operators.scoring import attach_person
 
     rows = attach_person(anc, shown).withColumn("role", slots.slot_role(F.col(SLOT)))
     item = F.struct(F.col(SLOT).alias("slot"), "role", "name", "gender", "birth_date", "birth_place", "confidence_score", "confidence_level", "discovery_method", "evidence")
     lv = F.col("confidence_level")
     people = rows.groupBy(JOB).agg(F.array_sort(F.collect_list(item)).alias("slots"), F.count("*").alias("found"), F.count_if(lv == "Customer Data").alias("given"), F.sum(F.coalesce(F.size("evidence"), F.lit(0))).alias("evidence_rows"))
-    gaps = empty_slots(anc, jobs).groupBy(JOB).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col(SLOT).alias("slot"), "role", "child_name"))), 1, GAPS_SHOWN).alias("gaps"))
-    told = feedback_relevance(feedback, anc).groupBy(JOB).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("neg"), "id", "action_type"))), 1, FEEDBACK_SHOWN).alias("feedback"))
+    gaps = empty_slots(anc, jobs).groupBy(JOB).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col(SLOT).alias("slot"), "role", "child_name"))), 1, gaps_shown).alias("gaps"))
+    told = feedback_relevance(feedback, anc, keep=max(feedback_shown, 1)).groupBy(JOB).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("neg"), "id", "action_type"))), 1, feedback_shown).alias("feedback"))
     out = jobs.select(JOB, "customer_name", "generations").join(people, JOB).join(gaps, JOB, "left").join(told, JOB, "left")
     doc = F.to_json(F.struct("customer_name", "generations", "slots", "gaps", "feedback", F.struct("found", "given", slots.tree_slots(F.col("generations")).alias("expected")).alias("statistics")))
     return out.select(JOB, "found", "given", "evidence_rows", F.coalesce(F.size("gaps"), F.lit(0)).alias("gaps_shown"), F.get(F.col("gaps"), F.lit(0))["slot"].alias("first_gap"),

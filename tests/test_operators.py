@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.operators import changes, civil, linking, merge, ranking, scoring, tree
+from kinforge.operators import changes, civil, evidence_chain, linking, merge, ranking, review, scoring, tree
 from kinforge.operators.review import agreed_adjustment
 from kinforge.sources import civil_index
 from kinforge.fixtures import table
@@ -153,7 +153,7 @@ def test_a_middle_name_meets_and_counts_less(spark):
             ("birth", "Hunt", "", "", 1900, "Mar", "Derby", "7b", "1", 4), ("marriage", "Hunt", "Ann", "Cox", 1920, "Mar", "", "7b", "1", 5), ("marriage", "Hunt", "Mary Ann", "Fox", 1920, "Mar", "", "7b", "1", 6)]
     idx = _civil(spark, rows)
     asked = spark.createDataFrame([(1, 2, "William", "Hunt", 1900, ""), (1, 3, "Herbert", "Hunt", 1900, ""), (1, 4, "Will", "Hunt", 1900, "")], "job_id long, asc_no int, first string, last string, birth_year int, birth_place string")
-    assert {(r.asc_no, r.entry_id, r.score) for r in civil.confirm_birth(asked, idx).collect()} == {(2, 1, 80), (3, 1, 80)}
+    assert {(r.asc_no, r.entry_id, r.score) for r in civil.confirm_birth(asked, idx).collect()} == {(2, 1, 80), (3, 1, 90)}
     third = idx.where("entry_id = 3")
     assert {(r.asc_no, r.entry_id, r.score) for r in civil.confirm_birth(asked, third).collect()} == {(2, 3, 80), (3, 3, 70)}
     pairs = spark.createDataFrame([(1, 2, "Ann Mary", "Hunt", "Cox"), (1, 4, "Ann", "Hunt", "Fox")], "job_id long, asc_no int, first string, last string, spouse_last string")
@@ -161,6 +161,56 @@ def test_a_middle_name_meets_and_counts_less(spark):
     assert {(r.asc_no, r.entry_id, r.score) for r in civil.find_marriage(pairs, idx).collect()} == {(2, 5, 95), (4, 6, 80)}
 
 
+def test_the_sixth_result_wins_where_five_cannot(spark):
+    """Rejected and foreign results go before any cut; a cut is an argument and counts those that are left."""
+    cand = spark.createDataFrame(
+        [(1, 4, i, f"C{i}", "John", "John Cox", 1900, "Ohio, United States" if i < 4 else "", "", "", None, i in (4, 5)) for i in range(1, 6)] + [(1, 4, 6, "C6", "John", "John Cox", 1900, "Derby", "Cox", "", None, False), (1, 4, 7, "C7", "John", "John Cox", 1900, "Derby", "Cox", "Fox", None, False)],
+        "job_id long, asc_no int, rnk int, person_id string, c_given string, c_name string, c_year int, c_place string, father_surname string, mother_surname string, death_year int, rejected boolean")
+    hyps = spark.createDataFrame([(1, 4, h, "Cox", "John", 1900, "Derby", "Fox") for h in range(1, 8)], "job_id long, asc_no int, hyp int, h_surname string, h_forenames string, h_year int, h_district string, h_maiden string")
+    census = spark.createDataFrame([], "person_id string, census array<int>")
+    got = {r.hyp: (r.person_id, r.status) for r in evidence_chain.household_match(hyps, cand, census).collect()}
+    assert got == {h: ("C7", "primary") for h in range(1, 8)}
+    assert {r.hyp: r.person_id for r in evidence_chain.household_match(hyps, cand, census, tried=2, shown=1).collect()} == {1: "C6", 2: "C6"}
+
+
+def test_spans_make_up_every_range_of_years(spark):
+    rng = random.Random(6)
+    ranges = [(a, a + rng.randrange(0, 600)) for a in (rng.randrange(1500, 2000) for _ in range(300))] + [(1900, 1900), (1536, 2047)]
+    rows = spark.createDataFrame(ranges, "lo int, hi int").select("lo", "hi", review._spans_within(F.col("lo"), F.col("hi")).alias("s")).collect()
+    for r in rows:
+        years = [y for j, n in (map(int, x.split(":")) for x in r.s) for y in range(n << j, (n + 1) << j)]
+        assert sorted(years) == list(range(r.lo, r.hi + 1)) and len(r.s) <= 2 * review.SPANS
+
+
+@pytest.mark.parametrize("keep", [3, 40])
+def test_feedback_is_scored_in_full(spark, keep):
+    """Every decision against every tree, by brute force; old decisions, blanks and nulls among them."""
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(9), datetime(2020, 1, 1)
+    family = ["Hunt", "Hunt-Smith", "Hu", "Cox", "Coxe", "", None, "smith"]
+    towns = ["Derby", "Derby, Derbyshire", "derbyshire", "", None, "Ely", "E"]
+    told = [(i, 1, start + timedelta(hours=rng.randrange(20_000)), rng.choice(["accept", "reject"]), rng.choice(family), rng.choice([None, *range(1700, 2030, 7)]), rng.choice(towns)) for i in range(900)]
+    feedback = spark.createDataFrame(told, "id long, job_id long, created_at timestamp, action_type string, surname string, birth_year int, location string")
+    slots = [(job, s, 0, f"P{job}{s}", "A B", rng.choice(family) or "", rng.choice(towns) or "", str(rng.randrange(1750, 1990)) if job % 4 else "", "Male") for job in range(12) for s in range(1, 5)]
+    anc = spark.createDataFrame(slots, "job_id long, asc_no int, gen int, person_id string, name string, surname string, birth_place string, birth_date string, gender string").withColumn("confidence_level", F.lit(""))
+    era = {r.job_id: (r.year_from, r.year_to) for r in tree.tree_context(anc).collect()}
+    newest, want = max(t[2] for t in told), set()
+    low = lambda x: (x or "").lower()
+    for job in era:
+        names_ = {low(s[5]) for s in slots if s[0] == job} - {""}
+        places_ = {low(s[6]) for s in slots if s[0] == job} - {""}
+        scored = []
+        for i, _, at, what, sur, year, place in told:
+            sur, place, (lo, hi) = low(sur), low(place), era[job]
+            points = (30 if sur in names_ else 15 if sur and any(sur in n or n in sur for n in names_) else 0) + (20 if place and any(place in p or p in place for p in places_) else 0)
+            points += 10 * bool(year is not None and lo is not None and lo - 50 <= year <= hi + 50) + 5 * (at > newest - timedelta(days=30))
+            if points:
+                scored.append((-points, -at.timestamp(), -i, what))
+        want |= {(job, -i, what, -p) for p, _, i, what in sorted(scored)[:keep]}
+    assert {tuple(r) for r in review.feedback_relevance(feedback, anc, keep=keep).collect()} == want
+
+
 def test_range_joins_build_no_pairs(spark, sf_dir):
     anc, idx = table(spark, sf_dir, "fx_anc"), table(spark, sf_dir, "fx_civil")
     for df in (civil.birth_range(anc, idx), civil.marriage_window(anc, idx), civil.sibling_births(idx), civil.confirm_birth(civil.named(anc), idx)):
