@@ -239,14 +239,19 @@ def _results(cand):
     which = (c("rnk") % 3).cast("int")
     src = F.element_at(F.array(F.lit("tree"), F.lit("profiles"), F.lit("civil")), which + 1)
     given = F.when((which == 1) & (c("given_name") == "Walter"), "Walt").otherwise(F.substring_index("given_name", " ", 1))
-    return cand.select("job_id", "asc_no", "rnk", "person_id", F.concat_ws(" ", given, "surname").alias("name"), "birth_date", "birth_place", src.alias("source"))
+    return cand.select("job_id", "asc_no", "rnk", "person_id", F.concat_ws(" ", given, "surname").alias("name"), "birth_date", "birth_place", src.alias("source"),
+                       F.when(c("rnk") % 2 == 0, F.concat(F.lit("19"), 50 + c("rnk"))).otherwise("").alias("death_date"), F.when(c("rnk") % 3 == 0, "Belper").otherwise("").alias("death_place"),
+                       F.when(c("rnk") % 4 == 1, F.concat_ws(" ", F.lit("John"), "surname")).otherwise("").alias("father_name"), F.when(c("rnk") % 4 == 2, "Ann Cox").otherwise("").alias("mother_name"))
 
 
+_MORE = ("death_date", "death_place", "father_name", "mother_name")
+_MORE_SQL = ", ".join(f"arg_min({x}, rnk) FILTER (WHERE {x} <> '') AS {x}" for x in _MORE)
 _ALIKE = "(starts_with({a}, {b}) OR starts_with({b}, {a}) OR (length({a}) >= 3 AND length({b}) >= 3 AND left({a}, 3) = left({b}, 3)))"
 _HIT = ("list_filter(w.leaders, lambda l: " + _ALIKE.format(a="e.f", b="l.f") + " AND " + _ALIKE.format(a="e.k", b="l.k") + " AND (e.y IS NULL OR l.y IS NULL OR abs(e.y - l.y) <= 3))[1]")
-_MERGE = f"""r AS (SELECT job_id, asc_no, rnk, person_id, CASE WHEN rnk % 3 = 1 AND given_name = 'Walter' THEN 'Walt' ELSE split_part(given_name, ' ', 1) END || ' ' || surname AS name, birth_date, birth_place, ['tree', 'profiles', 'civil'][rnk % 3 + 1] AS source FROM fx_cand),
+_MERGE = f"""r AS (SELECT job_id, asc_no, rnk, person_id, CASE WHEN rnk % 3 = 1 AND given_name = 'Walter' THEN 'Walt' ELSE split_part(given_name, ' ', 1) END || ' ' || surname AS name, birth_date, birth_place, ['tree', 'profiles', 'civil'][rnk % 3 + 1] AS source,
+  CASE WHEN rnk % 2 = 0 THEN '19' || (50 + rnk) ELSE '' END AS death_date, CASE WHEN rnk % 3 = 0 THEN 'Belper' ELSE '' END AS death_place, CASE WHEN rnk % 4 = 1 THEN 'John ' || surname ELSE '' END AS father_name, CASE WHEN rnk % 4 = 2 THEN 'Ann Cox' ELSE '' END AS mother_name FROM fx_cand),
 kr AS (SELECT *, split_part(lower(name), ' ', 1) AS f, split_part(lower(name), ' ', -1) AS k, TRY_CAST(regexp_extract(birth_date, '(\\d{{4}})', 1) AS INT) AS y FROM r),
-ex AS (SELECT job_id, asc_no, f, k, y, min(rnk) AS seq, arg_min(name, rnk) AS name, arg_min(birth_date, rnk) FILTER (WHERE birth_date <> '') AS birth_date, arg_min(birth_place, rnk) FILTER (WHERE birth_place <> '') AS birth_place FROM kr GROUP BY 1, 2, 3, 4, 5),
+ex AS (SELECT job_id, asc_no, f, k, y, min(rnk) AS seq, arg_min(name, rnk) AS name, arg_min(birth_date, rnk) FILTER (WHERE birth_date <> '') AS birth_date, arg_min(birth_place, rnk) FILTER (WHERE birth_place <> '') AS birth_place, {_MORE_SQL} FROM kr GROUP BY 1, 2, 3, 4, 5),
 eo AS (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY seq) AS pos FROM ex),
 w0 AS (SELECT job_id, asc_no, CAST(0 AS BIGINT) AS pos, CAST(NULL AS INT) AS seq, CAST(NULL AS INT) AS lead, CAST([] AS STRUCT(f VARCHAR, k VARCHAR, y INT, seq INT)[]) AS leaders FROM (SELECT DISTINCT job_id, asc_no FROM ex) j),
 wk AS (SELECT * FROM w0 UNION ALL SELECT w.job_id, w.asc_no, e.pos, e.seq, coalesce({_HIT}.seq, e.seq), CASE WHEN {_HIT} IS NULL THEN list_append(w.leaders, {{'f': e.f, 'k': e.k, 'y': e.y, 'seq': e.seq}}) ELSE w.leaders END FROM wk w JOIN eo e ON e.job_id = w.job_id AND e.asc_no = w.asc_no AND e.pos = w.pos + 1),
@@ -255,7 +260,7 @@ sr AS (SELECT job_id, asc_no, lead, string_agg(source, ',' ORDER BY s) AS source
 
 
 @query("merge_results", "fx_cand", sql=f"""WITH RECURSIVE {_MERGE}
-SELECT sr.job_id, sr.asc_no, sr.lead AS leader_rnk, ex.name, ex.birth_date, ex.birth_place, sr.sources, sr.n_ids FROM sr JOIN ex ON ex.job_id = sr.job_id AND ex.asc_no = sr.asc_no AND ex.seq = sr.lead""")
+SELECT sr.job_id, sr.asc_no, sr.lead AS leader_rnk, ex.name, ex.birth_date, ex.birth_place, {', '.join('ex.' + x for x in _MORE)}, sr.sources, sr.n_ids FROM sr JOIN ex ON ex.job_id = sr.job_id AND ex.asc_no = sr.asc_no AND ex.seq = sr.lead""")
 def merge_results(cand):
     m = merge.merge_results(_results(cand))
-    return m.select("job_id", "asc_no", "leader_rnk", "name", "birth_date", "birth_place", F.array_join("sources", ",").alias("sources"), F.size("source_ids").alias("n_ids"))
+    return m.select("job_id", "asc_no", "leader_rnk", "name", "birth_date", "birth_place", *_MORE, F.array_join("sources", ",").alias("sources"), F.size("source_ids").alias("n_ids"))

@@ -1,88 +1,100 @@
 """Results of several sources for one search merged into distinct people.
 
-First an exact key (first name, last name, year), which is an aggregate; then a row whose key is new joins
-the first earlier person it resembles (leader clustering). Resemblance needs equal first letters of
-both names, so clustering runs per search and letter pair over distinct keys only.
+Rows come in order of arrival. A row with the exact key (first name, last name, year) of an earlier person
+is that person; one whose key is new joins the first earlier person it resembles, else it is a new one. So
+the people are the lexicographically first maximal independent set of the keys that resemble one another.
+
+Two names resemble each other by their first three letters alone (one's are a start of the other's). Keys
+alike in those letters and the year are therefore one node, and a node meets its neighbours by equality on
+starts and years. The set is found in rounds: a node without an earlier undecided neighbour is a person, its
+neighbours follow. A round is a few joins over edges, however many keys a search has.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.functions.names import first_word, prefix_similar
+from kinforge.functions.names import first_word
+from kinforge.session import materialized
 
 SEARCH_KEY = ["job_id", "asc_no"]
 # --- fixed values ---------------------------------------------------------------------------------
-YEARS_APART = 3
-FILLED = ("birth_date", "birth_place")
+YEARS_APART, LETTERS = 3, 3
+FILLED = ("birth_date", "birth_place", "death_date", "death_place", "father_name", "mother_name")
 
+_NODE = [*SEARCH_KEY, "f", "l", "year"]
 
-SMALL_BLOCK = 200
-_ITEM = "struct<seq: int, first: string, last: string, year: int>"
 
+def _starts(c: str) -> Column:
+    """The starts of a name's letters, the whole of them included."""
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
 
-def _near(x: Column, y: Column) -> Column:
-    years = F.coalesce(F.abs(x["year"] - y["year"]) <= YEARS_APART, F.lit(True))
-    return years & prefix_similar(x["first"], y["first"]) & prefix_similar(x["last"], y["last"])
 
+def resembling(nodes: DataFrame) -> DataFrame:
+    """search, u, v: nodes ``v`` that resemble an earlier node ``u``. ``nodes``: search, f, l, year, seq.
 
-def _fold(block: DataFrame, by: list[str]) -> DataFrame:
-    """Blocks of ordinary size: a fold over the block's keys in arrival order, inside the JVM."""
-    items = F.array_sort(F.collect_list(F.struct("seq", "first", "last", "year")))
-    start = F.struct(F.expr(f"cast(array() as array<{_ITEM}>)").alias("leaders"), F.expr("cast(array() as array<struct<seq: int, lead: int>>)").alias("placed"))
-
-    def step(acc, x):
-        hit = F.get(F.filter(acc["leaders"], lambda y: _near(x, y)), F.lit(0))
-        return F.struct(F.when(hit.isNull(), F.array_append(acc["leaders"], x)).otherwise(acc["leaders"]).alias("leaders"),
-                        F.array_append(acc["placed"], F.struct(x["seq"].alias("seq"), F.coalesce(hit["seq"], x["seq"]).alias("lead"))).alias("placed"))
-
-    return block.groupBy(*by).agg(F.aggregate(items, start, step, lambda acc: acc["placed"]).alias("placed")).select(*SEARCH_KEY, F.explode("placed").alias("_x")).select(
-        *SEARCH_KEY, F.col("_x.seq").alias("seq"), F.col("_x.lead").alias("leader_rnk"))
-
-
-def _alike(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and (a.startswith(b) or b.startswith(a) or (len(a) >= 3 and len(b) >= 3 and a[:3] == b[:3]))
-
-
-def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One large block: the same rule as the fold, over a plain list of leaders."""
-    leaders: list[tuple[str, str, float, int]] = []
-    rows = pdf.sort_values("seq")
-    lead = []
-    for first, last, year, seq in zip(rows["first"], rows["last"], rows["year"], rows["seq"]):
-        fits = (n for f, k, y, n in leaders if (pd.isna(year) or pd.isna(y) or abs(year - y) <= YEARS_APART) and _alike(first, f) and _alike(last, k))
-        mine = next(fits, None)
-        if mine is None:
-            leaders.append((first, last, year, seq))
-        lead.append(seq if mine is None else mine)
-    return rows[["job_id", "asc_no", "seq"]].assign(leader_rnk=lead)
+    One side offers its letters and its year, the other asks by every start of its letters and by the years
+    near its own; an unknown year goes with all. Both directions of each name are asked for, so that a short
+    first name with a long last name is met too.
+    """
+    named = nodes.where("f <> '' and l <> ''")
+    year, any_year = F.col("year").cast("string"), F.lit("*")
+    offered = F.array(F.coalesce(year, F.lit("?")), any_year)
+    near = F.transform(F.sequence(F.col("year") - YEARS_APART, F.col("year") + YEARS_APART), lambda y: y.cast("string"))
+    asked = F.when(F.col("year").isNull(), F.array(any_year)).otherwise(F.concat(near, F.array(F.lit("?"))))
+    one = lambda c: F.array(F.col(c))
+
+    def opened(f: Column, l: Column, y: Column, seq: str) -> DataFrame:
+        return named.select(*SEARCH_KEY, F.col("seq").alias(seq), F.explode(f).alias("kf"), F.col("l"), y.alias("ys")).select(*SEARCH_KEY, seq, "kf", F.explode(l).alias("kl"), "ys").select(*SEARCH_KEY, seq, "kf", "kl", F.explode("ys").alias("ky"))
+
+    keys = [*SEARCH_KEY, "kf", "kl", "ky"]
+    same_way = opened(one("f"), one("l"), offered, "a").join(opened(_starts("f"), _starts("l"), asked, "b"), keys)
+    crosswise = opened(one("f"), _starts("l"), offered, "a").join(opened(_starts("f"), one("l"), asked, "b"), keys)
+    met = same_way.unionByName(crosswise).where("a <> b")
+    return met.select(*SEARCH_KEY, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def followers(edges: DataFrame) -> DataFrame:
+    """search, v: nodes that are not in the lexicographically first maximal independent set."""
+    left, gone = edges, None
+    while True:
+        open_ = left.select(*SEARCH_KEY, F.col("u").alias("n")).distinct().join(left.select(*SEARCH_KEY, F.col("v").alias("n")).distinct(), [*SEARCH_KEY, "n"], "left_anti")
+        out = materialized(left.join(open_.select(*SEARCH_KEY, F.col("n").alias("u")), [*SEARCH_KEY, "u"], "left_semi").select(*SEARCH_KEY, "v").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = materialized(left.join(out, [*SEARCH_KEY, "v"], "left_anti").join(out.withColumnRenamed("v", "u"), [*SEARCH_KEY, "u"], "left_anti").select(*SEARCH_KEY, "u", "v"))
+        if left.isEmpty():
+            return gone
 
 
 def merge_results(results: DataFrame) -> DataFrame:
-    """``results``: job, slot, rnk (arrival), person_id, name, birth_date, birth_place, source.
+    """``results``: job, slot, rnk (arrival), person_id, name, source, and those of FILLED that the sources give.
 
     Rows with an earlier row's exact key fill its gaps; rows that only resemble it add their source and id.
+    Blank names resemble nothing.
     """
-    low = F.lower(F.trim("name"))
-    keyed = results.withColumns({"first": first_word(F.col("name")), "last": F.substring_index(low, " ", -1), "year": F.regexp_extract("birth_date", r"(\d{4})", 1).try_cast("int")})
+    filled = [c for c in FILLED if c in results.columns]
+    low = F.coalesce(F.lower(F.trim("name")), F.lit(""))
+    keyed = results.withColumns({"first": first_word(low), "last": F.substring_index(low, " ", -1), "year": F.regexp_extract("birth_date", r"(\d{4})", 1).try_cast("int")})
     key = [*SEARCH_KEY, "first", "last", "year"]
-    gap = [F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("rnk"))).alias(c) for c in FILLED]
-    # Per key and source the last id wins and the first arrival counts.
-    per_source = keyed.groupBy(*key, "source").agg(F.min("rnk").alias("src_seq"), F.max_by("person_id", "rnk").alias("id"), F.max("rnk").alias("last_seq"))
-    exact = keyed.groupBy(*key).agg(F.min("rnk").alias("seq"), F.min_by("name", "rnk").alias("name"), *gap)
-    by = [*SEARCH_KEY, "f1", "l1"]
-    block = exact.select(*key, "seq", F.substring("first", 1, 1).alias("f1"), F.substring("last", 1, 1).alias("l1"))
-    sized = block.join(block.groupBy(*by).agg(F.count("*").alias("_size")), by)
-    large = sized.where(F.col("_size") > SMALL_BLOCK).groupBy(*by).applyInPandas(_cluster, "job_id long, asc_no int, seq int, leader_rnk int")
-    led = _fold(sized.where(F.col("_size") <= SMALL_BLOCK), by).unionByName(large)
-    named = exact.join(led, [*SEARCH_KEY, "seq"])
-    who = named.where(F.col("seq") == F.col("leader_rnk")).select(*SEARCH_KEY, "leader_rnk", "name", *FILLED)
-    null_year = F.coalesce("year", F.lit(-1)).alias("year")
-    ids = per_source.select(*SEARCH_KEY, "first", "last", null_year, "source", "src_seq", "id", "last_seq").join(
-        named.select(*SEARCH_KEY, "first", "last", null_year, "leader_rnk"), [*SEARCH_KEY, "first", "last", "year"])
-    one = ids.groupBy(*SEARCH_KEY, "leader_rnk", "source").agg(F.min("src_seq").alias("s"), F.max_by("id", "last_seq").alias("id"))
+    gap = [F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("rnk"))).alias(c) for c in filled]
+    letters = {"f": F.substring("first", 1, LETTERS), "l": F.substring("last", 1, LETTERS)}
+    exact = materialized(keyed.groupBy(*key).agg(F.min("rnk").alias("seq"), F.min_by("name", "rnk").alias("name"), *gap).withColumns(letters))
+
+    nodes = exact.groupBy(*_NODE).agg(F.min("seq").alias("seq"))
+    edges = materialized(resembling(nodes))
+    out = materialized(followers(edges))
+    # A follower goes to the first of its neighbours that is a person.
+    led = edges.join(out.withColumnRenamed("v", "u"), [*SEARCH_KEY, "u"], "left_anti").join(out, [*SEARCH_KEY, "v"], "left_semi").groupBy(*SEARCH_KEY, "v").agg(F.min("u").alias("lead"))
+    placed = nodes.join(led.withColumnRenamed("v", "seq"), [*SEARCH_KEY, "seq"], "left").select(*_NODE, F.coalesce("lead", "seq").alias("leader_rnk"))
+    year = F.coalesce("year", F.lit(-1)).alias("year")
+    node = [*SEARCH_KEY, "f", "l", "year"]
+    led_by = placed.select(*SEARCH_KEY, "f", "l", year, "leader_rnk")
+
+    who = exact.join(placed.select(*SEARCH_KEY, F.col("leader_rnk").alias("seq")).distinct(), [*SEARCH_KEY, "seq"]).select(*SEARCH_KEY, F.col("seq").alias("leader_rnk"), "name", *filled)
+    # Per node and source the last id wins and the first arrival counts.
+    ids = keyed.withColumns(letters).select(*SEARCH_KEY, "f", "l", year, "source", "rnk", "person_id").groupBy(*node, "source").agg(F.min("rnk").alias("s"), F.max_by("person_id", "rnk").alias("id"), F.max("rnk").alias("last_seq"))
+    one = ids.join(led_by, node).groupBy(*SEARCH_KEY, "leader_rnk", "source").agg(F.min("s").alias("s"), F.max_by("id", "last_seq").alias("id"))
     src = one.groupBy(*SEARCH_KEY, "leader_rnk").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]).alias("sources"), F.map_from_entries(F.collect_list(F.struct("source", "id"))).alias("source_ids"))
     return who.join(src, [*SEARCH_KEY, "leader_rnk"])

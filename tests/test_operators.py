@@ -57,14 +57,11 @@ def _merge_by_hand(rows):
     return sorted(set(place.values()))
 
 
-@pytest.mark.parametrize("small", [200, 0])
-def test_merge_equals_one_by_one(spark, monkeypatch, small):
-    """Once through the fold, once through the large-block path."""
-    monkeypatch.setattr(merge, "SMALL_BLOCK", small)
+def test_merge_equals_one_by_one(spark):
     rng = random.Random(3)
-    given, family = ["Will", "William", "Wilma", "Bill", "Anne", "Ann"], ["Hunt", "Hunter", "Smith", "Smyth"]
+    given, family = ["Will", "William", "Wilma", "Bill", "Anne", "Ann", "W", "Wi", "Wil"], ["Hunt", "Hunter", "Smith", "Smyth", "H", "Hu", "S"]
     by_search, rows = {}, []
-    for job in range(8):
+    for job in range(40):
         mine = []
         for seq in range(1, 25):
             name, year = f"{rng.choice(given)} {rng.choice(family)}", rng.choice([None, *range(1900, 1912)])
@@ -75,7 +72,35 @@ def test_merge_equals_one_by_one(spark, monkeypatch, small):
     got = {}
     for r in merge.merge_results(df).collect():
         got.setdefault(r.job_id, []).append(r.leader_rnk)
+        mine = [x for x in rows if x[0] == r.job_id]
+        assert sorted(r.sources) == sorted(r.source_ids) and set(r.sources) <= {x[7] for x in mine}
     assert {k: sorted(v) for k, v in got.items()} == by_search
+    ids = sum(len(set(x[7] for x in rows if x[0] == job)) for job in by_search)
+    assert merge.merge_results(df).selectExpr("sum(size(sources)) AS n").first().n >= ids
+
+
+def test_merge_fills_six_gaps_from_rows_of_the_same_key(spark):
+    rows = [(1, 1, 1, "a", "John Cox", "1900", "", "", "", "", "", "x"), (1, 1, 2, "b", "Johnny Cox", "1901", "Ely", "1950", "Ely", "F", "M", "y"), (1, 1, 3, "c", "john  cox", "1900", "Derby", "1970", "", "", "Ann", "z"), (1, 1, 4, "d", "John Cox", "1900", "Leek", "1980", "Hull", "Tom", "Eve", "x"),
+            (1, 1, 5, "e", None, "", "", "", "", "", "", "x"), (1, 1, 6, "f", "", "", "", "", "", "", "", "y")]
+    df = spark.createDataFrame(rows, "job_id long, asc_no int, rnk int, person_id string, name string, birth_date string, birth_place string, death_date string, death_place string, father_name string, mother_name string, source string")
+    got = {r.leader_rnk: r for r in merge.merge_results(df).collect()}
+    john = got[1]
+    assert (john.birth_place, john.death_date, john.death_place, john.father_name, john.mother_name) == ("Derby", "1970", "Hull", "Tom", "Ann")
+    assert john.sources == ["x", "y", "z"] and john.source_ids == {"x": "d", "y": "b", "z": "c"}
+    assert set(got) == {1, 5} and got[5].source_ids == {"x": "e", "y": "f"}
+
+
+def test_merge_of_one_search_with_very_many_keys(spark):
+    """100,000 keys of one search, most of them alike in their first letters."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("job_id"), F.lit(1).alias("asc_no"), (F.col("id") + 1).cast("int").alias("rnk"), F.concat(F.lit("I"), "id").alias("person_id"),
+                                 F.concat(F.lit("Will"), "id", F.lit(" Hunt"), F.col("id") % 7).alias("name"), (1700 + (F.col("id") * 7919) % 300).cast("string").alias("birth_date"), F.lit("").alias("birth_place"), F.lit("tree").alias("source"))
+    years, leaders = [1700 + (i * 7919) % 300 for i in range(n)], []
+    for y in years[:300]:
+        if not any(abs(y - x) <= 3 for x in leaders):
+            leaders.append(y)
+    got = merge.merge_results(rows).collect()
+    assert sorted(r.leader_rnk for r in got) == sorted(years.index(y) + 1 for y in leaders)
 
 
 def test_carry_forward_crosses_chunks(spark):
