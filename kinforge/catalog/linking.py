@@ -103,15 +103,16 @@ def validate_parent(anc, town):
     return linking.validate_parents(anc, _gazetteer(town))
 
 
-@query("exclude_used", "fx_cand", "fx_anc", sql=f"""WITH RECURSIVE {_REJ},
-ps AS (SELECT c.job_id, c.asc_no, c.person_id, min(c.rnk) AS rnk FROM fx_cand c WHERE NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = c.job_id AND rj.person_id = c.person_id) GROUP BY 1, 2, 3),
+@query("exclude_used", "fx_cand", sql=f"""WITH RECURSIVE {_REJ},
+us AS (SELECT DISTINCT job_id, person_id FROM fx_cand WHERE asc_no <= 3 AND rnk = 1),
+ps AS (SELECT c.job_id, c.asc_no, c.person_id, min(c.rnk) AS rnk FROM fx_cand c WHERE NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = c.job_id AND rj.person_id = c.person_id) AND NOT EXISTS (SELECT 1 FROM us WHERE us.job_id = c.job_id AND us.person_id = c.person_id) GROUP BY 1, 2, 3),
 sl AS (SELECT job_id, asc_no, row_number() OVER (PARTITION BY job_id ORDER BY asc_no) AS pos, list(person_id ORDER BY rnk, person_id) AS people FROM ps GROUP BY 1, 2),
 wk AS (SELECT job_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS INT) AS asc_no, CAST(NULL AS VARCHAR) AS person_id, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT job_id FROM sl) j
  UNION ALL SELECT w.job_id, s.pos, s.asc_no, list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1], list_append(w.used, list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1]) FROM wk w JOIN sl s ON s.job_id = w.job_id AND s.pos = w.pos + 1)
 SELECT job_id, asc_no, person_id FROM wk WHERE person_id IS NOT NULL""")
-def exclude_used(cand, anc):
+def exclude_used(cand):
     passing = linking.exclude_rejected(cand, linking.rejected_people(cand))
-    return linking.ordered_assignment(passing).select(*_KEYS, "person_id")
+    return linking.ordered_assignment(passing, cand.where("asc_no <= 3 and rnk = 1")).select(*_KEYS, "person_id")
 
 
 _PEOPLE = f"""pp AS (SELECT job_id, person_id, name, gender, {D.year('birth_date')} AS yr, {D.year('death_date')} AS dy, birth_place FROM fx_anc WHERE person_id <> ''),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.functions import names, places, slots
@@ -15,8 +15,6 @@ from kinforge.session import materialized
 
 KEY = [JOB, SLOT]
 REGISTRATION = 1837
-# Shares in which the choices of one slot are cut before they meet.
-SHARES = 32
 # --- fixed values: years a generation is apart, and the gap a parent may have ------------------
 GENERATION_YEARS, YOUNGEST, OLDEST = 28, 12, 55
 
@@ -208,36 +206,35 @@ def once_per_tree(proposed: DataFrame, used: DataFrame) -> DataFrame:
 def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """Slots of a tree in order, each given its first passing person not taken by an earlier slot.
 
-    A slot can lose at most one choice to each earlier slot, so its first n choices decide, n being its
-    place in the order. With that cut a tree is at most S(S+1)/2 rows for S slots however long the lists
-    are, the result is exact, and the walk is a fold over one tree inside the JVM. The cut is made in shares
-    of a slot's choices first, so that a slot with very many of them is spread over tasks.
+    ``used``: job, person_id of people who already stand in a tree. A slot's choice depends on all earlier ones, so
+    the rows of a tree stream by in order of slot and rank; what is kept of them is the set of people given
+    away, one a slot, and each row is looked at once, however many slots or choices there are.
     """
     rows = passing.select(JOB, SLOT, "person_id", "rnk")
     if used is not None:
         rows = rows.join(used.select(JOB, "person_id").distinct(), [JOB, "person_id"], "left_anti")
-    once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").alias("rnk"))
-    place = once.select(JOB, SLOT).distinct().withColumn("place", F.row_number().over(Window.partitionBy(JOB).orderBy(SLOT)))
-    order = [F.col("rnk"), F.col("person_id")]
-    shared = once.join(place, KEY).withColumn("share", F.pmod(F.xxhash64("person_id"), F.lit(SHARES)))
-    kept = shared.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY, "share").orderBy(*order))).where("nth <= place")
-    ranked = kept.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).where("nth <= place")
-    lists = ranked.groupBy(JOB, SLOT).agg(F.array_sort(F.collect_list(F.struct("nth", "person_id", "rnk"))).alias("choices"))
-    trees = lists.groupBy(JOB).agg(F.array_sort(F.collect_list(F.struct(F.col(SLOT).alias("slot"), "choices"))).alias("slots"))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr("cast(array() as array<struct<slot: int, person_id: string, rnk: int>>)").alias("picks"))
-
-    def step(acc, x):
-        free = F.get(F.filter(x["choices"], lambda c: ~F.array_contains(acc["used"], c["person_id"])), F.lit(0))
-        # The one choice is bound by a transform over a single-element array, so it is found once.
-        took = F.filter(F.array(free), lambda c: c.isNotNull())
-        return F.struct(
-            F.concat(acc["used"], F.transform(took, lambda c: c["person_id"])).alias("used"),
-            F.concat(acc["picks"], F.transform(took, lambda c: F.struct(x["slot"].alias("slot"), c["person_id"].alias("person_id"), c["rnk"].cast("int").alias("rnk")))).alias("picks"))
-
-    picks = trees.select(JOB, F.explode(F.aggregate("slots", start, step, lambda acc: acc["picks"])).alias("_x"))
-    return picks.select(JOB, F.col("_x.slot").alias(SLOT), F.col("_x.person_id").alias("person_id"), F.col("_x.rnk").alias("rnk"))
+    once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").cast("int").alias("rnk"))
+    in_order = once.repartition(JOB).sortWithinPartitions(JOB, SLOT, "rnk", "person_id")
 
+    def walk(batches):
+        import pyarrow as pa
 
+        tree, slot, given = object(), None, set()
+        for b in batches:
+            keep = []
+            for job, at, person in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if job != tree:
+                    tree, slot, given = job, None, set()
+                keep.append(at != slot and person not in given)
+                if keep[-1]:
+                    slot = at
+                    given.add(person)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return in_order.mapInArrow(walk, in_order.schema)
+
+
+# Discovery -------------------------------------------------------------------------------------------
 def people_facts(people: DataFrame, dimension: DataFrame) -> DataFrame:
     """job, person and what the parent check reads of it."""
     placed = with_place(people.where("person_id <> ''"), dimension, "birth_place", p_place="clean", p_seat="clean_seat", p_foreign="foreign")

@@ -326,6 +326,16 @@ def test_mother_from_maiden_looks_behind_ten_nearer_men(spark):
     assert found(one, none) == found(none, one) == [("", "maiden_name_only")]
 
 
+def test_a_tree_of_very_many_slots_that_want_the_same_people(spark):
+    """100,000 slots, all with the same short list but for a person of their own, and used people left out."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("1L AS job_id", "cast(id + 1 AS int) AS asc_no", "explode(array('a', 'b', 'c', concat('p', id))) AS person_id").withColumn("rnk", F.when(F.col("person_id").startswith("p"), 9).otherwise(F.ascii("person_id")).cast("int") - 90)
+    rows = rows.withColumn("rnk", F.when(F.col("person_id").startswith("p"), 100).otherwise(F.col("rnk")))
+    used = spark.createDataFrame([(1, "b"), (2, "a"), (1, "p7")], "job_id long, person_id string")
+    got = {r.asc_no: r.person_id for r in linking.ordered_assignment(rows, used).collect()}
+    assert got == {1: "a", 2: "c"} | {i + 1: f"p{i}" for i in range(2, n) if i != 7}
+
+
 def test_long_trees_lose_no_choice(spark):
     """2,500 slots that all want the same people in the same order: the n-th gets the n-th."""
     n = 2500
