@@ -171,9 +171,11 @@ def intake_stream(intake):
 
 @query("feedback_stream", "fx_feedback", sql="SELECT action_type, count(*) AS decisions FROM fx_feedback GROUP BY 1")
 def feedback_stream(feedback):
+    """Decisions land in two parts, some of the first again in the second; the stream runs, ends, and is started again."""
     spark = feedback.sparkSession
-    base, name = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}", f"feedback_{uuid.uuid4().hex}"
-    feedback.select("id", "job_id", "action_type", c("created_at").cast("timestamp").alias("created_at")).write.parquet(f"{base}/in")
-    q = streams.feedback_stream(spark, f"{base}/in", name, f"{base}/checkpoint")
-    q.awaitTermination()
-    return spark.table(name)
+    base = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    rows = feedback.select("id", "job_id", "action_type", c("created_at").cast("timestamp").alias("created_at"))
+    for part, late in (("id % 3 <> 0", "36500 days"), ("id % 3 = 0 or id % 7 = 1", "36500 days")):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        streams.feedback_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", late).awaitTermination()
+    return streams.feedback_totals(spark, f"{base}/out")

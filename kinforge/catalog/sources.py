@@ -126,11 +126,11 @@ def profile_parents(unions, anc):
 
 
 @query("ancestors_walk", "fx_union", "fx_anc", sql=f"""WITH RECURSIVE {_UNION_SQL}, up AS (SELECT child_id, father_id AS parent_id FROM pm WHERE father_id IS NOT NULL UNION ALL SELECT child_id, mother_id FROM pm WHERE mother_id IS NOT NULL),
-w AS (SELECT person_id AS root_id, person_id, 0 AS depth FROM fx_anc WHERE asc_no = 1 AND person_id <> '' UNION ALL SELECT w.root_id, up.parent_id, w.depth + 1 FROM w JOIN up ON up.child_id = w.person_id WHERE w.depth < 4)
+w AS (SELECT person_id AS root_id, person_id, 0 AS depth FROM fx_anc WHERE asc_no = 1 AND person_id <> '' UNION ALL SELECT w.root_id, up.parent_id, w.depth + 1 FROM w JOIN up ON up.child_id = w.person_id)
 SELECT root_id, person_id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2""")
 def ancestors_walk(unions, anc):
     start = anc.where("asc_no = 1 and person_id <> ''").select(c("person_id").alias("root_id"))
-    return tree_api.ancestors_walk(start, tree_api.union_parents(unions), 4)
+    return tree_api.ancestors_walk(start, tree_api.union_parents(unions))
 
 
 @query("source_union", "fx_cand", "fx_anc", "fx_civil", sql="""

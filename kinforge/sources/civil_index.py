@@ -74,29 +74,26 @@ def html_rows(pages: DataFrame, html: str = "html", key: str = "page_id") -> Dat
 def resolve_district(wanted: DataFrame, known: DataFrame, name: str = "district") -> DataFrame:
     """District name to id: exact, then a short form, then a prefix either way (lowest id first).
 
-    Prefix matches are found by equality on every prefix of both names, not by comparing all pairs.
+    Every way is an equality join. A name asks by those of its starts that are as long as some known name; a known
+    name answers for its own starts, of which only the lowest id is kept before anything meets. So names that
+    begin alike are never paired, however many there are.
     """
-    asked = wanted.select(name).distinct().withColumn("_n", F.lower(F.trim(name)))
-    asked = asked.where(F.col("_n") != "").withColumn("_full", F.coalesce(lookup(V.DISTRICT_SHORT_FORMS, F.col("_n")), F.col("_n")))
-    ids = known.select(F.lower(F.trim("district_name")).alias("_k"), "district_id")
-
-    def tagged(text, kind):
-        return F.struct(text.alias("text"), F.lit(kind).alias("kind"))
-
-    def prefixes(text, kind):
-        cuts = F.sequence(F.lit(1), F.length(text) - 1)
-        return F.when(F.length(text) > 1, F.transform(cuts, lambda i: tagged(F.substring(text, F.lit(1), i), kind)))
-
-    none = F.expr("cast(array() as array<struct<text: string, kind: string>>)")
-    asked = asked.withColumn("_a", F.explode(F.concat(
-        F.array(tagged(F.col("_n"), "whole"), tagged(F.col("_full"), "short form")), F.coalesce(prefixes(F.col("_n"), "start"), none))))
-    ids = ids.withColumn("_i", F.explode(F.concat(F.array(tagged(F.col("_k"), "whole")), F.coalesce(prefixes(F.col("_k"), "start"), none))))
-    met = asked.join(ids, F.col("_a.text") == F.col("_i.text"))
-    how = (F.when((F.col("_a.kind") == "whole") & (F.col("_i.kind") == "whole"), 0)
-           .when((F.col("_a.kind") == "short form") & (F.col("_i.kind") == "whole"), 1)
-           .when((F.col("_a.kind") == "start") & (F.col("_i.kind") == "whole"), 2)
-           .when((F.col("_a.kind") == "whole") & (F.col("_i.kind") == "start"), 2))
-    found = met.select(name, how.alias("how"), "district_id").where(F.col("how").isNotNull())
+    asked = wanted.select(name).distinct().withColumn("_n", F.lower(F.trim(name))).where(F.col("_n") != "")
+    asked = asked.withColumn("_full", F.coalesce(lookup(V.DISTRICT_SHORT_FORMS, F.col("_n")), F.col("_n")))
+    ids = known.select(F.lower(F.trim("district_name")).alias("_k"), "district_id").where(F.col("_k") != "").groupBy("_k").agg(F.min("district_id").alias("district_id"))
+    lengths = ids.agg(F.coalesce(F.collect_set(F.length("_k")), F.expr("cast(array() as array<int>)")).alias("sizes")).scalar()  # as many numbers as the longest name has letters
+
+    def starts(text: Column, sizes: Column) -> Column:
+        return F.transform(F.filter(sizes, lambda k: k < F.length(text)), lambda k: F.substring(text, F.lit(1), k))
+
+    def met(asking: DataFrame, answers: DataFrame, how: int) -> DataFrame:
+        return asking.join(answers, "_k").select(name, F.lit(how).alias("how"), "district_id")
+
+    begins = ids.select(F.explode(starts(F.col("_k"), F.sequence(F.lit(1), F.length("_k")))).alias("_k"), "district_id").groupBy("_k").agg(F.min("district_id").alias("district_id"))
+    found = (met(asked.select(name, F.col("_n").alias("_k")), ids, 0)
+             .unionByName(met(asked.where("_full <> _n").select(name, F.col("_full").alias("_k")), ids, 1))
+             .unionByName(met(asked.withColumn("_sizes", lengths).select(name, F.explode(starts(F.col("_n"), F.col("_sizes"))).alias("_k")), ids, 2))
+             .unionByName(met(asked.select(name, F.col("_n").alias("_k")), begins, 2)))
     return first_row(found, name, [F.col("how"), F.col("district_id")])
 
 

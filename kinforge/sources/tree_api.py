@@ -144,16 +144,22 @@ def profile_parents(unions: DataFrame, people: DataFrame) -> DataFrame:
     return long.join(people.select("person_id", "name"), "person_id").select("child_id", "side", "person_id", "name")
 
 
-def ancestors_walk(start: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """Everyone reachable upwards within ``depth`` steps, once, at the smallest depth.
+def ancestors_walk(start: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
+    """Everyone reachable upwards (within ``depth`` steps, if given), once, at the smallest depth.
 
-    One join per step; each frontier is written out so the plan does not grow with depth.
+    Paths double: what the roots reach in n steps, joined to jumps of n steps, is what they reach in 2n, and jumps
+    joined to themselves are twice as long. So a line of n generations takes log2(n) rounds; each is written
+    out, so the plan does not grow. It ends when a round reaches nobody farther up, also where a faulty
+    record makes somebody an ancestor of themselves.
     """
-    up = materialized(links.select(F.col("child_id").alias("person_id"), F.explode(F.array("father_id", "mother_id")).alias("parent_id")).where("parent_id is not null"))
-    frontier = start.select("root_id", F.col("root_id").alias("person_id"))
-    found = None
-    for step in range(1, depth + 1):
-        frontier = materialized(frontier.join(up, "person_id").select("root_id", F.col("parent_id").alias("person_id")).distinct())
-        here = frontier.withColumn("depth", F.lit(step))
-        found = here if found is None else found.unionByName(here)
-    return found.groupBy("root_id", "person_id").agg(F.min("depth").alias("depth"))
+    up = links.select(F.col("child_id").alias("person_id"), F.explode(F.array("father_id", "mother_id")).alias("parent_id")).where("parent_id is not null").distinct()
+    jump, span = materialized(up), 1
+    reach = materialized(start.select("root_id").distinct().join(jump.withColumnRenamed("person_id", "root_id"), "root_id").select("root_id", F.col("parent_id").alias("person_id"), F.lit(1).alias("depth")))
+    while depth is None or span < depth:
+        farther = reach.join(jump, "person_id").select("root_id", F.col("parent_id").alias("person_id"), (F.col("depth") + span).alias("depth"))
+        reach = materialized(reach.unionByName(farther).groupBy("root_id", "person_id").agg(F.min("depth").alias("depth")))
+        if reach.where(F.col("depth") > span).isEmpty():
+            break
+        beyond = jump.select(F.col("person_id").alias("parent_id"), F.col("parent_id").alias("far_id"))
+        jump, span = materialized(jump.join(beyond, "parent_id").select("person_id", F.col("far_id").alias("parent_id")).distinct()), span * 2
+    return reach if depth is None else reach.where(F.col("depth") <= depth)

@@ -33,11 +33,23 @@ def intake_stream(spark: SparkSession, path: str, out: str, checkpoint: str) ->
     return submissions(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def feedback_counts(stream: DataFrame) -> DataFrame:
-    """Decisions so far by kind; the state is one row per kind."""
-    return stream.groupBy("action_type").agg(F.count("*").alias("decisions"))
+def decisions(spark: SparkSession, path: str, late: str = LATE_BY) -> DataFrame:
+    """Decisions as files land; one resent within the watermark counts once. The ids seen are kept in the state store."""
+    raw = spark.readStream.schema(FEEDBACK_SCHEMA).parquet(path)
+    return raw.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def feedback_stream(spark: SparkSession, path: str, name: str, checkpoint: str) -> StreamingQuery:
-    raw = spark.readStream.schema(FEEDBACK_SCHEMA).parquet(path)
-    return feedback_counts(raw).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def feedback_stream(spark: SparkSession, path: str, out: str, checkpoint: str, late: str = LATE_BY) -> StreamingQuery:
+    """Decisions by kind, one small table a batch. What has been seen lives in the checkpoint and what has been
+    counted below ``out``, so a stream that is started again goes on where it ended, and a batch that is
+    replayed writes its own folder anew."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("action_type").agg(F.count("*").alias("decisions")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return decisions(spark, path, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feedback_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Decisions so far by kind; a batch has a row a kind."""
+    counted = spark.read.schema("action_type string, decisions long").parquet(f"{out}/batch=*")
+    return counted.groupBy("action_type").agg(F.sum("decisions").alias("decisions"))

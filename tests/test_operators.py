@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinforge.operators import changes, civil, evidence_chain, linking, merge, ranking, review, scoring, tree
 from kinforge.operators.review import agreed_adjustment
-from kinforge.sources import civil_index
+from kinforge.sources import civil_index, tree_api
 from kinforge.fixtures import table
 
 
@@ -343,3 +343,58 @@ def test_long_trees_lose_no_choice(spark):
     first = spark.range(n).selectExpr("1L AS job_id", "cast(id + 1 AS int) AS asc_no", "1 AS rnk", "format_string('p%05d', id) AS person_id")
     got = linking.ordered_assignment(rows.unionByName(first)).collect()
     assert len(got) == n and {r.person_id for r in got} == {f"p{i:05d}" for i in range(n)}
+
+
+def test_districts_by_prefix_either_way(spark):
+    rng = random.Random(4)
+    known = [("".join(rng.choice("abD ") for _ in range(rng.randrange(1, 6))), i) for i in range(60)] + [("Ashby de la Zouch", 77), ("", 1), (None, 2)]
+    asked = ["".join(rng.choice("abd ") for _ in range(rng.randrange(0, 8))) for _ in range(300)] + ["Ashby Z.", "ash", None]
+    frames = spark.createDataFrame([(a,) for a in asked], "district string"), spark.createDataFrame([(n, f"{i:03d}") for n, i in known], "district_name string, district_id string")
+    want = {}
+    tidy = [((n or "").lower().strip(), f"{i:03d}") for n, i in known if (n or "").strip()]
+    for a in set(asked):
+        n = (a or "").lower().strip()
+        full = "ashby de la zouch" if n == "ashby z." else n
+        hits = [(0 if k == n else 1 if k == full else 2, i) for k, i in tidy if n and (k == n or k == full or k.startswith(n) or n.startswith(k))]
+        if hits:
+            want[a] = min(hits)
+    assert {r.district: (r.how, r.district_id) for r in civil_index.resolve_district(*frames).collect()} == want
+
+
+def test_districts_of_very_many_names_with_one_first_letter(spark):
+    names_ = spark.range(100_000).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("district"))
+    known = spark.range(100_000).select(F.concat(F.lit("a"), F.col("id") * 10).alias("district_name"), F.format_string("%07d", "id").alias("district_id"))
+    got = civil_index.resolve_district(names_, known)
+    assert got.count() == 100_000 and got.where("how = 0").count() == 10_000
+
+
+def test_ancestors_of_a_line_and_where_lines_meet(spark):
+    line = [(f"L{i}", f"L{i + 1}", None) for i in range(1000)]
+    rows = [*line, ("A", "B", "C"), ("B", "D", None), ("C", "B", "E"), ("E", "A", None)]
+    links = spark.createDataFrame(rows, "child_id string, father_id string, mother_id string")
+    start = spark.createDataFrame([("L0",), ("A",), ("none",), ("A",)], "root_id string")
+    got = {(r.root_id, r.person_id): r.depth for r in tree_api.ancestors_walk(start, links).collect()}
+    assert got == {("L0", f"L{i}"): i for i in range(1, 1001)} | {("A", "B"): 1, ("A", "C"): 1, ("A", "D"): 2, ("A", "E"): 2, ("A", "A"): 3}
+    few = {(r.root_id, r.person_id) for r in tree_api.ancestors_walk(start, links, 3).collect()}
+    assert few == {k for k, d in got.items() if d <= 3}
+
+
+def test_feedback_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Resent decisions count once, also across a restart; a batch written twice counts once."""
+    from kinforge.streaming import jobs
+
+    place, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    def land(rows):
+        spark.createDataFrame(rows, "id long, job_id long, action_type string, at string").selectExpr("id", "job_id", "action_type", "cast(at AS timestamp) AS created_at").coalesce(1).write.mode("append").parquet(place)
+    def run():
+        jobs.feedback_stream(spark, place, out, check, "10 days").awaitTermination()
+        return {r.action_type: r.decisions for r in jobs.feedback_totals(spark, out).collect()}
+    land([(i, 1, "accept" if i % 2 else "reject", f"2024-01-0{1 + i % 3} 10:00:00") for i in range(20)])
+    assert run() == {"accept": 10, "reject": 10}
+    land([(i, 1, "accept" if i % 2 else "reject", "2024-01-04 10:00:00") for i in range(10, 30)])
+    assert run() == {"accept": 15, "reject": 15}
+    assert run() == {"accept": 15, "reject": 15}
+    batches = sorted((tmp_path / "out").glob("batch=*"))
+    spark.read.parquet(str(batches[0])).write.mode("overwrite").parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(str(batches[0]))
+    assert {r.action_type: r.decisions for r in jobs.feedback_totals(spark, out).collect()} == {"accept": 15, "reject": 15}
