@@ -354,17 +354,72 @@ def test_repeated_bytes(given, size):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == want
 
 
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+
+
 def test_fingerprints(given):
+    """Rows, edits, shapes and likeness by what they are to be; sketches only by the number of their hashes."""
     keyed = [((r.doc_id is not None, r.doc_id or 0, r.h), r.doc_id, r.t) for r in given.selectExpr("doc_id", "coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()]
     keyed.sort(key=lambda x: x[0])
     want = Counter()
     for i, (_, doc, text) in enumerate(keyed):
         after = keyed[(i + 1) % len(keyed)][2]
         n = len(text) // 4
-        new = text[: len(text) - n] + after[:n]
-        s, e, f = map(fingerprints.sketch, (text, new, after))
-        want[doc, len(text), hashlib.sha256(new.encode()).hexdigest(), fingerprints.as_string(*s), fingerprints.as_string(*e), fingerprints.likeness(s, e), fingerprints.likeness(s, f)] += 1
-    assert Counter(map(tuple, fingerprints.with_next(given).collect())) == want
+        want[doc, len(text), hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest(), len(shingles_of(text)), text == after] += 1
+    rows = fingerprints.with_next(given).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, int(r.fingerprint.split(":")[0]), r.near_next == 1) for r in rows) == want
+    by_id, texts = {}, {}
+    for _, doc, text in keyed:
+        texts.setdefault(doc, set()).add(text)
+    for r in rows:
+        by_id.setdefault(r.doc_id, set()).add(r.fingerprint)
+        a, b = ({x[i : i + 16] for i in range(0, len(x), 16)} for x in (r.fingerprint.split(":")[2], r.edited_fingerprint.split(":")[2]))
+        same = r.fingerprint.split(":")[1] == r.edited_fingerprint.split(":")[1]
+        union = len(a | b) + (a == b)
+        assert r.near_edited == (1 if same else len(a & b) / union) and r.edited_has == (len(a & b) / len(a) if a else None)
+    assert {d: len(f) for d, f in by_id.items()} == {d: len(t) for d, t in texts.items()}
+
+
+def test_likeness_is_near_the_true_one(spark):
+    """Estimates against exact shingle sets: edited texts, a short part of a long text, unrelated short texts."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    long = word(4000)
+    pairs = []
+    for edits in (0, 20, 200, 2000):
+        new = list(long)
+        for at in rng.choice(4000, edits, replace=False):
+            new[at] = "x"
+        pairs.append((long, new))
+    part = long[1000:1400]
+    pairs += [(part, long), (part, part + word(8000)), (word(3000), word(3000))]
+    for a, b in pairs:
+        x, y = shingles_of(" ".join(a)), shingles_of(" ".join(b))
+        near, has = fingerprints.overlap(fingerprints.sketch(" ".join(a)), fingerprints.sketch(" ".join(b)))
+        assert abs(near - len(x & y) / len(x | y)) < 0.06 and abs(has - len(x & y) / len(x)) < 0.12
+    for n in range(1, 13):
+        for _ in range(100):
+            assert fingerprints.overlap(fingerprints.sketch(" ".join(word(n))), fingerprints.sketch(" ".join(word(n))))[0] < 0.1
+    kept = [len(fingerprints.sketch(" ".join(word(10)))[2]) for _ in range(300)]
+    assert 1.5 < sum(kept) / 300 < 2.5
+    frame = spark.createDataFrame([(1, " ".join(part)), (2, " ".join(long)), (3, " ".join(part + long))], "doc_id long, text string")
+    one = fingerprints.sketches(frame).collect()
+    row = spark.createDataFrame([(one[0].hashes, one[1].hashes, one[2].hashes)], "a array<long>, b array<long>, both array<long>").select(fingerprints.containment("a", "b").alias("c"), fingerprints.containment("b", "a").alias("d"), F.size(F.array_except("both", fingerprints.merged("a", "b"))).alias("more")).first()
+    assert row.c == 1 and 0.03 < row.d < 0.2 and row.more <= 3
+
+
+def test_fingerprint_buckets(spark):
+    """More ranges than one stride, rows that are bounds, and repeated ones."""
+    rng = random.Random(1)
+    bounds = sorted({(rng.randrange(-50, 50), rng.randrange(-5, 5)) for _ in range(150)})
+    asked = [(k, h) for k in range(-52, 52) for h in range(-6, 6)]
+    rows = spark.createDataFrame(asked, "key long, h long").select("key", "h", fingerprints._places(bounds).alias("p")).collect()
+    for r in rows:
+        at = max(0, sum(b <= (r.key, r.h) for b in bounds) - 1)
+        want = [(at, False)] + ([((at - 1) % len(bounds), True)] if bounds[at] == (r.key, r.h) else [])
+        assert [tuple(x) for x in r.p] == want
 
 
 def test_pipeline(spark, edge_docs):
