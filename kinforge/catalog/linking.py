@@ -177,21 +177,6 @@ def direct_parent_search(anc, cand, src, town):
     return linking.direct_parent_search(empty, rows, _verify(src), used, _gazetteer(town)).select(*_KEYS, "person_id", "discovery_method")
 
 
-@query("spouse_triangulation", "fx_anc", "fx_edge", "fx_cand", "fx_src", "fx_town", sql=f"""WITH {_REJ}, {_VER}, {_PEOPLE},
-nd AS (SELECT m.job_id, m.asc_no, {D.year('k.birth_date')} AS ky, k.birth_place AS kp FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.gen IN (3, 4) AND m.asc_no % 2 = 1),
-cp AS (SELECT job_id, src AS man_id, dst AS person_id FROM fx_edge WHERE rel = 'Couple'),
-rw AS (SELECT nd.job_id, nd.asc_no, cp.person_id, coalesce(vf.pc, 0) AS pc, pp.yr, nd.ky, {_valid_sql('pp.gender', 'pp.yr', 'pp.dy', 'pp.birth_place', 'nd.ky', 'nd.kp', D.q('Female'))} AS bad, coalesce({_prox_sql('pp.birth_place', 'nd.kp')} = 'distant', false) AS far
-  FROM nd JOIN fx_anc f ON f.job_id = nd.job_id AND f.asc_no = nd.asc_no - 1 AND f.person_id <> '' JOIN cp ON cp.job_id = nd.job_id AND cp.man_id = f.person_id JOIN pp ON pp.job_id = nd.job_id AND pp.person_id = cp.person_id LEFT JOIN vf ON vf.person_id = cp.person_id)
-SELECT job_id, asc_no, person_id, 'spouse_triangulation' AS discovery_method FROM rw WHERE bad = '' AND pc >= greatest(CASE WHEN yr < 1837 THEN 0 WHEN asc_no >= 16 THEN 1 ELSE 2 END, CASE WHEN far THEN CASE WHEN asc_no >= 16 THEN 2 ELSE 4 END ELSE 0 END)
-  AND NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = rw.job_id AND rj.person_id = rw.person_id)""")
-def spouse_triangulation(anc, edge, cand, src, town):
-    kid = anc.select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"))
-    need = anc.where("gen in (3, 4) and asc_no % 2 = 1").select(*_KEYS, F.shiftright("asc_no", 1).alias("_c")).join(kid, ["job_id", "_c"]).drop("_c")
-    men = anc.where("asc_no % 2 = 0 and person_id <> ''").select(*_KEYS, "person_id")
-    known = anc.join(need.select(*_KEYS), _KEYS, "left_anti").where("person_id <> ''")
-    return linking.spouse_triangulation(need, men, tree_api.spouses(edge, anc), anc, scoring.source_verify(src), known, linking.rejected_people(cand), _gazetteer(town))
-
-
 def _walk(ranked: str) -> str:
     """Slots in order, each its first free person: ``ranked`` has job_id, asc_no, person_id, rnk."""
     free = "list_filter(s.people, lambda x: NOT list_contains(w.used, x))[1]"
@@ -200,6 +185,29 @@ def _walk(ranked: str) -> str:
             f"UNION ALL SELECT w.job_id, s.pos, s.asc_no, {free}, list_append(w.used, {free}) FROM wk w JOIN sl s ON s.job_id = w.job_id AND s.pos = w.pos + 1)")
 
 
+@query("spouse_triangulation", "fx_anc", "fx_edge", "fx_cand", "fx_src", "fx_town", sql=f"""WITH RECURSIVE {_REJ}, {_VER}, {_PEOPLE}, {_FAM},
+nd AS (SELECT m.job_id, m.asc_no, {D.year('k.birth_date')} AS ky, k.birth_place AS kp FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.asc_no > 1 AND m.asc_no % 2 = 1 AND (m.person_id = '' OR m.row_id % 3 = 0)),
+cp AS (SELECT job_id, src AS man_id, dst AS person_id FROM fx_edge WHERE rel = 'Couple' UNION ALL SELECT c.job_id, c.person_id, w.person_id FROM fx_cand c JOIN fx_anc w ON w.job_id = c.job_id AND w.asc_no % 2 = 1 AND w.asc_no = c.asc_no + 1 + 2 * (c.rnk % 3) AND w.person_id <> '' WHERE c.asc_no % 2 = 0),
+fr AS (SELECT cd.job_id, cd.asc_no, cd.rnk, cd.person_id FROM cd JOIN b ON b.job_id = cd.job_id AND b.asc_no = cd.asc_no AND b.person_id = '' AND b.asc_no % 2 = 0 WHERE NOT ({D.foreign('c_p')} AND NOT {D.uk('c_p')}) AND {D.similar("split_part(cg, ' ', 1)", 'b.given')} AND NOT coalesce(abs(y - c_y) > 5, false)
+  AND EXISTS (SELECT 1 FROM cp WHERE cp.job_id = cd.job_id AND cp.man_id = cd.person_id)),
+mn AS (SELECT job_id, asc_no, person_id FROM fx_anc WHERE asc_no % 2 = 0 AND person_id <> '' UNION ALL SELECT job_id, asc_no, person_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, asc_no ORDER BY rnk, person_id) AS n FROM fr) t WHERE n = 1),
+rw AS (SELECT nd.job_id, nd.asc_no, cp.person_id, coalesce(vf.pc, 0) AS pc, pp.yr, nd.ky, CAST(substr(pp.person_id, 2) AS BIGINT) % 5 = 0 AS hid, {_valid_sql('pp.gender', 'pp.yr', 'pp.dy', 'pp.birth_place', 'nd.ky', 'nd.kp', D.q('Female'))} AS bad, coalesce({_prox_sql('pp.birth_place', 'nd.kp')} = 'distant', false) AS far
+  FROM nd JOIN mn f ON f.job_id = nd.job_id AND f.asc_no = nd.asc_no - 1 JOIN cp ON cp.job_id = nd.job_id AND cp.man_id = f.person_id JOIN pp ON pp.job_id = nd.job_id AND pp.person_id = cp.person_id LEFT JOIN vf ON vf.person_id = cp.person_id),
+ok AS (SELECT DISTINCT job_id, asc_no, person_id, 1 AS rnk FROM rw WHERE bad = '' AND CASE WHEN hid THEN NOT far ELSE pc >= greatest(CASE WHEN yr < 1837 THEN 0 WHEN asc_no >= 16 THEN 1 ELSE 2 END, CASE WHEN far THEN CASE WHEN asc_no >= 16 THEN 2 ELSE 4 END ELSE 0 END) END
+  AND NOT EXISTS (SELECT 1 FROM rj WHERE rj.job_id = rw.job_id AND rj.person_id = rw.person_id) AND NOT EXISTS (SELECT 1 FROM fx_anc a WHERE a.job_id = rw.job_id AND a.person_id = rw.person_id AND a.row_id % 4 = 2)),
+{_walk('ok')} SELECT job_id, asc_no, person_id, 'spouse_triangulation' AS discovery_method FROM wk WHERE person_id IS NOT NULL""")
+def spouse_triangulation(anc, edge, cand, src, town):
+    kid = anc.select("job_id", c("asc_no").alias("_c"), date_year(c("birth_date")).alias("child_year"), c("birth_place").alias("child_place"))
+    need = anc.where("asc_no > 1 and asc_no % 2 = 1 and (person_id = '' or row_id % 3 = 0)").select(*_KEYS, F.shiftright("asc_no", 1).alias("_c")).join(kid, ["job_id", "_c"]).drop("_c")
+    men = anc.where("asc_no % 2 = 0 and person_id <> ''").select(*_KEYS, "person_id")
+    # Search results carry spouses too: women of the same tree. Every fourth person stands in it already.
+    women = anc.where("asc_no % 2 = 1 and person_id <> ''").select("job_id", c("asc_no").alias("_w"), c("person_id").alias("spouse_id"))
+    also = cand.where("asc_no % 2 = 0").select("job_id", "person_id", (c("asc_no") + 1 + 2 * (c("rnk") % 3)).alias("_w")).join(women, ["job_id", "_w"]).drop("_w")
+    spouses = tree_api.spouses(edge, anc).select("job_id", "person_id", "spouse_id").unionByName(also)
+    people, names_ = anc.withColumn("sources_hidden", (c("person_id") != "") & (_num() % 5 == 0)), _gazetteer(town)
+    return linking.spouse_triangulation(need, men, spouses, people, scoring.source_verify(src), anc.where("person_id <> '' and row_id % 4 = 2"), linking.rejected_people(cand), names_, linking.father_results(anc, cand, names_))
+
+
 _MAIDEN = f"""{_REJ}, {_SIG.split("q AS (")[0].replace("WHERE person_id = '' AND " + D.year('birth_date') + " IS NOT NULL", "WHERE false").rstrip().rstrip(",")},
 nd AS (SELECT m.job_id, m.asc_no, m.surname AS maiden, {D.year('k.birth_date')} - 26 AS y, k.birth_place AS kp, lower({D.district('k.birth_place')}) AS d FROM fx_anc m JOIN fx_anc k ON k.job_id = m.job_id AND k.asc_no = m.asc_no // 2 WHERE m.asc_no % 2 = 1 AND m.asc_no > 1 AND m.person_id = '' AND {D.year('k.birth_date')} IS NOT NULL),
 q AS (SELECT DISTINCT lower(maiden) AS s, y, d, kp FROM nd),

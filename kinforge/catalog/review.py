@@ -124,7 +124,8 @@ def protected_upsert(anc):
 SELECT job_id, asc_no, CASE WHEN row_id % 9 = 2 THEN 'Belper' ELSE birth_place END AS birth_place, CASE WHEN row_id % 9 = 2 AND row_id % 2 = 0 THEN 77 ELSE confidence_score END AS confidence_score FROM fx_anc""")
 def partial_update(anc):
     upd = anc.where("row_id % 9 = 2").select(*_KEYS, F.lit("Belper").alias("birth_place"), F.when(c("row_id") % 2 == 0, 77).alias("confidence_score"))
-    return changes.partial_update(anc.select(*_KEYS, "birth_place", "confidence_score"), upd, _KEYS)
+    earlier = upd.withColumns({"birth_place": F.lit("Zeal"), "confidence_score": F.lit(None).cast("int"), "said": F.lit(1)})
+    return changes.partial_update(anc.select(*_KEYS, "birth_place", "confidence_score"), earlier.unionByName(upd.withColumn("said", F.lit(2))), _KEYS, "said")
 
 
 @query("delete_cascade", "fx_job", "fx_anc", "fx_cand", sql="""
@@ -194,7 +195,7 @@ SELECT job_id, asc_no, CASE WHEN row_id % 8 = 3 THEN 'Belper, Derbyshire' ELSE b
   CASE WHEN row_id % 16 = 3 THEN 'birth_date,birth_place' WHEN row_id % 8 = 3 THEN 'birth_place' ELSE '' END AS changed, CASE WHEN row_id % 16 = 3 THEN 'records' WHEN row_id % 8 = 3 THEN 'date,records' ELSE 'location,date,records' END AS missing_info FROM fx_anc""")
 def edit_info(anc):
     edits = anc.where("row_id % 8 = 3").select(*_KEYS, F.lit("Belper, Derbyshire").alias("birth_place"), F.when(c("row_id") % 16 == 3, "1901").otherwise(c("birth_date")).alias("birth_date"))
-    return changes.edit_info(anc.select(*_KEYS, "birth_date", "birth_place", F.lit("location,date,records").alias("missing_info")), edits)
+    return changes.edit_info(anc.select(*_KEYS, "birth_date", "birth_place", F.lit("location,date,records").alias("missing_info")), edits.withColumn("said", F.lit(1)), "said")
 
 
 def _with_log(anc):

@@ -20,10 +20,9 @@ REJECTED = "Manually rejected by admin"
 INFO_FIELDS = ("birth_date", "birth_place", "death_date", "death_place")
 
 
-def _one_each(commands: DataFrame, keys: list[str], fields: list[str], order: str | None) -> DataFrame:
-    """One row a key. For each field the last value stated wins, by ``order`` where there is one, else the greatest."""
-    rank = (lambda f: F.struct(order, f)) if order else F.col
-    return commands.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), rank(f))).alias(f) for f in fields])
+def _one_each(commands: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
+    """One row a key. For each field the last value stated wins, by the column ``order``; of equal order the greatest."""
+    return commands.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(order, f))).alias(f) for f in fields])
 
 
 def protected_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,8 +41,9 @@ def protected_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*KEY, *[F.when(keep, F.col(f"_o.{v}")).otherwise(F.coalesce(f"_n.{v}", f"_o.{v}")).alias(v) for v in vals])
 
 
-def partial_update(old: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Set the given fields where an update states them; other rows and fields stay."""
+def partial_update(old: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Set the given fields where an update states them; other rows and fields stay. ``order`` names the column
+    of ``updates`` that tells which of several is the last."""
     fields = [c for c in updates.columns if c not in keys and c != order]
     u = _one_each(updates, keys, fields, order).select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = old.join(u, keys, "left")
@@ -88,7 +88,7 @@ def feedback_rows(anc: DataFrame, commands: DataFrame, action: str, corrected: C
 
 def accept(anc: DataFrame, jobs: DataFrame, commands: DataFrame) -> dict[str, DataFrame]:
     """Marks slots accepted, records it, and lists empty parent slots worth researching."""
-    marked = partial_update(anc, commands.select(*KEY).distinct().withColumn("accepted", F.lit(1)), KEY)
+    marked = partial_update(anc, commands.select(*KEY).distinct().withColumns({"accepted": F.lit(1), "_order": F.lit(0)}), KEY, "_order")
     at = anc.where(F.coalesce("person_id", F.lit("")) != "").join(commands.select(*KEY).distinct(), KEY, "left_semi").join(jobs.select(JOB, "generations"), JOB)
     top = slots.tree_slots(F.col("generations"))
     wanted = at.where(slots.father_of(F.col(SLOT)) <= top).select(JOB, F.explode(F.array(slots.father_of(F.col(SLOT)), slots.mother_of(F.col(SLOT)))).alias(SLOT))
@@ -123,13 +123,14 @@ def choose_candidate(anc: DataFrame, cand: DataFrame, commands: DataFrame) -> di
     return {"ancestors": kept.select(*[c for c in rows.columns]).unionByName(rows), "feedback": feedback_rows(anc, picked, "select_alternative")}
 
 
-def edit_info(anc: DataFrame, edits: DataFrame) -> DataFrame:
+def edit_info(anc: DataFrame, edits: DataFrame, order: str) -> DataFrame:
     """Sets changed fields only, lists them, and drops the missing-information marks they resolve.
 
-    ``missing_info`` is a comma-joined list of marks.
+    ``missing_info`` is a comma-joined list of marks; ``order`` names the column of ``edits`` that tells which of
+    several is the last.
     """
     fields = [f for f in INFO_FIELDS if f in anc.columns and f in edits.columns]
-    edits = _one_each(edits, KEY, fields, None)
+    edits = _one_each(edits, KEY, fields, order)
     j = anc.join(edits.select(*KEY, *[F.col(f).alias(f"_new_{f}") for f in fields]), KEY, "left")
 
     def changed(f):

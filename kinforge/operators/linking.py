@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions import names, places, slots
@@ -318,34 +318,56 @@ def direct_parent_search(empty: DataFrame, cand: DataFrame, verify: DataFrame, u
     return got.join(passing.groupBy(*KEY, "person_id").agg(F.min_by("discovery_method", "rnk").alias("discovery_method")), [*KEY, "person_id"])
 
 
-def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: DataFrame, people: DataFrame, verify: DataFrame, used: DataFrame, rejected: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+def father_results(anc: DataFrame, cand: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Search results that may be a father who has a name but no link: job, slot, rnk, person_id.
+
+    Neither rejected nor abroad, first names alike, born within five years where both years are known.
+    """
+    base = with_family_years(anc).where(slots.is_father(F.col(SLOT)) & (F.coalesce("person_id", F.lit("")) == "") & (F.col("given") != "") & (F.col("surname") != "")).select(*KEY, "given", "year")
+    rows = exclude_rejected(candidate_rows(cand, known_places(cand, gazetteer=gazetteer)), rejected_people(cand)).join(base, KEY)
+    ok = ~F.col("c_foreign") & names.names_similar(F.substring_index("c_given", " ", 1), F.col("given")) & ~F.coalesce(F.abs(F.col("year") - F.col("c_year")) > 5, F.lit(False))
+    return rows.where(ok).select(*KEY, "rnk", "person_id")
+
+
+def spouse_triangulation(need: DataFrame, father_ids: DataFrame, spouse_rows: DataFrame, people: DataFrame, verify: DataFrame, used: DataFrame, rejected: DataFrame, gazetteer: DataFrame | None = None, searched: DataFrame | None = None) -> DataFrame:
     """Empty mother slots filled from the father's recorded female spouses.
 
     ``need``: job, slot (the mother's), child_year, child_place. ``father_ids``: job, slot (the father's), person_id.
+    ``searched`` (see ``father_results``): a father without a link stands for his first search result that has
+    spouses on record. Where ``people`` says that a spouse's sources cannot be seen (``sources_hidden``), the
+    marriage stands for them unless she is from a distant county.
     """
-    men = father_ids.select(JOB, (F.col(SLOT) + 1).alias(SLOT), F.col("person_id").alias("man_id"))
-    wives = spouse_rows.select(JOB, F.col("person_id").alias("man_id"), F.col("spouse_id").alias("person_id"))
+    wives = spouse_rows.select(JOB, F.col("person_id").alias("man_id"), F.col("spouse_id").alias("person_id")).where("man_id <> '' and person_id <> ''")
+    fathers = father_ids.select(*KEY, "person_id")
+    if searched is not None:
+        married = wives.select(JOB, F.col("man_id").alias("person_id")).distinct()
+        looked_for = searched.join(fathers.select(*KEY), KEY, "left_anti").join(married, [JOB, "person_id"], "left_semi")
+        fathers = fathers.unionByName(first_row(looked_for.select(*KEY, "rnk", "person_id"), KEY, [F.col("rnk"), F.col("person_id")]).select(*KEY, "person_id"))
+    men = fathers.select(JOB, (F.col(SLOT) + 1).alias(SLOT), F.col("person_id").alias("man_id"))
     dimension = place_dimension(all_places((people, "birth_place"), (need, "child_place")), gazetteer)
     who = people_facts(people, dimension)
+    if "sources_hidden" in people.columns:
+        who = who.join(people.where("sources_hidden").select(JOB, "person_id", F.lit(True).alias("hidden")).distinct(), [JOB, "person_id"], "left")
     need = with_place(need, dimension, "child_place", child_seat="seat")
     rows = need.join(men, KEY).join(wives, [JOB, "man_id"]).join(who, [JOB, "person_id"])
     rows = exclude_rejected(rows, rejected).join(verify.select("person_id", "primary_count"), "person_id", "left")
     gen = slots.generation(F.col(SLOT))
     checks = parent_checks(F.col("p_gender"), F.col("p_year"), F.col("p_death"), F.col("p_foreign"), F.col("p_seat"), F.col("child_year"), F.col("child_seat"), F.lit("Female"))
     base = first_true([(F.col("p_year") < REGISTRATION, 0), (gen >= 4, 1)], 2)
-    least = F.when(F.coalesce(checks["proximity"] == "distant", F.lit(False)), F.greatest(base, F.when(gen >= 4, 2).otherwise(4))).otherwise(base)
+    far = F.coalesce(checks["proximity"] == "distant", F.lit(False))
+    seen = F.coalesce("primary_count", F.lit(0)) >= F.when(far, F.greatest(base, F.when(gen >= 4, 2).otherwise(4))).otherwise(base)
+    hidden = F.coalesce("hidden", F.lit(False)) if "hidden" in rows.columns else F.lit(False)
     # Recorded order of spouses is the order of their ids, by which the assignment breaks ties.
-    ok = rows.where(checks["valid"] & (F.coalesce("primary_count", F.lit(0)) >= least)).select(*KEY, "person_id", F.lit(1).alias("rnk"))
+    ok = rows.where(checks["valid"] & F.when(hidden, ~far).otherwise(seen)).select(*KEY, "person_id", F.lit(1).alias("rnk"))
     return ordered_assignment(ok, used).select(*KEY, "person_id", F.lit("spouse_triangulation").alias("discovery_method"))
 
 
-def most_lost(need: DataFrame, *lost: DataFrame) -> int:
-    """How many people a slot of any one tree can lose to the tree's other rows: one number for the driver."""
-    rows = [d.select(JOB) for d in (need, *lost)]
-    every = rows[0]
-    for d in rows[1:]:
-        every = every.unionAll(d)
-    return every.groupBy(JOB).count().agg(F.max("count")).first()[0] or 0
+def most_lost(need: DataFrame, *lost: DataFrame) -> DataFrame:
+    """job, may_lose: how many people a slot of each tree can lose to the tree's other rows."""
+    every = need.select(JOB)
+    for d in lost:
+        every = every.unionAll(d.select(JOB))
+    return every.groupBy(JOB).agg(F.count("*").alias("may_lose"))
 
 
 def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, used: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
@@ -353,10 +375,11 @@ def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, us
 
     ``need``: job, slot (the mother's), maiden_name, child_year, child_place. People fit by surname, gender and
     place before any are left out; the child's district is asked first and dropped if nobody fits there. Both
-    sides meet as signatures that carry as many people as a tree can lose to its rejected, used and other
-    slots, and one more, so the first free one is always among them.
+    sides meet as signatures that carry as many people as the trees that ask can lose to their rejected, used and
+    other slots, and one more, so the first free one is always among them; a large tree makes its own lists
+    long, and no others.
     """
-    reach, keep = 15, most_lost(need, rejected, used) + 1
+    reach = 15
     sign = ["s", "y", "d", "cc"]
 
     dimension = place_dimension(all_places((need, "child_place"), (pool, "place")), gazetteer)
@@ -365,18 +388,21 @@ def mother_from_maiden(need: DataFrame, pool: DataFrame, rejected: DataFrame, us
     asked = need_at.select(*KEY, F.lower("maiden_name").alias("s"), (F.col("child_year") - 26).alias("y"), F.lower(places.district_of(F.col("child_place"))).alias("d"), county.alias("cc")).where("s <> '' and y is not null")
     fit = pool_at.where(F.coalesce("gender", F.lit("")).isin("", "Female") & ~F.coalesce("_foreign", F.lit(False)) & F.col("year").isNotNull())
     fit = fit.select("person_id", F.lower("surname").alias("s"), F.col("year").alias("py"), F.lower(places.district_of(F.col("place"))).alias("d"), county.alias("pc"))
-    opened = asked.select(*sign).distinct().withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
+    wanted = materialized(asked.join(most_lost(need, rejected, used), JOB).groupBy(*sign).agg((F.max("may_lose") + 1).alias("keep")))
+    opened = wanted.withColumn("py", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)))
 
     def met(asking: DataFrame, by: list[str]) -> DataFrame:
-        people = top_rows(fit, [*by, "pc"], [F.col("person_id")], keep, "nth").groupBy(*by, "pc").agg(F.collect_list("person_id").alias("people"))
+        asked_for = asking.groupBy(*by).agg(F.max("keep").alias("most"))
+        nth = F.row_number().over(Window.partitionBy(*by, "pc").orderBy("person_id"))
+        people = fit.join(asked_for, by).withColumn("nth", nth).where("nth <= most").groupBy(*by, "pc").agg(F.collect_list("person_id").alias("people"))
         apart = places.county_proximity(F.col("cc"), F.col("pc")) == "distant"
         return asking.join(people, by).where(~F.coalesce(apart, F.lit(False))).select(*sign, "py", "people")
 
     near = met(opened.where("d <> ''"), ["s", "py", "d"])
     wide = met(opened.join(near.select(*sign).distinct(), sign, "left_anti"), ["s", "py"])
     people = near.unionByName(wide).select(*sign, F.abs(F.col("py") - F.col("y")).alias("off"), F.explode("people").alias("person_id"))
-    shown = top_rows(people, sign, [F.col("off"), F.col("person_id")], keep, "rnk")
-    ok = exclude_rejected(asked.join(shown, sign), rejected)
+    nearest = people.join(wanted, sign).withColumn("rnk", F.row_number().over(Window.partitionBy(*sign).orderBy("off", "person_id"))).where(F.col("rnk") <= F.col("keep"))
+    ok = exclude_rejected(asked.join(nearest, sign), rejected)
     got = ordered_assignment(ok.select(*KEY, "person_id", "rnk"), used).join(pool.select("person_id", "name"), "person_id").select(*KEY, "person_id", "name", F.lit("maiden_name_search").alias("discovery_method"))
     got = materialized(got)
     left = need.join(got.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("").alias("person_id"), F.concat(F.lit("? "), "maiden_name").alias("name"), F.lit("maiden_name_only").alias("discovery_method"))

@@ -294,9 +294,10 @@ def test_repeated_commands_keep_one_row_a_slot(spark):
     back, done = changes.undo_correction(changes.apply_suggestion(anc, two), undo)
     assert [(r.birth_place, r.confidence_score, [e.undone for e in r.corrections_log]) for r in back.collect()] == [("Derby", 50, [True, True])]
     assert done.count() == 2
-    edits = spark.createDataFrame([(1, 4, "1901", None), (1, 4, None, "Ilkeston")], "job_id int, asc_no int, birth_date string, birth_place string")
-    assert [(r.birth_date, r.birth_place) for r in changes.edit_info(anc, edits).collect()] == [("1901", "Ilkeston")]
-    assert [(r.birth_date, r.birth_place) for r in changes.partial_update(anc, edits, changes.KEY).collect()] == [("1901", "Ilkeston")]
+    for said in (["Derby", "Belper"], ["Belper", "Derby"]):
+        edits = spark.createDataFrame([(1, 4, "1901", None, 1), (1, 4, None, said[0], 2), (1, 4, None, said[1], 3)], "job_id int, asc_no int, birth_date string, birth_place string, at int")
+        assert [(r.birth_date, r.birth_place) for r in changes.edit_info(anc, edits, "at").collect()] == [("1901", said[1])]
+        assert [(r.birth_date, r.birth_place) for r in changes.partial_update(anc, edits, changes.KEY, "at").collect()] == [("1901", said[1])]
     new = spark.createDataFrame([(1, 4, "a"), (1, 4, "b"), (1, 5, "c"), (1, 5, "d")], "job_id int, asc_no int, confidence_level string")
     rows = changes.protected_upsert(anc.select("job_id", "asc_no", "confidence_level"), new).collect()
     assert sorted((r.asc_no, r.confidence_level) for r in rows) == [(4, "Customer Data"), (5, "d")]
@@ -398,3 +399,32 @@ def test_feedback_stream_goes_on_after_a_restart(spark, tmp_path):
     spark.read.parquet(str(batches[0])).write.mode("overwrite").parquet(str(tmp_path / "copy"))
     spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(str(batches[0]))
     assert {r.action_type: r.decisions for r in jobs.feedback_totals(spark, out).collect()} == {"accept": 15, "reject": 15}
+
+
+def test_spouses_of_a_father_who_is_searched(spark):
+    """The first result with spouses on record stands for a father without a link; hidden sources need a near county."""
+    anc = spark.createDataFrame([(1, 1, 0, "K", "Kit Cox", "", "1930", "", "Derby, Derbyshire"), (1, 2, 1, "", "John Cox", "Male", "1900", "", ""), (2, 1, 0, "K2", "Kit Cox", "", "1930", "", "Derby, Derbyshire"), (2, 2, 1, "", "John Cox", "Male", "1900", "", "")],
+                                "job_id long, asc_no int, gen int, person_id string, name string, gender string, birth_date string, death_date string, birth_place string")
+    cand = spark.createDataFrame(
+        [(job, 2, r, f"M{r}", g, "Cox", "Male", y, p, why) for job in (1, 2) for r, g, y, p, why in [(1, "John", "1900", "Ohio, United States", ""), (2, "Peter", "1900", "", ""), (3, "John", "1880", "", ""), (4, "John", "1901", "", "no"), (5, "Jack", "1902", "", ""), (6, "John", "1900", "", ""), (7, "John", "1900", "", "")]],
+        "job_id long, asc_no int, rnk int, person_id string, given_name string, surname string, gender string, birth_date string, birth_place string, rejection_reason string")
+    found = linking.father_results(anc, cand)
+    assert {(r.job_id, r.rnk) for r in found.collect()} == {(j, r) for j in (1, 2) for r in (5, 6, 7)}
+    wives = spark.createDataFrame([(1, "M6", "W1"), (1, "M6", "W2"), (1, "M7", "W0"), (2, "M7", "W3"), (1, "M1", "W0")], "job_id long, person_id string, spouse_id string")
+    people = spark.createDataFrame([(1, "W0", "A"), (1, "W1", "B"), (1, "W2", "C"), (2, "W3", "D")], "job_id long, person_id string, name string").selectExpr("*", "'Female' AS gender", "'1905' AS birth_date", "'' AS death_date", "if(person_id = 'W1', 'Truro, Cornwall', 'Belper, Derbyshire') AS birth_place", "true AS sources_hidden")
+    need = spark.createDataFrame([(1, 3, 1930, "Derby, Derbyshire"), (2, 3, 1930, "Derby, Derbyshire")], "job_id long, asc_no int, child_year int, child_place string")
+    none, verify = spark.createDataFrame([], "job_id long, asc_no int, person_id string"), spark.createDataFrame([], "person_id string, primary_count int")
+    got = linking.spouse_triangulation(need, none, wives, people, verify, none, linking.rejected_people(cand), searched=found)
+    assert {(r.job_id, r.person_id) for r in got.collect()} == {(1, "W2"), (2, "W3")}
+    seen = linking.spouse_triangulation(need, none, wives, people.drop("sources_hidden"), verify, none, linking.rejected_people(cand), searched=found)
+    assert seen.count() == 0
+
+
+def test_one_large_tree_does_not_lengthen_the_lists_of_others(spark):
+    need = spark.createDataFrame([(1, 3, "Cox", 1900, "Derby")] + [(2, 3 + 2 * i, "Fox", 1900, "Derby") for i in range(50)], "job_id long, asc_no int, maiden_name string, child_year int, child_place string")
+    women = [(f"c{i:03d}", "Ida", "Female", "Cox", "Ida", 1874, "Derby") for i in range(200)] + [(f"f{i:03d}", "Ada", "Female", "Fox", "Ada", 1874, "Derby") for i in range(60)]
+    pool = spark.createDataFrame(women, "person_id string, name string, gender string, surname string, given string, year int, place string")
+    none = spark.createDataFrame([], "job_id long, person_id string")
+    got = sorted((r.job_id, r.asc_no, r.person_id) for r in linking.mother_from_maiden(need, pool, none, none).collect())
+    assert got == [(1, 3, "c000")] + [(2, 3 + 2 * i, f"f{i:03d}") for i in range(50)]
+    assert {r.job_id: r.may_lose for r in linking.most_lost(need, none, none).collect()} == {1: 1, 2: 50}
