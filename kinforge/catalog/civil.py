@@ -24,7 +24,8 @@ def civil_dump_parse(dump):
 
 
 @query("html_table_rows", "pages", sql="""
-WITH w AS (SELECT page_id, concat('<table><tr class="r"><td>Surname</td><td>Given</td><td>Year</td><td>Qtr</td></tr><tr><td><b>Hunt</b></td><td>Norman</td><td>', CAST(1900 + page_id % 80 AS VARCHAR), '</td><td>Jun</td><td>Derby</td><td>7b</td><td>', CAST(page_id AS VARCHAR), '</td></tr></table>', html) AS html FROM pages),
+WITH w AS (SELECT page_id, concat('<table><tr class="r"><td>Surname</td><td>Given</td><td>Year</td><td>Qtr</td></tr><tr><td><b>Hunt</b></td><td>Norman</td><td>', CAST(1900 + page_id % 80 AS VARCHAR), '</td><td>Jun</td><td>Derby</td><td>7b</td><td>', CAST(page_id AS VARCHAR), '</td></tr>',
+  repeat(concat('<TR><td>Cox</td><td>Ida <i>May</i></td>', chr(10), '<td>Dec</td><td>', CAST(1850 + page_id % 90 AS VARCHAR), '</td><td>Belper</td><td>', CAST(page_id % 30 AS VARCHAR), '</td></TR>'), CAST(page_id % 4 AS BIGINT)), '<tr><td>Short</td><td>row</td></tr><tr><td>Fox</td><td></td><td>', CASE WHEN page_id % 2 = 0 THEN 'Leek' ELSE '' END, '</td><td>9d</td><td>12</td></tr></table>', html) AS html FROM pages),
 r AS (SELECT page_id, unnest(rows) AS row, generate_subscripts(rows, 1) - 1 AS row_no FROM (SELECT page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS rows FROM w) a),
 k AS (SELECT page_id, row_no, list_transform(regexp_extract_all(row, '(?is)<td[^>]*>(.*?)</td>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))) AS cells FROM r),
 n AS (SELECT *, list_filter(cells[3:], lambda x: regexp_matches(x, '(?i)^\\d+[a-z]?$') AND NOT regexp_matches(x, '^\\d{4}$')) AS nums FROM k WHERE len(cells) >= 4 AND lower(cells[1]) NOT IN ('surname', 'type', ''))
@@ -32,8 +33,11 @@ SELECT page_id, row_no, cells[1] AS surname, cells[2] AS forenames, CAST(list_fi
   list_filter(cells[3:], lambda x: x IN ('Mar', 'Jun', 'Sep', 'Dec'))[-1] AS quarter, nums[1] AS volume, CASE WHEN len(nums) > 1 THEN nums[-1] END AS page,
   list_filter(cells[3:], lambda x: x <> '' AND NOT regexp_matches(x, '^\\d{4}$') AND x NOT IN ('Mar', 'Jun', 'Sep', 'Dec') AND NOT regexp_matches(x, '(?i)^\\d+[a-z]?$'))[1] AS district FROM n""")
 def html_table_rows(pages):
+    """Beside each page's own tables: a header, a full row, rows in other order with inner tags and line ends, one too short, one without a year."""
+    more = F.concat(F.lit("<TR><td>Cox</td><td>Ida <i>May</i></td>\n<td>Dec</td><td>"), (1850 + c("page_id") % 90).cast("string"), F.lit("</td><td>Belper</td><td>"), (c("page_id") % 30).cast("string"), F.lit("</td></TR>"))
     row = F.concat(F.lit('<table><tr class="r"><td>Surname</td><td>Given</td><td>Year</td><td>Qtr</td></tr><tr><td><b>Hunt</b></td><td>Norman</td><td>'),
-                   (1900 + c("page_id") % 80).cast("string"), F.lit("</td><td>Jun</td><td>Derby</td><td>7b</td><td>"), c("page_id").cast("string"), F.lit("</td></tr></table>"), c("html"))
+                   (1900 + c("page_id") % 80).cast("string"), F.lit("</td><td>Jun</td><td>Derby</td><td>7b</td><td>"), c("page_id").cast("string"), F.lit("</td></tr>"), F.repeat(more, (c("page_id") % 4).cast("int")),
+                   F.lit("<tr><td>Short</td><td>row</td></tr><tr><td>Fox</td><td></td><td>"), F.when(c("page_id") % 2 == 0, "Leek").otherwise(""), F.lit("</td><td>9d</td><td>12</td></tr></table>"), c("html"))
     return src.html_rows(pages.select("page_id", row.alias("html")))
 
 

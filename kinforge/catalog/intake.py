@@ -74,10 +74,23 @@ def intake_rows(intake):
     return ops.intake_rows(_fields(intake))
 
 
+def _far_sql() -> str:
+    """Lines of the parents of great-grandparents, one SELECT a prefix."""
+    rows = []
+    for path, pairs in ops.far_prefixes().items():
+        for i, (prefix, label) in enumerate(pairs):
+            for j, (tail, who) in enumerate((("ggf", "father"), ("ggm", "mother"))):
+                k = f"{prefix}_{tail}"
+                name = f"trim(regexp_replace({_f(k + '_first_name')} || ' ' || {_f(k + '_middle_names')} || ' ' || {_f(k + '_last_name_at_birth')}, '\\s+', ' ', 'g'))"
+                place = f"CASE WHEN {_f(k + '_birth_place_town')} <> '' THEN ' ' || {_f(k + '_birth_place_town')} || ', ' || {_f(k + '_birth_place_county')} ELSE '' END"
+                rows.append(f"SELECT sid AS submission_id, {16 + 2 * i + j} AS asc_no, '2x Great-grand{who} ({label}): ' || {name} || CASE WHEN {_f(k + '_birth_year')} <> '' THEN ' (' || {_f(k + '_birth_year')} || ')' ELSE '' END || {place} AS line FROM pa WHERE path = '{path}' AND {_f(k + '_first_name')} <> ''")
+    return " UNION ALL ".join(rows)
+
+
 @query("notes_render", "fx_intake", sql=f"""WITH {_J}, {_blocks_sql()},
 ln AS (SELECT submission_id, asc_no, CASE WHEN asc_no < 8 THEN CASE WHEN asc_no < 6 THEN 'Paternal' ELSE 'Maternal' END || ' grand' || CASE WHEN asc_no % 2 = 0 THEN 'father' ELSE 'mother' END || ': ' || full_name || ' ' || CASE WHEN birth_date || birth_year = '' THEN '(unknown)' ELSE '(' || CASE WHEN birth_date <> '' THEN birth_date ELSE birth_year END || ')' END
   ELSE 'Great-grand' || CASE WHEN asc_no % 2 = 0 THEN 'father' ELSE 'mother' END || ' (' || CASE asc_no // 2 WHEN 4 THEN 'paternal paternal' WHEN 5 THEN 'paternal maternal' WHEN 6 THEN 'maternal paternal' ELSE 'maternal maternal' END || '): ' || full_name || CASE WHEN birth_date || birth_year = '' THEN '' ELSE ' (' || CASE WHEN birth_date <> '' THEN birth_date ELSE birth_year END || ')' END END
-  || CASE WHEN birth_place <> '' THEN ' ' || birth_place ELSE '' END AS line FROM bl WHERE known AND asc_no >= 4),
+  || CASE WHEN birth_place <> '' THEN ' ' || birth_place ELSE '' END AS line FROM bl WHERE known AND asc_no >= 4 UNION ALL {_far_sql()}),
 tx AS (SELECT pa.sid AS submission_id, (SELECT string_agg(line, chr(10) ORDER BY asc_no) FROM ln WHERE ln.submission_id = pa.sid) AS told, moves FROM pa)
 SELECT submission_id, concat_ws(chr(10), told, CASE WHEN moves <> '' THEN 'Known moves: ' || moves END) AS notes FROM tx""")
 def notes_render(intake):

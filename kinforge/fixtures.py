@@ -167,7 +167,8 @@ SELECT c_custkey AS submission_id,
     '","root_last_name_at_birth":"Hunt","user_first_name":"Brian","user_last_name_at_birth":"Hunt","user_birth_date":"', CAST(1940 + c_custkey % 30 AS STRING),
     '","partner_first_name":"Julie","partner_middle_names":"Ann","partner_last_name_at_birth":"Jackson","user_dad_first_name":"Norman","user_dad_last_name_at_birth":"Hunt","user_dad_birth_year":"', CAST(1900 + c_custkey % 30 AS STRING),
     '","user_dad_birth_place_town":"Derby","user_dad_birth_place_county":"Derbyshire","partner_mum_first_name":"Ethel","partner_mum_known":"', CASE WHEN c_custkey % 3 = 0 THEN 'No' ELSE 'Yes' END,
-    '","user_pat_gf_first_name":"Frederick","user_pat_gf_last_name_at_birth":"Hunt","root_dad_first_name":"Brian","root_dad_last_name_at_birth":"Hunt","root_pat_gf_first_name":"Fred","root_pat_gf_last_name_at_birth":"Hunt","root_pat_gf_ggf_first_name":"Walter","root_pat_gf_ggf_birth_year":"1870"}') AS raw_request
+    '","user_pat_gf_first_name":"Frederick","user_pat_gf_last_name_at_birth":"Hunt","root_dad_first_name":"Brian","root_dad_last_name_at_birth":"Hunt","root_pat_gf_first_name":"Fred","root_pat_gf_last_name_at_birth":"Hunt","root_pat_gf_ggf_first_name":"Walter","root_pat_gf_ggf_birth_year":"1870","user_pat_gf_ggf_first_name":"Amos","user_pat_gf_ggf_last_name_at_birth":"Hunt","user_pat_gf_ggf_birth_year":"', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '1841' END,
+    '","partner_mat_gf_ggm_first_name":"', CASE WHEN c_custkey % 5 = 0 THEN 'Ida' ELSE '' END, '","partner_mat_gf_ggm_middle_names":"Ann","partner_mat_gm_ggm_first_name":"Eve","partner_mat_gm_ggm_birth_place_town":"Belper","partner_mat_gm_ggm_birth_place_county":"Derbyshire","user_pat_gm_ggf_first_name":"', CASE WHEN c_custkey % 7 = 0 THEN 'Seth' ELSE '' END, '"}') AS raw_request
 FROM customer"""),
     "fx_notes": (("documents",), """
 SELECT doc_id, concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN concat('Paternal GP: Norman Hunt (', CAST(1900 + doc_id % 40 AS STRING), '-', CAST(1970 + doc_id % 30 AS STRING), ') and Ivy Skinner (1902-1980)')

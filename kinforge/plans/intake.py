@@ -46,6 +46,19 @@ def prefix_slots() -> dict[str, list[tuple[str, int]]]:
     return {"dad": family("user", _FATHER_SIDE) + family("partner", _MOTHER_SIDE), "mum": family("partner", _FATHER_SIDE) + family("user", _MOTHER_SIDE), "root": root}
 
 
+# Great-grandparents whose parents a form may name, and the branch each stands for in the notes: by path the
+# grandfathers' side by branch, then the grandmothers' side by the form's own prefix.
+_BRANCHES = tuple(N.LINEAGES)
+_FAR = ("user_pat", "user_mat", "partner_pat", "partner_mat")
+
+
+def far_prefixes() -> dict[str, list[tuple[str, str]]]:
+    """(prefix of a great-grandparent, what the notes call it) for each path, in the order of the notes."""
+    by_dad = [f"{f}_gf" for f in _FAR]
+    own = [(f"{f}_gm", f"{f}_gm") for f in _FAR]
+    return {"dad": list(zip(by_dad, _BRANCHES, strict=True)) + own, "mum": list(zip(by_dad[2:] + by_dad[:2], _BRANCHES, strict=True)) + own, "root": []}
+
+
 def field(name, fields: str = "fields") -> Column:
     key = name if isinstance(name, Column) else F.lit(name)
     return F.trim(F.coalesce(F.try_element_at(F.col(fields), key), F.lit("")))
@@ -135,7 +148,7 @@ def intake_rows(sub: DataFrame) -> DataFrame:
 def notes_render(sub: DataFrame) -> DataFrame:
     """Known relatives and extras as the lines of text the notes reader understands.
 
-    One submission names at most fourteen relatives, so its lines are gathered safely.
+    One submission names at most thirty relatives, so its lines are gathered safely.
     """
     p = person_blocks(sub).where("known")
     slot = F.col(SLOT)
@@ -147,6 +160,7 @@ def notes_render(sub: DataFrame) -> DataFrame:
     years = F.when(yr == "", "").when(F.col("death_year") != "", F.concat(F.lit(" ("), yr, F.lit("-"), F.col("death_year"), F.lit(")"))).otherwise(F.concat(F.lit(" ("), yr, F.lit(")")))
     great = F.concat(F.lit("Great-grand"), who, F.lit(" ("), lineage_words(slot), F.lit("): "), "full_name", years, place)
     lines = p.where(slot >= 4).select(SUB, slot.alias("_o"), F.when(slot < 8, grand).otherwise(great).alias("line"))
+    lines = lines.unionByName(_far_lines(sub))
     told = lines.groupBy(SUB).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "line"))), lambda x: x["line"]).alias("told"))
     extra = [F.when(field(f) != "", F.concat(F.lit(t), field(f))) for f, t in EXTRA_LINES]
     for who_, t in MARRIAGE_LINES:
@@ -159,6 +173,26 @@ def notes_render(sub: DataFrame) -> DataFrame:
     return out.select(SUB, F.array_join(F.concat(F.coalesce("told", F.expr("cast(array() as array<string>)")), F.array_compact(F.array(*extra))), "\n").alias("notes"))
 
 
+def _far_lines(sub: DataFrame) -> DataFrame:
+    """Lines of the parents of great-grandparents, who have no slot of their own in the notes' reading."""
+    def listed(pairs):
+        return F.array(*[F.struct(F.lit(f"{p}_{who}").alias("prefix"), F.lit(label).alias("label"), F.lit(16 + 2 * i + j).alias("_o")) for i, (p, label) in enumerate(pairs) for j, who in enumerate(("ggf", "ggm"))])
+
+    plan = {k: v for k, v in far_prefixes().items() if v}
+    rows = sub.withColumn("_path", path_of()).where(F.col("_path").isin(*plan))
+    rows = rows.withColumn("_b", F.explode(first_true([(F.col("_path") == k, listed(v)) for k, v in plan.items()], listed(plan["dad"])))).select(SUB, "fields", "_b.*")
+
+    def f(suffix):
+        return field(F.concat(F.col("prefix"), F.lit(suffix)))
+
+    rows = rows.where(f("_first_name") != "")
+    who = F.when(F.col("_o") % 2 == 0, "father").otherwise("mother")
+    year = F.when(f("_birth_year") != "", F.concat(F.lit(" ("), f("_birth_year"), F.lit(")"))).otherwise("")
+    at = names.join_present(", ", f("_birth_place_town"), f("_birth_place_county"))
+    name = names.full_name(f("_first_name"), f("_middle_names"), f("_last_name_at_birth"))
+    return rows.select(SUB, "_o", F.concat(F.lit("2x Great-grand"), who, F.lit(" ("), F.col("label"), F.lit("): "), name, year, F.when(at != "", F.concat(F.lit(" "), at)).otherwise("")).alias("line"))
+
+
 def lineage_words(slot: Column) -> Column:
     pair = F.shiftright(slot, 1) * 2
     return first_true([(pair == v, k) for k, v in N.LINEAGES.items()], "")
