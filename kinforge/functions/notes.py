@@ -5,7 +5,7 @@ rest of its line up to the next label. The label's words give the slot by slot a
 bracket and dates are read from what follows.
 
 Kinship words count whole: a grandmother is no mother, a great-grandmother no grandmother, and a maternal
-grandfather fills no paternal slot. A grandparent without a side is paternal. A name is letters and blanks on one
+grandfather fills no paternal slot. A grandparent without a side is paternal. A 2x great-grandparent has no slot here. A name is letters and blanks on one
 line, ending at a bracket, punctuation or a stop word.
 
 Null or empty text: no relatives. Statements that cannot be read are passed over.
@@ -29,7 +29,8 @@ SIDES = r"(?:(?:paternal|maternal)\s+){0,2}"
 KIN = r"(?:(?:great[- ]?)?grand)?(?:father|mother)"
 COUPLE = r"gp|grandparents?"
 NUMBERED = r"(?:ggp|asc\s*#?)\d{1,2}"
-LABEL = rf"(?i)\b(?:{SIDES}(?:{KIN}|{COUPLE})|{NUMBERED})\b"
+FARTHER = r"\d+x\s+great[- ]?grand(?:father|mother|parents?)"
+LABEL = rf"(?i)\b(?:{FARTHER}|{SIDES}(?:{KIN}|{COUPLE})|{NUMBERED})\b"
 CUT = "\u0001"
 JOINER = r"(?i)^[ \t]*(?:was\b|[-:–])"
 NAME_RUN = r"^\s*([A-Za-z][A-Za-z \t]*)"
@@ -129,7 +130,8 @@ def _couple(label: Column, tail: Column, at: Column) -> Column:
 
 def relatives(notes: Column) -> Column:
     """ARRAY<STRUCT<slot, rank, name, birth, death>>: the relative told of each slot, in slot order."""
-    told = F.flatten(F.transform(statements(notes), lambda s, i: F.when(
+    near = F.filter(statements(notes), lambda s: ~s["label"].rlike(r"^\d+x"))
+    told = F.flatten(F.transform(near, lambda s, i: F.when(
         s["label"].rlike(rf"(?:{COUPLE})$"), _couple(s["label"], s["tail"], i)).otherwise(_one(s["label"], s["tail"], i))))
     return bind(F.array_sort(told), lambda all_: F.filter(all_, lambda r, i: (i == 0) | (F.get(all_, i - 1)["slot"] != r["slot"])))
 

@@ -123,3 +123,11 @@ def test_fixed_values_have_their_known_sizes():
     assert len(pairs) == 272 and len(V.counties()) == 54 and {(b, a) for a, b in pairs} == set(pairs)
     assert len(V.nearby_pairs()) == 122 and len(V.COMMON_SURNAMES) == 97
     assert all(list(bs) == sorted(bs) for bs in V.COUNTY_BORDERS.values())
+
+
+def test_farther_ancestors_of_notes_fill_no_nearer_slot(spark):
+    from kinforge.functions import notes
+
+    text = "Great-grandfather (paternal paternal): Fred Hunt\n2x Great-grandfather (paternal paternal): Amos Hunt (1841)\n2x Great-grandmother (user_mat_gm): Eve Cox"
+    got = spark.createDataFrame([(text,)], "t string").select(notes.relatives(F.col("t")).alias("r")).first().r
+    assert [(x.slot, x.name) for x in got] == [(8, "Fred Hunt")]
