@@ -34,24 +34,27 @@ def _starts(c: str) -> Column:
 def resembling(nodes: DataFrame) -> DataFrame:
     """search, u, v: nodes ``v`` that resemble an earlier node ``u``. ``nodes``: search, f, l, year, seq.
 
-    One side offers its letters and its year, the other asks by every start of its letters and by the years
-    near its own; an unknown year goes with all. Both directions of each name are asked for, so that a short
-    first name with a long last name is met too.
+    One side offers its letters and its year, the other asks by the years near its own; an unknown year goes
+    with all. Names of three letters meet as they are. Shorter ones, which are few, are starts of longer names: they
+    are met by every start, in both names the same way or each in its own.
     """
     named = nodes.where("f <> '' and l <> ''")
     year, any_year = F.col("year").cast("string"), F.lit("*")
     offered = F.array(F.coalesce(year, F.lit("?")), any_year)
     near = F.transform(F.sequence(F.col("year") - YEARS_APART, F.col("year") + YEARS_APART), lambda y: y.cast("string"))
     asked = F.when(F.col("year").isNull(), F.array(any_year)).otherwise(F.concat(near, F.array(F.lit("?"))))
-    one = lambda c: F.array(F.col(c))
-
-    def opened(f: Column, l: Column, y: Column, seq: str) -> DataFrame:
-        return named.select(*SEARCH_KEY, F.col("seq").alias(seq), F.explode(f).alias("kf"), F.col("l"), y.alias("ys")).select(*SEARCH_KEY, seq, "kf", F.explode(l).alias("kl"), "ys").select(*SEARCH_KEY, seq, "kf", "kl", F.explode("ys").alias("ky"))
-
-    keys = [*SEARCH_KEY, "kf", "kl", "ky"]
-    same_way = opened(one("f"), one("l"), offered, "a").join(opened(_starts("f"), _starts("l"), asked, "b"), keys)
-    crosswise = opened(one("f"), _starts("l"), offered, "a").join(opened(_starts("f"), one("l"), asked, "b"), keys)
-    met = same_way.unionByName(crosswise).where("a <> b")
+    short = lambda c: F.length(c) < LETTERS
+
+    def opened(rows: DataFrame, f: Column, l: Column, y: Column, seq: str) -> DataFrame:
+        at = rows.select(*SEARCH_KEY, F.col("seq").alias(seq), f.alias("kf"), "l", y.alias("ys")).select(*SEARCH_KEY, seq, "kf", l.alias("kl"), "ys")
+        return at.select(*SEARCH_KEY, seq, "kf", "kl", F.explode("ys").alias("ky"))
+
+    keys, f, l = [*SEARCH_KEY, "kf", "kl", "ky"], F.col("f"), F.col("l")
+    starts = lambda c: F.explode(_starts(c))
+    whole = opened(named, f, l, offered, "a").join(opened(named, f, l, asked, "b"), keys)
+    same_way = opened(named.where(short("f") | short("l")), f, l, offered, "a").join(opened(named, starts("f"), starts("l"), asked, "b"), keys)
+    crosswise = opened(named.where(short("f")), f, starts("l"), offered, "a").join(opened(named.where(short("l")), starts("f"), l, asked, "b"), keys)
+    met = whole.unionByName(same_way).unionByName(crosswise).where("a <> b")
     return met.select(*SEARCH_KEY, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -76,6 +79,7 @@ def merge_results(results: DataFrame) -> DataFrame:
     filled = [c for c in FILLED if c in results.columns]
     low = F.coalesce(F.lower(F.trim("name")), F.lit(""))
     keyed = results.withColumns({"first": first_word(low), "last": F.substring_index(low, " ", -1), "year": F.regexp_extract("birth_date", r"(\d{4})", 1).try_cast("int")})
+    keyed = materialized(keyed)  # read for the people and again for their sources
     key = [*SEARCH_KEY, "first", "last", "year"]
     gap = [F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("rnk"))).alias(c) for c in filled]
     letters = {"f": F.substring("first", 1, LETTERS), "l": F.substring("last", 1, LETTERS)}
