@@ -14,7 +14,8 @@ the borders of repeats) go to the second round: their windows are sorted by the
 window's start and half a size on.
 
 Sorted rows are compared with their neighbours as they stream by, so a string that stands in a third of
-all documents never has to be held anywhere.
+all documents never has to be held anywhere. Nor do all its rows meet in one task: a slice of documents
+settles what it sees twice (``_dealt``) and sends on one row a stretch, and two stretches a rank.
 """
 
 from __future__ import annotations
@@ -96,8 +97,8 @@ def _spread(least: np.ndarray, count: int, width: int) -> np.ndarray:
     return np.maximum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-_ANCHOR_DDL = "half_rank long, stretch long, doc long, h long, spot long"
-_ANCHOR = pa.schema([(n, pa.int64()) for n in ("half_rank", "stretch", "doc", "h", "spot")])
+_ANCHOR_DDL = "deal long, stretch long, doc long, h long, spot long"
+_ANCHOR = pa.schema([(n, pa.int64()) for n in ("deal", "stretch", "doc", "h", "spot")])
 _SPOT_DDL = "doc long, h long, spot long"
 _SPOT = pa.schema([(n, pa.int64()) for n in ("doc", "h", "spot")])
 _WINDOW_DDL = "rank long, doc long, h long, p long"
@@ -114,6 +115,38 @@ def _unpack(spot):
     return at, at - ((spot >> 8) & 255), at - (spot & 255)
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        m = (a.view(np.uint64) ^ (b.view(np.uint64) >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + b.view(np.uint64)
+        return ((m ^ (m >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _dealt(rank, stretch, doc, h, spot):
+    """The anchors of a slice as rows (deal, stretch, doc, h, spot): those of equal deal meet in one task.
+
+    Two bits are added to a spot: 1 where the slice has the stretch twice, 2 where it has the rank with
+    several stretches. Of equal (rank, stretch) one row goes on; the others repeat for certain, need
+    nobody and are dealt at random. Of a rank with several stretches two go on, so that the rank's other
+    rows see that theirs is not the only one. The rest know it, and are dealt by rank and stretch: equal
+    stretches elsewhere that are dealt by rank alone then count as borders too, and the windows of both meet.
+    """
+    order = np.lexsort((stretch, rank))
+    r, s = rank[order], stretch[order]
+    new_rank = np.r_[True, r[1:] != r[:-1]]
+    new = new_rank | np.r_[True, s[1:] != s[:-1]]
+    # How many rows the stretch has, and how many stretches the rank, and the stretch's place among them.
+    nth = np.cumsum(new) - 1
+    twice = np.bincount(nth)[nth] > 1
+    of_rank = np.cumsum(new_rank) - 1
+    stretches = np.bincount(of_rank[new])[of_rank]
+    place = nth - nth[np.flatnonzero(new_rank)][of_rank]
+    several = stretches > 1
+    deal = np.where(several & (place > 1), _mixed(r, s), r)
+    deal = np.where(new, deal, _mixed(_mixed(doc[order], h[order]), spot[order]))
+    flags = twice.astype(np.int64) + 2 * (several & new)
+    return deal, np.where(new, s, 0), doc[order], h[order], (spot[order] << 2) | flags
+
+
 def _anchor_rows(size: int):
     half = size // 2
 
@@ -133,7 +166,7 @@ def _anchor_rows(size: int):
                     for c, v in zip(cols, (h[at].view(np.int64), np.array(stretch, np.uint64).view(np.int64), np.full(len(at), doc), np.full(len(at), own), _pack(at, first, last)), strict=True):
                         c.append(v)
                 if cols[0]:
-                    yield batch(_ANCHOR, *map(np.concatenate, cols))
+                    yield batch(_ANCHOR, *_dealt(*map(np.concatenate, cols)))
 
     return run
 
@@ -164,15 +197,16 @@ def _same(cols, before, after) -> tuple[np.ndarray, np.ndarray]:
 
 def _judge_anchors(batches: Batches) -> Batches:
     """The lowest bits of a spot's last field tell what to do: 1 the stretch repeats, 2 look at the windows."""
-    names = ["half_rank", "stretch", "doc", "h", "spot"]
+    names = ["deal", "stretch", "doc", "h", "spot"]
     for cols, before, after in _with_neighbours(batches, names):
         cut = lambda x, n: None if x is None else x[:n]
         a, b = _same(cols[:1], cut(before, 1), cut(after, 1))
         c, d = _same(cols[:2], cut(before, 2), cut(after, 2))
-        whole, border = c | d, (a & ~c) | (b & ~d)
+        # One row a stretch answers for its windows: the rows at the ends of equal ones, the first of those dealt by both.
+        whole, border = c | d | (cols[4] & 1 == 1), (a & ~c) | (b & ~d) | (~c & (cols[4] & 2 == 2))
         kind = whole.astype(np.int64) + 2 * border
         keep = kind > 0
-        yield batch(_SPOT, cols[2][keep], cols[3][keep], (cols[4][keep] << 2) | kind[keep])
+        yield batch(_SPOT, cols[2][keep], cols[3][keep], (cols[4][keep] & ~3) | kind[keep])
 
 
 def _window_rows(size: int):
@@ -232,7 +266,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     source = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), F.xxhash64("text").alias("h"), "text")
     rows = mapped(source.select("doc", "h", "text"), _anchor_rows(size), _ANCHOR_DDL)
-    sorted_rows = rows.repartition(n, "half_rank").sortWithinPartitions("half_rank", "stretch")
+    sorted_rows = rows.repartition(n, "deal").sortWithinPartitions("deal", "stretch")
     found = stored(mapped(sorted_rows, _judge_anchors, _SPOT_DDL), "anchors")
     of_doc = ["doc", "h"]
     # Rows of equal id and text give equal spots; a set keeps one of each.

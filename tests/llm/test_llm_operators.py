@@ -354,6 +354,27 @@ def test_repeated_bytes(given, size):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == want
 
 
+def test_a_passage_of_most_documents_is_settled_in_its_slices(spark):
+    """Every document holds one passage, in the same or other surroundings; few rows of it meet in one task."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    shared = [f"{k}" * 9 + passage + f"{k}" * 9 for k in range(5)]
+    made = [(i, rnd.choice([rnd.choice(shared), f"{i:030d}" + passage + f"{i:030d}", "xy" * 80])) for i in range(900)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    seen = Counter(t[i : i + 40] for _, t in made for i in range(len(t) - 39))
+    want = []
+    for d, t in made:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 39):
+            gone[i : i + 40] |= seen[t[i : i + 40]] > 1
+        want.append((d, "".join(c for c, g in zip(t, gone, strict=True) if not g)))
+    got = suffix_dedup.without_spans(suffix_dedup.repeated_spans(docs, 40))
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got.collect()) == want
+    dealt = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS h", "text").mapInArrow(suffix_dedup._anchor_rows(40), suffix_dedup._ANCHOR_DDL)
+    assert dealt.count() > 5_000
+    assert max(r["count"] for r in dealt.groupBy("deal").count().collect()) <= 2 * 6
+
+
 def shingles_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
