@@ -15,7 +15,7 @@ from kinforge.operators.civil import confirm_death, sibling_births, with_resolve
 from kinforge.operators.ranking import best_row, first_row, top_rows
 from kinforge.operators.tree import JOB, SLOT, with_parents
 from kinforge.session import materialized
-from kinforge.sources.civil_index import SEARCH, best_entries, civil_search, searches_of, with_search
+from kinforge.sources.civil_index import SEARCH, SIGNATURE, best_entries, civil_search, least_ids, searches_of, signature_search, with_search
 
 KEY = [JOB, SLOT]
 # --- fixed values: hypotheses kept unless asked otherwise, fewest entries of a district, years; weights; thresholds ---
@@ -66,20 +66,69 @@ def _ends(a: Column, b: Column, equal: int, inside: int, near: int) -> Column:
     return F.when((a != "") & (b != ""), first_true([(la == lb, equal), (la.contains(lb) | lb.contains(la), inside), (places.district_match(a, b), near)], 0)).otherwise(0)
 
 
+def _one_a_page(found: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Of the entries of one volume and page the first in ``order``; entries without a volume all stay."""
+    loose = F.when(F.col("volume") == "", F.struct(*order))
+    return first_row(found.withColumn("_loose", loose), [*by, "volume", "page", "_loose"], [F.col(c) for c in order]).drop("_loose")
+
+
+def best_of_passes(people: DataFrame, civil: DataFrame, keep: int = KEPT) -> DataFrame:
+    """``pass_union`` as signatures: for each search, pass and set of fields that a score may read, its first
+    ``keep`` entries as ``ids``. The best ``keep`` of any score of those fields are among them.
+
+    What the first pass finds is met by signature alone. The second pass names an entry once a page, but the
+    first pass only takes pages away from it where it found one or two entries; so pages are told apart once
+    for all districts of a name and span of years, with that many entries in reserve. Nothing comes before
+    the third pass.
+    """
+    y = F.col("year")
+    q = with_search(people.where("surname <> '' and year is not null"), F.col("surname"), F.col("given"), y - YEARS, y + YEARS, F.col("district_"))
+    q = materialized(searches_of(q))
+    reserve = keep + FEW - 1
+    span, entry = [c for c in SEARCH if c != "district_key"], [*SIGNATURE, "volume", "page", "entry_id"]
+    narrow = materialized(signature_search(q, civil, "birth", reserve, given="maybe").select(*SEARCH, *SIGNATURE, "ids"))
+    listed = narrow.groupBy(*SEARCH).agg(F.sum(F.size("ids")).alias("n"))
+    met = q.join(listed, list(SEARCH), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    few = met.where((F.col("n") < FEW) & (F.col("district_key") != ""))
+    paged = F.struct("volume", "page")
+    taken = (narrow.join(few.where("n > 0").select(*SEARCH), list(SEARCH)).select(*SEARCH, F.inline("ids"))
+             .where("volume <> ''").groupBy(*SEARCH).agg(F.collect_set(paged).alias("taken")))
+    asked = few.select(*span, F.lit("").alias("district_key")).distinct()
+    anywhere = _one_a_page(civil_search(asked, civil, "birth", given="maybe").select(*span, *entry), span, ["entry_id"])
+    anywhere = materialized(least_ids(anywhere, [*span, *SIGNATURE], reserve))
+    left = F.filter("ids", lambda x: ~F.array_contains(F.coalesce("taken", F.array().cast("array<struct<volume:string,page:string>>")), F.struct(x["volume"].alias("volume"), x["page"].alias("page"))))
+    broad = few.select(*SEARCH).join(anywhere, span).join(taken, list(SEARCH), "left").select(*SEARCH, *SIGNATURE, left.alias("ids"))
+    none = met.where("n = 0").join(few.join(anywhere.select(*span).distinct(), span).select(*SEARCH), list(SEARCH), "left_anti")
+    spelt = none.select(*span).distinct().select(*span, F.posexplode(names.surname_variants(F.col("surname_key"))).alias("nth", "variant")).withColumn("variant", F.lower("variant"))
+    under = spelt.select(F.col("variant").alias("surname_key"), "given_key", "year_from", "year_to", F.lit("").alias("district_key")).distinct()
+    found = civil_search(under, civil, "birth", given="maybe").select(F.col("surname_key").alias("variant"), "given_key", "year_from", "year_to", *entry)
+    third = _one_a_page(spelt.join(found, ["variant", "given_key", "year_from", "year_to"]).select(*span, "nth", *entry), span, ["nth", "entry_id"])
+    third = none.select(*SEARCH).join(least_ids(third, [*span, "nth", *SIGNATURE], keep), span).select(*SEARCH, "nth", *SIGNATURE, "ids")
+    once = {"pass_no": F.lit(1), "nth": F.lit(0)}
+    return (narrow.withColumns(once).unionByName(broad.where(F.size("ids") > 0).withColumns({**once, "pass_no": F.lit(2)}))
+            .unionByName(third.withColumn("pass_no", F.lit(3))))
+
+
 def birth_hypotheses(people: DataFrame, civil: DataFrame, keep: int = KEPT) -> DataFrame:
-    """The ``keep`` best birth entries for every slot, best first; earlier in the search on a tie."""
+    """The ``keep`` best birth entries for every slot, best first; earlier in the search on a tie.
+
+    Questions meet signatures, and a question's signatures are cut to the best ``keep`` before their entries
+    are looked at, so what moves does not grow with the number of entries alike."""
     y = F.col("year")
     asked = with_search(people.where("surname <> '' and year is not null"), F.col("surname"), F.col("given"), y - YEARS, y + YEARS, F.col("district_"))
     ask = ["given", "district_text", "mother_surname"]
     questions = asked.select(*SEARCH, *ask).distinct()
-    rows = questions.join(pass_union(people, civil), list(SEARCH))
+    rows = questions.join(best_of_passes(people, civil, keep), list(SEARCH))
     known_year = F.col("year_from") + YEARS
     off = F.abs(F.col("year") - known_year)
     name = F.when(F.col("given") != "", first_true([(names.names_similar(F.col("forenames"), F.col("given")), 20), (F.lower("forenames").startswith(names.first_word(F.col("given"))), 15)], 0)).otherwise(0)
     m, hm = F.lower("mother_surname"), F.lower("spouse_surname")
     maiden = F.when((m != "") & (hm != ""), first_true([(m == hm, 30), (m.contains(hm) | hm.contains(m), 15)], 0)).otherwise(0)
     score = name + first_true([(off == 0, 20), (off == 1, 15), (off <= 3, 10), (off <= 5, 5)], 0) + _ends(F.col("district_text"), F.col("district"), 15, 10, 8) + maiden
-    best = top_rows(rows.withColumn("score", score), [*SEARCH, *ask], [F.desc("score"), F.col("pass_no"), F.col("nth"), F.col("entry_id")], keep, "hyp")
+    by, order = [*SEARCH, *ask], [F.desc("score"), F.col("pass_no"), F.col("nth")]
+    best = top_rows(rows.withColumn("score", score).withColumn("entry_id", F.col("ids")[0]["entry_id"]), by, [*order, F.col("entry_id")], keep, "_place")
+    each = best.select(*by, *SIGNATURE, "score", "pass_no", "nth", F.explode("ids.entry_id").alias("entry_id"))
+    best = top_rows(each, by, [*order, F.col("entry_id")], keep, "hyp")
     hyp = {"surname": "h_surname", "forenames": "h_forenames", "year": "h_year", "district": "h_district", "spouse_surname": "h_maiden"}
     best = best.select(*SEARCH, *ask, "hyp", "score", "pass_no", "entry_id", *[F.col(k).alias(v) for k, v in hyp.items()])
     return asked.select(*KEY, *SEARCH, *ask).join(best, [*SEARCH, *ask]).select(*KEY, "hyp", "score", "pass_no", "entry_id", *hyp.values())

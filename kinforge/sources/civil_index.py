@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import values as V
 from kinforge.functions.literals import lookup
 from kinforge.functions.names import first_word, forename_tokens
-from kinforge.operators.ranking import carry_forward, first_row
+from kinforge.operators.ranking import carry_forward, first_row, top_rows
 
 # --- fixed values -------------------------------------------------------------------------
 OVERFLOW_AT = 3000
@@ -157,6 +157,25 @@ def civil_search(searches: DataFrame, civil: DataFrame, entry_type: str, limit:
     return _match(_shown(searches, civil, entry_type, limit, given), _signed(civil, entry_type), given)
 
 
+#: Entries alike in these are one signature: all that a score of an entry may read.
+SIGNATURE = ("surname", "forenames", "spouse_surname", "year", "district")
+
+
+def least_ids(rows: DataFrame, by: list[str], keep: int) -> DataFrame:
+    """For each ``by`` the first ``keep`` entries as ``ids``, an array of (entry_id, volume, page) in order of entry.
+
+    Ranks are cut before the shuffle, so no more than ``keep`` rows a task and group move, however many are alike."""
+    few = top_rows(rows, by, [F.col("entry_id")], keep, "_least")
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("entry_id", "volume", "page"))).alias("ids"))
+
+
+def signature_search(searches: DataFrame, civil: DataFrame, entry_type: str, keep: int, given: str = "always") -> DataFrame:
+    """What ``civil_search`` finds, as signatures with their first ``keep`` entries (``ids``): the rows that
+    meet the searches do not grow with the number of entries alike."""
+    index = least_ids(_signed(civil, entry_type), [*SIGNATURE, "s_surname", "s_givens", "s_district"], keep)
+    return _match(searches, index, given)
+
+
 def search_overflow(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int = OVERFLOW_AT) -> DataFrame:
     """Every search with its match count and whether it has more than ``limit`` (a report; no search is cut by it)."""
     counted = searches.join(match_counts(searches, civil, entry_type), list(SEARCH), "left")
@@ -173,7 +192,7 @@ def best_entries(asked: DataFrame, civil: DataFrame, entry_type: str, ask_by: li
     """
     questions = asked.select(*SEARCH, *ask_by).distinct()
     shown = _shown(searches_of(questions), civil, entry_type, limit, given)
-    alike = ["surname", "forenames", "spouse_surname", "year", "district"]
+    alike = list(SIGNATURE)
     index = _signed(civil, entry_type).groupBy(*alike, "s_surname", "s_givens", "s_district").agg(F.min_by(F.struct("entry_id", "quarter", "volume", "page"), "entry_id").alias("e"))
     found = _match(shown, index, given)
     scored = questions.join(found, list(SEARCH)).withColumn("score", score)

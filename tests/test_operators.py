@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinforge.functions import names, places
 from kinforge.operators import changes, civil, evidence_chain, linking, merge, ranking, review, scoring, tree
 from kinforge.operators.review import agreed_adjustment
 from kinforge.sources import civil_index, tree_api
@@ -198,6 +199,50 @@ def test_the_sixth_result_wins_where_five_cannot(spark):
     assert {r.hyp: r.person_id for r in evidence_chain.household_match(hyps, cand, census, tried=2, shown=1).collect()} == {1: "C6", 2: "C6"}
 
 
+def test_hypotheses_from_signatures_are_the_best_of_all_entries(spark):
+    """Against a full listing, ranked in Python: many entries alike, pages shared, none and few in the district."""
+    rnd = random.Random(17)
+    made, n = [], 0
+    for surname in ("Hall", "Hallam", "Phoulton", "Foolton", "Brown"):
+        for _ in range(400):
+            n += 1
+            district = rnd.choice(["Belper", "Derby", "Derby", "Ripley"])
+            fore = rnd.choice(["Ann", "Ann", "Ann Mary", "Mary Ann", "Annie"])
+            made.append(("birth", surname, fore, rnd.choice(["", "Smith"]), 1840 + rnd.randrange(4), "Mar", district, rnd.choice(["", "7b", "7b", "8c"]), str(rnd.randrange(60)), n))
+    for k in range(2):
+        made.append(("birth", "Hall", "Jane", "", 1841, "Mar", "Belper", "7b", str(k), n + 1 + k))
+        made.append(("birth", "Hall", "Jane", "", 1842, "Jun", "Derby", "7b", str(k), n + 3 + k))
+        made.append(("birth", "Hall", "Jane", "", 1842, "Jun", "Derby", "", str(k), n + 5 + k))
+    civil_rows = spark.createDataFrame(made, "entry_type string, surname string, forenames string, spouse_surname string, year int, quarter string, district string, volume string, page string, entry_id long")
+    asks = [("Hall", "Ann", "Belper"), ("Hall", "Ann", "Nowhere"), ("Hall", "Jane", "Belper"), ("Foulton", "Ann", "Derby"), ("Foolton", "Mary", ""), ("Brown", "", "Ripley"), ("Brown", "Ann", "")]
+    people = spark.createDataFrame([("j", i, g, s, 1838 + i % 5, d, d, rnd.choice(["", "Smith"])) for i, (s, g, d) in enumerate(asks * 3)],
+                                   "job_id string, asc_no long, given string, surname string, year int, district_text string, district_ string, mother_surname string")
+    listed = evidence_chain.pass_union(people, civil_rows)
+    asked = {(r.surname.lower(), r.given.lower(), r.year - 5, r.district_.lower()): [] for r in people.collect()}
+    for r in listed.collect():
+        asked[r.surname_key, r.given_key, r.year_from, r.district_key].append(r)
+    assert {r.pass_no for rows in asked.values() for r in rows} == {1, 2, 3}
+    pairs = spark.createDataFrame(sorted({(g.lower(), r[2]) for _, g, _ in asks for r in made}), "g string, f string")
+    similar = {(r.g, r.f): r.s for r in pairs.select("g", "f", names.names_similar(F.col("f"), F.col("g")).alias("s")).collect()}
+    spots = spark.createDataFrame(sorted({(d, r[6]) for _, _, d in asks for r in made}), "d string, e string")
+    near = {(r.d, r.e): 8 for r in spots.select("d", "e", places.district_match(F.col("d"), F.col("e")).alias("m")).collect() if r.m}
+    for keep in (1, 4, 15):
+        got = {}
+        for r in evidence_chain.birth_hypotheses(people, civil_rows, keep).collect():
+            got.setdefault(r.asc_no, []).append((r.hyp, r.score, r.pass_no, r.entry_id))
+        for p in people.collect():
+
+            def score(e, p=p):
+                off, given, fore = abs(e.year - p.year), p.given.lower(), e.forenames.lower()
+                name = 0 if not given else 20 if similar[given, e.forenames] else 15 if fore.startswith(given) else 0
+                place = 0 if not p.district_text else 15 if p.district_text == e.district else near.get((p.district_text, e.district), 0)
+                return name + (20 if off == 0 else 15 if off == 1 else 10 if off <= 3 else 5) + place + (30 if p.mother_surname and p.mother_surname == e.spouse_surname else 0)
+
+            rows = asked[p.surname.lower(), p.given.lower(), p.year - 5, p.district_.lower()]
+            best = sorted((-score(e), e.pass_no, e.nth, e.entry_id) for e in rows)[:keep]
+            assert sorted(got.get(p.asc_no, [])) == [(i + 1, -b[0], b[1], b[3]) for i, b in enumerate(best)], (keep, p)
+
+
 def test_spans_make_up_every_range_of_years(spark):
     rng = random.Random(6)
     ranges = [(a, a + rng.randrange(0, 600)) for a in (rng.randrange(1500, 2000) for _ in range(300))] + [(1900, 1900), (1536, 2047)]
