@@ -144,7 +144,9 @@ def _dealt(rank, stretch, doc, h, spot):
     deal = np.where(several & (place > 1), _mixed(r, s), r)
     deal = np.where(new, deal, _mixed(_mixed(doc[order], h[order]), spot[order]))
     flags = twice.astype(np.int64) + 2 * (several & new)
-    return deal, np.where(new, s, 0), doc[order], h[order], (spot[order] << 2) | flags
+    # Back in order of document, in which the columns compress best.
+    back = np.argsort(order)
+    return deal[back], np.where(new, s, 0)[back], doc, h, (spot << 2) | flags[back]
 
 
 def _anchor_rows(size: int):
