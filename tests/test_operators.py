@@ -473,3 +473,15 @@ def test_one_large_tree_does_not_lengthen_the_lists_of_others(spark):
     got = sorted((r.job_id, r.asc_no, r.person_id) for r in linking.mother_from_maiden(need, pool, none, none).collect())
     assert got == [(1, 3, "c000")] + [(2, 3 + 2 * i, f"f{i:03d}") for i in range(50)]
     assert {r.job_id: r.may_lose for r in linking.most_lost(need, none, none).collect()} == {1: 1, 2: 50}
+
+
+def test_a_stored_table_is_weighed_as_rows_before_it_is_broadcast(spark):
+    from kinforge.session import SIZE_SETTING, materialized
+
+    # 1.6 MB of Parquet that are far more as rows; a short table is still broadcast.
+    ids = materialized(spark.range(200_000).select(F.xxhash64("id").alias("id"), F.lit("a name that all rows share").alias("name")))
+    few = materialized(spark.range(9).select(F.xxhash64("id").alias("id")))
+    many = spark.range(1 << 22).select(F.xxhash64("id").alias("id"))
+    plan = lambda t: many.join(t, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(ids) and "BroadcastHashJoin" in plan(few)
+    assert float(spark.conf.get(SIZE_SETTING)) > 1
