@@ -485,3 +485,12 @@ def test_a_stored_table_is_weighed_as_rows_before_it_is_broadcast(spark):
     plan = lambda t: many.join(t, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(ids) and "BroadcastHashJoin" in plan(few)
     assert float(spark.conf.get(SIZE_SETTING)) > 1
+
+
+def test_places_that_agree_alike_with_the_districts_ask_as_one(spark):
+    towns = [(i, t) for i, t in enumerate(["Zug", "Ypres", "Xanten", "Derby", "derby", "South Derby", ""])]
+    asked = spark.createDataFrame(towns, "nth int, district_text string")
+    known = spark.createDataFrame([("Derby",), ("Truro",)], "district string")
+    got = {r.nth: r.alike_text for r in evidence_chain._by_alike_text(asked, known).collect()}
+    assert len(got) == len(towns) and len({got[i] for i in (0, 1, 2, 6)}) == 1
+    assert got[3] == got[4] and len({got[0], got[3], got[5]}) == 3
