@@ -494,3 +494,22 @@ def test_places_that_agree_alike_with_the_districts_ask_as_one(spark):
     got = {r.nth: r.alike_text for r in evidence_chain._by_alike_text(asked, known).collect()}
     assert len(got) == len(towns) and len({got[i] for i in (0, 1, 2, 6)}) == 1
     assert got[3] == got[4] and len({got[0], got[3], got[5]}) == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_of_a_slot_are_folded_without_sorting_texts(spark):
+    """The best result, its ties and the census years, as numbers; no pair of hypothesis and result goes through a sorted aggregate."""
+    cand = spark.createDataFrame(
+        [(1, 4, rnk, f"C{rnk}", "John", f"John {rnk}", 1900, place, "Cox", "", 1960 + rnk, False) for rnk, place in ((1, None), (2, "Derby"), (3, "Derby"), (4, "Ohio, United States"))],
+        "job_id long, asc_no int, rnk int, person_id string, c_given string, c_name string, c_year int, c_place string, father_surname string, mother_surname string, death_year int, rejected boolean")
+    hyps = spark.createDataFrame([(1, 4, 1, "Cox", "John", 1900, "Derby", ""), (1, 4, 2, "Fox", "Ann", 1800, "Kent", ""), (1, 6, 1, "Cox", "John", 1900, "Derby", "")],
+                                 "job_id long, asc_no int, hyp int, h_surname string, h_forenames string, h_year int, h_district string, h_maiden string")
+    census = spark.createDataFrame([("C1", [1891, 1911]), ("C2", [1901]), ("C3", [1915, 1921]), ("C4", [1905])], "person_id string, census array<int>")
+    found = evidence_chain.household_match(hyps, cand, census)
+    got = {(r.asc_no, r.hyp): (r.status, r.household_score, r.person_id, r.c_name, r.death_year, r.census, r.census_hits, r.census_seen) for r in found.collect()}
+    assert got == {(4, 1): ("primary", 75, "C2", "John 2", 1962, [1901], 3, [1901, 1911, 1915]), (4, 2): ("discarded", 0, None, None, None, None, 0, []),
+                   (6, 1): ("hypothesis", 0, None, None, None, None, 0, [])}
+    assert "ObjectHashAggregate" not in _plan(found) and "SortAggregate" not in _plan(found)
