@@ -513,3 +513,18 @@ def test_results_of_a_slot_are_folded_without_sorting_texts(spark):
     assert got == {(4, 1): ("primary", 75, "C2", "John 2", 1962, [1901], 3, [1901, 1911, 1915]), (4, 2): ("discarded", 0, None, None, None, None, 0, []),
                    (6, 1): ("hypothesis", 0, None, None, None, None, 0, [])}
     assert "ObjectHashAggregate" not in _plan(found) and "SortAggregate" not in _plan(found)
+
+
+def test_best_entries_meet_as_numbers_and_are_stored(spark):
+    rows = [("marriage", "Hunt", "Bill", "Cox", 1901, "Derby", "7", "1", 5), ("marriage", "Hunt", "Bill", "Cox", 1901, "Derby", "8", "1", 3), ("marriage", "Hunt", "Bill", "Fox", 1901, "Derby", "7", "2", 2),
+            ("marriage", "Hunt", "William", "Cox", 1902, "Kent", "7", "3", 3)]
+    idx = spark.createDataFrame(rows, "entry_type string, surname string, forenames string, spouse_surname string, year int, district string, volume string, page string, entry_id long").withColumn("quarter", F.lit("Mar"))
+    asked = spark.createDataFrame([(1, "Hunt", "Bill", "Cox"), (2, "Hunt", "", "Cox"), (3, "Hunt", "Bill", "Day"), (4, "Hunt", None, None)], "n int, s string, g string, w string")
+    asked = civil_index.with_search(asked, F.col("s"), F.col("g"), F.lit(1900), F.lit(1902), F.lit(""))
+    score = F.lit(30) + F.when(F.col("spouse_surname") == F.col("w"), 20).otherwise(0)
+    best = civil_index.best_entries(asked, idx, "marriage", ["w"], score, 30, given="maybe")
+    got = {(r.given_key, r.w): (r.score, r.entry_id, r.entry_volume) for r in best.collect()}
+    assert got.pop(("", None)) == (30, 2, "7")
+    assert got.pop(("", "Cox"))[:2] == (50, 3)
+    assert got == {("bill", "Cox"): (50, 3, "8"), ("bill", "Day"): (30, 2, "7")}
+    assert "Join" not in _plan(best) and "Aggregate" not in _plan(best)
