@@ -9,8 +9,10 @@ from kinforge.functions import values as V
 from kinforge.functions.literals import first_true, lookup
 
 # --- fixed values: words in a citation title ---------------------------------------------
-CIVIL_INDEX_WORDS = "registration|index|register|certificate"
-PARISH_WORDS = "parish register|christening|baptism|burial|banns"
+CIVIL_INDEX_WORDS = ("registration", "index", "register", "certificate")
+REGISTER_1939_WORDS = ("1939 register", "national register")
+PARISH_WORDS = ("parish register", "christening", "baptism", "burial", "banns")
+GRANT_WORDS = ("proved", "grant")
 MILITARY_WORDS = r"\b(military|army|navy|air force|war|medal|conscription)\b"
 UNKNOWN_YEAR = "unknown"
 
@@ -19,33 +21,61 @@ def normalized_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
 
 
-def classify_source(title: Column, key_length: int | None = None) -> Column:
-    """STRUCT<category, sub_type, key>; the first rule that fits wins.
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words anywhere; a plain search each, cheaper than a pattern of them all."""
+    found = text.contains(words[0])
+    for w in words[1:]:
+        found = found | text.contains(w)
+    return found
 
-    Titles without a kind of their own are told apart by the whole title, or by its first ``key_length`` characters.
-    """
-    t = F.lower(F.coalesce(title, F.lit("")))
+
+def lowered(title: Column) -> Column:
+    return F.lower(F.coalesce(title, F.lit("")))
+
+
+def _rules(t: Column) -> list[tuple[Column, str, str]]:
+    """Rule, category and sub type for a lower-case title; the first rule that fits wins."""
+    civil = ~t.contains("parish") & _any_of(t, CIVIL_INDEX_WORDS)
+    will = t.contains("will") & _any_of(t, GRANT_WORDS)
+    return [
+        (civil & t.contains("birth"), "Civil Registration", "birth"),
+        (civil & t.contains("marriage"), "Civil Registration", "marriage"),
+        (civil & t.contains("death"), "Civil Registration", "death"),
+        (t.contains("census"), "Census", "census"),
+        (_any_of(t, REGISTER_1939_WORDS), "1939 Register", "1939"),
+        (_any_of(t, PARISH_WORDS), "Parish Register", "parish"),
+        (t.rlike(MILITARY_WORDS), "Military", "military"),
+        (t.contains("probate") | will | t.contains("administration"), "Probate", "probate"),
+    ]
+
+
+def source_category(t: Column) -> Column:
+    """The category alone of a title that ``lowered`` has read."""
+    return first_true([(rule, category) for rule, category, _ in _rules(t)], "Other")
+
+
+def classify_lowered(t: Column, key_length: int | None = None) -> Column:
+    """``classify_source`` of a title that ``lowered`` has read, so that a column of it is read once for all rules."""
     head = t if key_length is None else F.substring(t, 1, key_length)
     year = F.regexp_extract(t, r"(\d{4})", 1)
-    civil = ~t.contains("parish") & t.rlike(CIVIL_INDEX_WORDS)
     census_year = F.when(year == "", UNKNOWN_YEAR).otherwise(year)
-    will = t.contains("will") & t.rlike("proved|grant")
+    keys = {"census": F.concat(F.lit("census_"), census_year), "1939": F.lit("1939_register"), "parish": F.concat_ws("_", F.lit("parish"), year, head),
+            "military": F.concat(F.lit("military_"), head), "probate": F.lit("probate")}
 
-    def of(category, sub_type, key):
-        def text(x):
-            return x if isinstance(x, Column) else F.lit(x)
-        return F.struct(text(category).alias("category"), text(sub_type).alias("sub_type"), text(key).alias("key"))
+    def of(category, sub_type):
+        return F.struct(F.lit(category).alias("category"), (census_year if sub_type == "census" else F.lit(sub_type)).alias("sub_type"),
+                        keys.get(sub_type, F.lit(f"civil_{sub_type}")).alias("key"))
 
-    return first_true([
-        (civil & t.contains("birth"), of("Civil Registration", "birth", "civil_birth")),
-        (civil & t.contains("marriage"), of("Civil Registration", "marriage", "civil_marriage")),
-        (civil & t.contains("death"), of("Civil Registration", "death", "civil_death")),
-        (t.contains("census"), of("Census", census_year, F.concat(F.lit("census_"), census_year))),
-        (t.rlike("1939 register|national register"), of("1939 Register", "1939", "1939_register")),
-        (t.rlike(PARISH_WORDS), of("Parish Register", "parish", F.concat_ws("_", F.lit("parish"), year, head))),
-        (t.rlike(MILITARY_WORDS), of("Military", "military", F.concat(F.lit("military_"), head))),
-        (t.contains("probate") | will | t.contains("administration"), of("Probate", "probate", "probate")),
-    ], of("Other", "other", F.concat(F.lit("other_"), head)))
+    other = F.struct(F.lit("Other").alias("category"), F.lit("other").alias("sub_type"), F.concat(F.lit("other_"), head).alias("key"))
+    return first_true([(rule, of(category, sub_type)) for rule, category, sub_type in _rules(t)], other)
+
+
+def classify_source(title: Column, key_length: int | None = None) -> Column:
+    """STRUCT<category, sub_type, key>; the first rule that fits wins.
+
+    Titles without a kind of their own are told apart by the whole title, or by its first ``key_length`` characters.
+    """
+    return classify_lowered(lowered(title), key_length)
 
 
 def category_points(category: Column) -> Column:

@@ -129,11 +129,11 @@ def places_overlap(a: Column, b: Column) -> Column:
 
 
 def cited_county(text: Column) -> Column:
-    """First county of the fixed list found anywhere in a citation text. One scan rules out texts that
-    name none; a plain CASE (not a lambda) keeps the tidied text a shared subexpression."""
-    plain = F.regexp_replace(F.lower(text), r"<[^>]+>", "")
-    counties = V.CITED_COUNTIES
-    return F.when(plain.rlike("|".join(counties)), first_true([(plain.contains(x), x) for x in counties]))
+    """First county of the fixed list found anywhere in a citation text. Each is looked for by itself: a pattern of
+    all of them tries every county at every letter. A plain CASE (not a lambda) keeps the tidied text a shared subexpression."""
+    low = F.lower(text)
+    plain = F.when(low.contains("<"), F.regexp_replace(low, r"<[^>]+>", "")).otherwise(low)
+    return first_true([(plain.contains(x), x) for x in V.CITED_COUNTIES])
 
 
 def short_place(c: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions import evidence, names, places, slots
 from kinforge.functions import values as V
 from kinforge.functions.dates import date_year
-from kinforge.functions.literals import first_true
+from kinforge.functions.literals import bind, first_true
 from kinforge.operators.gazetteer import place_dimension, proximity, with_place
 from kinforge.operators.ranking import first_row
 from kinforge.session import materialized
@@ -19,6 +19,8 @@ PERSON = "person_id"
 # --- fixed values: points -----------------------------------------------------------------
 FACTS_MOST, FAMILY_MOST, PLACE_MOST = 33, 23, 17
 METHOD_POINTS = {"tree_parents_verified": 8, "direct_search_verified": 8, "tree_parents_unverified": 3}
+CHILD_CUSTOMER = 10
+CHILD_POINTS = ((90, 8), (75, 6), (50, 3), (0, 1))  # least score of the child, points; the last for any score
 SHORT_TITLE_MARKS = {"location": "no place", "date": "no birth year", "records": "no records", "confidence": "low confidence"}
 
 
@@ -41,7 +43,8 @@ def source_summary(src: DataFrame) -> DataFrame:
     cited = F.when(F.col("_county").isNotNull(), F.col("seq"))
     once = titled.groupBy(PERSON, "_title").agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min(cited).alias("cited"), F.min_by("_county", cited).alias("_county"))
     # inline: the class is worked out once a row, not once for each of its fields.
-    keyed = once.select(PERSON, "seq", "cited", "_county", F.inline(F.array(evidence.classify_source(F.col("title")))))
+    once = once.select(PERSON, "seq", "cited", "_county", evidence.lowered(F.col("title")).alias("_low"))
+    keyed = once.select(PERSON, "seq", "cited", "_county", F.inline(F.array(evidence.classify_lowered(F.col("_low")))))
     records = keyed.groupBy(PERSON, "key").agg(F.min_by("category", "seq").alias("category"), F.min("cited").alias("cited"), F.min_by("_county", "cited").alias("_county"))
     points, counted = F.lit(0), F.lit(0)
     for name, (pts, cap) in V.CATEGORY_POINTS.items():
@@ -112,8 +115,8 @@ def attach_person(anc: DataFrame, *summaries: DataFrame) -> DataFrame:
 
 def source_verify(src: DataFrame) -> DataFrame:
     """Primary citations and undeduplicated points per person."""
-    cat = evidence.classify_source(F.col("title"))["category"]
-    return src.select(PERSON, cat.alias("category")).groupBy(PERSON).agg(
+    low = src.select(PERSON, evidence.lowered(F.col("title")).alias("_low"))
+    return low.select(PERSON, evidence.source_category(F.col("_low")).alias("category")).groupBy(PERSON).agg(
         F.count_if(evidence.is_primary(F.col("category"))).cast("int").alias("primary_count"),
         F.sum(evidence.category_points(F.col("category"))).cast("int").alias("raw_points"), F.count("*").cast("int").alias("citations"))
 
@@ -137,8 +140,10 @@ def _placed(looked_up: DataFrame, gazetteer: DataFrame | None) -> DataFrame:
 
 
 def place_date_points(placed: DataFrame) -> DataFrame:
-    """Place and date agreement with the child: county, town, age gap, county seen earlier in the generation."""
-    dated = placed.withColumn("year", date_year(F.col("birth_date")))
+    """Place and date agreement with the child: county, town, age gap, county seen earlier in the generation.
+
+    ``year`` of the birth date is read here unless the rows bring it."""
+    dated = placed if "year" in placed.columns else placed.withColumn("year", date_year(F.col("birth_date")))
     seen = earlier_same_county(dated)
     both = with_child(seen, ["seat", "town", "year", "surname", "confidence_level", "name"])
     prox = proximity(F.col("seat"), F.col("child_seat"))
@@ -161,8 +166,14 @@ def _surname_points(slot, own, childs):
     return F.when(~known, 0).when(slots.is_father(slot), F.when(F.coalesce(childs, F.lit("")) != "", father).otherwise(0)).otherwise(3)
 
 
+def _child_class(child_score):
+    """Which entry of CHILD_POINTS a child's score falls under; one behind the last if it has none."""
+    return first_true([(child_score >= least, i) for i, (least, _) in enumerate(CHILD_POINTS[:-1])] + [(child_score.isNotNull(), len(CHILD_POINTS) - 1)], len(CHILD_POINTS))
+
+
 def _child_points(child_is_customer, child_score):
-    return first_true([(child_is_customer, 10), (child_score >= 90, 8), (child_score >= 75, 6), (child_score >= 50, 3), (child_score.isNotNull(), 1)], 0)
+    brought = [(child_score >= least, points) for least, points in CHILD_POINTS[:-1]]
+    return first_true([(child_is_customer, CHILD_CUSTOMER), *brought, (child_score.isNotNull(), CHILD_POINTS[-1][1])], 0)
 
 
 def _gate(score, has_surname, has_year, has_place):
@@ -173,24 +184,20 @@ def _gate(score, has_surname, has_year, has_place):
 def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """Confidence of every slot from sources, facts, family and place.
 
-    Everything but the child's own score is computed flat. The one sequential dependence, the
-    child's score feeding its parents, is a fold over the slots of one tree in slot order
-    (each tree at most 2^(g+1) - 1 rows), so the generations cost one shuffle, not one each.
+    Everything but the child's own score is computed flat: a slot's score under each number of points that
+    its child may bring. The one sequential dependence, which of them it is, is a fold over the slots of one tree
+    in slot order (each tree at most 2^(g+1) - 1 rows), so the generations cost one shuffle, not one each.
     """
     placed = with_places(anc, src, fact, gazetteer).select(
-        JOB, SLOT, "gen", PERSON, "name", "surname", "birth_date", "confidence_level", "discovery_method", "source_points", "fact_points", "place", "stated_county", "town", "seat", "county")
-    # Both a slot and its child are read from here: written once, the citations and facts are aggregated once.
+        JOB, SLOT, "gen", PERSON, "name", "surname", "birth_date", date_year(F.col("birth_date")).alias("year"), "confidence_level", "discovery_method",
+        "source_points", "fact_points", "place", "stated_county", "town", "seat", "county")
+    # Both a slot and its child are read from here: written once, the citations and facts are aggregated and the dates read once.
     flat = place_date_points(materialized(placed))
     customer, has_child = _is_customer(F.col("confidence_level")), F.col("child_name").isNotNull() & (F.col(SLOT) > 1)
-    above = F.col(SLOT) > 1
-    item = F.struct(
-        F.col(SLOT).alias("slot"),
-        customer.alias("customer"),
-        F.coalesce("source_points", F.lit(0)).alias("source_points"),
-        F.coalesce("fact_points", F.lit(0)).alias("fact_points"),
-        F.col("place_points").alias("place_points"),
-        above.alias("above"),
-        F.coalesce(_is_customer(F.col("child_confidence_level")), F.lit(False)).alias("child_customer"),
+    flat = flat.select(
+        JOB, F.col(SLOT).alias("slot"), customer.alias("customer"),
+        F.coalesce("source_points", F.lit(0)).alias("source_points"), F.coalesce("fact_points", F.lit(0)).alias("fact_points"), "place_points",
+        (F.col(SLOT) > 1).alias("above"), F.coalesce(_is_customer(F.col("child_confidence_level")), F.lit(False)).alias("child_customer"),
         (F.when(has_child, _surname_points(F.col(SLOT), F.col("surname"), F.col("child_surname"))).otherwise(0)
          + _method_points(F.col("discovery_method"))).alias("family_fixed"),
         (F.length(F.trim(F.coalesce("surname", F.lit("")))) > 1).alias("has_surname"),
@@ -198,22 +205,17 @@ def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame, gazetteer: D
         F.col("place").isNotNull().alias("has_place"),
         (F.coalesce(PERSON, F.lit("")) != "").alias("has_person"))
 
-    trees = flat.groupBy(JOB).agg(F.array_sort(F.collect_list(item)).alias("slots"))
-
-    def family(x, child_score):
-        return F.when(x["above"], F.least(_child_points(x["child_customer"], child_score) + x["family_fixed"], F.lit(FAMILY_MOST))).otherwise(0)
-
-    def bind(value, use):
-        """Evaluate ``value`` once and use it by name (lambdas share no subexpressions)."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+    def score_with(child_points: int) -> Column:
+        brought = F.when(F.col("child_customer"), CHILD_CUSTOMER).otherwise(child_points)
+        family = F.when(F.col("above"), F.least(brought + F.col("family_fixed"), F.lit(FAMILY_MOST))).otherwise(0)
+        total = F.col("source_points") + F.col("fact_points") + F.col("place_points") + family
+        return F.when(F.col("customer"), 100).otherwise(_gate(evidence.confidence_from_points(total), F.col("has_surname"), F.col("has_year"), F.col("has_place"))).cast("int")
 
-    def from_total(x, total):
-        return _gate(evidence.confidence_from_points(total), x["has_surname"], x["has_year"], x["has_place"])
+    flat = flat.withColumn("outcomes", F.array(*(score_with(points) for _, points in CHILD_POINTS), score_with(0)))
+    trees = flat.groupBy(JOB).agg(F.array_sort(F.collect_list(F.struct(*(x for x in flat.columns if x != JOB)))).alias("slots"))
 
     def score_of(x, scores):
-        flat_points = x["source_points"] + x["fact_points"] + x["place_points"]
-        own = bind(bind(F.try_element_at(scores, slots.child_of(x["slot"])), lambda child: flat_points + family(x, child)), lambda total: from_total(x, total))
-        return F.when(x["customer"], 100).otherwise(own).cast("int")
+        return bind(F.try_element_at(scores, slots.child_of(x["slot"])), lambda child: F.get(x["outcomes"], _child_class(child)))
 
     def step(scores, x):
         return F.map_concat(scores, F.map_from_arrays(F.array(x["slot"]), F.array(score_of(x, scores))))
@@ -222,7 +224,7 @@ def record_scoring(anc: DataFrame, src: DataFrame, fact: DataFrame, gazetteer: D
     scored = trees.withColumn("scores", F.aggregate("slots", empty, step))
     rows = scored.select(JOB, "scores", F.explode("slots").alias("s")).select(
         JOB, F.col("s.slot").alias(SLOT), "s.*", F.try_element_at("scores", F.col("s.slot")).alias("score"),
-        F.try_element_at("scores", slots.child_of(F.col("s.slot"))).alias("child_score")).drop("slot")
+        F.try_element_at("scores", slots.child_of(F.col("s.slot"))).alias("child_score")).drop("slot", "outcomes")
     fam = F.when(F.col("above"), F.least(_child_points(F.col("child_customer"), F.col("child_score")) + F.col("family_fixed"), F.lit(FAMILY_MOST))).otherwise(0)
     fixed = F.col("customer")
     level = F.when(fixed, "Customer Data").otherwise(evidence.confidence_level(F.col("score")))
