@@ -12,16 +12,20 @@ from kinforge.session import sized_as_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-HEAVY = {"fx_civil", "fx_cand"}
+HEAVY = {"fx_civil", "fx_cand", "fx_edge"}
+READ_ONCE = {"fx_src", "fx_fact", "fx_town"}
 
 
 def query(name: str, *inputs: str, sql: str | None = None):
     """Register a function of DataFrames. ``inputs`` name the tables it gets; ``sql`` is its check.
 
-    The civil index, candidates and slots are read several times by the queries that join them, so
-    for those they are staged.
+    The civil index, candidates, tree edges and slots are read several times by the queries that join them, so
+    for those they are staged. Citations, facts and towns are summed up by one reading, of the columns that the sum needs.
     """
-    get = staged if HEAVY & set(inputs) and len(inputs) > 1 else table
+    several = HEAVY & set(inputs) and len(inputs) > 1
+
+    def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        return (staged if several and name not in READ_ONCE else table)(spark, sf_dir, name)
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
