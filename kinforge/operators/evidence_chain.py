@@ -16,7 +16,7 @@ from kinforge.operators.gazetteer import read_once
 from kinforge.operators.ranking import best_row, first_row, top_rows
 from kinforge.operators.tree import JOB, SLOT, with_parents
 from kinforge.session import materialized
-from kinforge.sources.civil_index import SEARCH, SIGNATURE, best_entries, civil_search, least_ids, searches_of, signature_search, with_search
+from kinforge.sources.civil_index import SEARCH, SIGNATURE, best_entries, civil_search, least_ids, match_counts, search_rows, searches_of, signature_search, with_search
 
 KEY = [JOB, SLOT]
 # --- fixed values: hypotheses kept unless asked otherwise, fewest entries of a district, years; weights; thresholds ---
@@ -40,27 +40,40 @@ def people_of(anc: DataFrame, civil: DataFrame) -> DataFrame:
 
 def pass_union(people: DataFrame, civil: DataFrame) -> DataFrame:
     """Birth entries for every distinct question: within the district; anywhere if fewer than three; under all
-    spelling variants if none. An entry with a volume and page already listed is not listed again by a later pass."""
+    spelling variants if none. An entry with a volume and page already listed is not listed again by a later pass.
+
+    Which passes a question needs is told by counts of signatures. Then all that is asked meets the index in one
+    join, whatever pass it is for, and pages are told apart only for questions that have a later pass.
+    """
     y = F.col("year")
     q = with_search(people.where("surname <> '' and year is not null"), F.col("surname"), F.col("given"), y - YEARS, y + YEARS, F.col("district_"))
     q = materialized(searches_of(q))
-    entry = ["surname", "forenames", "spouse_surname", "year", "quarter", "district", "volume", "page", "entry_id"]
-    narrow = materialized(civil_search(q, civil, "birth", given="maybe").select(*SEARCH, *entry))
-    seen = narrow.groupBy(*SEARCH).agg(F.count("*").alias("n"))
-    few = q.join(seen, list(SEARCH), "left").where((F.coalesce("n", F.lit(0)) < FEW) & (F.col("district_key") != ""))
-    open_q = few.select("surname_key", "given_key", "year_from", "year_to", F.lit("").alias("district_key")).distinct()
-    anywhere = civil_search(open_q, civil, "birth", given="maybe").select("surname_key", "given_key", "year_from", "year_to", *entry)
-    broad = materialized(few.select(*SEARCH).join(anywhere, ["surname_key", "given_key", "year_from", "year_to"]).select(*SEARCH, *entry))
-    none = q.join(narrow.select(*SEARCH).unionByName(broad.select(*SEARCH)).distinct(), list(SEARCH), "left_anti")
-    spelt = none.select(*SEARCH, F.posexplode(names.surname_variants(F.col("surname_key"))).alias("nth", "variant")).withColumn("variant", F.lower("variant"))
-    asked = spelt.select(F.col("variant").alias("surname_key"), "given_key", "year_from", "year_to", F.lit("").alias("district_key")).distinct()
-    found = civil_search(asked, civil, "birth", given="maybe").select(F.col("surname_key").alias("variant"), "given_key", "year_from", "year_to", *entry)
-    third = spelt.join(found, ["variant", "given_key", "year_from", "year_to"]).select(*SEARCH, "nth", *entry)
-    both = (narrow.withColumns({"pass_no": F.lit(1), "nth": F.lit(0)}).unionByName(broad.withColumns({"pass_no": F.lit(2), "nth": F.lit(0)}))
-            .unionByName(third.withColumn("pass_no", F.lit(3))))
+    span, entry = [c for c in SEARCH if c != "district_key"], ["surname", "forenames", "spouse_surname", "year", "quarter", "district", "volume", "page", "entry_id"]
+    anywhere = q.withColumn("district_key", F.lit(""))
+    counts = materialized(match_counts(q.unionByName(anywhere).distinct(), civil, "birth", given="maybe"))
+    met = q.join(counts, list(SEARCH), "left").withColumn("n", F.coalesce("matches", F.lit(0))).drop("matches")
+    met = met.join(counts.where("district_key = ''").select(*span, F.col("matches").alias("wide_n")), span, "left")
+    few = (F.col("n") < FEW) & (F.col("district_key") != "")
+    met = materialized(met.select(*SEARCH, "n", few.alias("few"), (few & F.col("wide_n").isNotNull()).alias("wide")))
+
+    def asking(rows: DataFrame, pass_no: int, nth: Column, surname: Column, district: Column, paged: Column) -> DataFrame:
+        return rows.select(surname.alias("surname_key"), "given_key", "year_from", "year_to", district.alias("district_key"), F.col("surname_key").alias("_surname"), F.col("district_key").alias("_asked"),
+                           F.lit(pass_no).alias("pass_no"), nth.alias("nth"), paged.alias("paged"))
+
+    spelt = met.where("n = 0 and not wide").select(*SEARCH, F.posexplode(names.surname_variants(F.col("surname_key"))).alias("nth", "variant"))
+    own, first, later = F.col("surname_key"), F.lit(0), F.lit(True)
+    asks = (asking(met.where("n > 0"), 1, first, own, F.col("district_key"), F.col("few"))
+            .unionByName(asking(met.where("wide"), 2, first, own, F.lit(""), later))
+            .unionByName(asking(spelt, 3, F.col("nth"), F.lower("variant"), F.lit(""), later)))
+    asks = materialized(asks)
+
+    def found(rows: DataFrame) -> DataFrame:
+        got = search_rows(rows, civil, "birth", given="maybe").drop("surname_key", "district_key").withColumnsRenamed({"_surname": "surname_key", "_asked": "district_key"})
+        return got.select(*SEARCH, *entry, "pass_no", "nth")
+
     again = F.row_number().over(Window.partitionBy(*SEARCH, "volume", "page").orderBy("pass_no", "nth", "entry_id"))
-    kept = both.withColumn("_again", again).where((F.col("pass_no") == 1) | (F.col("volume") == "") | (F.col("_again") == 1))
-    return kept.drop("_again")
+    once = found(asks.where("paged")).withColumn("_again", again).where((F.col("pass_no") == 1) | (F.col("volume") == "") | (F.col("_again") == 1)).drop("_again")
+    return found(asks.where("not paged")).unionByName(once)
 
 
 def _ends(a: Column, b: Column, equal: int, inside: int, near: int) -> Column:

@@ -155,7 +155,12 @@ def _shown(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int |
 
 def civil_search(searches: DataFrame, civil: DataFrame, entry_type: str, limit: int | None = None, given: str = "always") -> DataFrame:
     """Index rows of every search. With a ``limit``, searches that have more matches answer nothing."""
-    return _match(_shown(searches, civil, entry_type, limit, given), _signed(civil, entry_type), given)
+    return search_rows(_shown(searches, civil, entry_type, limit, given), civil, entry_type, given)
+
+
+def search_rows(searches: DataFrame, civil: DataFrame, entry_type: str, given: str = "always") -> DataFrame:
+    """Index rows beside every row of ``searches``, whose other columns stay; rows that ask alike are each answered."""
+    return _match(searches, _signed(civil, entry_type), given)
 
 
 #: Entries alike in these are one signature: all that a score of an entry may read.
