@@ -16,13 +16,14 @@ HEAVY = {"fx_civil", "fx_cand", "fx_edge"}
 READ_ONCE = {"fx_src", "fx_fact", "fx_town"}
 
 
-def query(name: str, *inputs: str, sql: str | None = None):
+def query(name: str, *inputs: str, sql: str | None = None, stored: bool = True):
     """Register a function of DataFrames. ``inputs`` name the tables it gets; ``sql`` is its check.
 
     The civil index, candidates, tree edges and slots are read several times by the queries that join them, so
     for those they are staged. Citations, facts and towns are summed up by one reading, of the columns that the sum needs.
+    A query that reads its tables once, or few of their columns, is not ``stored``: it derives those columns alone.
     """
-    several = HEAVY & set(inputs) and len(inputs) > 1
+    several = stored and HEAVY & set(inputs) and len(inputs) > 1
 
     def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return (staged if several and name not in READ_ONCE else table)(spark, sf_dir, name)

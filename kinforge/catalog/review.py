@@ -166,7 +166,7 @@ def accept(anc, jobs):
     return dfs[0].unionByName(dfs[1]).unionByName(dfs[2])
 
 
-@query("reject", "fx_anc", "fx_cand", sql=f"""WITH {_ROOTS},
+@query("reject", "fx_anc", "fx_cand", stored=False, sql=f"""WITH {_ROOTS},
 rj AS (SELECT a.* FROM fx_anc a JOIN roots r ON r.job_id = a.job_id AND r.asc_no = a.asc_no WHERE a.person_id <> '')
 SELECT 'ancestors' AS what, job_id, asc_no, person_id, '' AS why FROM fx_anc t WHERE NOT {_HIT} UNION ALL SELECT 'candidates', job_id, asc_no, person_id, rejection_reason FROM fx_cand t WHERE rejection_reason <> '' OR NOT {_HIT}
 UNION ALL SELECT 'candidates', job_id, asc_no, person_id, 'Manually rejected by admin' FROM rj""")

@@ -6,7 +6,7 @@ Commands are reduced to one per key first, so a repeated command cannot multiply
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions import evidence, slots
@@ -99,16 +99,24 @@ def reject(anc: DataFrame, cand: DataFrame, commands: DataFrame) -> dict[str, Da
     """Records the rejection, marks the person rejected for the slot (adding it if unknown), prunes the subtree.
 
     Candidates above the slot go with it; the rejected candidate itself is kept, so that it stays excluded.
+    Candidates and rejected people meet in one shuffle by tree, in which each is told from the others of its slot
+    and pruned with it.
     """
     roots = commands.select(*KEY).distinct()
     at = anc.join(roots, KEY, "left_semi").where(F.coalesce("person_id", F.lit("")) != "")
-    out_of = at.select(*KEY, "person_id", F.lit(REJECTED).alias("_why"))
-    known = cand.join(out_of, [*KEY, "person_id"], "left")
-    marked = known.withColumn("rejection_reason", F.coalesce("_why", "rejection_reason")).drop("_why")
-    added = at.join(cand.select(*KEY, "person_id"), [*KEY, "person_id"], "left_anti").select(
-        *KEY, F.lit(0).alias("rnk"), "person_id", "given_name", "surname", "gender", "birth_date", "birth_place", F.lit(REJECTED).alias("rejection_reason"))
-    pruned = prune_subtree(marked.where(F.coalesce("rejection_reason", F.lit("")) == ""), roots).unionByName(marked.where(F.coalesce("rejection_reason", F.lit("")) != ""))
-    return {"ancestors": prune_subtree(anc, roots), "candidates": pruned.unionByName(added, allowMissingColumns=True), "feedback": feedback_rows(anc, commands, "reject")}
+    out_of = at.select(*KEY, "person_id", F.lit(0).alias("rnk"), "given_name", "surname", "gender", "birth_date", "birth_place", F.lit(REJECTED).alias("rejection_reason"), F.lit(1).alias("_out"))
+    first = [*KEY, "person_id"]
+    rows = cand.select(*first, *[c for c in cand.columns if c not in first], F.lit(0).alias("_out")).unionByName(out_of, allowMissingColumns=True).repartition(JOB)
+    same = Window.partitionBy(*first)
+    met = rows.withColumns({"_times": F.sum("_out").over(same), "_all": F.count("*").over(same)})
+    # A person who is a candidate already is marked, and once for each slot that held them; one who is not is added.
+    met = met.where((F.col("_out") == 0) | (F.col("_all") == F.col("_times")))
+    met = met.withColumn("rejection_reason", F.when(F.col("_times") > 0, REJECTED).otherwise(F.col("rejection_reason")))
+    hit = F.exists("_roots", lambda r: slots.in_subtree(F.col(SLOT), r))
+    left = met.join(_roots_by_tree(roots), JOB, "left").where((F.coalesce("rejection_reason", F.lit("")) != "") | ~F.coalesce(hit, F.lit(False)))
+    times = F.when(F.col("_out") == 0, F.greatest(F.col("_times"), F.lit(1))).otherwise(1)
+    pruned = left.withColumn("_nth", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_out", "_times", "_all", "_roots", "_nth")
+    return {"ancestors": prune_subtree(anc, roots), "candidates": pruned, "feedback": feedback_rows(anc, commands, "reject")}
 
 
 def choose_candidate(anc: DataFrame, cand: DataFrame, commands: DataFrame) -> dict[str, DataFrame]:

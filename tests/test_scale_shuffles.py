@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinforge.operators import evidence_chain
+from kinforge.operators import changes, evidence_chain
 
 
 def test_pass_union_stores_no_entries_and_lists_the_same(spark, monkeypatch):
@@ -20,3 +20,16 @@ def test_pass_union_stores_no_entries_and_lists_the_same(spark, monkeypatch):
     assert listed[("hunt", "")] == [(1, i) for i in range(1, 9)]
     assert all(p == 3 for p, _ in listed.get(("ahlfors", ""), []))
     assert not [c for c in held if "entry_id" in c]
+
+
+def test_reject_reads_candidates_once(spark):
+    people = "job_id bigint, asc_no int, person_id string, given_name string, surname string, gender string, birth_date string, birth_place string"
+    anc = spark.createDataFrame([(1, 2, "P1", "A", "B", "Male", "", ""), (1, 2, "P1", "A", "B", "Male", "", ""), (1, 4, "P2", "A", "B", "Male", "", ""), (2, 3, "P3", "A", "B", "", "", ""), (2, 5, "", "A", "B", "", "", "")], people)
+    cand = spark.createDataFrame([(1, 2, 1, "P1", ""), (1, 2, 2, "P9", ""), (1, 4, 1, "P8", ""), (1, 4, 2, "P7", "no"), (1, 3, 1, "P6", None), (2, 3, 1, None, ""), (None, 3, 1, "P3", "")], "job_id bigint, asc_no int, rnk int, person_id string, rejection_reason string")
+    out = changes.reject(anc, cand, spark.createDataFrame([(1, 2), (2, 3), (2, 5), (1, 2)], "job_id bigint, asc_no int"))["candidates"]
+    got = sorted((repr(r.job_id), r.asc_no, repr(r.person_id), repr(r.rejection_reason), r.rnk) for r in out.collect())
+    why = repr(changes.REJECTED)
+    assert got == sorted([("1", 2, "'P1'", why, 1), ("1", 2, "'P1'", why, 1), ("1", 4, "'P7'", "'no'", 2), ("1", 3, "'P6'", "None", 1), ("2", 3, "'P3'", why, 0), ("None", 3, "'P3'", "''", 1)])
+    assert out.columns[:5] == ["job_id", "asc_no", "person_id", "rnk", "rejection_reason"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("LogicalRDD" in line and "rejection_reason#" in line for line in plan) == 1
