@@ -145,7 +145,7 @@ def jobs_list(jobs):
     return tables.jobs_page(jobs.select("job_id", "customer_name", "status", "created_on"), 50, 5)
 
 
-@query("table_reads", "fx_cand", "fx_anc", sql="""
+@query("table_reads", "fx_cand", "fx_anc", stored=False, sql="""
 SELECT a.job_id, a.asc_no, a.name, c.person_id, c.rnk, CASE WHEN c.rnk % 4 = 0 THEN '' ELSE c.birth_place END AS shown_place FROM fx_anc a JOIN fx_cand c ON c.job_id = a.job_id AND c.asc_no = a.asc_no""")
 def table_reads(cand, anc):
     raw = F.when(c("rnk") % 4 == 0, "{not json").otherwise(F.to_json(F.struct(F.struct(c("birth_place").alias("birthPlace")).alias("display"))))

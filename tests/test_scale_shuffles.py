@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from kinforge.operators import changes, evidence_chain
 
 
@@ -33,3 +35,14 @@ def test_reject_reads_candidates_once(spark):
     assert out.columns[:5] == ["job_id", "asc_no", "person_id", "rnk", "rejection_reason"]
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("LogicalRDD" in line and "rejection_reason#" in line for line in plan) == 1
+
+
+@pytest.mark.parametrize("name", ["reject", "table_reads"])
+def test_tables_read_once_are_not_stored(spark, sf_dir, monkeypatch, name):
+    from kinforge import catalog
+    from kinforge.catalog import base
+
+    got, staged = [], base.staged
+    monkeypatch.setattr(base, "staged", lambda s, d, n: (got.append(n), staged(s, d, n))[1])
+    catalog.queries()[name](spark, sf_dir)
+    assert got == []
