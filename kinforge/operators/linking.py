@@ -208,12 +208,13 @@ def ordered_assignment(passing: DataFrame, used: DataFrame | None = None) -> Dat
 
     ``used``: job, person_id of people who already stand in a tree. A slot's choice depends on all earlier ones, so
     the rows of a tree stream by in order of slot and rank; what is kept of them is the set of people given
-    away, one a slot, and each row is looked at once, however many slots or choices there are.
+    away, one a slot, and each row is looked at once, however many slots or choices there are. A person's lowest
+    rank in a slot is found by sorting, which spills, as a hash table would hold every row of a task.
     """
     rows = passing.select(JOB, SLOT, "person_id", "rnk")
     if used is not None:
         rows = rows.join(used.select(JOB, "person_id").distinct(), [JOB, "person_id"], "left_anti")
-    once = rows.groupBy(JOB, SLOT, "person_id").agg(F.min("rnk").cast("int").alias("rnk"))
+    once = top_rows(rows, [JOB, SLOT, "person_id"], [F.col("rnk").asc_nulls_last()], 1, "_nth").select(JOB, SLOT, "person_id", F.col("rnk").cast("int").alias("rnk"))
     in_order = once.repartition(JOB).sortWithinPartitions(JOB, SLOT, "rnk", "person_id")
 
     def walk(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from kinforge.operators import changes, evidence_chain
+from kinforge.operators import changes, evidence_chain, linking
 
 
 def test_pass_union_stores_no_entries_and_lists_the_same(spark, monkeypatch):
@@ -46,3 +46,11 @@ def test_tables_read_once_are_not_stored(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(base, "staged", lambda s, d, n: (got.append(n), staged(s, d, n))[1])
     catalog.queries()[name](spark, sf_dir)
     assert got == []
+
+
+def test_ordered_assignment_sorts_and_holds_no_table_of_rows(spark):
+    # The least stated rank of a person counts; a person without any comes first.
+    rows = [(1, 2, "P1", None), (1, 2, "P1", 3), (1, 2, "P2", 2), (1, 2, "P2", 5), (1, 4, "P2", 1), (1, 4, "P3", 4), (1, 4, "P1", None), (2, 2, "P9", 1), (2, 2, "P8", None), (2, 2, "P8", None)]
+    out = linking.ordered_assignment(spark.createDataFrame(rows, "job_id bigint, asc_no int, person_id string, rnk int"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, 2, "P2", 2), (1, 4, "P1", None), (2, 2, "P8", None)]))
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
