@@ -256,17 +256,19 @@ def unknown_father(need: DataFrame, civil: DataFrame) -> DataFrame:
     lo, hi = F.greatest(y - 10, F.lit(V.CIVIL_FROM)), y + 2
     ask = ask.withColumn("wife", F.lower("mother_last")).withColumn("man", F.lower("last"))
 
-    def by_groom(rows: DataFrame, district: Column) -> DataFrame:
-        asked = with_search(rows, F.col("last"), _blank(), lo, hi, district)
-        score = F.lit(80) + F.when(places.district_match(F.col("district_key"), F.col("district")), 20).otherwise(0)
-        best = best_entries(asked, civil, "marriage", ["wife"], score, MARRIAGE_AT, keep=F.lower("spouse_surname") == F.col("wife"), given="never")
-        return asked.join(best, [*SEARCH, "wife"]).where(F.col("entry_forenames") != "")
+    # Both searches by the father's surname ask at once, so the index is read and the questions are answered once.
+    near, anywhere = (with_search(rows, F.col("last"), _blank(), lo, hi, district) for rows, district in ((ask, F.col("district_")), (ask.where(F.col("district_") != ""), _blank())))
+    score = F.lit(80) + F.when(places.district_match(F.col("district_key"), F.col("district")), 20).otherwise(0)
+    grooms = best_entries(near.unionByName(anywhere), civil, "marriage", ["wife"], score, MARRIAGE_AT, keep=F.lower("spouse_surname") == F.col("wife"), given="never")
+
+    def by_groom(asked: DataFrame) -> DataFrame:
+        return asked.join(grooms, [*SEARCH, "wife"]).where(F.col("entry_forenames") != "")
 
     def out(found: DataFrame, how: str, pass_no: int, forenames: Column, surname: Column) -> DataFrame:
         return found.select(JOB, SLOT, F.lit(pass_no).alias("pass_no"), F.lit(how).alias("searched_by"), F.concat_ws(" ", forenames, surname).alias("father_name"), "entry_year", "entry_id")
 
     entry = (F.col("entry_forenames"), F.col("entry_surname"))
-    first = out(by_groom(ask, F.col("district_")), "father_surname", 1, *entry)
+    first = out(by_groom(near), "father_surname", 1, *entry)
     sides = two_sided(civil, same_district=True)
     brides = sides.select("entry_type", "surname", "spouse_surname", "year", "district", "volume", "page", "quarter",
                           F.col("groom.forenames").alias("forenames"), F.col("groom.entry_id").alias("groom_id"), "entry_id")
@@ -274,5 +276,5 @@ def unknown_father(need: DataFrame, civil: DataFrame) -> DataFrame:
     asked = with_search(ask, F.col("wife"), _blank(), lo, hi, F.col("district_"))
     best = best_entries(asked, brides, "marriage", ["man"], F.lit(100), 1, keep=F.lower("spouse_surname") == F.col("man"), given="never")
     second = out(asked.join(best, [*SEARCH, "man"]), "mother_maiden_name", 2, F.col("entry_forenames"), F.col("entry_spouse_surname"))
-    third = out(by_groom(ask.where(F.col("district_") != ""), _blank()), "father_surname_no_district", 3, *entry)
+    third = out(by_groom(anywhere), "father_surname_no_district", 3, *entry)
     return first_row(first.unionByName(second).unionByName(third), [JOB, SLOT], [F.col("pass_no")])

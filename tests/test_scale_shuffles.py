@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from kinforge.operators import changes, evidence_chain, linking
+from kinforge.operators import changes, civil, evidence_chain, linking
 
 
 def test_pass_union_stores_no_entries_and_lists_the_same(spark, monkeypatch):
@@ -54,3 +54,15 @@ def test_ordered_assignment_sorts_and_holds_no_table_of_rows(spark):
     out = linking.ordered_assignment(spark.createDataFrame(rows, "job_id bigint, asc_no int, person_id string, rnk int"))
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, 2, "P2", 2), (1, 4, "P1", None), (2, 2, "P8", None)]))
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unknown_father_asks_the_index_once_by_the_fathers_surname(spark, monkeypatch):
+    need = spark.createDataFrame([(1, 2, None, "Hunt", "Smith", 1900, "Derby"), (1, 3, None, "Hunt", "Jones", 1900, "Derby"), (1, 4, None, "Hunt", "Smith", 1900, "")],
+                                 "job_id bigint, asc_no int, father_name string, last string, mother_last string, birth_year int, district_ string")
+    entries = [("Hunt", "Tom", "Smith", "Derby", 1), ("Hunt", "Bob", "Jones", "Kent", 2), ("Hunt", "Sam", "Smith", "Kent", 3)]
+    index = spark.createDataFrame([("marriage", s, f, w, 1895, "Mar", d, "7b", "1", i) for s, f, w, d, i in entries], "entry_type string, surname string, forenames string, spouse_surname string, year int, quarter string, district string, volume string, page string, entry_id bigint")
+    calls, best = [], civil.best_entries
+    monkeypatch.setattr(civil, "best_entries", lambda asked, *a, **k: (calls.append(a[2]), best(asked, *a, **k))[1])
+    got = {(r.job_id, r.asc_no): (r.pass_no, r.father_name, r.entry_id) for r in civil.unknown_father(need, index).collect()}
+    assert got == {(1, 2): (1, "Tom Hunt", 1), (1, 3): (3, "Bob Hunt", 2), (1, 4): (1, "Tom Hunt", 1)}
+    assert calls == [["wife"], ["man"]]
