@@ -224,7 +224,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
         for dep in FIXTURES[name][0]:
             staged(spark, sf_dir, dep).createOrReplaceTempView(dep)
-        _STAGED[key] = materialized(spark.sql(FIXTURES[name][1]))
+        _STAGED[key] = materialized(spark.sql(FIXTURES[name][1]), for_all=True)
     return _STAGED[key]
 
 

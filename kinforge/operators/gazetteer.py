@@ -65,7 +65,7 @@ def default_gazetteer(spark: SparkSession) -> DataFrame:
     path = spark.conf.get(TOWNS_SETTING, "")
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
-        _TABLES[key] = materialized(gazetteer_table(spark, spark.read.parquet(path) if path else None))
+        _TABLES[key] = materialized(gazetteer_table(spark, spark.read.parquet(path) if path else None), for_all=True)
     return _TABLES[key]
 
 
@@ -116,7 +116,7 @@ def with_place(df: DataFrame, dimension: DataFrame, place: str, **fields: str) -
 def read_once(df: DataFrame, text: str, **worked: Callable[[Column], Column]) -> DataFrame:
     """``df`` with columns worked out of one of its texts, once for each distinct text (null is one of them)."""
     known = materialized(df.select(F.col(text).alias("_text")).distinct().select("_text", *(use(F.col("_text")).alias(out) for out, use in worked.items())))
-    return df.join(known, df[text].eqNullSafe(known["_text"]), "left").drop("_text")
+    return df.join(maybe_broadcast(known), df[text].eqNullSafe(known["_text"]), "left").drop("_text")
 
 
 def proximity(a: Column, b: Column) -> Column:

@@ -5,18 +5,18 @@ is that person; one whose key is new joins the first earlier person it resembles
 the people are the lexicographically first maximal independent set of the keys that resemble one another.
 
 Two names resemble each other by their first three letters alone (one's are a start of the other's). Keys
-alike in those letters and the year are therefore one node, and a node meets its neighbours by equality on
-starts and years. The set is found in rounds: a node without an earlier undecided neighbour is a person, its
+alike in those letters and the year are therefore one node; a node meets its neighbours of the same letters in
+order of years, and shorter names by equality on starts and years. The set is found in rounds: a node without an earlier undecided neighbour is a person, its
 neighbours follow. A round is a few joins over edges, however many keys a search has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions.names import first_word
-from kinforge.session import materialized
+from kinforge.session import materialized, maybe_broadcast, settled
 
 SEARCH_KEY = ["job_id", "asc_no"]
 # --- fixed values ---------------------------------------------------------------------------------
@@ -34,11 +34,16 @@ def _starts(c: str) -> Column:
 def resembling(nodes: DataFrame) -> DataFrame:
     """search, u, v: nodes ``v`` that resemble an earlier node ``u``. ``nodes``: search, f, l, year, seq.
 
-    One side offers its letters and its year, the other asks by the years near its own; an unknown year goes
-    with all. Names of three letters meet as they are. Shorter ones, which are few, are starts of longer names: they
-    are met by every start, in both names the same way or each in its own.
+    Nodes of the same letters stand in order of years, one a year: those near a node are the next few, and an unknown
+    year, which stands first, goes with all. Names shorter than three letters, which are few, are starts of longer
+    names: in searches that have some, nodes offer every start and their year, and the short ones ask by their
+    letters and the years near their own, in both names the same way or each in its own.
     """
-    named = nodes.where("f <> '' and l <> ''")
+    named = nodes.where("f <> '' and l <> ''").where(F.col(SEARCH_KEY[0]).isNotNull() & F.col(SEARCH_KEY[1]).isNotNull())
+    alike = Window.partitionBy(*SEARCH_KEY, "f", "l").orderBy(F.col("year").asc_nulls_first())
+    undated = F.max(F.when(F.col("year").isNull(), F.col("seq"))).over(alike)
+    after = [F.when(F.lead("year", k).over(alike) - F.col("year") <= YEARS_APART, F.lead("seq", k).over(alike)) for k in range(1, YEARS_APART + 1)]
+    whole = named.withColumn("bs", F.array_compact(F.array(undated, *after))).select(*SEARCH_KEY, F.col("seq").alias("a"), F.explode("bs").alias("b"))
     year, any_year = F.col("year").cast("string"), F.lit("*")
     offered = F.array(F.coalesce(year, F.lit("?")), any_year)
     near = F.transform(F.sequence(F.col("year") - YEARS_APART, F.col("year") + YEARS_APART), lambda y: y.cast("string"))
@@ -51,10 +56,11 @@ def resembling(nodes: DataFrame) -> DataFrame:
 
     keys, f, l = [*SEARCH_KEY, "kf", "kl", "ky"], F.col("f"), F.col("l")
     starts = lambda c: F.explode(_starts(c))
-    whole = opened(named, f, l, offered, "a").join(opened(named, f, l, asked, "b"), keys)
-    same_way = opened(named.where(short("f") | short("l")), f, l, offered, "a").join(opened(named, starts("f"), starts("l"), asked, "b"), keys)
-    crosswise = opened(named.where(short("f")), f, starts("l"), offered, "a").join(opened(named.where(short("l")), starts("f"), l, asked, "b"), keys)
-    met = whole.unionByName(same_way).unionByName(crosswise).where("a <> b")
+    few = materialized(named.where(short("f") | short("l")))
+    beside = named.join(maybe_broadcast(materialized(few.select(*SEARCH_KEY).distinct())), SEARCH_KEY, "left_semi")
+    same_way = opened(few, f, l, asked, "a").join(opened(beside, starts("f"), starts("l"), offered, "b").where(short("kf") | short("kl")), keys)
+    crosswise = opened(few.where(short("f")), f, starts("l"), offered, "a").join(opened(few.where(short("l")), starts("f"), l, asked, "b"), keys)
+    met = same_way.unionByName(crosswise).select(*SEARCH_KEY, "a", "b").unionByName(whole).where("a <> b")
     return met.select(*SEARCH_KEY, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -85,12 +91,12 @@ def merge_results(results: DataFrame) -> DataFrame:
     letters = {"f": F.substring("first", 1, LETTERS), "l": F.substring("last", 1, LETTERS)}
     exact = materialized(keyed.groupBy(*key).agg(F.min("rnk").alias("seq"), F.min_by("name", "rnk").alias("name"), *gap).withColumns(letters))
 
-    nodes = exact.groupBy(*_NODE).agg(F.min("seq").alias("seq"))
-    edges = materialized(resembling(nodes))
-    out = materialized(followers(edges))
+    nodes = materialized(exact.groupBy(*_NODE).agg(F.min("seq").alias("seq")))
+    edges = settled(lambda: resembling(nodes))
+    out = settled(lambda: followers(edges))
     # A follower goes to the first of its neighbours that is a person.
     led = edges.join(out.withColumnRenamed("v", "u"), [*SEARCH_KEY, "u"], "left_anti").join(out, [*SEARCH_KEY, "v"], "left_semi").groupBy(*SEARCH_KEY, "v").agg(F.min("u").alias("lead"))
-    placed = nodes.join(led.withColumnRenamed("v", "seq"), [*SEARCH_KEY, "seq"], "left").select(*_NODE, F.coalesce("lead", "seq").alias("leader_rnk"))
+    placed = materialized(nodes.join(led.withColumnRenamed("v", "seq"), [*SEARCH_KEY, "seq"], "left").select(*_NODE, F.coalesce("lead", "seq").alias("leader_rnk")))
     year = F.coalesce("year", F.lit(-1)).alias("year")
     node = [*SEARCH_KEY, "f", "l", "year"]
     led_by = placed.select(*SEARCH_KEY, "f", "l", year, "leader_rnk")
@@ -98,7 +104,7 @@ def merge_results(results: DataFrame) -> DataFrame:
     who = exact.join(placed.select(*SEARCH_KEY, F.col("leader_rnk").alias("seq")).distinct(), [*SEARCH_KEY, "seq"]).select(*SEARCH_KEY, F.col("seq").alias("leader_rnk"), "name", *filled)
     # Per node and source the last id wins and the first arrival counts.
     ids = keyed.withColumns(letters).select(*SEARCH_KEY, "f", "l", year, "source", "rnk", "person_id").groupBy(*node, "source").agg(F.min("rnk").alias("s"), F.max_by("person_id", "rnk").alias("id"), F.max("rnk").alias("last_seq"))
-    one = ids.join(led_by, node).groupBy(*SEARCH_KEY, "leader_rnk", "source").agg(F.min("s").alias("s"), F.max_by("id", "last_seq").alias("id"))
+    one = materialized(ids.join(led_by, node).groupBy(*SEARCH_KEY, "leader_rnk", "source").agg(F.min("s").alias("s"), F.max_by("id", "last_seq").alias("id")))
     src = one.groupBy(*SEARCH_KEY, "leader_rnk").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("s", "source"))), lambda x: x["source"]).alias("sources"), F.map_from_entries(F.collect_list(F.struct("source", "id"))).alias("source_ids"))
-    return who.join(src, [*SEARCH_KEY, "leader_rnk"])
+    return who.join(materialized(src), [*SEARCH_KEY, "leader_rnk"])

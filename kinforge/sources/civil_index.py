@@ -16,7 +16,7 @@ from kinforge.functions import values as V
 from kinforge.functions.literals import lookup
 from kinforge.functions.names import first_word, forename_tokens
 from kinforge.operators.ranking import carry_forward, first_row, top_rows
-from kinforge.session import materialized
+from kinforge.session import materialized, maybe_broadcast
 
 # --- fixed values -------------------------------------------------------------------------
 OVERFLOW_AT = 3000
@@ -197,7 +197,7 @@ def best_entries(asked: DataFrame, civil: DataFrame, entry_type: str, ask_by: li
     Index rows alike in every field a score may read are one candidate, the earliest of them. Questions and
     candidates meet under numbers: what is sorted to find the best of a question are a few numbers a pair, and
     texts are looked up for the best alone. The answers are written: there is one a question, and their size
-    decides how the rows that ask meet them.
+    decides how the rows that ask meet them (few answers are broadcast, so that those rows stay where they are).
     """
     questions = materialized(asked.select(*SEARCH, *ask_by).distinct().withColumn("_q", F.monotonically_increasing_id()))
     shown = _shown(searches_of(questions), civil, entry_type, limit, given)
@@ -210,5 +210,6 @@ def best_entries(asked: DataFrame, civil: DataFrame, entry_type: str, ask_by: li
     pairs = scored.where(F.col("score") >= at_least).select("_q", "_sig", "score", F.col("e.entry_id").alias("_id"))
     best = pairs.groupBy("_q").agg(F.min_by(F.struct("_sig", "score"), F.struct(-F.col("score"), F.col("_id"))).alias("b")).select("_q", "b.*")
     best = best.join(index, "_sig").join(questions, "_q")
-    return materialized(best.select(*SEARCH, *ask_by, "score", *[F.col(a).alias(f"entry_{a}") for a in alike],
-                                    *[F.col(f"e.{a}").alias(a if a == "entry_id" else f"entry_{a}") for a in ("entry_id", "quarter", "volume", "page")]))
+    best = best.select(*SEARCH, *ask_by, "score", *[F.col(a).alias(f"entry_{a}") for a in alike],
+                       *[F.col(f"e.{a}").alias(a if a == "entry_id" else f"entry_{a}") for a in ("entry_id", "quarter", "volume", "page")])
+    return maybe_broadcast(materialized(best))
