@@ -182,7 +182,7 @@ o AS (SELECT lf.job_id, lf.asc_no, coalesce(lb2.person_id, '') AS person_id, coa
 SELECT *, {D.level('confidence')} AS level FROM o""")
 def lead_only(anc, civil, cand, fact):
     people = ops.people_of(anc, civil)
-    return ops.lead_only(people, ops.materialized(ops.birth_hypotheses(people, civil)), _cand(cand))
+    return ops.lead_only(people, ops.settled(lambda: ops.birth_hypotheses(people, civil)), _cand(cand))
 
 
 @query("enrich_known", *_CHAIN_IN, sql=f"""WITH {_PPL}, {_PASSES}, {_HYP}, {_HH},

@@ -80,3 +80,13 @@ def test_names_are_opened_by_their_starts_only_beside_short_ones(spark, monkeypa
     assert got(merge.resembling(spark.createDataFrame(rows + more, schema))) == long_names | short_names
     monkeypatch.setattr(merge, "_starts", lambda c: F.array(F.raise_error(F.concat(F.lit("opened: "), F.col(c)))))
     assert got(merge.resembling(spark.createDataFrame(rows, schema))) == long_names
+
+
+def test_leads_are_looked_for_among_results_of_their_own_slots(spark, monkeypatch):
+    people = spark.createDataFrame([(1, s, None, "Ann", "Hunt", 1900, "Derby", "Derby", "", "") for s in (2, 3)], "job_id long, asc_no int, person_id string, given string, surname string, year int, birth_place string, district_text string, father_surname string, mother_surname string")
+    cand = spark.createDataFrame([(1, s, 1, f"C{s}", "Ann", "Ann Hunt", 1900, "Derby", "", "", None, False) for s in (2, 3, 9)], CAND.replace("father_surname", "c_father_surname").replace("mother_surname", "c_mother_surname"))
+    seen, usable = [], evidence_chain.usable_results
+    monkeypatch.setattr(evidence_chain, "usable_results", lambda c, shown=None: (seen.extend(r.asc_no for r in c.collect()), usable(c, shown))[1])
+    out = evidence_chain.lead_only(people, spark.createDataFrame([(1, 2, 1)], "job_id long, asc_no int, hyp int"), cand)
+    assert [(r.asc_no, r.person_id, r.confidence) for r in out.collect()] == [(3, "C3", 49)]
+    assert seen == [3]
